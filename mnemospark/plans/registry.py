@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from . import relational, search
+
 
 def queries():
-    return {}
+    return dict(relational.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(relational.SQL)
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """Hybrid search of the benchmark queries over the documents."""
+    return search.hybrid_search(spark, sf_dir)
