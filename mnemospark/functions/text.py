@@ -8,12 +8,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Language label by file extension.
 LANGUAGES = {"rs": "rust", "py": "python", "js": "javascript", "ts": "typescript", "go": "go", "md": "markdown", "sh": "shell", "toml": "toml", "yaml": "yaml", "yml": "yaml", "json": "json", "sql": "sql"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode NFC; only rows that are not ASCII need it."""
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
@@ -48,7 +49,7 @@ def language_of(path: Column) -> Column:
     return F.coalesce(F.try_element_at(known, ext), F.lit("text"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(payload: pd.Series) -> pd.Series:
     """Compact JSON with sorted keys."""
     return payload.map(lambda p: None if p is None else json.dumps(json.loads(p), sort_keys=True, separators=(",", ":"), ensure_ascii=False))

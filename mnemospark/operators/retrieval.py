@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import terms
 from .ranking import top_k
@@ -130,7 +131,7 @@ def analysed(text: Column) -> Column:
     return F.transform(kept, lambda w: F.when(F.length(w) > 4, F.regexp_replace(w, "(ing|ed|es|s)$", "")).otherwise(w))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def cover_density(places: pd.Series, words: pd.Series, wanted: pd.Series) -> pd.Series:
     """Sum over the minimal spans that hold every wanted term of (number of terms) / length.
 
@@ -173,7 +174,7 @@ def miss_kind(df: DataFrame, threshold: float = 0.45) -> DataFrame:
     return df.select("query_id", F.when(F.col("hits") == 0, "zero_hit").when((F.col("top_kind") == "knowledge") & (F.col("top_raw") < threshold), "low_score").alias("miss"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def snippet(text: pd.Series, query: pd.Series) -> pd.Series:
     """At most 320 characters around the most anchor words, cut at white space nearby, with ellipses."""
 
@@ -228,7 +229,7 @@ def hash_embedding(dim: int = 64):
     return embed
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def pair_score(query: pd.Series, text: pd.Series) -> pd.Series:
     """Offline pair scorer: share of the query's words that the text holds."""
     def one(q, t):
