@@ -54,13 +54,18 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shingle_hashes(words: Column, k: int) -> Column:
-    """64-bit hashes of the k-word shingles by position; fewer words give the whole sequence as one."""
-    return F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(1))),
-            lambda i: F.xxhash64(F.slice(words, i, k)),
-        )
-    )
+    """64-bit hashes of the k-word shingles by position; fewer words give the whole sequence as one.
+
+    Words are hashed once and shingles from the words' hashes; places past the end are null, which the
+    hash skips.
+    """
+
+    def combine(h: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size(h) - k, F.lit(0)))
+        return F.transform(places, lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
+
+    none = F.array().cast("array<bigint>")
+    return F.when(F.size(words) == 0, none).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), combine))
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int, most_mb: int = 64) -> DataFrame:

@@ -17,7 +17,7 @@ import time
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, words_of
+from .common import let, shingle_hashes, words_of
 
 SAMPLE_ROWS = 2000
 WINDOW = 5
@@ -43,8 +43,11 @@ def repeated_words(words: Column, k: int = WINDOW) -> Column:
     def covered(p: Column) -> Column:
         return F.aggregate(F.transform(p, lambda x, i: F.least(F.coalesce(F.get(p, i + 1) - x, F.lit(k)), F.lit(k))), F.lit(0), lambda a, n: a + n)
 
-    windows = F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.struct(F.xxhash64(F.slice(words, i, k)).alias("h"), i.alias("p")))
-    return F.when(F.size(words) <= k, 0).otherwise(let(F.sort_array(windows), lambda s: let(positions(s), covered)))
+    def count(h: Column) -> Column:
+        placed = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p")))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(let(F.sort_array(placed), lambda s: let(positions(s), covered)))
+
+    return F.when(F.size(words) <= k, 0).otherwise(let(shingle_hashes(words, k), count))
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
