@@ -38,8 +38,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
         encode = encoder(vocabulary, True)
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                ids = np.append(encode.ids(text or ""), np.uint32(end_id)).astype("<u4")
+            for k, own in enumerate(encode.many([t or "" for t in batch.column(1).to_pylist()])):
+                ids = np.append(own, np.uint32(end_id)).astype("<u4")
                 at, size = 0, len(ids) % capacity or capacity
                 while at < len(ids):
                     row.append(k), piece.append(len(row)), start.append(at), length.append(size)

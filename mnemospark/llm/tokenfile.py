@@ -42,7 +42,7 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     choice = np.full(n, len(SELECTORS) - 1, dtype=np.int64)
     for s in range(len(SELECTORS) - 2, -1, -1):
         count, bits = SELECTORS[s]
-        wide = np.concatenate(([0], np.cumsum(ids >> np.uint64(bits) != 0), ))
+        wide = np.concatenate(([0], np.cumsum(ids >> np.uint64(bits) != 0)))
         ends = np.minimum(np.arange(n) + count, n)
         choice[wide[ends] == wide[:-1]] = s
     follow = (np.arange(n) + COUNTS[choice]).tolist()
@@ -97,8 +97,8 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_c
             return pa.RecordBatch.from_pylist([row], schema=arrow)
 
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(coder.ids(text), np.uint32(end_id))
+            for name, own in zip(batch.column(0).to_pylist(), coder.many(batch.column(1).to_pylist()), strict=True):
+                ids = np.append(own, np.uint32(end_id))
                 names.append(name), lengths.append(len(ids)), held.append(ids)
                 size += len(ids)
                 if size >= BLOCK_IDS:

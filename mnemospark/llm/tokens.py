@@ -7,12 +7,18 @@ texts.
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
-#: Distinct chunks remembered by a Python worker (about 100 MB); the memo starts over when full.
-MEMO = 400_000
+#: Distinct chunks remembered by a Python worker (about 150 MB); the memo starts over when full.
+MEMO = 700_000
+#: Texts are worked off in groups of about this many characters.
+GROUP_CHARS = 2_000_000
 #: A word with at most one space before it, or white space that no word takes.
 _BYTE_CHUNKS = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+")
 #: Python counts these as white space and the tokenizers' patterns do not.
@@ -20,33 +26,44 @@ _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
 class ChunkEncoder:
-    """``ids(text)`` equals ``Tokenizer.encode(text, add_special_tokens=False).ids``."""
+    """``many(texts)`` equals ``Tokenizer.encode(text, add_special_tokens=False).ids`` of each text."""
 
     def __init__(self, path: str, keep_space: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.chunks = _BYTE_CHUNKS.findall if keep_space else str.split
-        self.memo: dict[str, np.ndarray] = {}
+        self.memo: dict[str, bytes] = {}
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
 
-    def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-
-    def ids(self, text: str) -> np.ndarray:
-        if _ODD_SPACE.search(text) or (self.special and self.special.search(text)):
-            return self._whole(text)
-        chunks = self.chunks(text)
-        memo = self.memo
-        unknown = list({c for c in chunks if c not in memo})
-        if unknown:
-            if len(memo) + len(unknown) > MEMO:
-                memo.clear()
-                unknown = list(set(chunks))
-            for c, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-                memo[c] = np.array(e.ids, dtype="<u4")
-        return np.concatenate([memo[c] for c in chunks]) if chunks else np.empty(0, dtype="<u4")
+    def many(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text in order, as little-endian unsigned 32-bit integers."""
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size < GROUP_CHARS):
+                size += len(texts[end])
+                end += 1
+            yield from self._group(texts[at:end])
+            at = end
+
+    def _group(self, texts: list[str]) -> Iterator[np.ndarray]:
+        odd = [bool(_ODD_SPACE.search(t) or (self.special and self.special.search(t))) for t in texts]
+        cut = [[] if o else self.chunks(t) for t, o in zip(texts, odd, strict=True)]
+        every = set(chain.from_iterable(cut))
+        unknown = list(every - self.memo.keys())
+        if len(self.memo) + len(unknown) > MEMO:
+            self.memo.clear()
+            unknown = list(every)
+        for c, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
+            self.memo[c] = array("I", e.ids).tobytes()
+        for text, whole, parts in zip(texts, odd, cut, strict=True):
+            if whole:
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            else:
+                yield np.frombuffer(b"".join(map(self.memo.__getitem__, parts)), dtype="<u4")
 
 
 _ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
