@@ -133,12 +133,12 @@ def prototypes(train: DataFrame, text: str, lang: str, dimensions: int = DIMENSI
     return dict(sorted(found.items()))
 
 
-def identify(docs: DataFrame, protos: dict[str, np.ndarray], text: str = "text", dimensions: int = DIMENSIONS, seed: int = SEED, keep: list[Column] | None = None) -> DataFrame:
-    """``keep`` columns (by default all) plus lang_pred and score, the cosine cut to 0..1."""
+def identify(docs: DataFrame, protos: dict[str, np.ndarray], text: str = "text", dimensions: int = DIMENSIONS, seed: int = SEED, keep: list[Column] | None = None, pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """``keep`` columns (by default all) plus the predicted language and the cosine cut to 0..1; input columns of these two names give way."""
     names = list(protos)
     matrix = np.stack([protos[n] for n in names], axis=1) if names else np.zeros((dimensions, 0), np.float32)
-    chosen = docs.select(*(keep if keep is not None else [F.col(f"`{c}`") for c in docs.columns]), F.col(text).alias("__text"))
-    schema = T.StructType([*chosen.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    chosen = docs.select(*(keep if keep is not None else [F.col(f"`{c}`") for c in docs.columns if c not in (pred_col, score_col)]), F.col(text).alias("__text"))
+    schema = T.StructType([*chosen.schema.fields[:-1], T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = _space(dimensions, seed)

@@ -198,8 +198,11 @@ def _accepted(c: Column, model: dict) -> Column:
     return score > 0
 
 
-def find(docs: DataFrame, text_col: str = "text", model: dict | None = None) -> DataFrame:
-    """``docs`` with columns base_spans and all_spans: arrays of (start, kind, end), kind indexing KINDS."""
+def find(docs: DataFrame, text_col: str = "text", model: dict | None = None, prefix: str = "") -> DataFrame:
+    """``docs`` with columns base_spans and all_spans (names prefixed): arrays of (start, kind, end), kind indexing KINDS.
+
+    Input columns of these names give way.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     bare = lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"))
 
@@ -214,7 +217,7 @@ def find(docs: DataFrame, text_col: str = "text", model: dict | None = None) ->
 
         return let(base_spans(t), add)
 
-    return docs.withColumn("__pii", let(text, both)).withColumns({"base_spans": F.col("__pii.base"), "all_spans": F.col("__pii.every")}).drop("__pii")
+    return docs.withColumn("__pii", let(text, both)).withColumns({f"{prefix}base_spans": F.col("__pii.base"), f"{prefix}all_spans": F.col("__pii.every")}).drop("__pii")
 
 
 def listed(array: Column) -> Column:
