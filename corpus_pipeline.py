@@ -17,8 +17,8 @@ from mnemospark.llm.common import broadcast_if_small, stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents in which no language is found: null text, or no letter."""
     train = docs.filter(~hyperdim.held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    found = hyperdim.identify(docs, hyperdim.prototypes(train, "text", "lang"))
-    return found.filter("lang_pred <> 'und'").select(*docs.columns)
+    found = hyperdim.identify(docs, hyperdim.prototypes(train, "text", "lang"), pred_col="__lang_pred", score_col="__lang_score")
+    return found.filter("__lang_pred <> 'und'").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces each span of personal data by its kind in brackets."""
-    found = pii.find(docs, model=pii.fit(docs)).withColumn("text", pii.redacted(F.col("text"), F.col("all_spans")))
+    found = pii.find(docs, model=pii.fit(docs), prefix="__").withColumn("text", pii.redacted(F.col("text"), F.col("__all_spans")))
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
