@@ -9,8 +9,9 @@ about 3.5e-5. Every candidate is confirmed on the full sets.
 
 Large groups are not expanded into pairs. Round one confirms, for each set, only the links to the
 smallest and to the largest set among all that share a key with it, and joins these links into
-components. Round two looks at keys whose sets are still in different components and confirms every
-pair across components there that is close in size and signature; nothing is capped.
+components. Round two looks at keys whose sets are still in different components. Where such a key
+has at most SMALL sets, the pairs across components that are close in size and signature are
+confirmed one by one; larger ones are compared in blocks of bounded size. Nothing is capped.
 
 Defined results: texts without words (null, empty, blank) have an empty set, are linked with
 nothing and are their own component. Equal texts share one set and one component. Rows with a null
@@ -35,6 +36,8 @@ CHUNKS, CHUNK, ERRORS = 6, 4, 1
 #: Round two asks for this many equal places of the 24 (a pair at 0.8 fails with probability 2e-5).
 LEAST_EQUAL = 10
 THRESHOLD = (80, 100)
+#: Keys with more sets are compared in blocks of about this many sets and hashes.
+SMALL, BLOCK_MEMBERS, BLOCK_HASHES = 16, 512, 1 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
@@ -155,6 +158,54 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, threshold: tuple[int,
     return joined.select("a", "b", "sa", "sb").mapInArrow(check, "a bigint, b bigint").distinct()
 
 
+def _confirmed_in_blocks(members: DataFrame, docs: DataFrame, k: int, threshold: tuple[int, int]) -> DataFrame:
+    """Links (a, b) that join what is linked among the members of each key.
+
+    A key's members are dealt into ``ways`` blocks, and every pair of blocks is a group of its own.
+    Products of the blocks' incidence matrices give all sizes of intersections at once, so no pair
+    is emitted: only a tree over the members of a group that hang together.
+    """
+    part, whole = threshold
+
+    def compare(table: pa.Table) -> pa.Table:
+        rid = table.column("rid").to_numpy()
+        comp = table.column("comp").to_numpy()
+        sets = [np.frombuffer(s, np.uint64) for s in table.column("s").to_pylist()]
+        size = np.array([len(s) for s in sets])
+        codes, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rows, shared = np.repeat(np.arange(len(sets)), size), seen[column] > 1
+        rows, column = rows[shared], (np.cumsum(seen > 1) - 1)[column[shared]]
+        order = np.argsort(column, kind="stable")
+        rows, column = rows[order], column[order]
+        common = np.zeros((len(sets), len(sets)), dtype=np.float32)
+        for at in range(0, int((seen > 1).sum()), 4096):
+            lo, hi = np.searchsorted(column, [at, at + 4096])
+            grid = np.zeros((len(sets), 4096), dtype=np.float32)
+            grid[rows[lo:hi], column[lo:hi] - at] = 1
+            common += grid @ grid.T
+        linked = (whole * common >= part * (size[:, None] + size[None, :] - common)) | (comp[:, None] == comp[None, :])
+        a, b, left = [], [], np.ones(len(sets), dtype=bool)
+        for root in range(len(sets)):
+            if left[root]:
+                left[root], edge = False, np.array([root])
+                while len(edge):
+                    edge = np.flatnonzero(linked[edge].any(axis=0) & left)
+                    left[edge] = False
+                    edge_new = edge[comp[edge] != comp[root]]
+                    a.extend([rid[root]] * len(edge_new)), b.extend(rid[edge_new].tolist())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    own = F.pmod(F.xxhash64("rid"), F.col("ways")).cast("int")
+    dealt = members.select("key", "rid", "comp", "ways", own.alias("own"))
+    dealt = dealt.select("key", "rid", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("other"))
+    dealt = dealt.select("key", "rid", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    ids = dealt.select(F.col("rid").alias("id")).distinct()
+    sets = stage(_sets(docs, ids, k).withColumnRenamed("id", "rid"), "sets")
+    # a pair of blocks whose members are all in one component is left out
+    mixed = dealt.groupBy("key", "i", "j").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 < c2").select("key", "i", "j")
+    return dealt.join(mixed, ["key", "i", "j"]).join(sets, "rid").groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, comp) for the ids of the undirected links (a, b); comp is the smallest id reachable.
 
@@ -194,14 +245,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     part, whole = threshold
     placed = keys.join(comp.withColumnRenamed("id", "rid"), "rid", "left").select("key", "rid", F.coalesce("comp", "rid").alias("comp"))
     placed = stage(placed, "placed")
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 < c2").select("key")
-    members = placed.join(open_keys, "key", "left_semi").join(reps.select("rid", "n", "sig"), "rid")
-    members = stage(members, "members")
-    x, y = (members.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rid", "comp", "n", "sig"))) for s in "ab")
+    weights = placed.join(reps.select("rid", "n"), "rid").groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight"))
+    ways = F.ceil(F.greatest(F.col("members") / BLOCK_MEMBERS, F.col("weight") / BLOCK_HASHES))
+    open_keys = weights.filter("c1 < c2").select("key", F.when(F.col("members") > SMALL, ways).otherwise(F.lit(0)).cast("int").alias("ways"))
+    members = stage(placed.join(open_keys, "key").join(reps.select("rid", "n", "sig"), "rid"), "members")
+
+    x, y = (members.filter("ways = 0").select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rid", "comp", "n", "sig"))) for s in "ab")
     equal = reduce(lambda p, q: p + q, [(F.get("sig_a", F.lit(i)) == F.get("sig_b", F.lit(i))).cast("int") for i in range(CHUNKS * CHUNK)])
     near = x.join(y, (x["key"] == y["key"]) & (F.col("comp_a") < F.col("comp_b")) & (F.least("n_a", "n_b") * whole >= F.greatest("n_a", "n_b") * part) & (equal >= LEAST_EQUAL))
     pairs = near.select(F.least("rid_a", "rid_b").alias("a"), F.greatest("rid_a", "rid_b").alias("b")).distinct()
-    second = stage(_confirmed(pairs, named, k, threshold), "links")
+    second = stage(_confirmed(pairs, named, k, threshold).union(_confirmed_in_blocks(members.filter("ways > 0"), named, k, threshold)), "links")
     if not second.isEmpty():
         comp = stage(components(first.union(second)), "components")
 
