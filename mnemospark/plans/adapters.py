@@ -147,6 +147,6 @@ authors AS (
   FROM orders WHERE o_orderkey % 5 = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, k.*, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), k.embedding), 6) AS score
-  FROM embeddings q, knowledge k WHERE q.vec_id % 50 = 0 AND k.embedding IS NOT NULL AND k.deleted_at IS NULL
+  FROM embeddings q, knowledge k WHERE q.vec_id % 20 = 0 AND k.embedding IS NOT NULL AND k.deleted_at IS NULL
 )
 """

@@ -22,7 +22,7 @@ TOP_K = 10
 
 
 def vector_queries(spark, sf) -> DataFrame:
-    return table(spark, sf, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return table(spark, sf, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 def text_queries(spark, sf) -> DataFrame:
@@ -96,12 +96,12 @@ def fusion_weight(spark, sf):
 
 
 @query("r10_related", """, pairs AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS score FROM knowledge a, knowledge b
-WHERE a.seq % 50 = 0 AND a.embedding IS NOT NULL AND b.embedding IS NOT NULL AND b.deleted_at IS NULL AND a.content_hash <> b.content_hash)
+WHERE a.seq % 20 = 0 AND a.embedding IS NOT NULL AND b.embedding IS NOT NULL AND b.deleted_at IS NULL AND a.content_hash <> b.content_hash)
 """ + _TOP.format(source="pairs"))
 def related(spark, sf):
     """Neighbours of seed rows without their copies: enough neighbours are taken to make up for the copies."""
     live = live_knowledge(spark, sf)
-    seeds = knowledge(spark, sf).filter("seq % 50 = 0 and embedding is not null")
+    seeds = knowledge(spark, sf).filter("seq % 20 = 0 and embedding is not null")
     hashes = knowledge(spark, sf).select("id", "content_hash")
     copies = seeds.select("content_hash").join(hashes, "content_hash").groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"))
     most = copies.agg(F.max("n")).first()[0] or 0
@@ -118,7 +118,7 @@ def similar_on_write(spark, sf):
 
 
 _SAMPLE = ", hits AS (" + _TOP.format(source="scored") + """), sample AS (
-SELECT v.vec_id AS query_id, count(h.id) AS hits, max(h.score) AS top_raw FROM embeddings v LEFT JOIN hits h ON h.query_id = v.vec_id AND h.score >= 0.3 WHERE v.vec_id % 50 = 0 GROUP BY 1)
+SELECT v.vec_id AS query_id, count(h.id) AS hits, max(h.score) AS top_raw FROM embeddings v LEFT JOIN hits h ON h.query_id = v.vec_id AND h.score >= 0.3 WHERE v.vec_id % 20 = 0 GROUP BY 1)
 """
 
 
@@ -488,15 +488,15 @@ def daily_counts(spark, sf):
     return jobs.daily_counts(events(spark, sf))
 
 
-@query("q1_answer_keys", """, a AS (SELECT item_id AS query_id, string_split(text, ' ')[1:3] AS terms FROM benchmark)
-SELECT query_id, bool_or(len(list_filter(terms, lambda t: contains(lower(text), lower(t)))) = len(terms)) AS answered FROM a, (SELECT text FROM knowledge WHERE seq % 20 = 0) k GROUP BY 1""")
+@query("q1_answer_keys", _LEXICAL + """, a AS (SELECT item_id AS query_id, string_split(text, ' ')[1:3] AS terms FROM benchmark)
+SELECT a.query_id, coalesce(bool_or(len(list_filter(terms, lambda t: contains(lower(k.text), lower(t)))) = len(terms)), false) AS answered
+FROM a LEFT JOIN lexical USING (query_id) LEFT JOIN knowledge k ON k.id = lexical.id GROUP BY 1""")
 def answer_keys(spark, sf):
-    """The answer terms of each item against every twentieth document."""
+    """Whether a lexical hit of the item's query holds every answer term."""
     a = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(F.split("text", " "), 1, 3).alias("terms"))
-    body = knowledge(spark, sf).filter("seq % 20 = 0").select(F.lower("text").alias("body"))
-    # the answer table is the stated query set; it is broadcast when small and dealt in blocks otherwise
-    hits = body.join(a, F.forall("terms", lambda t: F.contains(F.col("body"), F.lower(t))), "inner").groupBy("query_id").agg(F.lit(True).alias("hit"))
-    return a.select("query_id").join(hits, "query_id", "left").select("query_id", F.coalesce("hit", F.lit(False)).alias("answered"))
+    hits = rt.lexical(text_queries(spark, sf), live_knowledge(spark, sf)).join(live_knowledge(spark, sf).select("id", F.lower("text").alias("body")), "id")
+    holds = F.forall("terms", lambda t: F.contains(F.col("body"), F.lower(t)))
+    return a.join(hits, "query_id", "left").groupBy("query_id").agg(F.coalesce(F.bool_or(holds), F.lit(False)).alias("answered"))
 
 
 @query("q2_response_cost")
