@@ -19,10 +19,14 @@ import numpy as np
 MEMO = 700_000
 #: Texts are worked off in groups of about this many characters.
 GROUP_CHARS = 2_000_000
-#: A word with at most one space before it, or white space that no word takes.
-_BYTE_CHUNKS = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+")
+#: Letters before white space, ASCII punctuation (no apostrophe, which may begin a contraction) or the end:
+#: the tokenizers' patterns end a piece there too. Few of these are new, as they come without punctuation.
+_LETTERS = r"[A-Za-zß-öø-ÿ]++(?=[\s!-&(-/:-@\[-`{-~]|\Z)"
+#: Letters or a word with at most one space before it, or white space that no word takes.
+_BYTE_CHUNKS = re.compile(rf" ?{_LETTERS}| ?\S+|\s+(?!\S)|\s+")
+_WORD_CHUNKS = re.compile(rf"{_LETTERS}|\S+")
 #: Python counts these as white space and the tokenizers' patterns do not.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+_ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
 class ChunkEncoder:
@@ -33,10 +37,10 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks = _BYTE_CHUNKS.findall if keep_space else str.split
+        self.chunks = (_BYTE_CHUNKS if keep_space else _WORD_CHUNKS).findall
         self.memo: dict[str, bytes] = {}
-        specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
+        #: A text with one of these is encoded whole.
+        self.odd = [*_ODD_SPACE, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
 
     def many(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text in order, as little-endian unsigned 32-bit integers."""
@@ -50,20 +54,25 @@ class ChunkEncoder:
             at = end
 
     def _group(self, texts: list[str]) -> Iterator[np.ndarray]:
-        odd = [bool(_ODD_SPACE.search(t) or (self.special and self.special.search(t))) for t in texts]
+        odd = [any(o in t for o in self.odd) for t in texts]
         cut = [[] if o else self.chunks(t) for t, o in zip(texts, odd, strict=True)]
-        every = set(chain.from_iterable(cut))
-        unknown = list(every - self.memo.keys())
+        flat = list(chain.from_iterable(cut))
+        found = list(map(self.memo.get, flat))
+        missing = [i for i, f in enumerate(found) if f is None]
+        unknown = list({flat[i] for i in missing})
         if len(self.memo) + len(unknown) > MEMO:
             self.memo.clear()
-            unknown = list(every)
         for c, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
             self.memo[c] = array("I", e.ids).tobytes()
+        for i in missing:
+            found[i] = self.memo[flat[i]]
+        at = 0
         for text, whole, parts in zip(texts, odd, cut, strict=True):
             if whole:
                 yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
             else:
-                yield np.frombuffer(b"".join(map(self.memo.__getitem__, parts)), dtype="<u4")
+                yield np.frombuffer(b"".join(found[at : at + len(parts)]), dtype="<u4")
+            at += len(parts)
 
 
 _ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
