@@ -38,18 +38,22 @@ BLOCKS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("bl
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, offsets) of the ids; each word takes as many ids as fit."""
     n = len(ids)
-    ids = ids.astype(np.uint64)
-    choice = np.full(n, len(SELECTORS) - 1, dtype=np.int64)
+    choice = np.full(n, len(SELECTORS) - 1, dtype=np.uint8)
+    fits = np.arange(n, dtype=np.int32)  # what fits a selector fits the next ones too, so the rest need not be asked again
     for s in range(len(SELECTORS) - 2, -1, -1):
         count, bits = SELECTORS[s]
-        wide = np.concatenate(([0], np.cumsum(ids >> np.uint64(bits) != 0)))
-        ends = np.minimum(np.arange(n) + count, n)
-        choice[wide[ends] == wide[:-1]] = s
-    follow = (np.arange(n) + COUNTS[choice]).tolist()
+        wide = np.zeros(n + 1, dtype=np.int32)
+        np.cumsum(ids >> ids.dtype.type(bits) != 0 if bits < 8 * ids.itemsize else np.zeros(n, bool), out=wide[1:])
+        fits = fits[wide[np.minimum(fits + count, n)] == wide[fits]]
+        if not len(fits):
+            break
+        choice[fits] = s
+    ids = ids.astype(np.uint64)
+    steps = COUNTS.astype(np.uint8)[choice].tobytes()
     starts, at = [], 0
     while at < n:
         starts.append(at)
-        at = follow[at]
+        at += steps[at]
     starts = np.array(starts, dtype=np.int64)
     chosen = choice[starts]
     words = chosen.astype(np.uint64) << np.uint64(60)
@@ -58,9 +62,11 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         count, bits = SELECTORS[s]
         if bits:
             mine = np.flatnonzero(chosen == s)
-            values = padded[starts[mine][:, None] + np.arange(count)]
+            first, packed = starts[mine], np.zeros(len(mine), dtype=np.uint64)
             # places past the end are padding; places past a word's own ids don't exist
-            words[mine] |= np.bitwise_or.reduce(values << (np.arange(count, dtype=np.uint64) * np.uint64(bits)), axis=1)
+            for j in range(count):
+                packed |= padded[first + j] << np.uint64(j * bits)
+            words[mine] |= packed
     return words, starts[::OFFSET_WORDS].astype("<u4")
 
 

@@ -39,9 +39,27 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.chunks = (_BYTE_CHUNKS if keep_space else _WORD_CHUNKS).findall
         self.memo: dict[str, bytes] = {}
+        self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("Aß À") == "aß à"
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        #: Whether an id ends a word, where the vocabulary says so.
+        self.last = None
+        if suffix:
+            vocabulary = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         #: A text with one of these is encoded whole.
         self.odd = [*_ODD_SPACE, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
 
+    def folded(self, text: str) -> str:
+        """The text in lower case where the tokenizer would see no difference: it lower-cases, and all is Latin-1."""
+        if not self.lowers:
+            return text
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text.lower()
+
     def many(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text in order, as little-endian unsigned 32-bit integers."""
         at = 0
@@ -53,17 +71,33 @@ class ChunkEncoder:
             yield from self._group(texts[at:end])
             at = end
 
+    def _learn(self, unknown: list[str]) -> None:
+        """Put the chunks' ids into the memo; words of letters are encoded many at a time and cut where a word ends."""
+        rest = unknown
+        if self.last is not None:
+            words, rest = [c for c in unknown if c.isalpha()], [c for c in unknown if not c.isalpha()]
+            lines = [" ".join(words[i : i + 256]) for i in range(0, len(words), 256)]
+            for i, e in enumerate(self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+                own, ids = words[256 * i : 256 * (i + 1)], np.array(e.ids, dtype="<u4")
+                ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+                if len(ends) != len(own):
+                    rest += own
+                    continue
+                raw = ids.tobytes()
+                self.memo.update(zip(own, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=False))
+        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.memo[c] = array("I", e.ids).tobytes()
+
     def _group(self, texts: list[str]) -> Iterator[np.ndarray]:
         odd = [any(o in t for o in self.odd) for t in texts]
-        cut = [[] if o else self.chunks(t) for t, o in zip(texts, odd, strict=True)]
+        cut = [[] if o else self.chunks(self.folded(t)) for t, o in zip(texts, odd, strict=True)]
         flat = list(chain.from_iterable(cut))
         found = list(map(self.memo.get, flat))
         missing = [i for i, f in enumerate(found) if f is None]
         unknown = list({flat[i] for i in missing})
         if len(self.memo) + len(unknown) > MEMO:
             self.memo.clear()
-        for c, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-            self.memo[c] = array("I", e.ids).tobytes()
+        self._learn(unknown)
         for i in missing:
             found[i] = self.memo[flat[i]]
         at = 0
