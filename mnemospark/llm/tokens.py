@@ -15,10 +15,10 @@ from itertools import chain
 
 import numpy as np
 
-#: Distinct chunks remembered by a Python worker (about 150 MB); the memo starts over when full.
-MEMO = 700_000
+#: Distinct chunks remembered by a Python worker (about 70 MB); the memo starts over when full.
+MEMO = 350_000
 #: Texts are worked off in groups of about this many characters.
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 1_000_000
 #: Letters before white space, ASCII punctuation (no apostrophe, which may begin a contraction) or the end:
 #: the tokenizers' patterns end a piece there too. Few of these are new, as they come without punctuation.
 _LETTERS = r"[A-Za-zß-öø-ÿ]++(?=[\s!-&(-/:-@\[-`{-~]|\Z)"
