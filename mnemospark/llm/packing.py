@@ -26,6 +26,8 @@ from .common import stage
 from .tokens import encoder
 
 CAPACITY = 2048
+#: Chunks a worker remembers (about 150 MB): no shuffle runs beside the encoding.
+MEMO = 700_000
 #: Pieces of one length and salt are numbered by one task.
 PER_SALT = 100_000
 LEAST_SALTS = 128
@@ -35,7 +37,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     """(id_col, piece, start, length, ids_crc32) of every document's pieces."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, True)
+        encode = encoder(vocabulary, True, MEMO)
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for k, own in enumerate(encode.many([t or "" for t in batch.column(1).to_pylist()])):

@@ -15,7 +15,7 @@ from itertools import chain
 
 import numpy as np
 
-#: Distinct chunks remembered by a Python worker (about 70 MB); the memo starts over when full.
+#: Distinct chunks remembered by a Python worker (about 70 MB) unless the caller allows more; the memo starts over when full.
 MEMO = 350_000
 #: Texts are worked off in groups of about this many characters.
 GROUP_CHARS = 1_000_000
@@ -32,7 +32,8 @@ _ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 class ChunkEncoder:
     """``many(texts)`` equals ``Tokenizer.encode(text, add_special_tokens=False).ids`` of each text."""
 
-    def __init__(self, path: str, keep_space: bool):
+    def __init__(self, path: str, keep_space: bool, memo: int = MEMO):
+        self.most = memo
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
         from tokenizers import Tokenizer
 
@@ -95,7 +96,7 @@ class ChunkEncoder:
         found = list(map(self.memo.get, flat))
         missing = [i for i, f in enumerate(found) if f is None]
         unknown = list({flat[i] for i in missing})
-        if len(self.memo) + len(unknown) > MEMO:
+        if len(self.memo) + len(unknown) > self.most:
             self.memo.clear()
         self._learn(unknown)
         for i in missing:
@@ -109,11 +110,11 @@ class ChunkEncoder:
             at += len(parts)
 
 
-_ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
+_ENCODERS: dict[tuple[str, bool, int], ChunkEncoder] = {}
 
 
-def encoder(path: str, keep_space: bool) -> ChunkEncoder:
+def encoder(path: str, keep_space: bool, memo: int = MEMO) -> ChunkEncoder:
     """The worker's encoder for a vocabulary file, loaded once."""
-    if (path, keep_space) not in _ENCODERS:
-        _ENCODERS[path, keep_space] = ChunkEncoder(path, keep_space)
-    return _ENCODERS[path, keep_space]
+    if (path, keep_space, memo) not in _ENCODERS:
+        _ENCODERS[path, keep_space, memo] = ChunkEncoder(path, keep_space, memo)
+    return _ENCODERS[path, keep_space, memo]
