@@ -32,10 +32,11 @@ from .common import let
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 # A match can start only where a run of its characters starts or the last match ended; saying so
-# finds the same matches and keeps long runs without @ linear.
-EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+# finds the same matches and keeps long runs without @ linear. Repeated groups are possessive: nothing
+# follows them, and Java matches other repeated groups by recursion, which ends the JVM on long runs.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++"
 IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
-CARD = r"[0-9]([\x20-]?[0-9])+"
+CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTET = r"0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 #: Tokens of 16 or more key characters, identity numbers, and bank accounts.

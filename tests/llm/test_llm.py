@@ -236,6 +236,15 @@ def test_pii_base_spans(spark):
         assert brute_base(r.clean) == "" or "[" in r.clean
 
 
+def test_pii_long_runs(spark):
+    card = "4539 1488 0343 6467"
+    texts = ["12 " * 20000 + "x " + card, "5-" * 20000 + "5, " + card, "q@a" + ".c" * 20000 + " " + card, "+1 " + "(2) " * 20000 + ", " + card, "1." * 20000 + " " + card]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in pii.find(df, model=pii.fit(df)).select("doc_id", pii.listed(F.col("base_spans")).alias("s"), pii.redacted(F.col("text"), F.col("base_spans")).alias("clean")).collect():
+        assert r.s == brute_base(texts[r.doc_id]) and f"card:{len(texts[r.doc_id]) - 19}:" in r.s
+        assert r.clean.endswith("[CARD]")
+
+
 def test_pii_learns_secrets(spark):
     rng = random.Random(6)
     rows = [(i, f"{prose(rng, 30)} token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\" {prose(rng, 9)}" if i % 3 == 0 else f"{prose(rng, 20)} Donaudampfschifffahrtsgesellschaft, {prose(rng, 5)}") for i in range(60)]
