@@ -329,6 +329,38 @@ def test_lm_losses_match_brute_force(spark):
     assert got[3].score is None
 
 
+@pytest.mark.parametrize("hot", [4, 1 << 16])
+def test_lm_word_scores_match_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(lmscore, "HOT", hot)
+    rng = random.Random(12)
+    texts = [prose(rng, rng.randrange(1, 60), 30) for _ in range(80)] + ["The the  THE\tword"] * 3 + [None, "", " \n", "alone"]
+    rows = [(None if i == 7 else i // 2, t, i % 3 == 0) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, is_target boolean").repartition(3)
+    words = [(t or "").lower().split() for t in texts]
+    pairs = [list(zip([None, *w], w)) for w in words]  # noqa: B905
+    size = len({x for w in words for x in w})
+    scale = sum(len(w) for w, r in zip(words, rows, strict=True) if r[2]) / sum(map(len, words))
+
+    def model(held, by):
+        two = Counter(p for ps in held for p in ps)
+        one, m = Counter(v for v, _ in two.elements()), lmscore.SMOOTHING
+        return lambda ps: float(np.mean([-np.log((two[p] * by + m / size) / (one[p[0]] * by + m)) for p in ps]))
+
+    target, every = model([p for p, r in zip(pairs, rows, strict=True) if r[2]], 1), model(pairs, scale)
+    want = [(r[0], len(p), round(target(p), 6) if p else None, round(every(p), 6) if p else None) for r, p in zip(rows, pairs, strict=True)]
+    got = lmscore.word_score(df).collect()
+    key = lambda x: tuple((v is None, v or 0) for v in x)
+    got = sorted(((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in got), key=key)
+    for g, w in zip(got, sorted(want, key=key), strict=True):
+        assert g[:2] == w[:2] and g[2:] == (pytest.approx(w[2:], abs=2e-6) if w[2] is not None else (None, None))
+    assert lmscore.word_score(df.limit(0)).count() == 0
+
+
+def test_lm_vocabulary_grows(spark):
+    make = lambda n: spark.createDataFrame([(i, f"word{i} name{i}", True) for i in range(n)], "doc_id bigint, text string, is_target boolean")
+    assert [lmscore.vocabulary(make(n)).filter("kind = 0").count() for n in (100, 1000)] == [200, 2000]
+
+
 def test_chat_masks_and_segments(spark, monkeypatch):
     monkeypatch.setattr(chat, "SEGMENT_ROWS", 4)
     rows = [(1, 0, "system", "Be kind"), (1, 1, "ann", "hi 🙂"), (1, 2, "bob", None), (1, 3, "ann", "bye"), (1, 70, None, "late"), (2, 0, "system", "alone")]
