@@ -5,16 +5,40 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder below ``spark.checkpoint.dir``, which all executors share.
+
+    Where that setting is missing, a temporary folder is made and set, but only for a local master: on a
+    cluster no other machine would see it.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/mnemospark-{uuid.uuid4().hex}/{name}"
+    return f"{root.rstrip('/')}/mnemospark-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back.
+
+    Cuts the lineage: what follows survives lost executors without recomputing ``df``.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.staged_at = path
+    return found
+
+
+def unstage(*staged: DataFrame) -> None:
+    """Delete snapshots that nothing will read again."""
+    for df in staged:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path.getParent(), True)
