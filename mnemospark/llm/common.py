@@ -2,37 +2,61 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import shared_folder, stage, unstage
+
+__all__ = ["SPACE", "ascii_lower", "broadcast_if_small", "let", "prefix_sums", "released", "remembered", "shared_folder", "shingle_hashes", "slices", "stage", "unstage", "unused", "words_of"]
+
 #: Words are maximal runs of characters other than space and U+0009..U+000D.
 SPACE = "[\\x20\\x09-\\x0D]+"
+#: Texts are turned into Python strings in slices of about this many bytes.
+SLICE_BYTES = 1 << 20
 
+_held: dict[str, Any] = {}
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which all executors share.
 
-    Only where that setting is missing (as in tests) a local folder is used and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/mnemospark-{uuid.uuid4().hex}"
+def remembered(key: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task: one thing at a time, so that stages don't add up in reused workers."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; at their end Arrow gives its free memory back, since the worker lives on."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
 
-    Cuts the lineage: what follows survives lost executors without recomputing ``df``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of a string or binary column; a longer value is a slice of its own."""
+    texts = batch.column(column)
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    ends = memoryview(texts.buffers()[1]).cast("B").cast("q" if wide else "i")[texts.offset : texts.offset + len(texts) + 1] if len(texts) else [0]
+    at = 0
+    while at < len(texts):
+        stop = at + 1
+        while stop < len(texts) and ends[stop + 1] - ends[at] <= most:
+            stop += 1
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def let(value: Column, body) -> Column:
@@ -44,6 +68,24 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def prefix_sums(numbers: Column, width: int = 128) -> Column:
+    """For each integer of an array the sum of those before it, as bigint.
+
+    ``aggregate`` copies the array it grows, so sums are made in runs of ``width`` and over the runs' totals.
+    """
+    none = F.array().cast("array<bigint>")
+
+    def running(xs: Column) -> Column:
+        start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
+        return F.aggregate(xs, start, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
+
+    def whole(xs: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / width).cast("int")), lambda i: running(F.slice(xs, i * width + 1, F.lit(width))))
+        return let(runs, lambda rs: F.flatten(F.zip_with(rs, running(F.transform(rs, lambda r: r["at"]))["out"], lambda r, before: F.transform(r["out"], lambda x: x + before))))
+
+    return let(F.transform(numbers, lambda x: x.cast("bigint")), lambda xs: F.when(F.size(xs) == 0, none).otherwise(whole(xs)))
+
+
 def words_of(text: Column) -> Column:
     """Words of a text in order; null for a null text."""
     return F.filter(F.split(text, SPACE), lambda w: w != "")

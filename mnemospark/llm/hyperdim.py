@@ -7,7 +7,7 @@ language whose prototype has the largest cosine.
 
 Defined results: null text, empty text and text without a letter give ``und`` and score 0; ties go
 to the language that sorts first; without training rows everything is ``und``. Other columns of the
-input are ignored. What reaches the driver is one vector per distinct training language.
+input are ignored. In texts of more than BLOCK_CHARS code points a space is read at every cut. What reaches the driver is one vector per distinct training language.
 """
 
 from __future__ import annotations
@@ -20,28 +20,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import released, remembered, slices, unused
+
 DIMENSIONS = 1024
 SEED = 20240
 #: Trigram vectors a Python worker remembers (1 KB each); older ones are made again when needed.
 REMEMBERED = 60_000
-#: Documents bundled by one matrix product.
-BLOCK = 64
-
-_letters: np.ndarray | None = None
-
+#: Documents bundled by one matrix product, and code points: a longer text is bundled piece by piece.
+BLOCK, BLOCK_CHARS = 64, 1 << 17
 
-def _letter_table() -> np.ndarray:
-    """For each code point whether it is a letter."""
-    global _letters
-    if _letters is None:
-        _letters = np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
-    return _letters
 
-
-def trigrams(text: str) -> np.ndarray:
+def trigrams(text: str, letters: np.ndarray) -> np.ndarray:
     """Packed trigrams of the lower-cased text, every run of non-letters being one space."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    letter = _letter_table()[codes]
+    letter = letters[codes]
     if not letter.any():
         return np.empty(0, dtype=np.uint64)
     codes = np.where(letter, codes, 32)
@@ -59,7 +51,9 @@ class Space:
         self.dimensions, self.seed = dimensions, seed
         self.letters: dict[int, np.ndarray] = {}
         self.slot: dict[int, int] = {}
-        self.rows = np.empty((1024, dimensions), dtype=np.int8)
+        self.rows = np.empty((REMEMBERED, dimensions), dtype=np.int8)
+        #: For each code point whether it is a letter.
+        self.isalpha = np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
@@ -70,42 +64,63 @@ class Space:
         return self.letters[code]
 
     def vectors(self, grams: np.ndarray) -> np.ndarray:
-        """The grams' vectors as rows of float32."""
-        if len(self.slot) + len(grams) > REMEMBERED and len(grams) <= REMEMBERED:
-            self.slot.clear()
+        """The grams' vectors as rows of float32; at most REMEMBERED grams at once."""
         listed = grams.tolist()
-        new = [g for g in listed if g not in self.slot]
-        if len(self.slot) + len(new) > len(self.rows):
-            more = max(2 * len(self.rows), len(self.slot) + len(new))
-            self.rows = np.concatenate([self.rows, np.empty((more - len(self.rows), self.dimensions), np.int8)])
-        for g in new:
-            a, b, c = g >> 42, (g >> 21) & 0x1FFFFF, g & 0x1FFFFF
-            self.slot[g] = k = len(self.slot)
-            self.rows[k] = np.roll(self.letter(a), 2) * np.roll(self.letter(b), 1) * self.letter(c)
+        if len(self.slot) + sum(g not in self.slot for g in listed) > REMEMBERED:
+            self.slot.clear()
+        for g in listed:
+            if g not in self.slot:
+                a, b, c = g >> 42, (g >> 21) & 0x1FFFFF, g & 0x1FFFFF
+                self.slot[g] = k = len(self.slot)
+                self.rows[k] = np.roll(self.letter(a), 2) * np.roll(self.letter(b), 1) * self.letter(c)
         return self.rows[[self.slot[g] for g in listed]].astype(np.float32)
 
 
-_SPACES: dict[tuple[int, int], Space] = {}
-
-
 def _space(dimensions: int, seed: int) -> Space:
-    return _SPACES.setdefault((dimensions, seed), Space(dimensions, seed))
-
-
-def _bundles(texts: list[str | None], space: Space) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, vectors, trigram counts) of blocks of texts."""
-    for at in range(0, len(texts), BLOCK):
-        grams = [trigrams(t) if t else np.empty(0, np.uint64) for t in texts[at : at + BLOCK]]
+    return remembered(f"hyperdim {dimensions} {seed}", lambda: Space(dimensions, seed))
+
+
+def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """Blocks of at most BLOCK texts and about BLOCK_CHARS code points: their rows and texts.
+
+    A longer text comes in pieces, each a block of its own, whose trigrams are
+    counted on their own: a cut is read like a space.
+    """
+    rows, held, size = [], [], 0
+    for i, text in enumerate(texts):
+        for at in range(0, max(len(text or ""), 1), BLOCK_CHARS):
+            piece = (text or "")[at : at + BLOCK_CHARS]
+            if held and (len(held) == BLOCK or size + len(piece) > BLOCK_CHARS):
+                yield rows, held
+                rows, held, size = [], [], 0
+            rows.append(i), held.append(piece)
+            size += len(piece)
+    if held:
+        yield rows, held
+
+
+def _bundles(texts: list[str | None], space: Space) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(row, vector, trigram count) of each text in order."""
+    last, vector, count = 0, np.zeros(space.dimensions, np.float32), 0
+    for rows, held in _pieces(texts):
+        grams = [trigrams(t, space.isalpha) if t else np.empty(0, np.uint64) for t in held]
         sizes = np.array([len(g) for g in grams])
         every, column = np.unique(np.concatenate(grams), return_inverse=True)
         out = np.zeros((len(grams), space.dimensions), dtype=np.float32)
         row = np.repeat(np.arange(len(grams)), sizes)
-        for lo in range(0, len(every), 16_384):  # bounds memory for texts of many scripts
-            hi = min(lo + 16_384, len(every))
+        for lo in range(0, len(every), 8192):  # bounds memory for texts of many scripts
+            hi = min(lo + 8192, len(every))
             mine = (column >= lo) & (column < hi)
             cells = np.bincount(row[mine] * (hi - lo) + column[mine] - lo, minlength=len(grams) * (hi - lo))
             out += cells.reshape(len(grams), hi - lo).astype(np.float32) @ space.vectors(every[lo:hi])
-        yield at, out, sizes
+        for i, v, n in zip(rows, out, sizes.tolist(), strict=True):
+            if i != last:
+                yield last, vector, count
+                last, vector, count = i, v, n
+            else:
+                vector, count = vector + v, count + n
+    if texts:
+        yield last, vector, count
 
 
 def prototypes(train: DataFrame, text: str, lang: str, dimensions: int = DIMENSIONS, seed: int = SEED) -> dict[str, np.ndarray]:
@@ -113,13 +128,12 @@ def prototypes(train: DataFrame, text: str, lang: str, dimensions: int = DIMENSI
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, sums = _space(dimensions, seed), {}
-        for batch in batches:
-            langs = batch.column("lang").to_pylist()
-            for at, vectors, sizes in _bundles(batch.column("text").to_pylist(), space):
-                unit = vectors / np.maximum(sizes, 1)[:, None]
-                for k in range(len(sizes)):
-                    if sizes[k]:
-                        sums[langs[at + k]] = sums.get(langs[at + k], 0) + unit[k].astype(np.float64)
+        for batch in released(batches):
+            for part in slices(batch, 0):
+                langs = part.column(1).to_pylist()
+                for i, vector, n in _bundles(part.column(0).to_pylist(), space):
+                    if n:
+                        sums[langs[i]] = sums.get(langs[i], 0) + (vector / n).astype(np.float64)
         yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "v": pa.array([s.tolist() for s in sums.values()], pa.list_(pa.float64()))})
 
     parts = train.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).mapInArrow(bundle, "lang string, v array<double>")
@@ -137,21 +151,21 @@ def identify(docs: DataFrame, protos: dict[str, np.ndarray], text: str = "text",
     """``keep`` columns (by default all) plus the predicted language and the cosine cut to 0..1; input columns of these two names give way."""
     names = list(protos)
     matrix = np.stack([protos[n] for n in names], axis=1) if names else np.zeros((dimensions, 0), np.float32)
-    chosen = docs.select(*(keep if keep is not None else [F.col(f"`{c}`") for c in docs.columns if c not in (pred_col, score_col)]), F.col(text).alias("__text"))
+    (body,) = unused(docs, "__text")
+    chosen = docs.select(*(keep if keep is not None else [F.col(f"`{c}`") for c in docs.columns if c not in (pred_col, score_col)]), F.col(text).alias(body))
     schema = T.StructType([*chosen.schema.fields[:-1], T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = _space(dimensions, seed)
-        for batch in batches:
-            best, score = ["und"] * batch.num_rows, [0.0] * batch.num_rows
-            for at, vectors, sizes in _bundles(batch.column(batch.num_columns - 1).to_pylist(), space):
-                if not names:
-                    continue
-                cosines = (vectors @ matrix) / np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]
-                top = cosines.argmax(axis=1)
-                for k in np.flatnonzero(sizes):
-                    best[at + k], score[at + k] = names[top[k]], float(min(1.0, max(0.0, cosines[k, top[k]])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(best, pa.string()), pa.array(score, pa.float64())], names=schema.names)
+        for batch in released(batches):
+            for part in slices(batch, batch.num_columns - 1):
+                best, score = ["und"] * part.num_rows, [0.0] * part.num_rows
+                for i, vector, n in _bundles(part.column(part.num_columns - 1).to_pylist(), space) if names else ():
+                    if n:
+                        cosines = (vector @ matrix) / max(float(np.linalg.norm(vector)), 1e-9)
+                        top = int(cosines.argmax())
+                        best[i], score[i] = names[top], float(min(1.0, max(0.0, cosines[top])))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(best, pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
     return chosen.mapInArrow(predict, schema)
 

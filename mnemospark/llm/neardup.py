@@ -15,8 +15,9 @@ confirmed one by one; larger ones are compared in blocks of bounded size. Nothin
 
 Defined results: texts without words (null, empty, blank) have an empty set, are linked with
 nothing and are their own component. Equal texts share one set and one component. Rows with a null
-id take no part: component null, kept true. Rows that share an id count as one document: it is linked with
-what any of their texts is linked with, and they get one component. Other columns are ignored. Words are hashed to 64 bits; sets are compared by these hashes.
+id take no part: component null, kept true. Rows that share an id count as one document in links: it is
+linked with what any of its texts is linked with; a row's component is that of its own text. Other columns
+are ignored. Words are hashed to 64 bits; sets are compared by these hashes.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stage
+from .common import broadcast_if_small, released, remembered, slices, stage, unstage
 
 CHUNKS, CHUNK, ERRORS = 6, 4, 1
 #: Round two asks for this many equal places of the 24 (a pair at 0.8 fails with probability 2e-5).
@@ -38,13 +39,14 @@ LEAST_EQUAL = 10
 THRESHOLD = (80, 100)
 #: Keys with more sets are compared in blocks of about this many sets and hashes.
 SMALL, BLOCK_MEMBERS, BLOCK_HASHES = 16, 512, 1 << 20
+#: A set with more copies is joined to its rows by broadcast.
+HOT_COPIES = 100_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _seeds = np.random.Generator(np.random.PCG64(4242)).integers(0, 2**63, (2, CHUNKS * CHUNK), dtype=np.uint64)
 _MULTIPLY, _ADD = (_seeds[0] << np.uint64(1)) | np.uint64(1), _seeds[1]
-_powers = np.ones((2, 1), dtype=np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -55,12 +57,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _power_table(n: int) -> np.ndarray:
     """Powers of the base and of its inverse modulo 2^64, at least n of each."""
-    global _powers
-    if _powers.shape[1] < n:
-        steps = np.array([[_BASE], [_INVERSE]], dtype=np.uint64) * np.ones((1, max(n, 1 << 16)), dtype=np.uint64)
+
+    def made(size: int) -> np.ndarray:
+        steps = np.array([[_BASE], [_INVERSE]], dtype=np.uint64) * np.ones((1, size), dtype=np.uint64)
         steps[:, 0] = 1
-        _powers = np.multiply.accumulate(steps, axis=1)
-    return _powers
+        return np.multiply.accumulate(steps, axis=1)
+
+    kept = remembered("neardup powers", lambda: made(1 << 16))
+    return kept if n <= kept.shape[1] else made(n)
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -97,7 +101,7 @@ def _signed(docs: DataFrame, k: int) -> DataFrame:
     import hashlib
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for batch in released(batches) for part in slices(batch, 1)):
             n, keys, sigs, memo = [], [], [], {}
             for text in batch.column("text").to_pylist():
                 if text not in memo:
@@ -128,7 +132,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """id and its full set (bytes) for the ids of ``ids``; one row for each distinct set of an id."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for batch in released(batches) for part in slices(batch, 1)):
             made = [shingle_set(t, k) for t in batch.column("text").to_pylist()]
             sums = np.array([_mix(s).sum(dtype=np.uint64) for s in made], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sums), pa.array([s.tobytes() for s in made], pa.binary())], names=["id", "h", "s"])
@@ -155,7 +159,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, threshold: tuple[int,
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = stage(_sets(docs, ends, k), "sets")
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(check, "a bigint, b bigint").distinct()
+    found = stage(joined.select("a", "b", "sa", "sb").mapInArrow(check, "a bigint, b bigint").distinct(), "links")
+    unstage(pairs, sets)
+    return found
 
 
 def _confirmed_in_blocks(members: DataFrame, docs: DataFrame, k: int, threshold: tuple[int, int]) -> DataFrame:
@@ -203,7 +209,9 @@ def _confirmed_in_blocks(members: DataFrame, docs: DataFrame, k: int, threshold:
     sets = stage(_sets(docs, ids, k).withColumnRenamed("id", "rid"), "sets")
     # a pair of blocks whose members are all in one component is left out
     mixed = dealt.groupBy("key", "i", "j").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 < c2").select("key", "i", "j")
-    return dealt.join(mixed, ["key", "i", "j"]).join(sets, "rid").groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+    found = stage(dealt.join(mixed, ["key", "i", "j"]).join(sets, "rid").groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct(), "links")
+    unstage(sets)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -221,7 +229,8 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v")
         small = small.select("v", F.col("m").alias("u")).union(small.filter("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))).distinct()
-        edges = stage(small, "edges")
+        before, edges = edges, stage(small, "edges")
+        unstage(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.groupBy("v").agg(F.min("u").alias("comp")).select(F.col("v").alias("id"), "comp").union(edges.select(F.col("u").alias("id"), F.col("u").alias("comp")).distinct())
@@ -233,13 +242,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     signed = stage(_signed(docs, k), "signed")
     named = docs.filter("id is not null")
-    reps = stage(signed.filter("n > 0 and id is not null").groupBy("set_hi", "set_lo").agg(F.min("id").alias("rid"), F.first("n").alias("n"), F.first("sig").alias("sig")), "reps")
+    reps = stage(signed.filter("n > 0 and id is not null").groupBy("set_hi", "set_lo").agg(F.min("id").alias("rid"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies")), "reps")
     keys = stage(reps.select("rid", F.explode(_index_keys()).alias("key")), "keys")
     hubs = keys.groupBy("key").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).filter("low < high")
     stars = keys.join(hubs, "key").groupBy("rid").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     stars = stars.select("rid", F.explode(F.array("low", "high")).alias("hub")).filter("rid <> hub")
     pairs = stars.select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b")).distinct()
-    first = stage(_confirmed(pairs, named, k, threshold), "links")
+    first = _confirmed(pairs, named, k, threshold)
     comp = stage(components(first), "components")
 
     part, whole = threshold
@@ -254,14 +263,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     equal = reduce(lambda p, q: p + q, [(F.get("sig_a", F.lit(i)) == F.get("sig_b", F.lit(i))).cast("int") for i in range(CHUNKS * CHUNK)])
     near = x.join(y, (x["key"] == y["key"]) & (F.col("comp_a") < F.col("comp_b")) & (F.least("n_a", "n_b") * whole >= F.greatest("n_a", "n_b") * part) & (equal >= LEAST_EQUAL))
     pairs = near.select(F.least("rid_a", "rid_b").alias("a"), F.greatest("rid_a", "rid_b").alias("b")).distinct()
-    second = stage(_confirmed(pairs, named, k, threshold).union(_confirmed_in_blocks(members.filter("ways > 0"), named, k, threshold)), "links")
-    if not second.isEmpty():
-        comp = stage(components(first.union(second)), "components")
-
-    homes = reps.join(comp.withColumnRenamed("id", "rid"), "rid", "left").select("set_hi", "set_lo", F.coalesce("comp", "rid").alias("comp"))
-    out = signed.join(homes, ["set_hi", "set_lo"], "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    one_by_one, in_blocks = _confirmed(pairs, named, k, threshold), _confirmed_in_blocks(members.filter("ways > 0"), named, k, threshold)
+    if not (one_by_one.isEmpty() and in_blocks.isEmpty()):
+        comp = stage(components(first.union(one_by_one).union(in_blocks)), "components")
+    homes = stage(reps.join(comp.withColumnRenamed("id", "rid"), "rid", "left").select("set_hi", "set_lo", F.coalesce("comp", "rid").alias("comp"), "copies"), "homes")
+    unstage(reps, keys, placed, members, first, one_by_one, in_blocks)
+
+    # rows of a set with very many copies find it by broadcast (there are few such sets), the others by a shuffled join
+    hot = broadcast_if_small(homes.filter(F.col("copies") > HOT_COPIES).select("set_hi", "set_lo", F.col("comp").alias("hot")), 32)
+    worded = (F.col("n") > 0) & F.col("id").isNotNull()
+    rows = signed.filter(worded).select("id", "n", "set_hi", "set_lo").join(hot, ["set_hi", "set_lo"], "left")
+    cold = rows.filter("hot is null").join(homes.filter(F.col("copies") <= HOT_COPIES), ["set_hi", "set_lo"], "left").select("id", "n", "comp")
+    alone = signed.filter(~worded | F.col("id").isNull()).select("id", "n", F.col("id").alias("comp"))
+    out = cold.union(rows.filter("hot is not null").select("id", "n", "hot")).union(alone)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.coalesce(F.col("comp") == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import released, slices, stage, unused
 from .tokens import encoder
 
 CAPACITY = 2048
-#: Chunks a worker remembers (about 150 MB): no shuffle runs beside the encoding.
-MEMO = 700_000
+#: Bytes of chunks a worker remembers: no shuffle runs beside the encoding.
+MEMO = 144 << 20
 #: Pieces of one length and salt are numbered by one task.
 PER_SALT = 100_000
 LEAST_SALTS = 128
@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary, True, MEMO)
-        for batch in batches:
+        for batch in (part for batch in released(batches) for part in slices(batch, 1)):
             row, piece, start, length, crc = [], [], [], [], []
             for k, own in enumerate(encode.many([t or "" for t in batch.column(1).to_pylist()])):
                 ids = np.append(own, np.uint32(end_id)).astype("<u4")

@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, prefix_sums, unused
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 # A match can start only where a run of its characters starts or the last match ended; saying so
@@ -53,13 +53,9 @@ def spans(text: Column, pattern: str, order: int, keep=None) -> Column:
     """Array of (start, kind, end, piece) of the pattern's matches that pass ``keep``."""
 
     def place(pieces: Column, gaps: Column) -> Column:
-        lengths = F.transform(pieces, lambda p: F.length(p))
-        starts = F.aggregate(
-            F.sequence(F.lit(1), F.size(pieces)),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-            lambda a, i: let(a["at"] + F.length(F.get(gaps, i - 1)), lambda s: F.struct((s + F.get(lengths, i - 1)).alias("at"), F.concat(a["out"], F.array(s)).alias("out"))),
-        )["out"]
-        made = F.zip_with(starts, pieces, lambda s, p: F.struct(s.alias("start"), F.lit(order).alias("kind"), (s + F.length(p)).alias("end"), p.alias("piece")))
+        before = prefix_sums(F.zip_with(F.slice(gaps, 1, F.size(pieces)), pieces, lambda g, p: F.length(g) + F.length(p)))
+        made = F.zip_with(F.zip_with(before, gaps, lambda b, g: (b + F.length(g)).cast("int")), pieces, lambda s, p: F.struct(s.alias("start"), F.lit(order).alias("kind"), (s + F.length(p)).alias("end"), p.alias("piece")))
+        made = F.slice(made, 1, F.size(pieces))
         return F.filter(made, lambda m: keep(m["piece"])) if keep else made
 
     none = F.array().cast("array<struct<start:int,kind:int,end:int,piece:string>>")
@@ -140,6 +136,7 @@ def features(c: Column) -> dict[str, Column]:
 def _expectation_maximisation(patterns: dict[tuple[int, ...], int]) -> dict[tuple[int, ...], float]:
     """Posterior of each vote pattern under conditionally independent labelers."""
     width = len(LABELERS)
+    patterns = dict(sorted(patterns.items()))  # sums must not depend on the order in which tasks end
     post = {p: 1 / (1 + math.exp(-1.5 * sum(p))) for p in patterns}  # start: the sum of the votes
     for _ in range(ROUNDS):
         total = [sum(patterns.values()) + 2.0] * 2
@@ -164,7 +161,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> dict | None:
     v, f = votes(F.col("c")), features(F.col("c"))
     flat = each.select(*[v[x].alias(x) for x in LABELERS], *[f[x].alias(f"f_{x}") for x in FEATURES])
     seen = flat.select(*LABELERS, F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"f_{x}").alias("x")) for i, x in enumerate(FEATURES)])).alias("fx"))
-    counts = seen.groupBy(*LABELERS, "fx.f", "fx.x").agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = sorted(seen.groupBy(*LABELERS, "fx.f", "fx.x").agg(F.count(F.lit(1)).alias("n")).collect())
     patterns: dict[tuple[int, ...], int] = {}
     for r in counts:
         if r["f"] == 0:
@@ -199,8 +196,8 @@ def _accepted(c: Column, model: dict) -> Column:
     return score > 0
 
 
-def find(docs: DataFrame, text_col: str = "text", model: dict | None = None, prefix: str = "") -> DataFrame:
-    """``docs`` with columns base_spans and all_spans (names prefixed): arrays of (start, kind, end), kind indexing KINDS.
+def find(docs: DataFrame, text_col: str = "text", model: dict | None = None, base_col: str = "base_spans", all_col: str = "all_spans") -> DataFrame:
+    """``docs`` with the columns base_col and all_col: arrays of (start, kind, end), kind indexing KINDS.
 
     Input columns of these names give way.
     """
@@ -218,7 +215,8 @@ def find(docs: DataFrame, text_col: str = "text", model: dict | None = None, pre
 
         return let(base_spans(t), add)
 
-    return docs.withColumn("__pii", let(text, both)).withColumns({f"{prefix}base_spans": F.col("__pii.base"), f"{prefix}all_spans": F.col("__pii.every")}).drop("__pii")
+    (both_col,) = unused(docs, "__pii")
+    return docs.withColumn(both_col, let(text, both)).withColumns({base_col: F.col(f"{both_col}.base"), all_col: F.col(f"{both_col}.every")}).drop(both_col)
 
 
 def listed(array: Column) -> Column:

@@ -15,8 +15,12 @@ from itertools import chain
 
 import numpy as np
 
-#: Distinct chunks remembered by a Python worker (about 70 MB) unless the caller allows more; the memo starts over when full.
-MEMO = 350_000
+from .common import remembered
+
+#: Bytes of chunks and ids that a Python worker remembers unless the caller allows more; the memo starts over when full.
+MEMO = 72 << 20
+#: Bytes that a remembered chunk takes besides its characters and ids.
+ENTRY = 200
 #: Texts are worked off in groups of about this many characters.
 GROUP_CHARS = 1_000_000
 #: Letters before white space, ASCII punctuation (no apostrophe, which may begin a contraction) or the end:
@@ -40,6 +44,7 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.chunks = (_BYTE_CHUNKS if keep_space else _WORD_CHUNKS).findall
         self.memo: dict[str, bytes] = {}
+        self.held = 0
         self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("Aß À") == "aß à"
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         #: Whether an id ends a word, where the vocabulary says so.
@@ -96,8 +101,11 @@ class ChunkEncoder:
         found = list(map(self.memo.get, flat))
         missing = [i for i, f in enumerate(found) if f is None]
         unknown = list({flat[i] for i in missing})
-        if len(self.memo) + len(unknown) > self.most:
+        size = ENTRY * len(unknown) + 2 * sum(map(len, unknown))
+        if self.held + size > self.most:
             self.memo.clear()
+            self.held = 0
+        self.held += size
         self._learn(unknown)
         for i in missing:
             found[i] = self.memo[flat[i]]
@@ -110,11 +118,6 @@ class ChunkEncoder:
             at += len(parts)
 
 
-_ENCODERS: dict[tuple[str, bool, int], ChunkEncoder] = {}
-
-
 def encoder(path: str, keep_space: bool, memo: int = MEMO) -> ChunkEncoder:
     """The worker's encoder for a vocabulary file, loaded once."""
-    if (path, keep_space, memo) not in _ENCODERS:
-        _ENCODERS[path, keep_space, memo] = ChunkEncoder(path, keep_space, memo)
-    return _ENCODERS[path, keep_space, memo]
+    return remembered(f"tokens {path} {keep_space} {memo}", lambda: ChunkEncoder(path, keep_space, memo))
