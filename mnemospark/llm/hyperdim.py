@@ -40,7 +40,7 @@ def trigrams(text: str, letters: np.ndarray) -> np.ndarray:
     keep = letter.copy()
     keep[1:] |= letter[:-1]
     keep[0] = letter[0]
-    codes = np.concatenate(([32], codes[keep], [32])).astype(np.uint64)
+    codes = np.concatenate(([32], codes[keep], [32] if letter[-1] else [])).astype(np.uint64)
     return (codes[:-2] << np.uint64(42)) | (codes[1:-1] << np.uint64(21)) | codes[2:]
 
 
