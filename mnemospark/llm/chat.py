@@ -1,71 +1,97 @@
 """Chat formatting by perspective rotation, in DataFrame functions only.
 
-For every participant of a conversation the dialogue is rendered with that participant as the
+For every participant of a conversation the whole dialogue is rendered with that participant as the
 assistant and the others as named users; the mask marks what the assistant says. System messages
-are context, not a participant, and are never masked. A rendering comes in segments of at most
-``SEGMENT_TURNS`` turns, in order of (first_turn, part); their texts, joined, are the whole dialogue, so a
-conversation of any length never meets in one task.
+are context, not a participant, and are never masked. Messages follow by turn, then role, then text.
+
+A row holds at most about ``part_chars`` characters: message i of a dialogue is in part
+floor(characters before it / part_chars), where every message counts as a user's. So a dialogue shorter than that
+is one row (part 0) for each participant, and the texts of a longer one's parts, joined in order, are the
+whole rendering; no conversation of any length meets in one task. Mask spans count from the start of the row's text.
+
+Text and roles are escaped so that no message can forge a turn: each ``<|`` gets a backslash between its
+two characters, or one more where there are some (taking one away restores the text); in roles ``|>`` likewise.
 
 Defined results: a null text is rendered as empty, a null role is the participant ``unknown``, null
-conversations and turns are groups of their own; rows tied in a turn are ordered by role and text;
-repeated rows are all rendered. A segment in which more than ``SEGMENT_ROWS`` rows share its turns is
-split by turn and by hash. A conversation without participants gives no rows. Other columns are
-ignored.
+conversations and turns are groups of their own and come first; rows tied in turn, role and text are equal, and
+repeated rows are all rendered. A conversation without participants gives no rows, nor does an empty table. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, let
+from .common import broadcast_if_small, let, prefix_sums, stage
 
-SEGMENT_TURNS, SEGMENT_ROWS = 64, 512
+PART_CHARS = 1 << 20
 CONTEXT_ROLE = "system"
+CONTEXT, ASSISTANT, USER, NAMED, END = "<|system|>\n", "<|assistant|>\n", "<|user name=", "|>\n", "<|end|>\n"
+
+
+def escaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+
+
+def escaped_name(role: Column) -> Column:
+    return F.regexp_replace(escaped(role), r"\|(\\*)>", r"|\\$1>")
 
 
-def rendered(speaker: Column, message: Column) -> tuple[Column, Column]:
-    """(text before what is said, text after it) of one message as the speaker sees it."""
-    head = F.when(message["role"] == CONTEXT_ROLE, F.lit("<|system|>\n")).when(message["role"] == speaker, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), message["role"], F.lit("|>\n")))
-    return head, F.lit("<|end|>\n")
+def head(speaker: Column, role: Column) -> Column:
+    """What stands before a message's text as the speaker sees it."""
+    return F.when(role == CONTEXT_ROLE, F.lit(CONTEXT)).when(role == speaker, F.lit(ASSISTANT)).otherwise(F.concat(F.lit(USER), escaped_name(role), F.lit(NAMED)))
 
 
-def perspectives(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv, speaker, first_turn, part, n_messages, n_spoken, text, mask): mask spans count code points of the segment, ends exclusive."""
-    rows = messages.select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.coalesce(role, F.lit("unknown")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
-    rows = rows.withColumn("block", F.floor(F.col("t") / SEGMENT_TURNS)).withColumn("h", F.xxhash64("role", "text"))
-    crowded = rows.groupBy("c", "block").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > SEGMENT_ROWS)
-    crowded = broadcast_if_small(crowded.select(F.col("c").alias("c2"), F.col("block").alias("b2"), F.ceil(F.col("rows") / SEGMENT_ROWS).alias("ways")), 32)
-    rows = rows.join(crowded, F.col("c").eqNullSafe(F.col("c2")) & F.col("block").eqNullSafe(F.col("b2")), "left")
-    rows = rows.withColumn("alone", F.when(F.col("ways").isNotNull(), F.col("t"))).withColumn("part", F.when(F.col("ways").isNotNull(), F.floor((F.shiftrightunsigned("h", 32) * F.col("ways")) / F.lit(2.0**32))).otherwise(F.lit(0)).cast("int"))
-    segments = rows.groupBy("c", "block", "alone", "part").agg(F.sort_array(F.collect_list(F.struct("t", "role", "text"))).alias("m"))
+def _parts(rows: DataFrame, part_chars: int) -> DataFrame:
+    """``rows`` (c, t, role, text, n) with the number of their part.
+
+    Characters before a message are summed in two levels: inside ranges of the sorted rows, however many
+    a conversation or a turn has, and over the ranges' totals.
+    """
+    order = ["t", "role", "text"]
+    ranged = rows.withColumn("salt", F.rand(7)).repartitionByRange("c", *order, "salt").withColumn("range", F.spark_partition_id())
+    ranged = stage(ranged.drop("salt"), "ranges")
+    totals = ranged.groupBy("c", "range").agg(F.sum("n").alias("total"))
+    before = F.coalesce(F.sum("total").over(Window.partitionBy("c").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select(F.col("c").alias("c2"), F.col("range").alias("r2"), before.alias("before"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("c", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranged.withColumn("inside", inside).join(broadcast_if_small(totals, 32), F.col("c").eqNullSafe(F.col("c2")) & (F.col("range") == F.col("r2")))
+    return placed.select("c", *order, F.floor((F.col("before") + F.col("inside")) / part_chars).cast("int").alias("part"))
+
+
+def perspectives(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", part_chars: int = PART_CHARS) -> DataFrame:
+    """(conv, speaker, part, first_turn, n_messages, n_spoken, text, mask): mask spans count code points, ends exclusive."""
+    rows = messages.select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.coalesce(role, F.lit("unknown")).alias("role"), escaped(F.coalesce(text, F.lit(""))).alias("text"))
+    rows = rows.withColumn("n", F.length("text") + F.length(escaped_name(F.col("role"))) + len(USER + NAMED + END))
+    # at most one conversation for every part_chars characters of the input
+    long = broadcast_if_small(rows.groupBy(F.col("c").alias("c2")).agg(F.sum("n").alias("total")).filter(F.col("total") > part_chars).select("c2"), 16)
+    is_long = F.col("c").eqNullSafe(F.col("c2"))
+    short = rows.join(long, is_long, "left_anti").select("c", "t", "role", "text", F.lit(0).alias("part"))
+    placed = short.unionByName(_parts(rows.join(long, is_long, "left_semi"), part_chars))
+    dialogues = placed.groupBy("c", "part").agg(F.sort_array(F.collect_list(F.struct("t", "role", "text"))).alias("m"))
     people = rows.filter(F.col("role") != CONTEXT_ROLE).select(F.col("c").alias("c3"), F.col("role").alias("speaker")).distinct()
-    seen = segments.join(people, F.col("c").eqNullSafe(F.col("c3")))
+    seen = dialogues.join(people, F.col("c").eqNullSafe(F.col("c3")))
 
     def view(m: Column) -> Column:
-        """Text and mask of a segment."""
-        speaker = F.col("speaker")
+        """Text and mask of a dialogue for the row's speaker."""
+        heads = F.transform(m, lambda x: head(F.col("speaker"), x["role"]))
 
-        def step(acc: Column, x: Column) -> Column:
-            head, tail = rendered(speaker, x)
-            start = acc["at"] + F.length(head)
-            end = start + F.length(x["text"])
-            span = F.when(x["role"] == speaker, F.array(F.struct(start.alias("start"), end.alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
-            return F.struct((end + F.length(tail)).alias("at"), F.concat(acc["mask"], span).alias("mask"))
+        def made(hs: Column) -> Column:
+            before = prefix_sums(F.zip_with(hs, m, lambda h, x: F.length(h) + F.length(x["text"]) + len(END)))
+            starts = F.zip_with(before, hs, lambda b, h: b + F.length(h))
+            spans = F.zip_with(starts, m, lambda s, x: F.struct((x["role"] == F.col("speaker")).alias("own"), s.alias("start"), (s + F.length(x["text"])).alias("end")))
+            whole = F.array_join(F.zip_with(hs, m, lambda h, x: F.concat(h, x["text"], F.lit(END))), "")
+            return F.struct(whole.alias("text"), F.filter(spans, lambda s: s["own"]).alias("mask"))
 
-        def whole(x: Column) -> Column:
-            head, tail = rendered(speaker, x)
-            return F.concat(head, x["text"], tail)
-
-        mask = F.aggregate(m, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("mask")), step)["mask"]
-        return F.struct(F.array_join(F.transform(m, whole), "").alias("text"), mask.alias("mask"))
+        return let(heads, made)
 
     out = seen.withColumn("view", let(F.col("m"), view))
     return out.select(
         F.col("c").alias(conv),
         "speaker",
-        F.get("m", F.lit(0))["t"].alias("first_turn"),
         "part",
+        F.get("m", F.lit(0))["t"].alias("first_turn"),
         F.size("m").cast("bigint").alias("n_messages"),
         F.size("view.mask").cast("bigint").alias("n_spoken"),
         F.col("view.text").alias("text"),

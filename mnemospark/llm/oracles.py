@@ -53,21 +53,25 @@ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_i
 FROM (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY 1) LEFT JOIN sizes USING (doc_id)
 """
 
-CHAT = """
-WITH m AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, CAST(floor(turn / 64.0) AS BIGINT) AS block FROM conversations
+CHAT = r"""
+WITH raw AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g') AS text FROM conversations
+), named AS (
+  SELECT *, regexp_replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g') AS name FROM raw
+), m AS (
+  SELECT *, CAST(coalesce(sum(length(text) + length(name) + 23) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 1048576 AS INTEGER) AS part FROM named
 ), people AS (SELECT DISTINCT conv_id, role AS speaker FROM m WHERE role <> 'system'),
 seen AS (
-  SELECT m.*, speaker, CASE WHEN role = 'system' THEN '<|system|>' WHEN role = speaker THEN '<|assistant|>' ELSE '<|user name=' || role || '|>' END || chr(10) AS head
+  SELECT m.*, speaker, CASE WHEN role = 'system' THEN '<|system|>' WHEN role = speaker THEN '<|assistant|>' ELSE '<|user name=' || name || '|>' END || chr(10) AS head
   FROM m JOIN people USING (conv_id)
 ), placed AS (
   SELECT *, row_number() OVER o AS k, coalesce(sum(length(head) + length(text) + 8) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS spot
-  FROM seen WINDOW o AS (PARTITION BY conv_id, block, speaker ORDER BY turn, role, text)
+  FROM seen WINDOW o AS (PARTITION BY conv_id, part, speaker ORDER BY turn, role, text)
 )
-SELECT conv_id, speaker, min(turn) AS first_turn, CAST(0 AS INTEGER) AS part, count(*) AS n_messages, count(*) FILTER (role = speaker) AS n_spoken,
+SELECT conv_id, speaker, part, min(turn) AS first_turn, count(*) AS n_messages, count(*) FILTER (role = speaker) AS n_spoken,
   string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY k) AS text,
   coalesce(string_agg(CAST(CAST(spot AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(spot + length(text) AS BIGINT) AS VARCHAR), ',' ORDER BY k) FILTER (role = speaker), '') AS mask
-FROM placed GROUP BY conv_id, block, speaker
+FROM placed GROUP BY conv_id, part, speaker
 """
 
 ORACLES = {"op2_quality": QUALITY, "op4_near_duplicates": NEAR_DUPLICATES, "op10_chat": CHAT}
