@@ -110,7 +110,11 @@ def shingle_hashes(words: Column, k: int) -> Column:
     return F.when(F.size(words) == 0, none).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), combine))
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int, most_mb: int = 64) -> DataFrame:
-    """``df`` marked for broadcast if its rows, counted first, take at most ``most_mb``; else unchanged."""
+def broadcast_if_small(df: DataFrame, row_bytes: int | Column, most_mb: int = 64) -> DataFrame:
+    """``df`` marked for broadcast if its rows, counted first, take at most ``most_mb``; else unchanged.
+
+    ``row_bytes`` is a row's size where it is fixed, else a column that gives each row's.
+    """
     df = stage(df, "side")
-    return F.broadcast(df) if df.count() * row_bytes <= most_mb << 20 else df
+    size = df.count() * row_bytes if isinstance(row_bytes, int) else df.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(df) if size <= most_mb << 20 else df

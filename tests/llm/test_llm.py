@@ -253,32 +253,47 @@ def test_pii_learns_secrets(spark):
         assert len(r.all_spans) == (1 if r.doc_id % 3 == 0 else 0)
 
 
-def brute_contamination(doc, item, weights, k=5, threshold=0.8):
+def brute_contamination(doc, item, weights, k=5):
+    """(similarity, start) of the best window of the item's size."""
     d, w = doc.lower().split(), item.lower().split()
-    grams = lambda x: {tuple(x[i : i + k]) for i in range(max(1, len(x) - k + 1))} if x else set()
-    own = grams(w)
-    best = 0
-    for s in range(-len(w), len(d) + 1):
-        there = grams(d) if len(d) < k else {tuple(d[i : i + k]) for i in range(max(s, 0), min(s + max(len(w) - k + 1, 1), len(d) - k + 1))}
-        both = own & there
-        best = max(best, sum(weights[g] for g in both) / (sum(weights[g] for g in own) + len(there - own)))
-    return best >= threshold - 1e-9
+    grams = lambda x: [tuple(x[i : i + k]) for i in range(max(1, len(x) - k + 1))] if x else []
+    own, there, span, best = set(grams(w)), grams(d), max(1, len(w) - k + 1), (0.0, 0)
+    for s in range(max(1, len(there) - span + 1)):
+        win = set(there[s : s + span])
+        both = own & win
+        best = max(best, (round(sum(weights[g] for g in both) / (sum(weights[g] for g in own) + len(win - own)), 9), -s))
+    return best
 
 
 def test_decontamination_matches_brute_force(spark):
+    """Substitutions, insertions, deletions and shared light shingles, near the threshold; every match must be found."""
     rng = random.Random(7)
-    items = {i: prose(rng, rng.randrange(15, 60), 2000) for i in range(12)}
+    common = prose(rng, 14, 2000)
+    items = {i: prose(rng, rng.randrange(15, 60), 2000) + (f" {common}" if i < 6 else "") for i in range(14)} | {20: "Tiny one", 21: None, 22: " ", 23: prose(random.Random(99), 8)}
     docs = {}
-    for i in range(60):
-        w = items[i % 12].split()
-        for _ in range(i // 12):
-            w[rng.randrange(len(w))] = "other"
-        docs[i] = " ".join([prose(rng, 50, 2000), *(w if i % 5 else w[: len(w) // 2]), prose(rng, 50, 2000)])
-    holders = Counter(g for t in items.values() for g in {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)})
-    weights = {g: np.log1p(len(items) / f) / np.log1p(len(items)) for g, f in holders.items()}
-    want = {(d, i) for d, t in docs.items() for i, x in items.items() if brute_contamination(t, x, weights)}
-    got = decontam.contaminated(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), spark.createDataFrame(list(items.items()), "item_id bigint, text string"))
-    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and want
+    for i in range(420):
+        w = items[i % 14].split()
+        for _ in range(i // 140):
+            at = rng.randrange(len(w))
+            if i % 3 == 0:
+                w[at] = "other"
+            elif i % 3 == 1:
+                w.insert(at, "added")
+            else:
+                del w[at]
+        docs[i] = " ".join([prose(rng, rng.randrange(60), 2000), *(w if i % 11 else w[: len(w) // 2]), prose(rng, rng.randrange(60), 2000)])
+    docs |= {900: "TINY One", 901: None, 902: "", 903: items[1] + " " + items[2] + " " + items[1], 904: " ".join(items[0].split()[:-1]), 905: common, 906: "a " * 5000}
+    usable = {i: t for i, t in items.items() if t and t.split()}
+    sets = {i: {tuple(t.lower().split()[j : j + 5]) for j in range(max(1, len(t.split()) - 4))} for i, t in usable.items()}
+    holders = Counter(g for s in sets.values() for g in s)
+    weights = {g: np.log1p(len(usable) / f) / np.log1p(len(usable)) for g, f in holders.items()}
+    want = {(d, i): brute_contamination(t, x, weights) for d, t in docs.items() if t for i, x in usable.items()}
+    want = {key: v for key, v in want.items() if v[0] >= 0.8 - 1e-9}
+    frame = lambda rows, names: spark.createDataFrame(list(rows.items()), names).withColumns({"h": F.lit(1), "dk": F.lit("x"), "hits": F.lit(2)})
+    rows = decontam.contaminated(frame(docs, "doc_id bigint, text string"), frame(items, "item_id bigint, text string")).collect()
+    got = {(r.doc_id, r.item_id): (r.similarity, -r.start_word) for r in rows}
+    assert len(rows) == len(got) and set(got) == set(want) and len(want) > 150
+    assert all(got[key] == (pytest.approx(want[key][0], abs=1e-6), want[key][1]) for key in want)
 
 
 def test_language_held_out_accuracy(spark):
