@@ -1,25 +1,28 @@
 """Two-pass external shuffle into shards, in DataFrame functions only.
 
-Pass one scatters: a record's shard is the one of largest seeded hash of (id, shard number), so the
+Pass one scatters the records: a record's shard is the one of largest seeded hash of (id, shard number), so the
 id and the shard count decide, and one more shard takes rows only into itself (law ``key``). Inside
-its shard a seeded hash of the id and its content picks one of as many buckets as keep a bucket near
-``bucket_bytes``. Pass two shuffles each bucket by Fisher-Yates (``shuffle`` on the bucket's
-array, whose order is fixed first by sorting) and numbers the buckets of a shard one after another.
+its shard a seeded draw for every row picks one of as many buckets as keep a bucket near
+``bucket_bytes``; equal rows are drawn apart, so they don't fill one bucket. Pass two shuffles each bucket by
+Fisher-Yates (``shuffle`` on the bucket's array, whose order is fixed first by sorting) and writes it. Whole records
+move through both passes. A shard's files hold its buckets; a record's slot is its place in its bucket
+after the buckets before it. A shard with many rows is written by many tasks, a bucket by one.
 
-Defined results: a null text has 0 bytes and the checksum of the empty text; a null id is hashed as
-such. Repeated rows get slots of their own in one shard. An empty table gives no rows. A column of
-the input that clashes with a result column must be renamed or left out by the caller.
+Defined results: a null id is hashed as such, a null text is a record like any other. Repeated rows get slots of their own in
+one shard. An empty table gives no rows. Input columns named as a result column give way.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import let, stage
+from .common import broadcast_if_small, let, shared_folder
 
 SEED = 1117
 BUCKET_BYTES = 8 << 20
+RESULT = ("shard", "slot", "grown_shard")
 
 
 def shard_draws(key: Column, shards: int, seed: int = SEED) -> Column:
@@ -27,39 +30,40 @@ def shard_draws(key: Column, shards: int, seed: int = SEED) -> Column:
     return F.array(*[F.xxhash64(F.lit(seed), key, F.lit(s)) for s in range(shards)])
 
 
-def shuffle_into_shards(records: DataFrame, key: str, size: str, shards: int, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """All columns of ``records`` plus shard, slot (gapless from 0 in the shard) and grown_shard.
+def write_shards(records: DataFrame, path: str, key: str, size: Column, shards: int, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> None:
+    """Write the records (column ``record``) below ``path``, one folder a shard, buckets shuffled.
 
-    ``size`` names the column with a record's bytes, which sets how many buckets there are. A
-    bucket's records meet in one array.
+    ``size`` gives a record's bytes, which set how many buckets there are. A bucket's records meet in one array.
+    ``records`` are read from files, whose rows keep their order: a task that runs again must draw the same buckets.
     """
+    records = records.select([F.col(f"`{c}`") for c in records.columns if c.lower() not in RESULT])
     total = records.agg(F.sum(size)).first()[0] or 0
     buckets = max(1, -(-total // (shards * bucket_bytes)))
-    columns = [F.col(f"`{c}`") for c in records.columns]
-    extra = F.xxhash64(F.lit(seed), F.col(key), F.lit(shards))
-    placed = let(shard_draws(F.col(key), shards, seed), lambda d: F.struct((F.array_position(d, F.array_max(d)) - 1).cast("int").alias("shard"), (extra > F.array_max(d)).alias("grows")))
-    scattered = records.withColumn("placed", placed).select(
-        F.struct(F.xxhash64(F.lit(seed + 1), *columns).alias("h"), F.struct(*columns).alias("r"), F.col("placed.grows").alias("g")).alias("e"),
-        F.col("placed.shard").alias("shard"),
-        F.pmod(F.xxhash64(F.lit(seed + 2), *columns), F.lit(buckets)).alias("bucket"),
-    )
+    record = F.struct(*[F.col(f"`{c}`") for c in records.columns])
+    placed = let(shard_draws(F.col(f"`{key}`"), shards, seed), lambda d: (F.array_position(d, F.array_max(d)) - 1).cast("int"))
+    draw = F.rand(seed)
+    scattered = records.select(placed.alias("shard"), F.floor(draw * buckets).cast("int").alias("bucket"), F.struct(F.xxhash64(F.lit(seed + 1), record).alias("h"), record.alias("r")).alias("e"))
     shelves = scattered.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list("e")).alias("es"))
-    shelves = stage(shelves.sortWithinPartitions("shard", "bucket").select("shard", "bucket", F.shuffle("es", seed).alias("es")), "buckets")
-    counts = shelves.select("shard", "bucket", F.size("es").cast("bigint").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")
-    offsets = counts.select("shard", "bucket", before.alias("before"))
-    out = shelves.join(offsets, ["shard", "bucket"]).select("shard", "before", F.posexplode("es").alias("at", "e"))
-    return out.select("e.r.*", "shard", (F.col("before") + F.col("at")).alias("slot"), F.when(F.col("e.g"), F.lit(shards)).otherwise(F.col("shard")).alias("grown_shard"))
+    shuffled = shelves.select("shard", "bucket", F.posexplode(F.shuffle("es", seed)).alias("at", "e")).select("shard", "bucket", "at", F.col("e.r").alias("record"))
+    shuffled.sortWithinPartitions("shard", "bucket", "at").write.partitionBy("shard").parquet(path)
 
 
-def write_shards(sharded: DataFrame, path: str) -> None:
-    """Write one folder per shard, rows in slot order."""
-    sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def read_shards(spark, path: str, schema: T.StructType, key: str, shards: int, seed: int = SEED) -> DataFrame:
+    """The written records (of ``schema``) plus shard, slot (gapless from 0 in the shard) and grown_shard (the shard if there were one more)."""
+    kept = T.StructType([f for f in schema.fields if f.name.lower() not in RESULT])
+    rows = spark.read.schema(T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("at", T.IntegerType()), T.StructField("record", kept), T.StructField("shard", T.IntegerType())])).parquet(path)
+    # a row for each bucket, which holds about bucket_bytes
+    counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = broadcast_if_small(counts.select("shard", "bucket", before.alias("before")), 32)
+    own = F.col(f"record.`{key}`")
+    grows = let(shard_draws(own, shards + 1, seed), lambda d: F.get(d, F.lit(shards)) == F.array_max(d))
+    return rows.join(offsets, ["shard", "bucket"]).select("record.*", "shard", (F.col("before") + F.col("at")).alias("slot"), F.when(grows, F.lit(shards)).otherwise(F.col("shard")).alias("grown_shard"))
 
 
 def op1_sharding(spark, sf_dir: str) -> DataFrame:
-    """Shard and slot of every document among 40 shards."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All documents, whole, written to 40 shards and read back: each one's place, size and checksum."""
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_folder(spark)}/shards"
+    write_shards(docs, path, "doc_id", F.octet_length(F.coalesce("text", F.lit(""))) + 16, 40)
     text = F.coalesce("text", F.lit(""))
-    sized = docs.select("doc_id", (F.octet_length(text) + 16).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    return shuffle_into_shards(sized, "doc_id", "size", 40).withColumn("law", F.lit("key"))
+    return read_shards(spark, path, docs.schema, "doc_id", 40).select("doc_id", (F.octet_length(text) + 16).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")

@@ -42,14 +42,13 @@ def empty(spark):
 
 
 def run_all(docs, spark):
-    sized = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("size"))
     items = spark.createDataFrame([(1, prose(random.Random(9), 30)), (2, None), (3, "")], "item_id bigint, text string")
     protos = hyperdim.prototypes(docs.filter("lang is not null"), "text", "lang")
     path = common.shared_folder(spark) + "/ids"
     tokenfile.write_ids(docs, path, WORD)
     marked = docs.select("text", F.lit(True).alias("is_target"))
     return {
-        "shard": sharding.shuffle_into_shards(sized, "doc_id", "size", 4).count(),
+        "shard": sharded(docs, 4)[0].count(),
         "quality": quality.judge(docs).count(),
         "pack": packing.pack(packing.pieces(docs, BYTE)).select("doc_id").distinct().count(),
         "near": neardup.near_duplicates(docs).count(),
@@ -57,6 +56,7 @@ def run_all(docs, spark):
         "pii": pii.find(docs, model=pii.fit(docs)).count(),
         "decontam": decontam.contaminated(docs, items).count(),
         "lang": hyperdim.identify(docs, protos).count(),
+        "chat": chat.perspectives(docs.select(F.monotonically_increasing_id().alias("doc_id"), "key", F.lit("ann").alias("role"), "text"), "doc_id", "key").count(),
         "lm": lmscore.score(docs, lmscore.count(marked)).count(),
     }
 
@@ -73,17 +73,39 @@ def test_empty_table(empty, spark):
     assert set(run_all(empty, spark).values()) == {0}
 
 
-def test_sharding_law_and_slots(spark):
-    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(100).cast("bigint").alias("size"))
-    few = {r.doc_id: r for r in sharding.shuffle_into_shards(df, "doc_id", "size", 7, bucket_bytes=5000).collect()}
-    more = {r.doc_id: r for r in sharding.shuffle_into_shards(df, "doc_id", "size", 8, bucket_bytes=5000).collect()}
-    slots = defaultdict(list)
-    for r in few.values():
+def sharded(df, shards, bucket_bytes=20_000):
+    path = common.shared_folder(df.sparkSession) + "/shards"
+    sharding.write_shards(df, path, "doc_id", F.octet_length(F.coalesce("text", F.lit(""))) + 16, shards, bucket_bytes=bucket_bytes)
+    return sharding.read_shards(df.sparkSession, path, df.schema, "doc_id", shards), path
+
+
+def test_sharding_law_slots_and_whole_records(spark):
+    rows = [(i, f"text {i} " * (i % 9)) for i in range(3000)] + [(1, None), (None, "é🙂"), (None, "")] + [(5, "same row")] * 2000
+    df = common.stage(spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"Shard": F.lit(7), "bucket": F.lit(1), "record": F.lit("x")}), "docs")
+    out, path = sharded(df, 7)
+    assert [c for c in out.columns if c.lower() == "shard"] == ["shard"] and {"bucket", "record"} <= set(out.columns)
+    few = out.collect()
+    assert Counter((r.doc_id, r.text) for r in few) == Counter(rows)
+    slots, home = defaultdict(list), defaultdict(set)
+    for r in few:
         slots[r.shard].append(r.slot)
-        assert r.grown_shard == more[r.doc_id].shard and r.grown_shard in (r.shard, 7)
-    assert len(few) == 3000 and all(sorted(s) == list(range(len(s))) for s in slots.values())
-    in_order = [r.doc_id for r in sorted((r for r in few.values() if r.shard == 0), key=lambda r: r.slot)]
-    assert in_order != sorted(in_order)
+        home[r.doc_id].add(r.shard)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(slots) == 7 and all(len(s) == 1 for s in home.values())
+    more = {r.doc_id: r.shard for r in sharded(df, 8)[0].collect()}
+    assert all(r.grown_shard == more[r.doc_id] and r.grown_shard in (r.shard, 7) for r in few) and set(more.values()) == set(range(8))
+    order = [r.doc_id for r in sorted((r for r in few if r.shard == few[0].shard), key=lambda r: r.slot) if r.text != "same row"]
+    assert order != sorted(order, key=lambda d: (d is None, d))
+    equal = spark.read.parquet(path).filter("record.text = 'same row'").groupBy("bucket").count().collect()
+    assert len(equal) > 1 and max(r["count"] for r in equal) < 1900  # equal rows are dealt to several buckets
+    assert sharded(df.limit(0), 7)[0].count() == 0
+
+
+def test_sharding_query_digests(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = sharding.op1_sharding(spark, sf).collect()
+    assert len(rows) == len(texts) and all(r.size == len(texts[r.doc_id].encode()) + 16 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in rows)
+    assert all(0 <= r.shard < 40 and r.grown_shard in (r.shard, 40) and r.law == "key" for r in rows)
 
 
 def brute_repeats(words, k=5):
