@@ -114,7 +114,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
         return F.transform("starts", one)
 
-    windows = docs.withColumn("dk", key).join(sized, "dk").select("doc", "n_words", F.explode(let(hashes, window)).alias("win")).select("doc", "n_words", "win.*")
+    # only documents with such windows are moved to them
+    chosen = docs.withColumn("dk", key).join(broadcast_if_small(sized.select("dk").distinct(), 8), "dk", "left_semi")
+    windows = chosen.join(sized, "dk").select("doc", "n_words", F.explode(let(hashes, window)).alias("win")).select("doc", "n_words", "win.*")
     blocks = F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda b: F.struct(b.alias("block"), _block(F.col("hash"), b).alias("value")))
     met = windows.withColumn("key", F.explode(blocks)).withColumns({"block": F.col("key.block"), "value": F.col("key.value")}).join(broadcast_if_small(index, 48), ["n_words", "block", "value"])
     # a pair counts once, where its first block with few errors meets, and only within the radius
