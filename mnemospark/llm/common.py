@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -25,14 +26,23 @@ def remembered(key: str, make: Callable[[], Any]) -> Any:
     """What a Python worker keeps from task to task: one thing at a time, so that stages don't add up in reused workers."""
     if key not in _held:
         _held.clear()
+        _give_back()
         _held[key] = make()
     return _held[key]
 
 
+def _give_back() -> None:
+    """Free memory goes back to the machine: the worker lives on beside others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; at their end Arrow gives its free memory back, since the worker lives on."""
+    """The batches; at their end the task's free memory is given back."""
     yield from batches
-    pa.default_memory_pool().release_unused()
+    _give_back()
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ language whose prototype has the largest cosine.
 
 Defined results: null text, empty text and text without a letter give ``und`` and score 0; ties go
 to the language that sorts first; without training rows everything is ``und``. Other columns of the
-input are ignored. In texts of more than BLOCK_CHARS code points a space is read at every cut. What reaches the driver is one vector per distinct training language.
+input are ignored. In texts of more than PIECE_CHARS code points a space is read at every cut. What reaches the driver is one vector per distinct training language.
 """
 
 from __future__ import annotations
@@ -25,9 +25,11 @@ from .common import released, remembered, slices, unused
 DIMENSIONS = 1024
 SEED = 20240
 #: Trigram vectors a Python worker remembers (1 KB each); older ones are made again when needed.
-REMEMBERED = 60_000
-#: Documents bundled by one matrix product, and code points: a longer text is bundled piece by piece.
-BLOCK, BLOCK_CHARS = 64, 1 << 17
+REMEMBERED = 32_000
+#: Documents and code points bundled by one matrix product, and vectors of it at once.
+BLOCK, BLOCK_CHARS, BLOCK_GRAMS = 256, 1 << 19, 4096
+#: A longer text is bundled piece by piece.
+PIECE_CHARS = 1 << 17
 
 
 def trigrams(text: str, letters: np.ndarray) -> np.ndarray:
@@ -83,13 +85,12 @@ def _space(dimensions: int, seed: int) -> Space:
 def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
     """Blocks of at most BLOCK texts and about BLOCK_CHARS code points: their rows and texts.
 
-    A longer text comes in pieces, each a block of its own, whose trigrams are
-    counted on their own: a cut is read like a space.
+    A text of more than PIECE_CHARS comes in pieces whose trigrams are counted on their own: a cut is read like a space.
     """
     rows, held, size = [], [], 0
     for i, text in enumerate(texts):
-        for at in range(0, max(len(text or ""), 1), BLOCK_CHARS):
-            piece = (text or "")[at : at + BLOCK_CHARS]
+        for at in range(0, max(len(text or ""), 1), PIECE_CHARS):
+            piece = (text or "")[at : at + PIECE_CHARS]
             if held and (len(held) == BLOCK or size + len(piece) > BLOCK_CHARS):
                 yield rows, held
                 rows, held, size = [], [], 0
@@ -108,8 +109,8 @@ def _bundles(texts: list[str | None], space: Space) -> Iterator[tuple[int, np.nd
         every, column = np.unique(np.concatenate(grams), return_inverse=True)
         out = np.zeros((len(grams), space.dimensions), dtype=np.float32)
         row = np.repeat(np.arange(len(grams)), sizes)
-        for lo in range(0, len(every), 8192):  # bounds memory for texts of many scripts
-            hi = min(lo + 8192, len(every))
+        for lo in range(0, len(every), BLOCK_GRAMS):  # bounds memory for texts of many scripts
+            hi = min(lo + BLOCK_GRAMS, len(every))
             mine = (column >= lo) & (column < hi)
             cells = np.bincount(row[mine] * (hi - lo) + column[mine] - lo, minlength=len(grams) * (hi - lo))
             out += cells.reshape(len(grams), hi - lo).astype(np.float32) @ space.vectors(every[lo:hi])

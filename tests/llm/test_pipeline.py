@@ -65,7 +65,7 @@ def test_no_labels_and_empty_table(spark):
 
 def test_language_matches_brute_force(spark):
     """Bundles and cosines against sums over single trigrams; one text is long enough to be cut into pieces."""
-    chars = hyperdim.BLOCK_CHARS
+    chars = hyperdim.PIECE_CHARS
     rng = random.Random(3)
     texts = [(i, prose(i, rng.randrange(1, 40)) + rng.choice(("", " Ünï, 12", "🙂")), rng.choice("ab")) for i in range(30)] + [(90, None, "a"), (91, "12", "b"), (92, prose(92, 30000), "a")]
     df = spark.createDataFrame(texts, "doc_id bigint, text string, lang string").coalesce(2)
