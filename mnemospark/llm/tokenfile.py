@@ -3,12 +3,16 @@
 A 64-bit word holds a four-bit selector and 60 bits of payload; the selector says how many ids of
 how many bits follow. An id too wide for the usual selectors is written alone with all 60 bits (the
 escape). A block holds whole documents: their ids and lengths, the words, and for every
-``OFFSET_WORDS`` words the number of ids before them, so that parts of a block can be decoded on
-their own and all words of one selector at once. Blocks are rows of Parquet files below the shared
-folder: part (range of document ids), block, first_id (ids before it in its part), n_ids.
+``OFFSET_WORDS`` words the number of ids before them. Reading decodes a block in strips that begin at such offsets,
+all words of one selector at once. Blocks are rows of Parquet files: part (range of document ids), block,
+first_id (ids before it in its part), n_ids.
+
+Documents are encoded where they are read; only ids (two bytes each where the vocabulary allows) are
+sorted and shuffled, and a hash and a random number behind the document id keep one id's many rows in many ranges.
 
 Defined results: a null text is written as an empty one (only the end id); null ids come first; equal
-ids follow each other by text. An empty table gives no blocks and no rows. Other columns are ignored.
+ids follow each other by a hash of their tokens, and equal rows are interchangeable. An empty table gives no
+blocks and no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,11 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_folder
+from .common import broadcast_if_small, released, shared_folder, slices, stage, unstage
 from .tokens import encoder
 
 # Fixed values: (ids a word, bits an id) by selector, as Simple-8b defines them.
@@ -31,7 +35,8 @@ COUNTS = np.array([n for n, _ in SELECTORS])
 OFFSET_WORDS = 128
 #: A block ends with the document that fills it to this many ids.
 BLOCK_IDS = 1 << 16
-PART_BYTES = 64 << 20
+#: A part holds about this many bytes of ids; reading decodes this many offsets' words at once.
+PART_BYTES, STRIP = 32 << 20, 64
 BLOCKS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("first_id", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("lengths", T.ArrayType(T.IntegerType())), T.StructField("offsets", T.BinaryType()), T.StructField("words", T.BinaryType())])
 
 
@@ -85,16 +90,39 @@ def decode(words: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
+def decode_block(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
+    """The n ids of a block, strip by strip."""
+    out = np.empty(n, dtype="<u4")
+    for g in range(0, len(offsets), STRIP):
+        lo, hi = int(offsets[g]), int(offsets[g + STRIP]) if g + STRIP < len(offsets) else n
+        out[lo:hi] = decode(words[g * OFFSET_WORDS : (g + STRIP) * OFFSET_WORDS], hi - lo)
+    return out
+
+
+def _encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+    """id, n and ids (little-endian, of two or four bytes) of every document (id, text)."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(vocabulary, False)
+        kind = "<u2" if max(coder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+        for batch in (part for batch in released(batches) for part in slices(batch, 1)):
+            ids = [np.append(own, np.uint32(end_id)).astype(kind) for own in coder.many(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(i) for i in ids], pa.int32()), pa.array([i.tobytes() for i in ids], pa.binary())], names=["id", "n", "ids"])
+
+    return docs.mapInArrow(code, "id bigint, n int, ids binary")
+
+
 def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the documents' ids as blocks in ascending id order."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    encoded = stage(_encoded(docs, vocabulary, end_id), "encoded")
+    total = encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
     parts = max(1, docs.sparkSession.sparkContext.defaultParallelism, -(-total // PART_BYTES))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, coder = TaskContext.get().partitionId(), encoder(vocabulary, False)
+        part = TaskContext.get().partitionId()
         number, before, names, lengths, held, size = 0, 0, [], [], [], 0
 
         def block() -> pa.RecordBatch:
@@ -102,11 +130,11 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_c
             row = {"part": part, "block": number, "first_id": before, "n_ids": size, "doc_ids": names, "lengths": lengths, "offsets": offsets.tobytes(), "words": words.astype("<u8").tobytes()}
             return pa.RecordBatch.from_pylist([row], schema=arrow)
 
-        for batch in batches:
-            for name, own in zip(batch.column(0).to_pylist(), coder.many(batch.column(1).to_pylist()), strict=True):
-                ids = np.append(own, np.uint32(end_id))
-                names.append(name), lengths.append(len(ids)), held.append(ids)
-                size += len(ids)
+        for batch in (piece for batch in released(batches) for piece in slices(batch, 2)):
+            for name, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                ids = np.frombuffer(raw, dtype="<u2" if len(raw) == 2 * n else "<u4")
+                names.append(name), lengths.append(n), held.append(ids.astype(np.uint32))
+                size += n
                 if size >= BLOCK_IDS:
                     yield block()
                     number, before, names, lengths, held, size = number + 1, before + size, [], [], [], 0
@@ -114,27 +142,29 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_c
             yield block()
 
     arrow = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first_id", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("offsets", pa.binary()), ("words", pa.binary())])
-    docs.repartitionByRange(parts, "id").sortWithinPartitions("id", "text").mapInArrow(blocks, BLOCKS).write.parquet(path)
+    order = ["id", "hash", "salt"]
+    ranged = encoded.withColumns({"hash": F.xxhash64("ids"), "salt": F.rand(5)}).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged.select("id", "n", "ids").mapInArrow(blocks, BLOCKS).write.parquet(path)
+    unstage(encoded)
 
 
 def read_ids(spark, path: str, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """(id_col, start, n_tokens, ids_crc32[, ids]) of every document in the files."""
     blocks = spark.read.schema(BLOCKS).parquet(path)
-    # one number for each range of documents that was written
-    before, starts = 0, {}
-    for r in sorted(blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect(), key=lambda r: r["part"]):
-        starts[r["part"]] = before
-        before += r["n"]
+    # a row for each range of documents that was written, of PART_BYTES each
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", before.alias("before"))
+    placed = blocks.join(broadcast_if_small(starts, 16), "part").select((F.col("before") + F.col("first_id")).alias("first"), "n_ids", "doc_ids", "lengths", "offsets", "words")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for batch in released(batches) for piece in slices(batch, 5)):
             for row in batch.to_pylist():
-                ids = decode(np.frombuffer(row["words"], dtype="<u8"), row["n_ids"])
+                ids = decode_block(np.frombuffer(row["words"], dtype="<u8"), np.frombuffer(row["offsets"], dtype="<u4"), row["n_ids"])
                 ends = np.cumsum(row["lengths"])
                 begins = ends - row["lengths"]
                 columns = [
                     pa.array(row["doc_ids"], pa.int64()),
-                    pa.array(begins + (starts[row["part"]] + row["first_id"]), pa.int64()),
+                    pa.array(begins + row["first"], pa.int64()),
                     pa.array(row["lengths"], pa.int64()),
                     pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begins, ends, strict=True)], pa.int64()),
                 ]
@@ -143,7 +173,7 @@ def read_ids(spark, path: str, id_col: str = "doc_id", with_ids: bool = False) -
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = [id_col, "start", "n_tokens", "ids_crc32", *["ids"] * with_ids]
-    return blocks.drop("block", "offsets").mapInArrow(unpack, f"`{id_col}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids)
+    return placed.mapInArrow(unpack, f"`{id_col}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids)
 
 
 def op5_token_file(spark, sf_dir: str) -> DataFrame:
