@@ -2,9 +2,9 @@
 
 op9_lm_score uses word bigrams over one vocabulary, the words of all documents (``word_score``). The
 target model is counted over the documents marked as good and the background model over all documents,
-its counts scaled to the target's total so that both are smoothed alike. A document's score is its mean
-loss per word under the target model minus that under the background model: the smaller, the closer to
-the target. Words and bigrams are told apart by 64-bit hashes (bigrams by 53 bits at least).
+its counts scaled to the target's total so that both are smoothed alike. No document is scored by a model that has
+counted it: its own counts are taken out of both models first. A document's score is its mean loss per word under the
+target model minus that under the background model: the smaller, the closer to the target. Words and bigrams are told apart by 64-bit hashes (bigrams by 53 bits at least).
 
 ``count`` and ``score`` are the same over trigrams of the text's bytes; their table is bounded by 256^3.
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stage, words_of
+from .common import broadcast_if_small, released, remembered, stage, words_of
 
 SMOOTHING = 8.0
 SIZE = 1 << 24
@@ -75,9 +75,6 @@ def losses(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return n3.reshape(-1)
 
 
-_TABLES: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-
 def score(docs: DataFrame, counted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_tokens, target_loss, background_loss, score) for every row of ``docs``."""
     import hashlib
@@ -88,10 +85,7 @@ def score(docs: DataFrame, counted: DataFrame, id_col: str = "doc_id", text_col:
     name = hashlib.blake2b(codes.tobytes() + n_all.tobytes() + n_target.tobytes()).hexdigest()
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _TABLES:
-            _TABLES.clear()
-            _TABLES[name] = losses(codes, n_target), losses(codes, n_all * scale)
-        target, background = _TABLES[name]
+        target, background = remembered(f"lmscore {name}", lambda: (losses(codes, n_target), losses(codes, n_all * scale)))
         for batch in batches:
             n, t, b = [], [], []
             for text in batch.column(1).to_pylist():
@@ -108,7 +102,7 @@ def score(docs: DataFrame, counted: DataFrame, id_col: str = "doc_id", text_col:
 HOT = 1 << 16  # a gram with a share of 1 / HOT of all words is kept out of the buckets
 BUCKETS, BUCKET_BYTES = 256, 4 << 20  # buckets at least, and text a bucket; never more sums leave than grams came
 MIX, FIRST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5851F42D4C957F2D)
-WORDS = 1 << 19  # words handled at once, which bounds a worker's memory
+WORDS = 1 << 18  # words handled at once, which bounds a worker's memory
 _PLACED = "bucket int, base bigint, code binary, gap binary, n binary, target binary, sums binary, id binary"
 
 
@@ -194,12 +188,20 @@ def _terms(odd: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     return np.where(odd, -1.0, 1.0) * np.log(counts + np.where(odd, SMOOTHING / size, SMOOTHING))
 
 
+def _distinct(code: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of code and row, sorted by row and code, and how often each occurs."""
+    order = np.lexsort((code, where))
+    code, where = code[order], where[order]
+    first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (where[1:] != where[:-1])))[: len(code)]
+    return code[first], where[first], np.diff(np.append(first, len(code)))
+
+
 def word_score(docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of ``docs`` with columns doc_id, text and is_target.
 
     p(w | v) = (n(v, w) + m / V) / (n(v) + m) over the V words of all documents. Each document's distinct
-    contexts and bigrams are dealt by hash to buckets, where all holders of a gram meet: they are counted and
-    rated there, and only sums by document leave. The few grams with many holders (at most 5 HOT, by their
+    contexts and bigrams are dealt by hash to buckets, where all holders of a gram meet: they are counted and, each
+    without its own part, rated there, and only sums by document leave. The few grams with many holders (at most 5 HOT, by their
     share of all words) are counted beforehand and rated where the document is read.
     """
     found = stage(vocabulary(docs), "vocabulary")
@@ -210,34 +212,29 @@ def word_score(docs: DataFrame) -> DataFrame:
     counts, of_target = _count_hot(docs, hot)
     scale = of_target / max(1, total)
     odd = (hot & np.uint64(1)) == 1
-    rated = np.stack([_terms(odd, counts[1], size), _terms(odd, counts[0] * scale, size)])
     octets = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = min(1 << 16, max(BUCKETS, octets // BUCKET_BYTES))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _pieces(batches):
+        for batch in _pieces(released(batches)):
             _, context, pair, place = _grams(batch)
             rows = batch.column("row").to_numpy()
             target = batch.column("is_target").to_numpy(zero_copy_only=False)
             sums = np.zeros((3, batch.num_rows))
             sums[0] = np.bincount(place, minlength=batch.num_rows)
-            left = []
-            for codes in (context, pair):
-                at, held = _find(hot, codes)
-                for i in (0, 1):
-                    sums[i + 1] += np.bincount(place[held], rated[i][at[held]], minlength=batch.num_rows)
-                left.append((codes[~held], place[~held]))
+            code, where, n = _distinct(np.concatenate([context, pair]), np.concatenate([place, place]))
+            at, held = _find(hot, code)
+            at, who, own = at[held], where[held], n[held]
+            sums[1] = np.bincount(who, own * _terms(odd[at], counts[1][at] - own * target[who], size), minlength=batch.num_rows)
+            sums[2] = np.bincount(who, own * _terms(odd[at], (counts[0][at] - own) * scale, size), minlength=batch.num_rows)
             ids = batch.column("doc_id")
             no = np.asarray(ids.is_null())
             head = [rows.tobytes(), sums.tobytes(), np.stack([np.where(no, 0, ids.fill_null(0).to_numpy()), no]).astype(np.int64).tobytes()]
             out = [(int(rows[0] % buckets), 0, head[0], b"", b"", b"", head[1], head[2])]
-            code, where = (np.concatenate(x) for x in zip(*left, strict=True))
+            code, where, n = code[~held], where[~held], n[~held]
             bucket = ((code >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
-            order = np.lexsort((code, where, bucket))
-            code, where, bucket = code[order], where[order], bucket[order]
-            first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (where[1:] != where[:-1]))) if len(code) else np.empty(0, np.int64)
-            n = np.diff(np.append(first, len(code)))
-            code, where, bucket = code[first], where[first], bucket[first]
+            order = np.argsort(bucket, kind="stable")
+            code, where, n, bucket = code[order], where[order], n[order], bucket[order]
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
             for b in range(buckets):
                 lo, hi = edges[b], edges[b + 1]
@@ -271,11 +268,12 @@ def word_score(docs: DataFrame) -> DataFrame:
         if codes:
             n = np.concatenate(ns)
             own, at = np.unique(np.concatenate(codes), return_inverse=True)
-            odd = (own & np.uint64(1)) == 1
-            every, good = np.bincount(at, n), np.bincount(at, n * np.concatenate(goods))
+            odd = ((own & np.uint64(1)) == 1)[at]
+            mine = n * np.concatenate(goods)
+            every, good = np.bincount(at, n)[at] - n, np.bincount(at, mine)[at] - mine
             held, to = np.unique(np.concatenate(places), return_inverse=True)
             row.append(held)
-            sums.append(np.stack([np.zeros(len(held)), np.bincount(to, n * _terms(odd, good, size)[at]), np.bincount(to, n * _terms(odd, every * scale, size)[at])]))
+            sums.append(np.stack([np.zeros(len(held)), np.bincount(to, n * _terms(odd, good, size)), np.bincount(to, n * _terms(odd, every * scale, size))]))
             ids.append(np.zeros(len(held), np.int64))
             nulls.append(np.ones(len(held), bool))
         s = np.concatenate(sums, axis=1)
