@@ -122,6 +122,21 @@ def test_repeated_words(spark):
         assert (r.n_words, r.n_repeat_words) == (len(words), brute_repeats(words))
 
 
+def test_cascade_stops_at_the_first_rejection(spark):
+    df = spark.createDataFrame([(1, prose(random.Random(1), 50)), (2, "one two"), (3, None)], "doc_id bigint, text string")
+    rules = {"all": "n_words > 10", "fatal": "raise_error('shown to the next rule') is null"}
+    rows = quality.judge(df, rules=rules, order=["all", "fatal"]).collect()
+    assert {r.doc_id: (r.base_failed, r.rule, r.kept) for r in rows} == {1: (False, "all", False), 2: (True, None, False), 3: (True, None, False)}
+    with pytest.raises(Exception, match="shown to the next rule"):
+        quality.judge(df, rules=rules, order=["fatal", "all"]).collect()
+
+
+def test_cascade_puts_cheap_rejections_first(spark):
+    docs = spark.createDataFrame([(i, prose(random.Random(i), 300)) for i in range(400)], "doc_id bigint, text string")
+    rules = {"costly": "length(regexp_replace(text, '(w[0-9]+ )+?(w[0-9]+)', '')) < 0", "most": "n_words > 1", "some": "doc_id % 4 = 0"}
+    assert quality.cascade_order(docs, rules=rules) == ["most", "some", "costly"]
+
+
 def test_packing_is_whole_and_tight(spark):
     rng = random.Random(2)
     df = spark.createDataFrame([(i, prose(rng, rng.choice((3, 20, 200, 700, 3000)), 5000)) for i in range(120)] + [(500, None)], "doc_id bigint, text string")
@@ -210,17 +225,27 @@ def test_simple8b_round_trip():
             assert (tokenfile.decode(words[at * tokenfile.OFFSET_WORDS :], n - int(offsets[at])) == ids[offsets[at] :]).all()
 
 
+def test_block_decodes_by_offsets():
+    rng = np.random.default_rng(1)
+    for n in (1, 240, 70_000):
+        ids = (rng.integers(0, 49_000, n) >> rng.integers(0, 16, n)).astype(np.uint32)
+        words, offsets = tokenfile.encode(ids)
+        assert (tokenfile.decode_block(words, offsets, n) == ids).all() and (n < 70_000 or len(offsets) > tokenfile.STRIP)
+
+
 def test_token_file(docs, spark):
     from tokenizers import Tokenizer
 
     tok, path, start = Tokenizer.from_file(WORD), common.shared_folder(spark) + "/ids", 0
     tokenfile.write_ids(docs, path, WORD)
     got = sorted(tokenfile.read_ids(spark, path, with_ids=True).collect(), key=lambda r: r.start)
-    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    for r, (d, text) in zip(got, rows, strict=True):
-        ids = [*tok.encode(text, add_special_tokens=False).ids, 2]
-        assert (r.doc_id, r.start, r.ids) == (d, start, ids) and r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
-        start += len(ids)
+    want = Counter((r.doc_id, (*tok.encode(r.text or "", add_special_tokens=False).ids, 2)) for r in docs.collect())
+    assert Counter((r.doc_id, tuple(r.ids)) for r in got) == want
+    ids = [r.doc_id for r in got]
+    assert ids == sorted(ids, key=lambda d: (d is not None, d or 0))
+    for r in got:
+        assert (r.start, r.n_tokens) == (start, len(r.ids)) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        start += len(r.ids)
 
 
 @pytest.mark.parametrize("path,keep", [(BYTE, True), (WORD, False)])
@@ -378,13 +403,14 @@ def test_lm_word_scores_match_brute_force(spark, monkeypatch, hot):
     size = len({x for w in words for x in w})
     scale = sum(len(w) for w, r in zip(words, rows, strict=True) if r[2]) / sum(map(len, words))
 
-    def model(held, by):
-        two = Counter(p for ps in held for p in ps)
+    def loss(ps, held, by):
+        """Mean loss under the counts of ``held`` pair lists."""
+        two = Counter(p for q in held for p in q)
         one, m = Counter(v for v, _ in two.elements()), lmscore.SMOOTHING
-        return lambda ps: float(np.mean([-np.log((two[p] * by + m / size) / (one[p[0]] * by + m)) for p in ps]))
+        return round(float(np.mean([-np.log((two[p] * by + m / size) / (one[p[0]] * by + m)) for p in ps])), 6)
 
-    target, every = model([p for p, r in zip(pairs, rows, strict=True) if r[2]], 1), model(pairs, scale)
-    want = [(r[0], len(p), round(target(p), 6) if p else None, round(every(p), 6) if p else None) for r, p in zip(rows, pairs, strict=True)]
+    others = lambda i, good: [p for j, p in enumerate(pairs) if j != i and (rows[j][2] or not good)]  # noqa: E731  never the document itself
+    want = [(r[0], len(p), loss(p, others(i, True), 1) if p else None, loss(p, others(i, False), scale) if p else None) for i, (r, p) in enumerate(zip(rows, pairs, strict=True))]
     got = lmscore.word_score(df).collect()
     key = lambda x: tuple((v is None, v or 0) for v in x)
     got = sorted(((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in got), key=key)
