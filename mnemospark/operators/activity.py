@@ -38,19 +38,26 @@ def pending_dissents(facts: DataFrame, dissents: DataFrame) -> DataFrame:
     return facts.select("id").join(n.withColumnRenamed("fact_id", "id"), "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("bigint").alias("dissent_count"))
 
 
+def _cells(events: DataFrame) -> DataFrame:
+    return events.withColumn("day", F.to_date("created_at")).withColumn("host", F.coalesce("host", F.lit("(unknown)")))
+
+
 def daily_clusters(events: DataFrame, sub: str = "service") -> DataFrame:
-    """Events per host, category and UTC day: total, first and last time, sorted ids, three commonest sub-categories.
+    """Events per host, category and UTC day: total, first and last time, three commonest sub-categories.
 
-    Two levels of grouping, so a busy host is combined map-side; the ids of one cell form one array,
-    as the summary row needs them.
+    Two levels of grouping, so a busy host is combined map-side.
     """
     cell = ["host", "category", "day"]
-    e = events.withColumn("day", F.to_date("created_at")).withColumn("host", F.coalesce("host", F.lit("(unknown)")))
-    subs = e.groupBy(*cell, F.col(sub).alias("sub")).agg(F.count(F.lit(1)).alias("n"))
-    ranked = subs.withColumn("rn", F.row_number().over(Window.partitionBy(*cell).orderBy(F.desc("n"), "sub"))).filter("rn <= 3")
-    top = ranked.groupBy(*cell).agg(F.sort_array(F.collect_list(F.struct("rn", "n", "sub"))).alias("t")).select(*cell, F.array_join(F.transform("t", lambda x: F.concat(x["n"].cast("string"), F.lit("× "), x["sub"])), ", ").alias("top"))
-    whole = e.groupBy(*cell).agg(F.count(F.lit(1)).alias("total"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"), F.sort_array(F.collect_list("id")).alias("ids"))
-    return whole.join(top, cell)
+    subs = _cells(events).groupBy(*cell, F.col(sub).alias("sub")).agg(F.count(F.lit(1)).alias("n"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"))
+    ranked = subs.withColumn("rn", F.row_number().over(Window.partitionBy(*cell).orderBy(F.desc("n"), "sub")))
+    entry = F.when(F.col("rn") <= 3, F.struct("rn", "n", "sub"))
+    whole = ranked.groupBy(*cell).agg(F.sum("n").alias("total"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.sort_array(F.collect_list(entry)).alias("t"))
+    return whole.withColumn("top", F.array_join(F.transform("t", lambda x: F.concat(x["n"].cast("string"), F.lit("× "), x["sub"])), ", ")).drop("t")
+
+
+def cluster_members(events: DataFrame) -> DataFrame:
+    """(host, category, day, id): the source events of each cluster as rows, since a busy cell has no bound."""
+    return _cells(events).select("host", "category", "day", "id")
 
 
 def headlines(clusters: DataFrame, least: int = 1) -> DataFrame:
@@ -69,9 +76,9 @@ def score_histogram(scores: DataFrame, lo: float, hi: float, n: int) -> DataFram
     return scores.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi"))
 
 
-def latency_profile(df: DataFrame, column: str, keys: list[str], exact: bool = True) -> DataFrame:
-    """p50, p95, p99, extremes and mean; ``exact=False`` uses a bounded-memory sketch."""
-    q = F.percentile if exact else F.percentile_approx
+def latency_profile(df: DataFrame, column: str, keys: list[str], accuracy: int = 100_000) -> DataFrame:
+    """p50, p95, p99, extremes and mean; percentiles are values of the column, from a sketch of bounded size (rank error 1 / accuracy)."""
+    q = lambda c, p: F.percentile_approx(c, p, accuracy)
     return df.groupBy(*keys).agg(*[F.round(q(column, p), 6).alias(f"p{round(p * 100)}") for p in (0.5, 0.95, 0.99)], F.min(column).alias("lo"), F.max(column).alias("hi"), F.round(F.avg(column), 6).alias("mean"))
 
 

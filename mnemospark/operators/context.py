@@ -18,6 +18,24 @@ def across_sections(items: DataFrame) -> DataFrame:
     return fact.unionByName(known).unionByName(event)
 
 
+def with_summaries(items: DataFrame, summaries: DataFrame, budget: int) -> DataFrame:
+    """Queries whose events cost more than half the budget get their days' summaries (host, category, day, id, cost) in their place.
+
+    A summary takes the best score of the events that it stands for; events without a summary stay.
+    """
+    events = items.filter("section = 'event'")
+    heavy = events.groupBy("query_id").agg(F.sum("cost").alias("c")).filter(F.col("c") > budget / 2).select("query_id")
+    cell = ["host", "category", "day"]
+    known = summaries.select(*cell, F.col("id").alias("summary_id"), F.col("cost").alias("summary_cost"))
+    swapped = events.join(heavy, "query_id").join(known, cell)
+    gone = swapped.select("query_id", "id")
+    rest = items.join(gone, ["query_id", "id"], "left_anti").select(*items.columns)
+    made = swapped.groupBy("query_id", *cell, "summary_id", "summary_cost").agg(F.max("score").alias("score"))
+    none = F.lit(None).cast("string")
+    new = made.select("query_id", F.lit("event").alias("section"), F.col("summary_id").alias("id"), "score", none.alias("repo"), none.alias("file"), *cell, F.col("summary_cost").alias("cost"))
+    return rest.unionByName(new)
+
+
 def allocate(items: DataFrame, budget: int) -> DataFrame:
     """(query_id, id, truncated) of the items kept: a floor per section first, then best score that fits.
 

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.adapters import TRUST
+from ..sources.staging import stage, unstage
+from .graph import components
+
+#: Trust by source: a proposal below a fact's trust becomes a dissent.
+TRUST = {"User": 4, "Controller": 3, "Task": 2, "AgentProposal": 1}
 
 
 def trust(source: str) -> Column:
@@ -15,37 +23,93 @@ def trust(source: str) -> Column:
     return rank
 
 
+class _Facts:
+    """The facts that one group of requests can see, while the requests are worked off in order."""
+
+    def __init__(self):
+        self.facts: dict[str, tuple[str, str, int, int]] = {}  # id: type, hash, trust, version
+        self.holders: dict[tuple[str, str], list[str]] = {}  # heaps of ids, of which some may have moved on
+
+    def put(self, key: str, kind: str, digest: str, rank: int, version: int) -> None:
+        self.facts[key] = (kind, digest, rank, version)
+        heapq.heappush(self.holders.setdefault((kind, digest), []), key)
+
+    def holder(self, kind: str, digest: str) -> str | None:
+        """Smallest id that holds this content now."""
+        heap = self.holders.get((kind, digest), [])
+        while heap and self.facts[heap[0]][:2] != (kind, digest):
+            heapq.heappop(heap)
+        return heap[0] if heap else None
+
+    def submit(self, key: str, kind: str, digest: str, rank: int, expected: int | None) -> tuple[str, int | None]:
+        """(outcome, version written)."""
+        same = self.holder(kind, digest)
+        if same is not None:
+            return ("touch", None) if expected is None or expected == self.facts[same][3] else ("conflict", None)
+        if key not in self.facts:
+            self.put(key, kind, digest, rank, 1)
+            return "insert", 1
+        _, _, held, version = self.facts[key]
+        if rank < held:
+            return "dissent", None
+        if expected is not None and expected != version:
+            return "conflict", None
+        self.put(key, kind, digest, rank, version + 1)
+        return "amend", version + 1
+
+
 def upsert_facts(state: DataFrame, requests: DataFrame) -> DataFrame:
-    """Outcome of each request (seq, fact_id, type, payload_hash, source, expected) in ``seq`` order.
+    """(seq, fact_id, outcome, version) of each request (seq, fact_id, type, payload_hash, source, expected), in ``seq`` order.
 
-    touch: same type and hash live in the snapshot (conflict if ``expected`` differs from its
-    version); else for a known id: dissent below its trust, conflict on another version, amend; else
-    insert. Requests of one id fold in order as windows: each amendment raises the version by one and
-    only requests at least as trusted as all before them amend.
+    touch: the content (type and hash) is held by a live fact, in the snapshot or by an earlier request (conflict if
+    ``expected`` is not that fact's version); else for a known id: dissent below its trust, conflict on
+    another version, amend; else insert. Of several holders the smallest id counts. Version is set where a
+    row is written.
+
+    Requests that can see each other share an id or a content; such groups are found as connected components,
+    and each is worked off as a sorted stream, of which only the facts it names are held.
     """
-    live = state.filter("deleted_at is null")
-    same = live.groupBy("type", "payload_hash").agg(F.min(F.struct("id", "version")).alias("same"))
-    known = live.select(F.col("id").alias("fact_id"), F.col("version").alias("old_version"), F.col("source").alias("old_source"))
-    r = requests.join(same, ["type", "payload_hash"], "left").join(known, "fact_id", "left")
-    order = Window.partitionBy("fact_id").orderBy("seq")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    touches = F.col("same").isNotNull()
-    wins = ~touches & F.col("old_version").isNotNull() & (F.col("expected").isNull() | (F.col("expected") == F.col("old_version")))
-    asked = F.when(wins, trust("source"))
-    held = F.greatest(trust("old_source"), F.coalesce(F.max(asked).over(before), F.lit(0)))
-    r = r.withColumn("held", held).withColumn("wins", wins)
-    amends = F.col("wins") & (trust("source") >= F.col("held"))
-    r = r.withColumn("amends", amends).withColumn("amended", F.coalesce(F.sum(F.col("amends").cast("int")).over(before), F.lit(0)))
-    outcome = (
-        F.when(touches & F.col("expected").isNotNull() & (F.col("expected") != F.col("same.version")), "conflict")
-        .when(touches, "touch")
-        .when(F.col("old_version").isNull(), "insert")
-        .when(trust("source") < F.col("held"), "dissent")
-        .when(F.col("amends"), "amend")
-        .otherwise("conflict")
-    )
-    version = F.when(F.col("old_version").isNull(), 1).when(F.col("amends"), F.col("old_version") + F.col("amended") + 1).otherwise(F.col("old_version") + F.col("amended"))
-    return r.select("seq", "fact_id", outcome.alias("outcome"), F.when(outcome.isin("amend", "insert"), version).cast("int").alias("version"))
+    live = state.filter("deleted_at is null").select(F.col("id").alias("fact_id"), "type", "payload_hash", trust("source").alias("rank"), "version")
+    content = ["type", "payload_hash"]
+    named = live.join(requests.select("fact_id").distinct(), "fact_id", "left_semi")
+    others = live.join(requests.select(*content).distinct(), content, "left_semi").join(requests.select("fact_id").distinct(), "fact_id", "left_anti")
+    held = others.groupBy(*content).agg(F.min(F.struct("fact_id", "rank", "version")).alias("f")).select("f.fact_id", *content, "f.rank", "f.version")
+    before = named.unionByName(held).withColumns({"seq": F.lit(None).cast("bigint"), "expected": F.lit(None).cast("int")})
+    asked = requests.select("fact_id", *content, trust("source").alias("rank"), F.lit(None).cast("int").alias("version"), F.col("seq").cast("bigint").alias("seq"), F.col("expected").cast("int").alias("expected"))
+    rows = stage(before.unionByName(asked).withColumns({"a": F.xxhash64(F.lit("id"), "fact_id"), "b": F.xxhash64(F.lit("content"), *content)}), "upserts")
+    groups = stage(components(rows.select("a", "b")).withColumnRenamed("id", "a"), "groups")
+    grouped = rows.join(groups, "a").select("comp", "seq", "fact_id", *content, "rank", "version", "expected")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        comp, facts = None, _Facts()
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["comp"] != comp:
+                    comp, facts = r["comp"], _Facts()
+                if r["seq"] is None:
+                    facts.put(r["fact_id"], r["type"], r["payload_hash"], r["rank"], r["version"])
+                else:
+                    out.append((r["seq"], r["fact_id"], *facts.submit(r["fact_id"], r["type"], r["payload_hash"], r["rank"], r["expected"])))
+            columns = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int32()), strict=True)], names=["seq", "fact_id", "outcome", "version"])
+
+    return grouped.repartition("comp").sortWithinPartitions("comp", F.col("seq").asc_nulls_first()).mapInArrow(fold, "seq bigint, fact_id string, outcome string, version int")
+
+
+def next_facts(state: DataFrame, requests: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(id, type, payload_hash, source, version, deleted_at) after the requests: the last write of each id replaces its row."""
+    written = outcomes.filter("outcome in ('amend', 'insert')").join(requests.select("seq", "type", "payload_hash", "source"), "seq")
+    last = written.groupBy(F.col("fact_id").alias("id")).agg(F.max(F.struct("seq", "type", "payload_hash", "source", "version")).alias("w"))
+    columns = ["id", "type", "payload_hash", "source", "version", "deleted_at"]
+    kept = state.select(*columns).join(last.select("id"), "id", "left_anti")
+    return kept.unionByName(last.select("id", "w.type", "w.payload_hash", "w.source", "w.version", F.lit(None).cast(state.schema["deleted_at"].dataType).alias("deleted_at")))
+
+
+def dissents_of(requests: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(fact_id, payload_hash, submission_count) of the dissents that the requests file."""
+    filed = outcomes.filter("outcome = 'dissent'").select("seq").join(requests, "seq")
+    return filed.groupBy("fact_id", "payload_hash").agg(F.count(F.lit(1)).alias("submission_count"))
 
 
 def file_dissents(pending: DataFrame, proposals: DataFrame) -> DataFrame:
@@ -101,30 +165,52 @@ def file_proposals(requests: DataFrame) -> DataFrame:
     return requests.groupBy(key.alias("proposal_hash")).agg(F.min("keeper_id").alias("keeper_id"), F.count(F.lit(1)).alias("submission_count"))
 
 
-def resolve_proposals(proposals: DataFrame, knowledge: DataFrame, rounds: int = 50) -> DataFrame:
+def resolve_proposals(proposals: DataFrame, knowledge: DataFrame) -> DataFrame:
     """accepted or stale for each proposal (seq, keeper_id, retire_ids), in ``seq`` order.
 
-    A proposal is stale once a row it names is dead or was retired by an accepted one before it. Each
-    round decides the proposals none of whose rows is claimed by an undecided earlier one, so the
-    number of rounds is the longest chain of conflicts; more than ``rounds`` is an error.
+    A proposal is stale if a row it names is dead or was retired by an accepted one before it. A proposal waits for
+    the first undecided one before it that retires a row it names. Each round accepts those that wait for none,
+    and those that wait for one alone, and would be free without it, get the opposite of its outcome: such chains,
+    however long, are shortened by pointer doubling. Rows that many proposals name are only ever seen through
+    their first two retirers. Rounds go on until all are decided; the smallest undecided one always is.
     """
-    from ..sources.staging import stage
-
     alive = knowledge.filter("deleted_at is null and source = 'AgentProposal'").select(F.col("id").alias("row"))
-    named = proposals.select("seq", F.explode(F.concat(F.array("keeper_id"), "retire_ids")).alias("row"), "keeper_id").withColumn("retires", F.col("row") != F.col("keeper_id")).distinct()
+    every = proposals.select("seq", F.explode(F.concat(F.array("keeper_id"), "retire_ids")).alias("row"), "keeper_id")
+    named = stage(every.select("seq", "row", (F.col("row") != F.col("keeper_id")).alias("retires")).distinct(), "named")
     dead = named.join(alive, "row", "left_anti").select("seq").distinct()
     decided = stage(dead.withColumn("outcome", F.lit("stale")), "decided")
-    for _ in range(rounds):
-        open_rows = named.join(decided, "seq", "left_anti")
-        first = open_rows.filter("retires").groupBy("row").agg(F.min("seq").alias("first"))
-        gone = named.filter("retires").join(decided.filter("outcome = 'accepted'").select("seq"), "seq").select("row").distinct().withColumn("gone", F.lit(True))
-        look = open_rows.join(first, "row", "left").join(gone, "row", "left").groupBy("seq").agg(F.bool_or(F.coalesce("gone", F.lit(False))).alias("lost"), F.bool_or(F.coalesce(F.col("first") < F.col("seq"), F.lit(False))).alias("waits"))
-        new = look.filter("lost or not waits").select("seq", F.when(F.col("lost"), "stale").otherwise("accepted").alias("outcome"))
-        grown = stage(decided.unionByName(new), "decided")
-        if grown.count() == decided.count():
-            return grown
-        decided = grown
-    raise ValueError("more rounds of conflicting proposals than allowed")
+    while True:
+        gone = named.filter("retires").join(decided.filter("outcome = 'accepted'").select("seq"), "seq").groupBy("row").agg(F.min("seq").alias("by"))
+        left = named.join(decided, "seq", "left_anti")
+        lost = left.join(gone, "row").filter("by < seq").select("seq").distinct()
+        lost = stage(lost.withColumn("outcome", F.lit("stale")), "lost")
+        left = stage(left.join(lost, "seq", "left_anti"), "left")
+        first = left.filter("retires").groupBy("row").agg(F.min("seq").alias("first"))
+        second = left.filter("retires").join(first, "row").filter("seq > first").groupBy("row").agg(F.min("seq").alias("second"))
+        waits = F.coalesce(F.col("first") < F.col("seq"), F.lit(False))
+        look = left.join(first, "row", "left").join(second, "row", "left").groupBy("seq").agg(
+            F.bool_or(waits).alias("waits"),
+            F.min(F.when(waits, F.col("first"))).alias("one"),
+            F.max(F.when(waits, F.col("first"))).alias("other"),
+            F.bool_and(~waits | F.coalesce(F.col("second") >= F.col("seq"), F.lit(True))).alias("alone"),
+        )
+        look = stage(look, "look")
+        links = stage(look.filter("waits and alone and one = other").select("seq", F.col("one").alias("to"), F.lit(True).alias("odd")), "links")
+        while True:
+            step = links.select(F.col("seq").alias("to"), F.col("to").alias("next"), F.col("odd").alias("turn"))
+            if links.join(step, "to", "left_semi").isEmpty():
+                break
+            joined = links.join(step, "to", "left").select("seq", F.coalesce("next", "to").alias("to"), (F.col("odd") != F.coalesce("turn", F.lit(False))).alias("odd"))
+            before, links = links, stage(joined, "links")
+            unstage(before)
+        free = look.filter("not waits").select("seq", F.lit("accepted").alias("outcome"))
+        chained = links.join(free.select(F.col("seq").alias("to")), "to").select("seq", F.when(F.col("odd"), "stale").otherwise("accepted").alias("outcome"))
+        before, decided = decided, stage(decided.unionByName(lost).unionByName(free).unionByName(chained), "decided")
+        done = look.filter("waits").select("seq").join(decided, "seq", "left_anti").isEmpty()
+        unstage(before, lost, left, look, links)
+        if done:
+            unstage(named)
+            return decided
 
 
 def repair_attribution(rows: DataFrame, links: DataFrame, authors: DataFrame, system: str = "system", lost: str = "lost-author") -> DataFrame:
@@ -143,22 +229,37 @@ def merge_authors(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     return rows.join(mapping, rows["author_id"] == mapping["from_id"], "left").select("id", F.coalesce("to_id", "author_id").alias("author_id"))
 
 
+def copies(knowledge: DataFrame) -> DataFrame:
+    """(content, seq, machine, file, repo): where each content lies, each place once, with its first arrival.
+
+    One row per place and content rather than an array per content, which has no bound. Rows without a hash are
+    contents of their own.
+    """
+    live = knowledge.filter("deleted_at is null").withColumn("content", F.coalesce("content_hash", F.concat(F.lit("id:"), "id")))
+    return live.groupBy("content", "machine", "file", "repo").agg(F.min("seq").alias("seq"))
+
+
 def dedupe_with_copies(knowledge: DataFrame) -> DataFrame:
-    """One live row per content hash, with the distinct (machine, file, repo) of all its copies in order of arrival."""
-    live = knowledge.filter("deleted_at is null")
-    g = live.groupBy("content_hash").agg(F.min("seq").alias("seq"), F.sort_array(F.collect_list(F.struct("seq", F.struct("machine", "file", "repo").alias("c")))).alias("all"))
-    return g.select("content_hash", "seq", F.array_distinct(F.col("all.c")).alias("copies"))
+    """(content, seq, n): one live row per content, its first arrival and number of places."""
+    return copies(knowledge).groupBy("content").agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("n"))
+
+
+def drop_copy(places: DataFrame, machine: str) -> DataFrame:
+    """Contents after one machine's copies are removed: those without copies go, the first copy left is canonical."""
+    left = places.filter(~F.col("machine").eqNullSafe(F.lit(machine)))
+    return left.groupBy("content").agg(F.count(F.lit(1)).alias("n_copies"), F.min_by("file", "seq").alias("file"))
 
 
-def drop_copy(deduped: DataFrame, machine: str) -> DataFrame:
-    """Copies of one machine removed; rows without copies go; the first copy left is canonical."""
-    left = deduped.withColumn("copies", F.filter("copies", lambda c: ~c["machine"].eqNullSafe(F.lit(machine)))).filter(F.size("copies") > 0)
-    return left.select("content_hash", F.size("copies").alias("n_copies"), F.get("copies", F.lit(0))["file"].alias("file"), copy_set(F.col("copies"), "repo").alias("repos"))
+def copy_sets(places: DataFrame) -> DataFrame:
+    """(content, field, value, place): distinct machines, files and repositories of each content in order of arrival."""
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("machine", "file", "repo")])
+    each = places.select("content", "seq", F.explode(fields).alias("f")).filter("f.value is not null")
+    return each.groupBy("content", "f.field", "f.value").agg(F.min("seq").alias("seq"))
 
 
-def copy_set(copies: Column, field: str) -> Column:
-    """Distinct values of a field of the copies, in order, without nulls."""
-    return F.array_distinct(F.filter(F.transform(copies, lambda c: c[field]), lambda v: v.isNotNull()))
+def canonical(places: DataFrame) -> DataFrame:
+    """(content, machine, file, repo) of each content's first copy."""
+    return places.groupBy("content").agg(F.min_by(F.struct("machine", "file", "repo"), "seq").alias("c")).select("content", "c.*")
 
 
 def register_authors(requests: DataFrame) -> DataFrame:
@@ -168,11 +269,15 @@ def register_authors(requests: DataFrame) -> DataFrame:
     return requests.groupBy("id", "agent_name").agg(F.max("seen_at").alias("last_seen_at"), F.first("extra").alias("extra")).select("id", "agent_name", "last_seen_at", ok.alias("valid"), slug.alias("slug"))
 
 
-def decay(facts: DataFrame, as_of: Column) -> DataFrame:
-    """1 / (1 + rate x age in seconds) of live facts; task facts age faster."""
+def decay_weight(as_of: Column) -> Column:
+    """1 / (1 + rate x age in seconds), age since the last use or the creation; task facts age faster."""
     age = F.greatest(F.unix_timestamp(as_of) - F.unix_timestamp(F.coalesce("last_used_at", "created_at")), F.lit(0))
-    rate = F.when(F.col("type") == "TaskFact", 1e-6).otherwise(1e-9)
-    return facts.filter("deleted_at is null").select("id", F.round(1 / (1 + rate * age), 6).alias("decay_weight"))
+    return F.round(1 / (1 + F.when(F.col("type") == "TaskFact", 1e-6).otherwise(1e-9) * age), 6)
+
+
+def decay(facts: DataFrame, as_of: Column) -> DataFrame:
+    """The decay weight of live facts."""
+    return facts.filter("deleted_at is null").select("id", decay_weight(as_of).alias("decay_weight"))
 
 
 def merge_summaries(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -13,15 +13,21 @@ def top_k(df: DataFrame, k: int, by: list, keys: list[str]) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).filter(F.col("rn") <= k)
 
 
-def collapse(df: DataFrame, keys: list[str], hash_col: str, order: list, copy_fields: list[str]) -> DataFrame:
-    """The best row of each content hash, with the others as ``copies`` in rank order; null hashes never collapse."""
+def collapse(df: DataFrame, keys: list[str], hash_col: str, order: list[str]) -> DataFrame:
+    """The row of each content hash that is first by the ``order`` columns, with ``copies``, the number of the others; null hashes never collapse.
+
+    Groups are combined before the shuffle, so a hash with very many rows costs no more than others.
+    """
     hashed = df.filter(F.col(hash_col).isNotNull())
-    w = Window.partitionBy(*keys, hash_col).orderBy(*order)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = hashed.withColumn("__rn", F.row_number().over(w)).withColumn("__all", F.collect_list(F.struct(*copy_fields)).over(whole))
-    best = ranked.filter("__rn = 1").withColumn("copies", F.slice("__all", 2, F.size("__all"))).drop("__rn", "__all")
-    empty = F.slice(F.array(F.struct(*copy_fields)), 1, 0)
-    return best.unionByName(df.filter(F.col(hash_col).isNull()).withColumn("copies", empty))
+    one = hashed.groupBy(*keys, hash_col).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("r"), (F.count(F.lit(1)) - 1).alias("copies"))
+    alone = df.filter(F.col(hash_col).isNull()).withColumn("copies", F.lit(0).cast("bigint"))
+    return one.select("r.*", "copies").unionByName(alone)
+
+
+def copies_of(df: DataFrame, keys: list[str], hash_col: str, order: list[str], key: str = "id") -> DataFrame:
+    """Every collapsed row with ``of``, the key of the row that stands for it; as many rows as there are copies."""
+    best = collapse(df, keys, hash_col, order).filter("copies > 0").select(*keys, hash_col, F.col(key).alias("of"))
+    return df.join(best, [*keys, hash_col]).filter(F.col(key) != F.col("of"))
 
 
 def renumber(df: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import terms
+from ..sources.staging import broadcast_if_small
 from .ranking import top_k
 
 #: Query vectors scored at once; larger query tables are worked off in blocks of this many bytes.
@@ -28,6 +29,7 @@ def knn(queries: DataFrame, items: DataFrame, k: int, query: str = "query_id", k
     those are shuffled. Filters on ``items`` belong below this operator, where the scan sees them.
     """
     found = None
+    queries = queries.filter(F.col(vector).isNotNull())
     size = queries.select(F.size(vector)).first()
     dim = size[0] if size and size[0] and size[0] > 0 else 1
     per_block = max(1, BLOCK_BYTES // (8 * dim))
@@ -45,6 +47,8 @@ def _knn_block(block: pd.DataFrame, items: DataFrame, k: int, query: str, key: s
     if len(names):
         matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
 
+    most = k + bool(exclude_self)
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[list[tuple[float, str]]] = [[] for _ in names]
         for batch in batches:
@@ -52,11 +56,17 @@ def _knn_block(block: pd.DataFrame, items: DataFrame, k: int, query: str, key: s
             if not keys or not names:
                 continue
             width = matrix.shape[1]
+            lengths = np.diff(batch.column(1).offsets.to_numpy())
+            if (lengths != width).any():  # vectors of another length match nothing
+                batch = batch.filter(pa.array(lengths == width))
+                keys = batch.column(0).to_pylist()
+            if not keys:
+                continue
             v = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(len(keys), width)
             sims = np.round(matrix @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).T, 6)
             for q in range(len(names)):
                 row = sims[q]
-                near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
+                near = np.flatnonzero(row >= np.partition(row, -most)[-most]) if len(row) > most else np.arange(len(row))
                 both = best[q] + [(-float(row[i]), keys[i]) for i in near if not (exclude_self and keys[i] == names[q])]
                 best[q] = sorted(both)[:k]
         rows = [(names[q], i, -s) for q in range(len(names)) for s, i in best[q]]
@@ -103,26 +113,39 @@ def volatility_demotion(volatility: str, age_days: Column) -> Column:
     return F.when((F.col(volatility) == "volatile") & (age_days > 7), F.greatest(F.lit(0.25), F.pow(F.lit(0.5), (age_days - 7) / 30))).otherwise(1.0)
 
 
-def _rarest(asked: DataFrame, postings: DataFrame, query: str) -> DataFrame:
-    """(query, wanted, term): each query with the term that the fewest rows hold."""
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    each = asked.select(query, "wanted", F.explode("wanted").alias("term")).join(df, "term", "left")
-    return each.groupBy(query).agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r"), F.first("wanted").alias("wanted")).select(query, "wanted", F.col("r.term").alias("term"))
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two arrays of numbers to 6 places; null where one is null or their lengths differ."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda t, v: t + v)
+    return F.when(F.size(a) == F.size(b), F.round(dot(a, b) / F.greatest(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(1e-24)), 6))
 
 
-def lexical(queries: DataFrame, items: DataFrame, text: str = "text", key: str = "id", query: str = "query_id", query_text: str = "query") -> DataFrame:
-    """(query, key) of the items that hold every term of the query.
+def _holders(asked: DataFrame, rows: DataFrame, query: str) -> DataFrame:
+    """The pairs of ``asked`` (query, wanted) and ``rows`` (with their term array ``own``) that hold every wanted term.
 
-    Only postings of the queries' words leave the scan. The join runs on each query's rarest term, so a
-    term that is in most texts pairs nothing unless it is all the query has; the other terms are
-    verified on the items' term arrays.
+    Two passes over the rows and no shuffle of them: the first counts how many rows hold each of the queries'
+    terms, the second meets each query through its rarest term, so a term that is in most texts
+    pairs nothing unless it is all the query has; the others are looked up in the row's own terms.
     """
+    words = broadcast_if_small(asked.select(F.explode("wanted").alias("term")).distinct(), 64)
+    df = rows.select(F.explode(F.array_distinct("own")).alias("term")).join(words, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    each = asked.select(query, "wanted", F.explode("wanted").alias("term")).join(df, "term", "left")
+    rare = each.groupBy(query).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("r"), F.first("wanted").alias("wanted"))
+    rare = rare.filter("r.n > 0").select(query, "wanted", F.col("r.term").alias("term"))
+    met = rows.withColumn("term", F.explode(F.array_distinct("own"))).join(broadcast_if_small(rare, 64 + F.octet_length(F.array_join("wanted", " "))), "term")
+    return met.filter(F.size(F.array_except("wanted", "own")) == 0).drop("term")
+
+
+def lexical(queries: DataFrame, items: DataFrame, text: str = "text", key: str = "id", query: str = "query_id", query_text: str = "query") -> DataFrame:
+    """(query, key) of the items that hold every term of the query."""
     asked = queries.select(query, F.array_distinct(terms(F.col(query_text))).alias("wanted")).filter(F.size("wanted") > 0)
-    words = asked.select(F.explode("wanted").alias("term")).distinct()
-    postings = items.select(key, F.explode(F.array_distinct(terms(F.col(text)))).alias("term")).join(words, "term")
-    own = postings.groupBy(key).agg(F.collect_list("term").alias("own"))
-    hits = postings.join(_rarest(asked, postings, query), "term").select(query, key, "wanted")
-    return hits.join(own, key).filter(F.size(F.array_except("wanted", "own")) == 0).select(query, key)
+    return _holders(asked, items.select(key, F.array_distinct(terms(F.col(text))).alias("own")), query).select(query, key)
+
+
+def lexical_by_cosine(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank) of each query's lexical hits by cosine, best first; without a vector last."""
+    hits = lexical(queries, items).join(items.select("id", "embedding"), "id")
+    scored = hits.join(queries.select("query_id", F.col("embedding").alias("asked")), "query_id").select("query_id", "id", cosine(F.col("asked"), F.col("embedding")).alias("score"))
+    return top_k(scored, k, [F.desc_nulls_last("score"), F.col("id")], ["query_id"]).withColumnRenamed("rn", "rank")
 
 
 def analysed(text: Column) -> Column:
@@ -132,15 +155,12 @@ def analysed(text: Column) -> Column:
 
 
 @F.pandas_udf(T.DoubleType())
-def cover_density(places: pd.Series, words: pd.Series, wanted: pd.Series) -> pd.Series:
-    """Sum over the minimal spans that hold every wanted term of (number of terms) / length.
+def cover_density(words: pd.Series, wanted: pd.Series) -> pd.Series:
+    """Sum over the minimal spans of ``words`` that hold every wanted term of (number of terms) / length."""
 
-    ``places`` are the ascending positions of ``words`` in the text.
-    """
-
-    def one(at_, words_, terms_) -> float:
+    def one(words_, terms_) -> float:
         need, last, total, start = set(terms_), {}, 0.0, -1
-        for at, w in zip(at_, words_, strict=True):
+        for at, w in enumerate(words_):
             if w in need:
                 last[w] = at
                 if len(last) == len(need):
@@ -149,24 +169,21 @@ def cover_density(places: pd.Series, words: pd.Series, wanted: pd.Series) -> pd.
                         total, start = total + len(need) / float(at - low + 1), low
         return total
 
-    return pd.Series([one(*r) for r in zip(places, words, wanted, strict=True)], dtype="float64")
+    return pd.Series([one(*r) for r in zip(words, wanted, strict=True)], dtype="float64")
 
 
 def full_text(queries: DataFrame, rows: DataFrame, text: str, k: int, boost: Column | None = None, key: str = "id", query: str = "query_id", query_text: str = "query") -> DataFrame:
     """Rows that hold all index terms of a query, by cover density (times ``boost``), k per query."""
     asked = queries.select(query, F.array_distinct(analysed(F.col(query_text))).alias("wanted")).filter(F.size("wanted") > 0)
-    words = asked.select(F.explode("wanted").alias("term")).distinct()
-    placed = rows.select(key, (boost if boost is not None else F.lit(1.0)).alias("boost"), F.posexplode(analysed(F.col(text))).alias("place", "term")).join(words, "term")
-    own = placed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("place", "term"))).alias("own"), F.first("boost").alias("boost"))
-    postings = placed.select(key, "term").distinct()
-    hits = postings.join(_rarest(asked, postings, query), "term").select(query, key, "wanted").join(own, key)
-    hits = hits.filter(F.size(F.array_except("wanted", F.col("own.term"))) == 0)
-    scored = hits.select(query, key, F.round(cover_density("own.place", "own.term", "wanted") * F.col("boost"), 6).alias("score"))
+    own = rows.select(key, (boost if boost is not None else F.lit(1.0)).alias("boost"), analysed(F.col(text)).alias("own"))
+    hits = _holders(asked, own, query)
+    scored = hits.select(query, key, F.round(cover_density("own", "wanted") * F.col("boost"), 6).alias("score"))
     return top_k(scored, k, [F.desc("score"), F.col(key)], [query]).withColumnRenamed("rn", "rank")
 
 
 def fact_boost() -> Column:
-    return F.lit(1.0) + F.log1p(F.col("use_count").cast("double"))
+    """Decay x confidence x (1 + ln(1 + uses))."""
+    return F.col("decay_weight") * F.col("confidence") * (F.lit(1.0) + F.log1p(F.col("use_count").cast("double")))
 
 
 def miss_kind(df: DataFrame, threshold: float = 0.45) -> DataFrame:
@@ -184,13 +201,16 @@ def snippet(text: pd.Series, query: pd.Series) -> pd.Series:
             return t
         anchors = [a.lower() for a in re.split(r"[^\w-]+", q or "") if len(a) >= 3]
         low = t.lower()
-        spots = sorted({m.start() for a in anchors for m in re.finditer(re.escape(a), low)})
-        start, most = 0, 0
-        for h in spots:
+        spots = sorted({m.start() for a in set(anchors) for m in re.finditer(re.escape(a), low)})
+        start, most, first, last = 0, 0, 0, 0
+        for h in spots:  # windows move to the right, and so do the first hit inside and the first beyond
             s = min(max(0, h - 80), len(t) - size)
-            n = sum(s <= p < s + size for p in spots)
-            if n > most:
-                start, most = s, n
+            while first < len(spots) and spots[first] < s:
+                first += 1
+            while last < len(spots) and spots[last] < s + size:
+                last += 1
+            if last - first > most:
+                start, most = s, last - first
         end = min(len(t), start + size)
         if start > 0:
             near = re.search(r"\s", t[start : start + slack])
@@ -229,14 +249,11 @@ def hash_embedding(dim: int = 64):
     return embed
 
 
-@F.pandas_udf(T.DoubleType())
-def pair_score(query: pd.Series, text: pd.Series) -> pd.Series:
-    """Offline pair scorer: share of the query's words that the text holds."""
-    def one(q, t):
-        want = set(re.findall(r"\w+", (q or "").lower()))
-        return len(want & set(re.findall(r"\w+", (t or "").lower()))) / max(1, len(want))
-
-    return pd.Series([one(q, t) for q, t in zip(query, text, strict=True)])
+def pair_score(query: Column | str, text: Column | str) -> Column:
+    """Offline pair scorer: share of the query's distinct terms that the text holds; a model's UDF of this shape can replace it."""
+    want = F.array_distinct(terms(F.col(query) if isinstance(query, str) else query))
+    have = terms(F.col(text) if isinstance(text, str) else text)
+    return F.size(F.array_intersect(want, have)) / F.greatest(F.size(want), F.lit(1))
 
 
 def rerank(hits: DataFrame, window: int = 50) -> DataFrame:

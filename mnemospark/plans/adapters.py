@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lifecycle import decay_weight
+
 AS_OF = "2024-03-01 00:00:00"
 SOURCES = ("User", "Controller", "Task", "AgentProposal")
-#: Trust by source: a proposal below a fact's trust becomes a dissent.
-TRUST = {"User": 4, "Controller": 3, "Task": 2, "AgentProposal": 1}
 
 
 def as_of():
@@ -20,10 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text memories with their optional embedding."""
+    """Text memories, without their vectors."""
     d = F.col("doc_id")
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return table(spark, sf_dir, "documents").join(vectors, "doc_id", "left").select(
+    return table(spark, sf_dir, "documents").select(
         F.concat(F.lit("k"), d).alias("id"),
         d.alias("seq"),
         "text",
@@ -36,13 +35,22 @@ def knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang").alias("language"),
         F.when(d % 20 == 0, "volatile").alias("volatility"),
         F.concat(F.lit("a"), d % 10).alias("author_id"),
-        "embedding",
         F.timestamp_add("DAY", (d % 60).cast("int"), F.lit("2024-01-01").cast("timestamp")).alias("created_at"),
         F.when(d % 37 == 0, F.lit("2024-02-15").cast("timestamp")).alias("deleted_at"),
         F.when(d % 37 == 0, F.concat(F.lit("a"), d % 3)).alias("deleted_by"),
     )
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, embedding) of the memories that have a vector."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq"), "embedding")
+
+
+def with_vectors(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memories with their optional embedding; choose their columns first, the join moves them."""
+    return rows.join(vectors(spark, sf_dir), "seq", "left")
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("bigint")
     return table(spark, sf_dir, "events").select(
@@ -87,7 +95,8 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("timestamp").alias("deleted_at"),
         F.lit(None).cast("string").alias("deleted_by"),
     )
-    return task.unionByName(user).withColumn("payload_hash", F.sha2(F.concat_ws(":", "type", "payload"), 256)).withColumn("version", F.lit(1))
+    both = task.unionByName(user).withColumn("payload_hash", F.sha2(F.concat_ws(":", "type", "payload"), 256)).withColumn("version", F.lit(1))
+    return both.withColumns({"confidence": (F.substring("id", 2, 20).cast("bigint") % 5 + 6) / 10, "decay_weight": decay_weight(as_of())})
 
 
 def authors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +122,7 @@ def dissents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MODEL = """
-WITH knowledge AS (
+WITH RECURSIVE knowledge AS (
   SELECT 'k' || doc_id AS id, doc_id AS seq, text, sha256(text) AS content_hash,
     CASE WHEN doc_id % 10 = 0 THEN 'AgentProposal' ELSE 'Task' END AS source,
     [lang, 't' || doc_id % 7] AS tags, source AS repo, source || '/' || doc_id || '.md' AS file,
@@ -137,7 +146,8 @@ ev AS (
   FROM orders
   UNION ALL
   SELECT 'c' || c_custkey, 'UserFact', '{"name":"' || c_name || '","segment":"' || c_mktsegment || '"}', 'User', 0, TIMESTAMP '2023-01-01', NULL, 'a' || c_custkey % 10, NULL, NULL FROM customer
-), facts AS (SELECT *, sha256(type || ':' || payload) AS payload_hash, 1 AS version FROM facts0),
+), facts AS (SELECT *, sha256(type || ':' || payload) AS payload_hash, 1 AS version, (CAST(substr(id, 2) AS BIGINT) % 5 + 6) / 10.0 AS confidence,
+  round(1 / (1 + CASE type WHEN 'TaskFact' THEN 1e-6 ELSE 1e-9 END * greatest(CAST(epoch(TIMESTAMP '2024-03-01') - floor(epoch(coalesce(last_used_at, created_at))) AS BIGINT), 0)), 6) AS decay_weight FROM facts0),
 authors AS (
   SELECT 'a' || user_id % 10 AS id, 'agent-' || user_id % 10 % 4 AS agent_name, max(ts) AS last_seen_at FROM events GROUP BY 1, 2
   UNION ALL SELECT x, x, TIMESTAMP '2020-01-01' FROM (SELECT unnest(['system', 'lost-author']) AS x)

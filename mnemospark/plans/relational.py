@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import activity as act
+from ..operators import context as cx
 from ..operators import predicates as pr
 from ..operators import ranking as rk
 from ..operators import timeline as tl
 from ..operators import validation as va
 from ..sources import files
-from .adapters import MODEL, as_of, authors, dissents, events, facts, knowledge, table
+from .adapters import MODEL, as_of, authors, dissents, events, facts, knowledge, table, with_vectors
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -52,15 +53,15 @@ def facts_scan(spark, sf):
     return f.orderBy(F.desc("created_at"), F.desc("id")).limit(500).select("id", "type", "source", "created_at")
 
 
-@query("s5_events_scan", "SELECT id, category, created_at FROM ev WHERE (task_id = 't7' OR json_extract_string(payload, '$.service') = 's1') AND category = 'error' AND created_at > TIMESTAMP '2024-01-05' AND created_at < TIMESTAMP '2024-01-20'")
+@query("s5_events_scan", "SELECT id, category, created_at FROM ev WHERE (task_id = 't7' OR json_extract_string(payload, '$.service') = 's1') AND category = 'error' AND created_at > TIMESTAMP '2024-01-05' AND created_at < TIMESTAMP '2024-01-20' ORDER BY created_at, id LIMIT 500")
 def events_scan(spark, sf):
     e = events(spark, sf).filter(((F.col("task_id") == "t7") | pr.payload_equals("service", "s1")) & (F.col("category") == "error") & pr.within("created_at", "2024-01-05", "2024-01-20", closed=False))
-    return e.orderBy("created_at", "id").select("id", "category", "created_at")
+    return e.orderBy("created_at", "id").limit(500).select("id", "category", "created_at")
 
 
 @query("s7_upsert_split", "SELECT id, embedding IS NOT NULL AND len(embedding) = 64 AS accepted FROM knowledge")
 def upsert_split(spark, sf):
-    ok, bad = files.split_by_dimension(knowledge(spark, sf), 64)
+    ok, bad = files.split_by_dimension(with_vectors(knowledge(spark, sf).select("seq", "id"), spark, sf), 64)
     return ok.select("id", F.lit(True).alias("accepted")).unionByName(bad.select("id", F.lit(False).alias("accepted")))
 
 
@@ -171,13 +172,14 @@ def weight_update(spark, sf):
     return facts(spark, sf).select("id").join(pairs, "id", "left").select("id", F.coalesce("new", F.lit(1.0)).alias("weight"))
 
 
-@query("j7_section_dedupe", """, f AS (SELECT id, repo, file, created_at FROM knowledge WHERE seq % 3 = 0), k AS (SELECT id, repo, CASE WHEN seq % 5 = 0 THEN NULL ELSE repo || '/' || (seq - seq % 3) || '.md' END AS file FROM knowledge WHERE seq % 3 = 1)
-SELECT id FROM k WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.repo = k.repo AND f.file = k.file)""")
+@query("j7_section_dedupe", """, items AS (SELECT id, CASE seq % 3 WHEN 0 THEN 'fact' WHEN 1 THEN 'knowledge' ELSE 'event' END AS section, repo, CASE WHEN seq % 5 <> 4 THEN repo || '/' || (seq - seq % 3) || '.md' END AS file FROM knowledge),
+k AS (SELECT * FROM items i WHERE section = 'knowledge' AND NOT EXISTS (SELECT 1 FROM items f WHERE f.section = 'fact' AND f.repo = i.repo AND f.file = i.file))
+SELECT id, section FROM items WHERE section = 'fact' UNION ALL SELECT id, section FROM k UNION ALL SELECT id, section FROM items i WHERE section = 'event' AND NOT EXISTS (SELECT 1 FROM k WHERE k.repo = i.repo AND k.file = i.file)""")
 def section_dedupe(spark, sf):
-    k, s = knowledge(spark, sf), F.col("seq")
-    f = k.filter(s % 3 == 0).select("repo", "file")
-    other = k.filter(s % 3 == 1).withColumn("file", F.when(s % 5 != 0, F.concat("repo", F.lit("/"), s - s % 3, F.lit(".md"))))
-    return other.join(f, ["repo", "file"], "left_anti").select("id")
+    s = F.col("seq")
+    section = F.when(s % 3 == 0, "fact").when(s % 3 == 1, "knowledge").otherwise("event")
+    items = knowledge(spark, sf).select(F.lit(1).alias("query_id"), "id", section.alias("section"), "repo", F.when(s % 5 != 4, F.concat("repo", F.lit("/"), s - s % 3, F.lit(".md"))).alias("file"))
+    return cx.across_sections(items).select("id", "section")
 
 
 _PROPOSALS = """, proposals AS (SELECT CAST(seq AS BIGINT) AS seq, id AS keeper_id, ['k' || (seq + 10), 'k' || (seq + 20)] AS retire_ids FROM knowledge WHERE seq % 30 = 0)
@@ -217,13 +219,18 @@ def dissent_count(spark, sf):
 
 _CLUSTERS = """, subs AS (SELECT host, category, CAST(created_at AS DATE) AS day, service, count(*) AS n FROM ev GROUP BY ALL),
 top AS (SELECT host, category, day, string_agg(n || '× ' || service, ', ' ORDER BY n DESC, service) AS top FROM (SELECT *, row_number() OVER (PARTITION BY host, category, day ORDER BY n DESC, service) AS rn FROM subs) WHERE rn <= 3 GROUP BY ALL),
-clusters AS (SELECT host, category, CAST(created_at AS DATE) AS day, count(*) AS total, min(created_at) AS first_at, max(created_at) AS last_at, list_sort(list(id)) AS ids FROM ev GROUP BY ALL)
+clusters AS (SELECT host, category, CAST(created_at AS DATE) AS day, count(*) AS total, min(created_at) AS first_at, max(created_at) AS last_at FROM ev GROUP BY ALL)
 """
 
 
-@query("a4_daily_clusters", _CLUSTERS + "SELECT host, category, day, total, first_at, last_at, array_to_string(ids, ',') AS ids FROM clusters")
+@query("a4_daily_clusters", _CLUSTERS + "SELECT host, category, day, total, first_at, last_at FROM clusters")
 def daily_clusters(spark, sf):
-    return act.daily_clusters(events(spark, sf)).drop("top").withColumn("ids", F.array_join("ids", ","))
+    return act.daily_clusters(events(spark, sf)).drop("top")
+
+
+@query("a4_cluster_members", "SELECT host, category, CAST(created_at AS DATE) AS day, id FROM ev")
+def cluster_members(spark, sf):
+    return act.cluster_members(events(spark, sf))
 
 
 @query("a5_headlines", _CLUSTERS + "SELECT host, category, day, host || '/' || category || ' ' || strftime(first_at, '%H:%M') || '–' || strftime(last_at, '%H:%M') || ' — ' || total || ' events: ' || top AS headline FROM clusters JOIN top USING (host, category, day) WHERE total >= 2")
@@ -242,7 +249,7 @@ def oversize_by_agent(spark, sf):
     return knowledge(spark, sf).filter(n > 2000).groupBy("author_id").agg(F.count(F.lit(1)).alias("n"), F.max(n).alias("longest"), F.round(F.avg(n), 6).alias("mean"))
 
 
-@query("a11_latency_profile", "SELECT category, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, min(value) AS lo, max(value) AS hi, round(avg(value), 6) AS mean FROM ev GROUP BY 1")
+@query("a11_latency_profile", "SELECT category, round(quantile_disc(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.95), 6) AS p95, round(quantile_disc(value, 0.99), 6) AS p99, min(value) AS lo, max(value) AS hi, round(avg(value), 6) AS mean FROM ev GROUP BY 1")
 def latency_profile(spark, sf):
     return act.latency_profile(events(spark, sf), "value", ["category"])
 
@@ -267,9 +274,9 @@ def merged_timeline(spark, sf):
     return tl.timeline(envelope(spark, sf), "2024-01-01", "2024-01-10", state="live", limit=300).select("kind", "id", "created_at")
 
 
-@query("u2_author_timeline", _ENVELOPE + "SELECT kind, id, created_at, author_id FROM envelope WHERE author_id = 'a5'")
+@query("u2_author_timeline", _ENVELOPE + "SELECT kind, id, created_at, author_id FROM envelope WHERE author_id = 'a5' ORDER BY created_at DESC, id DESC LIMIT 500")
 def author_timeline(spark, sf):
-    return tl.timeline(envelope(spark, sf), authors=["a5"]).select("kind", "id", "created_at", "author_id")
+    return tl.timeline(envelope(spark, sf), authors=["a5"], limit=500).select("kind", "id", "created_at", "author_id")
 
 
 @query("u3_deleted", _ENVELOPE + "SELECT kind, e.id, deleted_at, deleted_by, coalesce(a.agent_name, 'unknown') AS deleter FROM envelope e LEFT JOIN authors a ON a.id = e.deleted_by WHERE deleted_at >= TIMESTAMP '2024-02-01'")

@@ -9,13 +9,14 @@ from ..functions import chunking
 from ..functions import text as tx
 from ..operators import activity as act
 from ..operators import context as cx
+from ..operators import hybrid as hy
 from ..operators import lifecycle as lc
 from ..operators import predicates as pr
 from ..operators import ranking as rk
 from ..operators import retrieval as rt
-from ..sources.staging import stage
+from ..sources.staging import broadcast_if_small, stage
 from ..streaming import jobs
-from .adapters import as_of, authors, dissents, events, facts, knowledge, table
+from .adapters import as_of, authors, dissents, events, facts, knowledge, table, with_vectors
 from .relational import _PROPOSALS, proposals, query
 
 TOP_K = 10
@@ -26,48 +27,77 @@ def vector_queries(spark, sf) -> DataFrame:
 
 
 def text_queries(spark, sf) -> DataFrame:
-    """The first three words of each benchmark item."""
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("query"))
+    """The benchmark items, whole."""
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def search_queries(spark, sf) -> DataFrame:
+    """(query_id, query, embedding): every twentieth document with its vector, segments of every twentieth customer, and all hosts with their services."""
+    docs = table(spark, sf, "documents").filter("doc_id % 20 = 0").select(F.col("doc_id").alias("seq"), F.concat(F.lit("d"), "doc_id").alias("query_id"), F.col("text").alias("query"))
+    none = F.lit(None).cast("array<float>").alias("embedding")
+    segments = table(spark, sf, "customer").filter("c_custkey % 20 = 0").select(F.concat(F.lit("s"), "c_custkey").alias("query_id"), F.concat(F.lit("segment "), F.lower("c_mktsegment")).alias("query"), none)
+    hosts = events(spark, sf).select("host", "service").distinct().select(F.concat(F.lit("e"), "host", "service").alias("query_id"), F.concat_ws(" ", "host", "service").alias("query"), none)
+    dense = with_vectors(docs, spark, sf).select("query_id", "query", F.col("embedding").cast("array<float>").alias("embedding"))
+    return dense.unionByName(segments).unionByName(hosts)
 
 
 def live_knowledge(spark, sf) -> DataFrame:
     return knowledge(spark, sf).filter(pr.live())
 
 
+def live_vectors(spark, sf, *columns: str) -> DataFrame:
+    """Live memories that have a vector; only the named columns are moved to them."""
+    return with_vectors(live_knowledge(spark, sf).select("seq", "id", *columns), spark, sf).filter("embedding is not null")
+
+
 _TOP = "SELECT query_id, id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM {source}) WHERE rank <= 10"
 
 
 @query("r1_dense_knn", _TOP.format(source="scored"))
 def dense_knn(spark, sf):
-    return rt.knn(vector_queries(spark, sf), live_knowledge(spark, sf), TOP_K)
+    return rt.knn(vector_queries(spark, sf), live_vectors(spark, sf), TOP_K)
 
 
 @query("r2_approximate_knn")
 def approximate_knn(spark, sf):
-    return rt.knn_lsh(vector_queries(spark, sf), live_knowledge(spark, sf), TOP_K)
+    return rt.knn_lsh(vector_queries(spark, sf), live_vectors(spark, sf), TOP_K)
 
 
 @query("r3_tagged_knn", _TOP.format(source="(SELECT * FROM scored WHERE list_has_all(tags, ['en', 't3']))"))
 def tagged_knn(spark, sf):
-    return rt.knn(vector_queries(spark, sf), live_knowledge(spark, sf).filter(pr.all_tags(["en", "t3"])), TOP_K)
+    return rt.knn(vector_queries(spark, sf), live_vectors(spark, sf, "tags").filter(pr.all_tags(["en", "t3"])), TOP_K)
 
 
 @query("r4_curated_knn", ", best AS (" + _TOP.format(source="scored") + "), cur AS (" + _TOP.format(source="(SELECT * FROM scored WHERE source = 'AgentProposal' AND machine IS NULL)") + """)
-SELECT query_id, id, score, rank FROM cur WHERE score >= greatest(0.2, 0.5 * (SELECT max(score) FROM (SELECT query_id, score FROM best UNION ALL SELECT query_id, score FROM cur) b WHERE b.query_id = cur.query_id))""")
+SELECT query_id, id, score, rank FROM cur WHERE score >= greatest(0.45, 0.82 * (SELECT max(score) FROM (SELECT query_id, score FROM best UNION ALL SELECT query_id, score FROM cur) b WHERE b.query_id = cur.query_id))""")
 def curated_knn(spark, sf):
-    live, q = live_knowledge(spark, sf), vector_queries(spark, sf)
+    live, q = live_vectors(spark, sf, "source", "machine"), vector_queries(spark, sf)
     hand = rt.knn(q, live.filter("source = 'AgentProposal' and machine is null"), TOP_K)
-    return rt.curated(hand, rt.knn(q, live, TOP_K), 0.2, 0.5)
+    return rt.curated(hand, rt.knn(q, live, TOP_K))
 
 
-_LEXICAL = r""", q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:3], ' ')), '[\p{L}\p{N}_]+')) AS wanted FROM benchmark),
+_LEXICAL = r""", q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS wanted FROM benchmark),
 lexical AS (SELECT query_id, k.id, seq FROM q, (SELECT id, seq, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS own FROM knowledge WHERE deleted_at IS NULL) k WHERE len(wanted) > 0 AND list_has_all(own, wanted))
 """
 
+_SEARCH = r""", asked AS (
+  SELECT 'd' || doc_id AS query_id, text AS query, CAST(embedding AS DOUBLE[]) AS e, NULL AS kind FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE doc_id % 20 = 0
+  UNION ALL SELECT 's' || c_custkey, 'segment ' || lower(c_mktsegment), NULL, c_mktsegment FROM customer WHERE c_custkey % 20 = 0
+  UNION ALL SELECT DISTINCT 'e' || host || service, host || ' ' || service, CAST(NULL AS DOUBLE[]), NULL FROM ev
+), wanted AS (SELECT query_id, e, list_distinct(regexp_extract_all(lower(query), '[\p{L}\p{N}_]+')) AS w FROM asked),
+held AS (SELECT id, seq, content_hash, machine, source, volatility, embedding, created_at, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS own FROM knowledge WHERE deleted_at IS NULL),
+"""
 
-@query("r5_lexical", _LEXICAL + "SELECT query_id, id FROM lexical")
+
+@query("r5_lexical", _SEARCH + """hits AS (SELECT query_id, id, round(list_cosine_similarity(e, embedding), 6) AS score FROM wanted, held WHERE len(w) > 0 AND list_has_all(own, w))
+SELECT query_id, id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, id) AS INT) AS rank FROM hits) WHERE rank <= 10""")
 def lexical(spark, sf):
-    return rt.lexical(text_queries(spark, sf), live_knowledge(spark, sf))
+    """Whole texts of the query documents; their hits by cosine."""
+    items = with_vectors(live_knowledge(spark, sf).select("seq", "id"), spark, sf)
+    hits = rt.lexical(search_queries(spark, sf), live_knowledge(spark, sf)).join(items, "id")
+    asked = search_queries(spark, sf).select("query_id", F.col("embedding").alias("asked"))
+    scored = hits.join(asked, "query_id").select("query_id", "id", rt.cosine(F.col("asked"), F.col("embedding")).alias("score"))
+    return rk.top_k(scored, TOP_K, [F.desc_nulls_last("score"), F.col("id")], ["query_id"]).withColumnRenamed("rn", "rank")
 
 
 @query("r6_full_text_knowledge")
@@ -75,17 +105,18 @@ def full_text_knowledge(spark, sf):
     return rt.full_text(text_queries(spark, sf), live_knowledge(spark, sf), "text", TOP_K)
 
 
-@query("r6_full_text_facts")
+_FACT_HITS = "SELECT a.query_id, f.id, round(decay_weight * confidence * (1.0 + ln(1.0 + use_count)), 6) AS score FROM asked a JOIN customer c ON c.c_mktsegment = a.kind JOIN facts f ON f.id = 'c' || c.c_custkey WHERE f.deleted_at IS NULL"
+_EVENT_HITS = "SELECT query_id, id, round(2 / 3.0, 6) AS score FROM asked JOIN ev ON query_id = 'e' || host || service"
+
+
+@query("r6_full_text_facts", _SEARCH + f"hits AS ({_FACT_HITS}) " + _TOP.format(source="hits"))
 def full_text_facts(spark, sf):
-    wanted = table(spark, sf, "customer").filter("c_custkey % 20 = 0").select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("segment "), F.lower("c_mktsegment")).alias("query"))
-    return rt.full_text(wanted, facts(spark, sf).filter(pr.live()), "payload", TOP_K, rt.fact_boost())
+    return rt.full_text(search_queries(spark, sf), facts(spark, sf).filter(pr.live()), "payload", TOP_K, rt.fact_boost())
 
 
-@query("r7_full_text_events")
+@query("r7_full_text_events", _SEARCH + f"hits AS ({_EVENT_HITS}) " + _TOP.format(source="hits"))
 def full_text_events(spark, sf):
-    e = events(spark, sf)
-    wanted = e.select("host", "service").distinct().select(F.xxhash64("host", "service").alias("query_id"), F.concat_ws(" ", "host", "service").alias("query"))
-    return rt.full_text(wanted, e, "payload", TOP_K)
+    return rt.full_text(search_queries(spark, sf), events(spark, sf), "payload", TOP_K)
 
 
 @query("r8_fusion_weight", """SELECT id, round(CASE WHEN machine IS NOT NULL THEN 1.0 WHEN source = 'AgentProposal' AND author_id = 'a0' AND seq % 40 = 0 THEN 1.5 WHEN source IN ('AgentProposal', 'User') THEN 2.0 ELSE 1.0 END
@@ -95,26 +126,28 @@ def fusion_weight(spark, sf):
     return knowledge(spark, sf).select("id", F.round(rt.tier_weight(extractor=F.col("seq") % 40 == 0) * rt.volatility_demotion("volatility", age), 6).alias("weight"))
 
 
-@query("r10_related", """, pairs AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS score FROM knowledge a, knowledge b
-WHERE a.seq % 20 = 0 AND a.embedding IS NOT NULL AND b.embedding IS NOT NULL AND b.deleted_at IS NULL AND a.content_hash <> b.content_hash)
+_REP = """, rep AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(content_hash, id) ORDER BY embedding IS NULL, id) AS nth, count(*) OVER (PARTITION BY coalesce(content_hash, id)) - 1 AS copies FROM knowledge WHERE deleted_at IS NULL) WHERE nth = 1)
+"""
+
+
+@query("r10_related", _REP + """, pairs AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS score FROM knowledge a, rep b
+WHERE a.seq % 20 = 0 AND a.embedding IS NOT NULL AND b.embedding IS NOT NULL AND a.content_hash <> b.content_hash)
 """ + _TOP.format(source="pairs"))
 def related(spark, sf):
-    """Neighbours of seed rows without their copies: enough neighbours are taken to make up for the copies."""
-    live = live_knowledge(spark, sf)
-    seeds = knowledge(spark, sf).filter("seq % 20 = 0 and embedding is not null")
-    hashes = knowledge(spark, sf).select("id", "content_hash")
-    copies = seeds.select("content_hash").join(hashes, "content_hash").groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"))
-    most = copies.agg(F.max("n")).first()[0] or 0
-    near = rt.knn(seeds.select(F.col("id").alias("query_id"), "embedding"), live, TOP_K + most).drop("rank")
+    """Neighbours of seed rows among one row per content, so that copies take no places; a seed's own content is left out."""
+    one = hy.representatives(with_vectors(knowledge(spark, sf).select("seq", "id", "content_hash", "deleted_at"), spark, sf), "content_hash", "embedding")
+    one = stage(one.filter("embedding is not null"), "representatives")
+    seeds = with_vectors(knowledge(spark, sf).filter("seq % 20 = 0").select("seq", "id", "content_hash"), spark, sf).filter("embedding is not null")
+    near = rt.knn(seeds.select(F.col("id").alias("query_id"), "embedding"), one, TOP_K + 1).drop("rank")
     own = seeds.select(F.col("id").alias("query_id"), F.col("content_hash").alias("seed_hash"))
-    kept = near.join(own, "query_id").join(hashes, "id").filter("content_hash <> seed_hash").select("query_id", "id", "score")
+    kept = near.join(own, "query_id").join(one.select("id", "content_hash"), "id").filter("content_hash <> seed_hash").select("query_id", "id", "score")
     return rk.top_k(kept, TOP_K, [F.desc("score"), F.col("id")], ["query_id"]).withColumnRenamed("rn", "rank")
 
 
-@query("r11_similar_on_write", "SELECT query_id, id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM scored WHERE source = 'AgentProposal' AND machine IS NULL AND score >= 0.1) WHERE rank <= 5")
+@query("r11_similar_on_write", "SELECT query_id, id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM scored WHERE source = 'AgentProposal' AND machine IS NULL AND score >= 0.85) WHERE rank <= 5")
 def similar_on_write(spark, sf):
-    hand = live_knowledge(spark, sf).filter("source = 'AgentProposal' and machine is null")
-    return rt.knn(vector_queries(spark, sf), hand, 5).filter("score >= 0.1")
+    hand = live_vectors(spark, sf, "source", "machine").filter("source = 'AgentProposal' and machine is null")
+    return rt.knn(vector_queries(spark, sf), hand, 5).filter("score >= 0.85")
 
 
 _SAMPLE = ", hits AS (" + _TOP.format(source="scored") + """), sample AS (
@@ -123,7 +156,7 @@ SELECT v.vec_id AS query_id, count(h.id) AS hits, max(h.score) AS top_raw FROM e
 
 
 def search_sample(spark, sf) -> DataFrame:
-    hits = rt.knn(vector_queries(spark, sf), live_knowledge(spark, sf), TOP_K).filter("score >= 0.3").groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.max("score").alias("top_raw"))
+    hits = rt.knn(vector_queries(spark, sf), live_vectors(spark, sf), TOP_K).filter("score >= 0.3").groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.max("score").alias("top_raw"))
     s = vector_queries(spark, sf).select("query_id").join(hits, "query_id", "left")
     return s.select("query_id", F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits"), "top_raw", F.when(F.col("hits") > 0, "knowledge").alias("top_kind"))
 
@@ -163,7 +196,7 @@ lists AS (SELECT 'vector' AS list, query_id, id, score, rank, 1.0 AS weight FROM
 
 
 def two_lists(spark, sf) -> DataFrame:
-    live, q = live_knowledge(spark, sf), vector_queries(spark, sf)
+    live, q = live_vectors(spark, sf, "tags"), vector_queries(spark, sf)
     dense = rt.knn(q, live, TOP_K).withColumns({"list": F.lit("vector"), "weight": F.lit(1.0)})
     tagged = rt.knn(q, live.filter(F.array_contains("tags", "en")), TOP_K).withColumns({"list": F.lit("fts"), "weight": F.lit(2.0)})
     return dense.unionByName(tagged)
@@ -184,14 +217,23 @@ for _how, _name, _sql in (
 SELECT query_id, id, CAST((SELECT count(*) FROM ranked o WHERE o.query_id = r.query_id AND o.h = r.h) - (CASE WHEN h IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS copies FROM ranked r
 WHERE h IS NULL OR rank = (SELECT min(rank) FROM ranked o WHERE o.query_id = r.query_id AND o.h = r.h)""")
 def collapse(spark, sf):
-    ranked = knowledge(spark, sf).select((F.col("seq") % 20).alias("query_id"), "id", F.when(F.col("seq") % 11 != 0, F.col("content_hash")).alias("h"), F.col("seq").alias("rank"), "machine", "file")
-    return rk.collapse(ranked, ["query_id"], "h", [F.col("rank")], ["id", "machine", "file"]).select("query_id", "id", F.size("copies").cast("bigint").alias("copies"))
+    ranked = knowledge(spark, sf).select((F.col("seq") % 20).alias("query_id"), "id", F.when(F.col("seq") % 11 != 0, F.col("content_hash")).alias("h"), F.col("seq").alias("rank"))
+    return rk.collapse(ranked, ["query_id"], "h", ["rank"]).select("query_id", "id", "copies")
+
+
+@query("w1_copies", """, ranked AS (SELECT seq % 20 AS query_id, id, CASE WHEN seq % 11 <> 0 THEN content_hash END AS h, seq AS rank FROM knowledge)
+SELECT r.query_id, r.id, b.id AS "of" FROM ranked r JOIN ranked b ON b.query_id = r.query_id AND b.h = r.h WHERE r.id <> b.id AND b.rank = (SELECT min(rank) FROM ranked o WHERE o.query_id = r.query_id AND o.h = r.h)""")
+def copies_of(spark, sf):
+    ranked = knowledge(spark, sf).select((F.col("seq") % 20).alias("query_id"), "id", F.when(F.col("seq") % 11 != 0, F.col("content_hash")).alias("h"), F.col("seq").alias("rank"))
+    return rk.copies_of(ranked, ["query_id"], "h", ["rank"]).select("query_id", "id", "of")
 
 
-@query("a9_collapse_effect", "SELECT query_id, sum(n - 1) AS collapsed FROM (SELECT seq % 20 AS query_id, content_hash, count(*) AS n FROM knowledge GROUP BY 1, 2) GROUP BY 1")
+@query("a9_collapse_effect", "SELECT count(*) FILTER (c > 0) AS filtered, sum(c) AS total, round(avg(c), 6) AS mean FROM (SELECT query_id, sum(n - 1) AS c FROM (SELECT seq % 20 AS query_id, content_hash, count(*) AS n FROM knowledge GROUP BY 1, 2) GROUP BY 1)")
 def collapse_effect(spark, sf):
+    """Over all queries: how many lost copies, how many copies, and their mean."""
     ranked = knowledge(spark, sf).select((F.col("seq") % 20).alias("query_id"), "id", F.col("content_hash").alias("h"), F.col("seq").alias("rank"))
-    return rk.collapse(ranked, ["query_id"], "h", [F.col("rank")], ["id"]).groupBy("query_id").agg(F.sum(F.size("copies")).alias("collapsed"))
+    per = rk.collapse(ranked, ["query_id"], "h", ["rank"]).groupBy("query_id").agg(F.sum("copies").alias("c"))
+    return per.agg(F.count_if(F.col("c") > 0).alias("filtered"), F.sum("c").alias("total"), F.round(F.avg("c"), 6).alias("mean"))
 
 
 @query("w2_renumber", ", hits AS (" + _TOP.format(source="scored") + ") SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS INT) AS source_rank FROM hits WHERE rank % 3 <> 0")
@@ -203,7 +245,7 @@ def renumber(spark, sf):
 SELECT query_id, id, rank FROM page UNION ALL
 SELECT query_id, id, CAST(10 + row_number() OVER (PARTITION BY query_id ORDER BY rank, id) AS INT) FROM extra e WHERE NOT EXISTS (SELECT 1 FROM page p WHERE p.query_id = e.query_id AND p.id = e.id)""")
 def append(spark, sf):
-    live, q = live_knowledge(spark, sf), vector_queries(spark, sf)
+    live, q = live_vectors(spark, sf, "tags"), vector_queries(spark, sf)
     return rk.append_list(rt.knn(q, live, TOP_K), rt.knn(q, live.filter(F.array_contains("tags", "en")), TOP_K))
 
 
@@ -229,84 +271,115 @@ def final_top_k(spark, sf):
     return rk.top_k(fused, 5, [F.desc("fused"), F.col("id")], ["query_id"]).select("query_id", "id", "rn")
 
 
+def memories(spark, sf) -> DataFrame:
+    """Knowledge with what hybrid search asks for."""
+    k = knowledge(spark, sf).select("seq", "id", "text", "content_hash", "machine", "source", "volatility", "tags", "repo", "file", "created_at", "deleted_at", F.datediff(as_of(), F.col("created_at")).alias("age_days"))
+    return with_vectors(k, spark, sf)
+
+
 def hybrid_search(spark, sf, k: int = TOP_K) -> DataFrame:
-    """Dense, lexical and full-text lists, collapsed, re-ranked, weighted and fused; k per query."""
-    q = text_queries(spark, sf)
-    live = live_knowledge(spark, sf)
-    embed = rt.hash_embedding()
-    dense = rt.knn(q.select("query_id", embed("query").alias("embedding")), live.select("id", embed("text").alias("embedding")), 2 * k).select("query_id", "id", "rank", F.lit("vector").alias("list"))
-    found = rt.lexical(q, live)
-    lex = rk.top_k(found, 2 * k, [F.col("id")], ["query_id"]).select("query_id", "id", F.col("rn").alias("rank"), F.lit("lexical").alias("list"))
-    fts = rt.full_text(q, live, "text", 2 * k).select("query_id", "id", "rank", F.lit("fts").alias("list"))
-    age = F.datediff(as_of(), F.col("created_at"))
-    rows = live.select("id", "content_hash", "text", "machine", "file", (rt.tier_weight() * rt.volatility_demotion("volatility", age)).alias("weight"))
-    # at most 6 k rows per query: what follows never touches the corpus again
-    lists = stage(dense.unionByName(lex).unionByName(fts).join(rows, "id"), "candidates")
-    one = rk.collapse(lists, ["query_id", "list"], "content_hash", [F.col("rank"), F.col("id")], ["id", "machine", "file"])
-    one = one.withColumn("rank", rk.F.row_number().over(rk.Window.partitionBy("query_id", "list").orderBy("rank", "id")))
-    pairs = one.join(q, "query_id").withColumn("pair", F.when(F.col("list") == "vector", rt.pair_score("query", "text")).otherwise(-F.col("rank").cast("double")))
-    pairs = pairs.withColumn("rank", rk.F.row_number().over(rk.Window.partitionBy("query_id", "list").orderBy(F.desc("pair"), "rank")))
-    fused = rk.rrf(pairs.select("query_id", "id", "rank", "weight")).withColumn("fused", F.round("fused", 9))
-    return rk.top_k(fused, k, [F.desc("fused"), F.col("id")], ["query_id"]).withColumnRenamed("rn", "rank")
-
-
-@query("r9_hybrid_search")
+    """Dense, curated, lexical, fact and event lists, re-ranked, weighted and fused; k per query."""
+    return hy.search(search_queries(spark, sf), memories(spark, sf), facts(spark, sf).filter(pr.live()), events(spark, sf), k)
+
+
+_HYBRID = _SEARCH + _REP[2:-1] + f""",
+cos AS (SELECT query_id, r.id, r.source, r.machine, round(list_cosine_similarity(e, r.embedding), 6) AS score FROM asked, rep r WHERE e IS NOT NULL AND r.embedding IS NOT NULL),
+dense AS ({_TOP.format(source="cos").replace("<= 10", "<= 20")}), cur AS ({_TOP.format(source="(SELECT * FROM cos WHERE source = 'AgentProposal' AND machine IS NULL)").replace("<= 10", "<= 20")}),
+top AS (SELECT query_id, max(score) AS best FROM (SELECT query_id, score FROM dense UNION ALL SELECT query_id, score FROM cur) GROUP BY 1),
+lex AS (SELECT query_id, held.id, round(list_cosine_similarity(e, held.embedding), 6) AS score FROM wanted, held WHERE held.id IN (SELECT id FROM rep) AND len(w) > 0 AND list_has_all(own, w)),
+fact_hits AS ({_FACT_HITS}), event_hits AS ({_EVENT_HITS}),
+paired AS (SELECT dense.query_id, dense.id, dense.score, dense.rank, round(len(list_intersect(w, own)) / CAST(greatest(len(w), 1) AS DOUBLE), 9) AS pair FROM dense JOIN wanted USING (query_id) JOIN held ON held.id = dense.id),
+moved AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pair DESC, rank) AS INT) AS new_rank FROM paired),
+lists AS (
+  SELECT query_id, 1 AS place, 'knowledge' AS kind, id, new_rank AS rank, score AS raw FROM moved
+  UNION ALL SELECT cur.query_id, 2, 'knowledge', id, rank, score FROM cur JOIN top USING (query_id) WHERE score >= greatest(0.45, 0.82 * best)
+  UNION ALL SELECT query_id, 3, 'knowledge', id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, id) AS rank FROM lex) WHERE rank <= 20
+  UNION ALL SELECT query_id, 4, 'fact', id, rank, score FROM ({_TOP.format(source="fact_hits").replace("<= 10", "<= 20")})
+  UNION ALL SELECT query_id, 5, 'event', id, rank, score FROM ({_TOP.format(source="event_hits").replace("<= 10", "<= 20")})
+), best AS (SELECT query_id, max(raw) AS best FROM lists WHERE kind = 'knowledge' GROUP BY 1),
+weighed AS (SELECT l.*, rep.copies, CASE WHEN kind = 'knowledge' THEN (CASE WHEN coalesce(raw >= greatest(0.45, 0.82 * best), false) THEN (CASE WHEN rep.machine IS NOT NULL THEN 1.0 WHEN rep.source IN ('AgentProposal', 'User') THEN 2.0 ELSE 1.0 END) ELSE 1.0 END)
+  * (CASE WHEN rep.volatility = 'volatile' AND date_diff('day', rep.created_at, TIMESTAMP '2024-03-01') > 7 THEN greatest(0.25, pow(0.5, (date_diff('day', rep.created_at, TIMESTAMP '2024-03-01') - 7) / 30.0)) ELSE 1.0 END) ELSE 1.0 END AS weight
+  FROM lists l LEFT JOIN rep ON rep.id = l.id LEFT JOIN best ON best.query_id = l.query_id),
+fused AS (SELECT query_id, kind, id, round(sum(weight / (60 + rank)), 9) AS fused, max(raw) AS raw, min(place) AS place, coalesce(max(copies), 0) AS copies FROM weighed GROUP BY 1, 2, 3)
+"""
+
+
+@query("r9_hybrid_search", _HYBRID + "SELECT query_id, kind, id, rank, fused, raw, copies FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, place, id) AS INT) AS rank FROM fused) WHERE rank <= 10")
 def hybrid(spark, sf):
     return hybrid_search(spark, sf)
 
 
-@query("w8_rerank")
+@query("w8_rerank", _HYBRID + "SELECT query_id, id, rank, new_rank FROM moved")
 def rerank(spark, sf):
-    q = text_queries(spark, sf)
-    hits = rt.full_text(q, live_knowledge(spark, sf), "text", 20).join(q, "query_id").join(live_knowledge(spark, sf).select("id", "text"), "id")
-    return rt.rerank(hits.withColumn("pair", rt.pair_score("query", "text")), 10).select("query_id", "id", "rank", "new_rank")
+    q, k = search_queries(spark, sf), memories(spark, sf)
+    dense = hy.candidate_lists(q, k, facts(spark, sf).filter(pr.live()), events(spark, sf), 2 * TOP_K)[0].filter("list = 'vector'")
+    moved = hy.reranked(dense, q, k).select("query_id", "id", F.col("rank").alias("new_rank"))
+    return dense.select("query_id", "id", "rank").join(moved, ["query_id", "id"])
+
+
+def hit_texts(spark, sf, hits: DataFrame) -> DataFrame:
+    """``hits`` with query, text and when each row was made, whatever its kind."""
+    k = live_knowledge(spark, sf).select(F.lit("knowledge").alias("kind"), "id", "text", "repo", "file", "machine", "created_at")
+    rest = [facts(spark, sf).select(F.lit("fact").alias("kind"), "id", F.col("payload").alias("text"), "created_at"), events(spark, sf).select(F.lit("event").alias("kind"), "id", F.col("payload").alias("text"), "created_at")]
+    every = k.unionByName(rest[0], allowMissingColumns=True).unionByName(rest[1], allowMissingColumns=True)
+    wanted = broadcast_if_small(hits, 128)
+    return every.join(wanted, ["kind", "id"]).join(search_queries(spark, sf).select("query_id", "query"), "query_id")
 
 
 @query("f8_snippets")
 def snippets(spark, sf):
-    q = text_queries(spark, sf)
-    hits = hybrid_search(spark, sf).join(q, "query_id").join(live_knowledge(spark, sf).select("id", "text"), "id")
-    return hits.select("query_id", "id", "rank", rt.snippet("text", "query").alias("snippet"))
+    return hit_texts(spark, sf, hybrid_search(spark, sf)).select("query_id", "kind", "id", "rank", rt.snippet("text", "query").alias("snippet"))
 
 
 @query("f9_compact_hits")
 def compact_hits(spark, sf):
-    k = live_knowledge(spark, sf).select("id", "text", "repo", "file", "machine", "created_at")
-    hits = hybrid_search(spark, sf).join(text_queries(spark, sf), "query_id").join(k, "id")
+    hits = hit_texts(spark, sf, hybrid_search(spark, sf))
     age = F.unix_timestamp(as_of()) - F.unix_timestamp("created_at")
-    return hits.select("query_id", "id", "rank", F.lit("knowledge").alias("kind"), "repo", "file", "machine", age.alias("age_seconds"), rt.snippet("text", "query").alias("snippet"), F.substring("text", 1, 200).alias("preview"))
+    return hits.select("query_id", "id", "rank", "kind", "repo", "file", "machine", "copies", age.alias("age_seconds"), rt.snippet("text", "query").alias("snippet"), F.substring("text", 1, 200).alias("preview"))
+
 
+def bundle_items(spark, sf, k: int = TOP_K) -> DataFrame:
+    """Items of the three sections of each query with score, keys and token cost, as long-form rows: each section is fused on its own."""
+    q, m = search_queries(spark, sf), memories(spark, sf)
+    lists, reps = hy.candidate_lists(q, m, facts(spark, sf).filter(pr.live()), events(spark, sf), 2 * k)
+    found = hy.fused(hy.reranked(lists, q, m), reps)
+    best = rk.top_k(found, k, [F.desc("fused"), F.col("first"), F.col("id")], ["query_id", "kind"])
+    best = broadcast_if_small(best.select("query_id", F.col("kind").alias("section"), "id", F.col("fused").alias("score")), 96)
+    k = live_knowledge(spark, sf).select("id", "repo", "file", F.ceil(F.length("text") / 4).alias("cost"))
+    f = facts(spark, sf).select("id", tx.json_cost("id", "payload").alias("cost"))
+    e = events(spark, sf).select("id", "host", "category", F.to_date("created_at").alias("day"), tx.json_cost("id", "payload").alias("cost"))
+    every = k.unionByName(f, allowMissingColumns=True).unionByName(e, allowMissingColumns=True)
+    return every.join(best, "id").select("query_id", "section", "id", "score", "repo", "file", "host", "category", "day", "cost")
 
-def bundle_items(spark, sf) -> DataFrame:
-    """Facts, knowledge and events of each query with score, key and token cost, as long-form rows."""
-    n = table(spark, sf, "benchmark").count()
-    k = hybrid_search(spark, sf).join(live_knowledge(spark, sf).select("id", "repo", "file", "text"), "id")
-    k = k.select("query_id", F.lit("knowledge").alias("section"), "id", F.col("fused").alias("score"), "repo", "file", F.ceil(F.length("text") / 4).alias("cost"))
-    f = rk.top_k(facts(spark, sf).filter(pr.live()).withColumn("query_id", F.pmod(F.crc32("id"), F.lit(n))), TOP_K, [F.desc("created_at"), F.col("id")], ["query_id"])
-    f = f.select("query_id", F.lit("fact").alias("section"), "id", (1.0 / (60 + F.col("rn"))).alias("score"), F.lit(None).cast("string").alias("repo"), F.lit(None).cast("string").alias("file"), tx.json_cost("id", "payload").alias("cost"))
-    e = rk.top_k(events(spark, sf).withColumn("query_id", F.pmod(F.crc32("id"), F.lit(n))), TOP_K, [F.desc("created_at"), F.col("id")], ["query_id"])
-    e = e.select("query_id", F.lit("event").alias("section"), "id", (1.0 / (60 + F.col("rn"))).alias("score"), F.lit(None).cast("string").alias("repo"), F.lit(None).cast("string").alias("file"), tx.json_cost("id", "payload").alias("cost"))
-    return k.unionByName(f).unionByName(e)
+
+BUDGET = 120
 
 
 @query("w10_budget")
 def budget(spark, sf):
-    return cx.allocate(bundle_items(spark, sf), 2000)
+    return cx.allocate(bundle_items(spark, sf), BUDGET)
 
 
 @query("r14_context_bundle")
 def context_bundle(spark, sf):
-    items = stage(cx.across_sections(bundle_items(spark, sf)), "bundle")
-    kept = cx.allocate(items, 2000)
-    return items.join(kept, ["query_id", "id"]).select("query_id", "section", "id", "score", "cost", "truncated")
-
-
-@query("r15_list_build", ", hits AS (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank, content_hash FROM scored), near AS (SELECT *, score / max(score) OVER (PARTITION BY query_id) AS n FROM hits WHERE rank <= 30), one AS (SELECT *, row_number() OVER (PARTITION BY query_id, content_hash ORDER BY rank) AS c FROM near) SELECT query_id, id, round(greatest(0.0, least(1.0, n)), 4) AS norm FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM one WHERE c = 1) WHERE r <= 10")
+    """Sections without what another section shows, events replaced by day summaries where they would take over half the budget, cut to the budget."""
+    lines = act.headlines(act.daily_clusters(events(spark, sf)))
+    summaries = lines.select("host", "category", "day", F.concat_ws("/", F.lit("summary"), "host", "category", "day").alias("id"), tx.json_cost("headline").alias("cost"))
+    items = stage(cx.with_summaries(cx.across_sections(bundle_items(spark, sf)), summaries, BUDGET), "bundle")
+    kept = items.join(cx.allocate(items, BUDGET), ["query_id", "id"])
+    counts = items.groupBy("query_id", "section").agg(F.count(F.lit(1)).alias("candidates"))
+    return kept.join(counts, ["query_id", "section"]).select("query_id", "section", "id", "score", "cost", "truncated", "candidates")
+
+
+@query("r15_list_build", _REP + """, hits AS (SELECT q.vec_id AS query_id, rep.id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), rep.embedding), 6) AS score, rep.machine, rep.source FROM embeddings q, rep WHERE q.vec_id % 20 = 0 AND rep.embedding IS NOT NULL),
+near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM hits), norm AS (SELECT *, score / max(score) OVER (PARTITION BY query_id) AS n FROM near WHERE rank <= 30)
+SELECT query_id, id, round(greatest(0.0, least(1.0, n)), 4) AS norm, CASE WHEN machine IS NOT NULL THEN 1.0 WHEN source IN ('AgentProposal', 'User') THEN 2.0 ELSE 1.0 END AS weight FROM norm WHERE rank <= 10""")
 def list_build(spark, sf):
-    near = rk.normalise(rt.knn(vector_queries(spark, sf), live_knowledge(spark, sf), 3 * TOP_K).withColumn("list", F.lit("vector")), "max")
-    near = near.join(knowledge(spark, sf).select("id", "content_hash"), "id")
-    one = rk.collapse(near, ["query_id"], "content_hash", [F.col("rank")], ["id"])
-    return rk.top_k(one, TOP_K, [F.col("rank")], ["query_id"]).select("query_id", "id", F.round("norm", 4).alias("norm"))
+    """Three times the rows are fetched, one per content, and their scores normalised before the list is cut."""
+    k = with_vectors(knowledge(spark, sf).select("seq", "id", "content_hash", "deleted_at", "machine", "source"), spark, sf)
+    one = stage(hy.representatives(k, "machine", "source", "embedding").filter("embedding is not null"), "representatives")
+    near = rk.normalise(rt.knn(vector_queries(spark, sf), one, 3 * TOP_K).withColumn("list", F.lit("vector")), "max").filter(F.col("rank") <= TOP_K)
+    return near.join(one.select("id", rt.tier_weight().alias("weight")), "id").select("query_id", "id", F.round("norm", 4).alias("norm"), "weight")
 
 
 @query("f4_chunks")
@@ -314,23 +387,39 @@ def chunks(spark, sf):
     return chunking.chunk_documents(knowledge(spark, sf), "id", "text", "language")
 
 
+def own_content(name: str = "payload_hash"):
+    """A hash that no two facts share."""
+    return F.sha2(F.concat_ws(":", "id", name), 256)
+
+
 def upserts(spark, sf) -> DataFrame:
-    """Every fifth fact with a changed status, and every seventh resubmitted as it is."""
+    """Five requests on every fifth fact (live and deleted), some of them with what it held or holds, and three on new ids."""
     f, n = facts(spark, sf).filter("type = 'TaskFact'"), F.substring("id", 2, 20).cast("bigint")
-    changed = f.filter(n % 5 == 0).select((n * 2).alias("seq"), F.col("id").alias("fact_id"), "type", F.sha2(F.concat("payload", F.lit("x")), 256).alias("payload_hash"), F.element_at(F.array(*map(F.lit, ("User", "Controller", "Task", "AgentProposal"))), (n % 3 + 1).cast("int")).alias("source"), F.when(n % 35 == 0, 9).alias("expected"))
-    again = f.filter(n % 7 == 0).select((n * 2 + 1).alias("seq"), F.col("id").alias("fact_id"), "type", "payload_hash", "source", F.lit(None).cast("int").alias("expected"))
-    return changed.unionByName(again)
-
-
-@query("l1_fact_upsert", """, r AS (SELECT CAST(substr(id, 2) AS BIGINT) AS n, * FROM facts WHERE type = 'TaskFact'),
-req AS (SELECT n * 2 AS seq, id, n, false AS same, ['User', 'Controller', 'Task', 'AgentProposal'][n % 3 + 1] AS asked, n % 35 = 0 AS wrong FROM r WHERE n % 5 = 0 UNION ALL SELECT n * 2 + 1, id, n, true, source, false FROM r WHERE n % 7 = 0),
-live AS (SELECT * FROM facts WHERE deleted_at IS NULL), t AS (SELECT unnest(['User', 'Controller', 'Task', 'AgentProposal']) AS s, unnest([4, 3, 2, 1]) AS trust),
-j AS (SELECT req.seq, req.id AS fact_id, req.same AND EXISTS (SELECT 1 FROM live l JOIN r ON r.id = req.id WHERE l.payload_hash = r.payload_hash) AS touch, live.id IS NULL AS fresh, wrong, a.trust AS mine, b.trust AS held
-FROM req LEFT JOIN live ON live.id = req.id JOIN t a ON a.s = req.asked LEFT JOIN t b ON b.s = live.source)
-SELECT seq, fact_id, CASE WHEN touch THEN 'touch' WHEN fresh THEN 'insert' WHEN mine < held THEN 'dissent' WHEN wrong THEN 'conflict' ELSE 'amend' END AS outcome,
-CAST(CASE WHEN touch THEN NULL WHEN fresh THEN 1 WHEN mine >= held AND NOT wrong THEN 2 END AS INT) AS version FROM j""")
+    made = lambda word: F.sha2(F.concat_ws(":", "id", F.lit(word)), 256)
+    source = lambda shift: F.element_at(F.array(*map(F.lit, ("User", "Controller", "Task", "AgentProposal"))), ((n + shift) % 4 + 1).cast("int"))
+    rows = ((1, made("a"), source(2), None), (2, own_content(), source(3), None), (3, made("c"), source(5), 1), (4, made("a"), source(4), 2), (5, made("e"), F.lit("User"), 3))
+    each = F.array(*[F.struct((n * 10 + k).alias("seq"), h.alias("payload_hash"), s.alias("source"), F.lit(e).cast("int").alias("expected")) for k, h, s, e in rows])
+    asked = f.filter(n % 5 == 0).select(F.col("id").alias("fact_id"), "type", F.explode(each).alias("r"))
+    fresh = f.filter(n % 50 == 1).select(F.concat(F.lit("x"), "id").alias("fact_id"), "type", F.explode(F.slice(each, 3, 3)).alias("r"))
+    return asked.unionByName(fresh).select("r.seq", "fact_id", "type", "r.payload_hash", "r.source", "r.expected")
+
+
+@query("l1_fact_upsert", """, own AS (SELECT id, CAST(substr(id, 2) AS BIGINT) AS n, sha256(id || ':' || payload_hash) AS h, source, version, deleted_at FROM facts WHERE type = 'TaskFact'),
+step AS (SELECT unnest([1, 2, 3, 4, 5]) AS k, unnest(['a', '', 'c', 'a', 'e']) AS word, unnest([2, 3, 5, 4, NULL]) AS shift, unnest([NULL, NULL, 1, 2, 3]) AS expected),
+req AS (SELECT CASE WHEN n % 50 = 1 THEN 'x' || id ELSE id END AS fact_id, n * 10 + k AS seq, CASE WHEN n % 50 = 1 THEN k - 2 ELSE k END AS k, CASE WHEN word = '' THEN h ELSE sha256(id || ':' || word) END AS h,
+  list_position(['AgentProposal', 'Task', 'Controller', 'User'], coalesce(['User', 'Controller', 'Task', 'AgentProposal'][(n + shift) % 4 + 1], 'User')) AS trust, expected FROM own, step WHERE n % 5 = 0 OR (n % 50 = 1 AND k > 2)),
+st AS (
+  SELECT DISTINCT req.fact_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS outcome, CASE WHEN deleted_at IS NULL THEN version END AS version, CASE WHEN deleted_at IS NULL THEN own.h END AS h, CASE WHEN deleted_at IS NULL THEN list_position(['AgentProposal', 'Task', 'Controller', 'User'], source) END AS trust
+  FROM req LEFT JOIN own ON own.id = req.fact_id
+  UNION ALL
+  SELECT fact_id, k, seq, outcome, CASE WHEN outcome = 'insert' THEN 1 WHEN outcome = 'amend' THEN version + 1 ELSE version END, CASE WHEN outcome IN ('insert', 'amend') THEN asked ELSE h END, CASE WHEN outcome IN ('insert', 'amend') THEN mine ELSE trust END
+  FROM (SELECT st.fact_id, CAST(req.k AS BIGINT) AS k, req.seq, st.version, st.h, st.trust, req.h AS asked, req.trust AS mine,
+    CASE WHEN st.h = req.h THEN (CASE WHEN expected <> st.version THEN 'conflict' ELSE 'touch' END) WHEN st.version IS NULL THEN 'insert' WHEN req.trust < st.trust THEN 'dissent' WHEN expected <> st.version THEN 'conflict' ELSE 'amend' END AS outcome
+    FROM st JOIN req ON req.fact_id = st.fact_id AND req.k = st.k + 1)
+)
+SELECT seq, fact_id, outcome, CAST(CASE WHEN outcome IN ('insert', 'amend') THEN version END AS INT) AS version FROM st WHERE k > 0""")
 def fact_upsert(spark, sf):
-    return lc.upsert_facts(facts(spark, sf), upserts(spark, sf))
+    return lc.upsert_facts(facts(spark, sf).withColumn("payload_hash", own_content()), upserts(spark, sf))
 
 
 @query("l2_file_dissents", "SELECT fact_id, payload, sum(n) AS submission_count FROM (SELECT fact_id, payload, CAST(1 AS BIGINT) AS n FROM dissents WHERE status = 'pending' UNION ALL SELECT fact_id, payload, 1 FROM dissents WHERE CAST(substr(id, 2) AS BIGINT) % 20 = 0) GROUP BY 1, 2")
@@ -384,12 +473,14 @@ def file_proposals(spark, sf):
     return lc.file_proposals(p.unionByName(p.withColumn("retire_ids", F.reverse("retire_ids")))).select("keeper_id", "submission_count")
 
 
-@query("l8_resolve_proposals")
+@query("l8_resolve_proposals", """, p AS (SELECT k.seq, row_number() OVER (ORDER BY k.seq) AS r, k.deleted_at IS NULL AND n.id IS NOT NULL AND n.deleted_at IS NULL AS alive FROM knowledge k LEFT JOIN knowledge n ON n.seq = k.seq + 10 WHERE k.seq % 10 = 0),
+chain AS (SELECT seq, r, alive AS ok FROM p WHERE r = 1 UNION ALL SELECT p.seq, p.r, p.alive AND NOT (chain.ok AND chain.seq + 10 = p.seq) FROM chain JOIN p ON p.r = chain.r + 1)
+SELECT seq, CASE WHEN ok THEN 'accepted' ELSE 'stale' END AS outcome FROM chain""")
 def resolve_proposals(spark, sf):
+    """Each agent-authored row would retire the next one, so whether it may hangs on all before it."""
     s = F.col("seq")
     p = knowledge(spark, sf).filter(s % 10 == 0).select("seq", F.col("id").alias("keeper_id"), F.array(F.concat(F.lit("k"), s + 10)).alias("retire_ids"))
-    # chains of overlapping proposals, cut at every hundredth row
-    return lc.resolve_proposals(p.filter(s % 100 != 90), knowledge(spark, sf))
+    return lc.resolve_proposals(p, knowledge(spark, sf))
 
 
 _REPAIR = """, r AS (SELECT id, task_id AS link, CASE WHEN seq % 50 = 0 THEN 'system' WHEN task_id = 't1' THEN 'a' || seq % 2 WHEN task_id = 't2' THEN 'zz' ELSE author_id END AS author_id FROM ev), own AS (SELECT * FROM r WHERE author_id = 'system'),
@@ -426,20 +517,26 @@ def backfill(spark, sf):
     return knowledge(spark, sf).select("id", F.coalesce(F.when(F.col("seq") % 6 != 0, F.col("author_id")), F.lit("system")).alias("author_id"))
 
 
-@query("l12_dedupe_copies", "SELECT content_hash, min(seq) AS seq, count(*) AS n FROM knowledge WHERE deleted_at IS NULL GROUP BY 1")
+@query("l12_dedupe_copies", "SELECT coalesce(content_hash, 'id:' || id) AS content, min(seq) AS seq, count(*) AS n FROM knowledge WHERE deleted_at IS NULL GROUP BY 1")
 def dedupe_copies(spark, sf):
-    return lc.dedupe_with_copies(knowledge(spark, sf)).select("content_hash", "seq", F.size("copies").cast("bigint").alias("n"))
+    return lc.dedupe_with_copies(knowledge(spark, sf))
 
 
-@query("l13_drop_copy", """, c AS (SELECT * FROM knowledge WHERE deleted_at IS NULL AND machine IS DISTINCT FROM 'host1')
-SELECT content_hash, CAST(count(*) AS INT) AS n_copies, arg_min(file, seq) AS file FROM c GROUP BY 1""")
+@query("l13_drop_copy", """, c AS (SELECT *, coalesce(content_hash, 'id:' || id) AS content FROM knowledge WHERE deleted_at IS NULL AND machine IS DISTINCT FROM 'host1')
+SELECT content, count(*) AS n_copies, arg_min(file, seq) AS file FROM c GROUP BY 1""")
 def drop_copy(spark, sf):
-    return lc.drop_copy(lc.dedupe_with_copies(knowledge(spark, sf)), "host1").drop("repos")
+    return lc.drop_copy(lc.copies(knowledge(spark, sf)), "host1")
 
 
-@query("u4_copy_sets", "SELECT content_hash, array_to_string(list_sort(list(DISTINCT repo)), ',') AS repos FROM knowledge WHERE deleted_at IS NULL GROUP BY 1")
+@query("u4_copy_sets", """, c AS (SELECT *, coalesce(content_hash, 'id:' || id) AS content FROM knowledge WHERE deleted_at IS NULL)
+SELECT content, 'machine' AS field, machine AS value, min(seq) AS seq FROM c WHERE machine IS NOT NULL GROUP BY 1, 3 UNION ALL SELECT content, 'file', file, min(seq) FROM c GROUP BY 1, 3 UNION ALL SELECT content, 'repo', repo, min(seq) FROM c WHERE repo IS NOT NULL GROUP BY 1, 3""")
 def copy_sets(spark, sf):
-    return lc.dedupe_with_copies(knowledge(spark, sf)).select("content_hash", F.array_join(F.sort_array(lc.copy_set(F.col("copies"), "repo")), ",").alias("repos"))
+    return lc.copy_sets(lc.copies(knowledge(spark, sf)))
+
+
+@query("u4_canonical", "SELECT content, arg_min(struct_pack(m := machine), seq).m AS machine, arg_min(file, seq) AS file, arg_min(struct_pack(r := repo), seq).r AS repo FROM (SELECT *, coalesce(content_hash, 'id:' || id) AS content FROM knowledge WHERE deleted_at IS NULL) GROUP BY 1")
+def canonical(spark, sf):
+    return lc.canonical(lc.copies(knowledge(spark, sf)))
 
 
 @query("l14_register_authors", r"SELECT id, agent_name, max(seen) AS last_seen_at, regexp_matches(agent_name, '^[a-z0-9_-]{2,64}$') AS valid, regexp_replace(regexp_replace(lower(agent_name), '[^a-z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM (SELECT user_id % 40 AS id, CASE WHEN user_id % 2 = 0 THEN 'Agent ' || user_id % 40 || '!' ELSE 'agent-' || user_id % 40 END AS agent_name, ts AS seen FROM events) GROUP BY 1, 2", model=False)
@@ -488,22 +585,25 @@ def daily_counts(spark, sf):
     return jobs.daily_counts(events(spark, sf))
 
 
-@query("q1_answer_keys", _LEXICAL + """, a AS (SELECT item_id AS query_id, string_split(text, ' ')[1:3] AS terms FROM benchmark)
-SELECT a.query_id, coalesce(bool_or(len(list_filter(terms, lambda t: contains(lower(k.text), lower(t)))) = len(terms)), false) AS answered
-FROM a LEFT JOIN lexical USING (query_id) LEFT JOIN knowledge k ON k.id = lexical.id GROUP BY 1""")
+@query("q1_answer_keys", r""", w AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark),
+a AS (SELECT query_id, list_distinct(list_filter(w, lambda x, i: i % 2 = 1)) AS asked, list_distinct(list_filter(w, lambda x, i: i % 2 = 0)) AS keys FROM w),
+held AS (SELECT list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS own FROM knowledge WHERE deleted_at IS NULL)
+SELECT query_id, count(own) AS hits, coalesce(bool_or(list_has_all(own, list_filter(keys, lambda x: NOT list_contains(asked, x)))), false) AS answered FROM a LEFT JOIN held ON len(asked) > 0 AND list_has_all(own, asked) GROUP BY 1""")
 def answer_keys(spark, sf):
-    """Whether a lexical hit of the item's query holds every answer term."""
-    a = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(F.split("text", " "), 1, 3).alias("terms"))
-    hits = rt.lexical(text_queries(spark, sf), live_knowledge(spark, sf)).join(live_knowledge(spark, sf).select("id", F.lower("text").alias("body")), "id")
-    holds = F.forall("terms", lambda t: F.contains(F.col("body"), F.lower(t)))
-    return a.join(hits, "query_id", "left").groupBy("query_id").agg(F.coalesce(F.bool_or(holds), F.lit(False)).alias("answered"))
+    """Every other word of an item is the query; whether a hit holds the words between, as far as the query lacks them."""
+    words = tx.terms(F.col("query"))
+    parted = text_queries(spark, sf).select("query_id", F.array_join(F.filter(words, lambda x, i: i % 2 == 0), " ").alias("query"), F.filter(words, lambda x, i: i % 2 == 1).alias("between"))
+    keys = parted.select("query_id", F.array_except("between", F.split("query", " ")).alias("keys"))
+    live = live_knowledge(spark, sf).select("id", "text")
+    hits = broadcast_if_small(rt.lexical(parted, live), 64)
+    holds = live.join(hits, "id").join(keys, "query_id").select("query_id", (F.size(F.array_except("keys", tx.terms(F.col("text")))) == 0).alias("holds"))
+    return keys.select("query_id").join(holds, "query_id", "left").groupBy("query_id").agg(F.count("holds").alias("hits"), F.coalesce(F.bool_or("holds"), F.lit(False)).alias("answered"))
 
 
 @query("q2_response_cost")
 def response_cost(spark, sf):
     """Full against compact tokens per query, one fetch charged where no snippet holds the query's words."""
-    q = text_queries(spark, sf)
-    hits = hybrid_search(spark, sf).join(q, "query_id").join(live_knowledge(spark, sf).select("id", "text", "repo", "file"), "id").withColumn("snippet", rt.snippet("text", "query"))
-    holds = F.forall(F.split(F.lower("query"), " "), lambda w: F.contains(F.lower("snippet"), w))
+    hits = hit_texts(spark, sf, hybrid_search(spark, sf)).withColumn("snippet", rt.snippet("text", "query"))
+    holds = F.forall(tx.terms(F.col("query")), lambda w: F.contains(F.lower("snippet"), w))
     per = hits.groupBy("query_id").agg(F.sum(tx.json_cost("id", "repo", "file", "text")).alias("full_tokens"), F.sum(tx.json_cost("id", "file", "snippet")).alias("compact"), F.max(F.ceil(F.length("text") / 4)).alias("fetch"), F.bool_or(holds).alias("carried"))
     return per.select("query_id", "full_tokens", (F.col("compact") + F.when(F.col("carried"), 0).otherwise(F.col("fetch"))).alias("compact_tokens"))
