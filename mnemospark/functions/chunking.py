@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TARGET, OVERLAP, LEAST, LEAST_BODY = 800, 200, 64, 40
+#: Token estimate that no chunk exceeds.
+CEILING = 512
 SCHEMA = "id string, chunk_index int, heading_path string, text string, chunk_hash string"
 
 
@@ -61,14 +63,31 @@ def chunk_text(text: str, markdown: bool = True, target: int = TARGET, overlap:
     return out
 
 
-def chunk_documents(docs: DataFrame, id_col: str = "id", text_col: str = "text", language_col: str | None = None, target: int = TARGET) -> DataFrame:
-    """One row per chunk with a gapless index per document and the chunk's hash; null texts give none."""
+def token_estimate(text: str) -> int:
+    """As the column function of this name in ``text``."""
+    plain = len(text.encode("ascii", "ignore"))
+    return 2 + max(-(-plain // 3) + len(text) - plain, len(re.findall(r"[^ \t\n\x0b\f\r]+", text)))
+
+
+def fitting(text: str, ceiling: int) -> list[str]:
+    """The text in halves of halves, cut at white space where there is some, until each piece's estimate is within the ceiling."""
+    if token_estimate(text) <= ceiling or len(text) < 2:
+        return [text]
+    half = len(text) // 2
+    space = next((i for i in range(half, 0, -1) if text[i].isspace()), 0)
+    cut = space or half
+    return [p for part in (text[:cut].rstrip(), text[cut:].lstrip()) if part for p in fitting(part, ceiling)]
+
+
+def chunk_documents(docs: DataFrame, id_col: str = "id", text_col: str = "text", language_col: str | None = None, target: int = TARGET, ceiling: int = CEILING) -> DataFrame:
+    """One row per chunk with a gapless index per document and the chunk's hash; pieces over the token ceiling are halved; null texts give none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for i, text, lang in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                for n, (path, body) in enumerate(chunk_text(text or "", lang == "markdown", target)):
+                whole = ((path, piece) for path, body in chunk_text(text or "", lang == "markdown", target) for piece in fitting(body, ceiling))
+                for n, (path, body) in enumerate(whole):
                     rows.append((i, n, path, body, hashlib.sha256(body.encode()).hexdigest()))
             kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds[c]) for c in range(5)], names=["id", "chunk_index", "heading_path", "text", "chunk_hash"])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Language label by file extension.
-LANGUAGES = {"rs": "rust", "py": "python", "js": "javascript", "ts": "typescript", "go": "go", "md": "markdown", "sh": "shell", "toml": "toml", "yaml": "yaml", "yml": "yaml", "json": "json", "sql": "sql"}
+LANGUAGES = {"md": "markdown", "markdown": "markdown", "mdx": "markdown", "rs": "rust", "py": "python", "pyi": "python", "sh": "shell", "bash": "shell", "zsh": "shell", "toml": "toml"}
 
 
 @F.pandas_udf(T.StringType())
@@ -43,10 +43,9 @@ def json_cost(*columns: Column | str) -> Column:
 
 
 def language_of(path: Column) -> Column:
-    """Label by the path's extension, else ``text``."""
-    ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
-    known = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
-    return F.coalesce(F.try_element_at(known, ext), F.lit("text"))
+    """Label by the path's extension in any case of letters; null for plain text."""
+    ext = F.lower(F.regexp_extract(path, r"[^/.][^/]*\.([^./]+)$", 1))
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), ext)
 
 
 @F.pandas_udf(T.StringType())

@@ -67,8 +67,9 @@ def headlines(clusters: DataFrame, least: int = 1) -> DataFrame:
 
 
 def excerpts(knowledge: DataFrame, length: int = 600) -> DataFrame:
-    """Longest chunk (last one on ties) of each repository and language, cut to ``length``."""
-    return knowledge.groupBy("repo", "language").agg(F.max_by("text", F.struct(F.octet_length("text"), "seq")).alias("text")).select("repo", "language", F.substring("text", 1, length).alias("excerpt"))
+    """Longest chunk (last one on ties) of each repository and folder, cut to ``length``."""
+    folder = F.regexp_extract("file", "^(.*)/[^/]*$", 1)
+    return knowledge.groupBy("repo", folder.alias("folder")).agg(F.max_by("text", F.struct(F.octet_length("text"), "seq")).alias("text")).select("repo", "folder", F.substring("text", 1, length).alias("excerpt"))
 
 
 def score_histogram(scores: DataFrame, lo: float, hi: float, n: int) -> DataFrame:

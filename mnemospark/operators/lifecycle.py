@@ -112,12 +112,21 @@ def dissents_of(requests: DataFrame, outcomes: DataFrame) -> DataFrame:
     return filed.groupBy("fact_id", "payload_hash").agg(F.count(F.lit(1)).alias("submission_count"))
 
 
-def file_dissents(pending: DataFrame, proposals: DataFrame) -> DataFrame:
-    """Pending dissents after filing: an identical payload raises the count, others are added."""
-    both = pending.select("fact_id", "payload", F.col("submission_count").cast("bigint").alias("n")).unionByName(proposals.select("fact_id", "payload", F.lit(1).cast("bigint").alias("n")))
+def file_dissents(pending: DataFrame, proposals: DataFrame, facts: DataFrame) -> DataFrame:
+    """Pending dissents after filing on live facts: an identical payload raises the count, others are added; filings on dead or unknown facts are refused."""
+    live = facts.filter("deleted_at is null").select(F.col("id").alias("fact_id"))
+    filed = proposals.join(live, "fact_id", "left_semi")
+    both = pending.select("fact_id", "payload", F.col("submission_count").cast("bigint").alias("n")).unionByName(filed.select("fact_id", "payload", F.lit(1).cast("bigint").alias("n")))
     return both.groupBy("fact_id", "payload").agg(F.sum("n").alias("submission_count"))
 
 
+def promoted_facts(facts: DataFrame, dissents: DataFrame, outcomes: DataFrame, source: str = "User") -> DataFrame:
+    """(id, payload, source, version, deleted_at): facts after the promotions, whose payload, source and version replace the row's."""
+    won = outcomes.filter("outcome = 'promoted'").select(F.col("dissent_id").alias("did"), F.col("version").alias("new_version"))
+    new = dissents.join(won, dissents["id"] == won["did"]).groupBy(F.col("fact_id").alias("id")).agg(F.min(F.struct("did", F.col("payload").alias("p"), "new_version")).alias("w"))
+    return facts.join(new, "id", "left").select("id", F.coalesce("w.p", "payload").alias("payload"), F.when(F.col("w").isNotNull(), source).otherwise(F.col("source")).alias("source"), F.coalesce("w.new_version", "version").alias("version"), "deleted_at")
+
+
 def resolve_dissents(dissents: DataFrame, facts: DataFrame, requests: DataFrame) -> DataFrame:
     """promoted, discarded, not_pending, missing or conflict for each request (dissent_id, action, expected)."""
     d = dissents.select(F.col("id").alias("dissent_id"), "fact_id", "status")
@@ -142,6 +151,25 @@ def delete_restore(state: DataFrame, requests: DataFrame) -> DataFrame:
     return r.select("id", "action", outcome.alias("outcome"))
 
 
+def after_deletions(state: DataFrame, requests: DataFrame, outcomes: DataFrame, as_of: Column) -> DataFrame:
+    """``state`` after one request an id: deleted rows get a time, restored ones lose it and ``superseded_by``, removed ones are gone."""
+    done = outcomes.filter("outcome in ('deleted', 'restored', 'removed')").groupBy("id").agg(F.min("outcome").alias("outcome"))
+    rows = state.join(done, "id", "left").filter("outcome is null or outcome <> 'removed'")
+    gone = F.when(F.col("outcome") == "deleted", as_of).when(F.col("outcome") == "restored", F.lit(None).cast("timestamp")).otherwise(F.col("deleted_at"))
+    out = rows.withColumn("deleted_at", gone)
+    if "superseded_by" in state.columns:
+        out = out.withColumn("superseded_by", F.when(F.col("outcome") == "restored", F.lit(None).cast("string")).otherwise(F.col("superseded_by")))
+    return out.select(*state.columns)
+
+
+def remove_authors(authors: DataFrame, owned: DataFrame, requests: DataFrame) -> DataFrame:
+    """(id, outcome) of removals: refused while the author owns anything (``owned``: author_id) or is seeded, missing if unknown."""
+    n = owned.groupBy(F.col("author_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    known = authors.select("id", F.lit(True).alias("known"))
+    r = requests.select("id").join(known, "id", "left").join(n, "id", "left")
+    return r.select("id", F.when(F.col("known").isNull(), "missing").when(F.coalesce("n", F.lit(0)) > 0, "refused").when(F.col("id").isin("system", "lost-author"), "refused").otherwise("removed").alias("outcome"))
+
+
 def supersede(knowledge: DataFrame, requests: DataFrame) -> DataFrame:
     """State after replacing agent-authored live rows: the old row points to the new one, which inherits its tags."""
     old = knowledge.join(requests, knowledge["id"] == requests["old_id"], "left")
@@ -285,6 +313,24 @@ def merge_summaries(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFram
     return old.join(new.select(*keys), keys, "left_anti").select(*keys, "summary", "invalidated").unionByName(new.select(*keys, "summary", F.lit(False).alias("invalidated")))
 
 
+def invalidate_summaries(summaries: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """Summaries of the given keys are marked invalid until they are made again."""
+    hit = keys.select(*names).distinct().withColumn("hit", F.lit(True))
+    return summaries.join(hit, names, "left").withColumn("invalidated", F.col("invalidated") | F.coalesce("hit", F.lit(False))).select(*summaries.columns)
+
+
+def list_summaries(summaries: DataFrame, limit: int = 50, host: str | None = None) -> DataFrame:
+    """Valid summaries, newest day first."""
+    s = summaries.filter(~F.col("invalidated"))
+    return (s.filter(F.col("host") == host) if host else s).orderBy(F.desc("day"), "host", "category").limit(limit)
+
+
+def sibling_authors(rows: DataFrame, links: DataFrame, system: str = "system") -> DataFrame:
+    """(id, author_id): the distinct other authors linked to each system-owned row."""
+    own = rows.filter(F.col("author_id") == system).select("id", "link")
+    return own.join(links.filter(F.col("author_id") != system).select("link", "author_id").distinct(), "link").select("id", "author_id").distinct()
+
+
 def bump_usage(facts: DataFrame, reads: DataFrame) -> DataFrame:
     """use_count + 1 for each flush in which an id was read, however often; last_used_at of the last flush."""
     per = reads.select("id", "flush").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("bumps"), F.max("flush").alias("last"))

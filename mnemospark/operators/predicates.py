@@ -28,21 +28,34 @@ def all_tags(wanted: list[str], column: str = "tags") -> Column:
     return F.size(F.array_except(F.array(*map(F.lit, wanted)).cast("array<string>"), F.col(column))) == 0
 
 
-def contains_json(column: str, match: dict | str) -> Column:
-    """``column @> match``: objects as subsets of paths, arrays as sets of their members."""
+def contains_json(column: str, match: dict | list | str) -> Column:
+    """``column @> match``: objects as subsets, arrays as sets of what they contain; values are equal in type and value."""
 
-    def walk(path: str, value) -> Column:
-        if isinstance(value, dict):
-            held = F.get_json_object(column, path).isNotNull()
-            for k, v in value.items():
-                held &= walk(f"{path}['{k}']" if not k.isidentifier() else f"{path}.{k}", v)
-            return held
-        if isinstance(value, list):
-            own = F.from_json(F.get_json_object(column, path), "array<string>")
-            return F.size(F.array_except(F.array(*[F.lit(v if isinstance(v, str) else json.dumps(v)) for v in value]), own)) == 0
-        return F.get_json_object(column, path) == (value if isinstance(value, str) else json.dumps(value))
+    def member(value):
+        return lambda v: holds(v, value)
 
-    return walk("$", json.loads(match) if isinstance(match, str) else match)
+    def holds(v: Column, value) -> Column:
+        kind = F.schema_of_variant(v)
+        if isinstance(value, dict):
+            own = kind.startswith("OBJECT")
+            for k, x in value.items():
+                own &= holds(F.try_variant_get(v, f"$['{k}']", "variant"), x)
+        elif isinstance(value, list):
+            items = F.try_variant_get(v, "$", "array<variant>")
+            own = kind.startswith("ARRAY")
+            for x in value:
+                own &= F.exists(items, member(x))
+        elif value is None:
+            own = kind == "VOID"
+        elif isinstance(value, bool):
+            own = (kind == "BOOLEAN") & (F.try_variant_get(v, "$", "boolean") == value)
+        elif isinstance(value, str):
+            own = (kind == "STRING") & (F.try_variant_get(v, "$", "string") == value)
+        else:
+            own = kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT)") & (F.try_variant_get(v, "$", "double") == float(value))
+        return F.coalesce(own, F.lit(False))
+
+    return holds(F.try_parse_json(column), json.loads(match) if isinstance(match, str) else match)
 
 
 def payload_equals(key: str, value: str, column: str = "payload") -> Column:
@@ -64,6 +77,12 @@ def may_curate(caller: str, owner: str, manages: str) -> Column:
     return F.col(manages) | F.coalesce(F.col(caller) == F.col(owner), F.lit(False))
 
 
+def next_cursor(page: DataFrame, ts: str, key: str, limit: int, newest_first: bool = True) -> DataFrame:
+    """(ts, key) of the last row of a full page, for the next one; no row where the page is the last."""
+    end = (F.min if newest_first else F.max)(F.struct(F.col(ts).alias("t"), F.col(key).alias("k")))
+    return page.agg(end.alias("c"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limit).select(F.col("c.t").alias(ts), F.col("c.k").alias(key))
+
+
 def keyset_after(df: DataFrame, ts: str, key: str, after: tuple, limit: int, newest_first: bool = True) -> DataFrame:
     """The next page strictly after (ts, key)."""
     here, mark = F.struct(F.col(ts).alias("t"), F.col(key).alias("k")), F.struct(F.lit(after[0]).cast("timestamp").alias("t"), F.lit(after[1]).alias("k"))

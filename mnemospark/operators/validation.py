@@ -1,45 +1,161 @@
-"""Payload rules as columns: every violation is reported, a payload may break several."""
+"""Payload rules as columns: every violation is reported, a payload may break several.
+
+Rules are kept by row type in ``RULES``; ``register`` adds a type. A rule is (field, name, condition under which it is
+broken) over the columns ``payload`` (JSON text) and ``v`` (the same as variant). Fields at any depth named like
+timestamps or hosts, and numbers at any depth, are checked for every type.
+"""
 
 from __future__ import annotations
 
+import json
+import math
+from collections.abc import Callable, Iterable
+from datetime import date, datetime
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Enumerations, shapes and bounds of the payload rules.
 STATUSES = ("planned", "in_progress", "blocked", "done", "cancelled")
+SERVICE_EVENTS = ("up", "down", "restart", "version_changed")
+PHASES = ("started", "completed", "failed")
+TASK_ID = r"^(ansible-[0-9a-fA-F]{32}|\{?[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}\}?)$"
+ENV_KEY = "^[A-Z][A-Z0-9_]*$"
+ENV_VALUE_BYTES = 16 * 1024
+YEARS = 10
+TIMESTAMP_NAMES, TIMESTAMP_ENDS = ("at", "time", "ts", "timestamp"), ("_at", "_time", "_ts")
+HOST_NAMES = ("hostname", "host")
+
+Rule = tuple[str, str, Column]
+
+
+def _kind(name: str) -> Column:
+    """Type of a top-level field's value; null where the field is missing."""
+    return F.schema_of_variant(F.try_variant_get("v", f"$.{name}", "variant"))
+
+
+def _text(name: str) -> Column:
+    return F.try_variant_get("v", f"$.{name}", "string")
+
+
+def required(name: str) -> Rule:
+    return name, "required", _kind(name).isNull()
+
+
+def string(name: str, least: int, most: int) -> list[Rule]:
+    """A string of ``least`` to ``most`` bytes, if present."""
+    is_text = _kind(name) == "STRING"
+    return [(name, "type", _kind(name).isNotNull() & ~is_text), (name, "length", is_text & ~F.octet_length(_text(name)).between(least, most))]
+
+
+def one_of(name: str, values: tuple[str, ...]) -> list[Rule]:
+    return [required(name), (name, "enum", _kind(name).isNotNull() & ~((_kind(name) == "STRING") & _text(name).isin(*values)))]
+
+
+def task_id() -> list[Rule]:
+    is_text, short = _kind("task_id") == "STRING", F.octet_length(_text("task_id")) <= 64
+    return [required("task_id"), ("task_id", "type", _kind("task_id").isNotNull() & ~is_text), ("task_id", "length", is_text & ~short), ("task_id", "shape", is_text & short & ~_text("task_id").rlike(TASK_ID))]
+
+
+def _user() -> list[Rule]:
+    email, born = _kind("email") == "STRING", _kind("birthdate") == "STRING"
+    day = F.try_to_timestamp(_text("birthdate"), F.lit("yyyy-MM-dd")).isNotNull() | (_text("birthdate").rlike(r"T.*(Z|[+-]\d\d:\d\d)$") & F.try_to_timestamp(_text("birthdate")).isNotNull())
+    return [
+        required("name"), *string("name", 1, 256),
+        ("email", "type", _kind("email").isNotNull() & ~email), ("email", "email_shape", email & ~_text("email").rlike(r"(?s)^[^@]+@.*\..*$")),
+        ("birthdate", "type", _kind("birthdate").isNotNull() & ~born), ("birthdate", "rfc3339", born & ~day),
+    ]
+
+
+def _env() -> list[Rule]:
+    value = F.octet_length(F.to_json(F.try_variant_get("v", "$.value", "variant")))
+    shape = ("key", "shape", (_kind("key") == "STRING") & ~_text("key").rlike(ENV_KEY))
+    return [required("key"), *string("key", 1, 256), shape, required("value"), ("value", "size", value > ENV_VALUE_BYTES)]
+
+
+def _service() -> list[Rule]:
+    port = (_kind("port") == "BIGINT") & F.try_variant_get("v", "$.port", "bigint").between(1, 65535)
+    return [required("service"), *string("service", 1, 128), required("host"), *string("host", 1, 64), *one_of("event", SERVICE_EVENTS), *string("version", 0, 64), ("port", "numeric_range", _kind("port").isNotNull() & ~port)]
+
+
+def _execution() -> list[Rule]:
+    return [*task_id(), required("tool"), *string("tool", 1, 128), *one_of("phase", PHASES), *string("detail", 0, 4096)]
+
+
+RULES: dict[str, Callable[[], Iterable[Rule]]] = {"UserFact": _user, "TaskFact": lambda: [*task_id(), *one_of("status", STATUSES)], "EnvFact": _env, "Service": _service, "Execution": _execution}
+
+
+def register(kind: str, rules: Callable[[], Iterable[Rule]]) -> None:
+    """Add or replace a type's rules."""
+    RULES[kind] = rules
+
+
+def _host_ok(value) -> bool:
+    ok = set("abcdefghijklmnopqrstuvwxyz0123456789")
+    labels = value.lower().split(".") if isinstance(value, str) else [""]
+    return all(0 < len(x) < 64 and x[0] in ok and x[-1] in ok and set(x) <= ok | {"-"} for x in labels)
+
+
+def _time_ok(value: str, now: float) -> bool:
+    try:
+        at = datetime.fromisoformat(value)
+    except ValueError:
+        return False
+    return at.tzinfo is not None and "T" in value.upper() and abs(at.timestamp() - now) <= YEARS * 365 * 86400
+
+
+def nested(as_of: str):
+    """Column function: (field, rule) of broken checks on fields at any depth of a JSON payload."""
+    now = datetime.fromisoformat(as_of + "+00:00").timestamp()
+
+    def walk(value, path: str, out: list) -> None:
+        members = value.items() if isinstance(value, dict) else ((None, x) for x in value)
+        for i, (name, x) in enumerate(members):
+            here = f"{path}.{name}" if name is not None else f"{path}[{i}]"
+            if name in HOST_NAMES and not _host_ok(x):
+                out.append((here, "hostname_shape"))
+            if name is not None and (name in TIMESTAMP_NAMES or name.endswith(TIMESTAMP_ENDS)) and isinstance(x, str) and not _time_ok(x, now):
+                out.append((here, "timestamp_range"))
+            if isinstance(x, float) and not math.isfinite(x):
+                out.append((here, "numeric_range"))
+            if isinstance(x, (dict, list)):
+                walk(x, here, out)
+
+    @F.pandas_udf("array<struct<field:string,rule:string>>")
+    def checked(payload: pd.Series) -> pd.Series:
+        found = []
+        for p in payload:
+            out: list[tuple[str, str]] = []
+            try:
+                top = json.loads(p) if p is not None else None
+            except ValueError:
+                top = None
+            if isinstance(top, (dict, list)):
+                walk(top, "payload", out)
+            found.append([{"field": a, "rule": b} for a, b in out])
+        return pd.Series(found)
+
+    return checked
+
 
+def violations(rows: DataFrame, as_of: str | None = None) -> DataFrame:
+    """(id, field, rule) of every broken rule of rows (id, type, payload).
 
-def _field(name: str) -> Column:
-    return F.get_json_object("payload", f"$.{name}")
-
-
-def rules() -> dict[str, dict[str, Column]]:
-    """Rule name to the condition under which it is broken, by row type; columns type and payload."""
-    return {
-        "TaskFact": {
-            "task_id:required": _field("task_id").isNull(),
-            "task_id:shape": ~_field("task_id").rlike("^(t[0-9]+|[0-9a-f-]{36}|ansible-[0-9a-f]{32})$"),
-            "status:enum": ~F.coalesce(_field("status"), F.lit("")).isin(*STATUSES),
-        },
-        "UserFact": {
-            "name:required": _field("name").isNull(),
-            "name:length": ~F.length(_field("name")).between(1, 256),
-            "email:shape": ~_field("email").rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$"),
-        },
-        "service": {
-            "service:required": _field("service").isNull(),
-            "host:shape": ~F.coalesce(_field("host"), F.lit("")).rlike(r"^[A-Za-z0-9]([A-Za-z0-9.-]{0,62}[A-Za-z0-9])?$"),
-            "k:range": ~_field("k").cast("double").between(0, 89),
-        },
-    }
-
-
-def violations(rows: DataFrame) -> DataFrame:
-    """(id, rule) of every broken rule; unknown types break ``type:unknown``."""
+    A payload that is no JSON object breaks ``payload`` ``type``; an unknown type ``type`` ``unknown``. Times are
+    compared with ``as_of`` (UTC, by default today).
+    """
+    rows = rows.select("id", "type", "payload", F.try_parse_json("payload").alias("v"))
     broken = []
-    for kind, own in rules().items():
-        broken += [F.when((F.col("type") == kind) & F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in own.items()]
-    broken.append(F.when(~F.col("type").isin(*rules()), F.lit("type:unknown")))
-    return rows.select("id", F.explode(F.array_compact(F.array(*broken))).alias("rule"))
+    for kind, rules in RULES.items():
+        for field, name, bad in rules():
+            entry = F.struct(F.lit(f"payload.{field}").alias("field"), F.lit(name).alias("rule"))
+            broken.append(F.when((F.col("type") == kind) & F.col("object") & F.coalesce(bad, F.lit(False)), entry))
+    broken.append(F.when(~F.col("object"), F.struct(F.lit("payload").alias("field"), F.lit("type").alias("rule"))))
+    broken.append(F.when(~F.col("type").isin(*RULES), F.struct(F.lit("type").alias("field"), F.lit("unknown").alias("rule"))))
+    shaped = rows.withColumn("object", F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)))
+    every = F.concat(F.array_compact(F.array(*broken)), nested(as_of or f"{date.today()} 00:00:00")(F.col("payload")))
+    return shaped.select("id", F.explode(every).alias("b")).select("id", "b.field", "b.rule")
 
 
 def rejections_by_rule(found: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from ..operators import ranking as rk
 from ..operators import timeline as tl
 from ..operators import validation as va
 from ..sources import files
-from .adapters import MODEL, as_of, authors, dissents, events, facts, knowledge, table, with_vectors
+from .adapters import AS_OF, MODEL, as_of, authors, dissents, events, facts, knowledge, table, with_vectors
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -76,6 +76,12 @@ def dissent_scan(spark, sf):
     return d.orderBy(F.desc("submitted_at"), F.desc("id")).limit(200).select("id", "fact_id", "submitted_at")
 
 
+@query("s10_proposal_scan", "SELECT seq, keeper_id, submitted_at FROM (SELECT seq, id AS keeper_id, created_at AS submitted_at, CASE WHEN seq % 60 = 0 THEN 'accepted' ELSE 'pending' END AS status FROM knowledge WHERE seq % 30 = 0) WHERE status = 'pending' ORDER BY submitted_at, seq LIMIT 200")
+def proposal_scan(spark, sf):
+    p = knowledge(spark, sf).filter("seq % 30 = 0").select("seq", F.col("id").alias("keeper_id"), F.col("created_at").alias("submitted_at"), F.when(F.col("seq") % 60 == 0, "accepted").otherwise("pending").alias("status"))
+    return p.filter("status = 'pending'").orderBy("submitted_at", "seq").limit(200).select("seq", "keeper_id", "submitted_at")
+
+
 _ENVELOPE = """, envelope AS (
   SELECT 'fact' AS kind, id, author_id, created_at, CAST([] AS VARCHAR[]) AS tags, deleted_at, deleted_by FROM facts
   UNION ALL SELECT 'event', id, author_id, created_at, CAST([] AS VARCHAR[]), NULL, NULL FROM ev
@@ -115,9 +121,7 @@ def all_tags(spark, sf):
 
 @query("p6_liveness", "SELECT CASE WHEN deleted_at IS NULL THEN 'live' ELSE 'deleted' END AS state, count(*) AS n FROM facts GROUP BY 1")
 def liveness(spark, sf):
-    f = facts(spark, sf)
-    part = lambda s: f.filter(pr.live(s)).groupBy(F.lit(s).alias("state")).agg(F.count(F.lit(1)).alias("n"))
-    return part("live").unionByName(part("deleted"))
+    return facts(spark, sf).groupBy(F.when(pr.live(), "live").otherwise("deleted").alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("p7_json_containment", "SELECT id FROM ev WHERE json_extract_string(payload, '$.host') = 'h1' AND json_extract_string(payload, '$.k') = '9'")
@@ -238,9 +242,10 @@ def headlines(spark, sf):
     return act.headlines(act.daily_clusters(events(spark, sf)), 2)
 
 
-@query("a6_excerpts", "SELECT repo, language, substr(arg_max(text, struct_pack(a := strlen(text), b := seq)), 1, 600) AS excerpt FROM knowledge GROUP BY 1, 2")
+@query("a6_excerpts", "SELECT repo, regexp_extract(file, '^(.*)/[^/]*$', 1) AS folder, substr(arg_max(text, struct_pack(a := strlen(text), b := seq)), 1, 600) AS excerpt FROM (SELECT repo, text, seq, CASE WHEN seq % 3 = 0 THEN repo || '/sub' || seq % 2 || '/' || seq ELSE file END AS file FROM knowledge) GROUP BY 1, 2")
 def excerpts(spark, sf):
-    return act.excerpts(knowledge(spark, sf))
+    s = F.col("seq")
+    return act.excerpts(knowledge(spark, sf).withColumn("file", F.when(s % 3 == 0, F.concat("repo", F.lit("/sub"), s % 2, F.lit("/"), s)).otherwise(F.col("file"))))
 
 
 @query("a10_oversize_by_agent", "SELECT author_id, count(*) AS n, max(length(text)) AS longest, round(avg(length(text)), 6) AS mean FROM knowledge WHERE length(text) > 2000 GROUP BY 1")
@@ -264,6 +269,12 @@ def keyset_page(spark, sf):
     return pr.keyset_after(events(spark, sf), "created_at", "id", ("2024-01-15", "e5000"), 100).select("id", "created_at")
 
 
+@query("w9_next_cursor", "SELECT arg_min(id, struct_pack(t := created_at, i := id)) AS id, min(created_at) AS created_at FROM (SELECT id, created_at FROM ev WHERE (created_at, id) < (TIMESTAMP '2024-01-15', 'e5000') ORDER BY created_at DESC, id DESC LIMIT 100) HAVING count(*) >= 100")
+def next_cursor(spark, sf):
+    page = pr.keyset_after(events(spark, sf), "created_at", "id", ("2024-01-15", "e5000"), 100).select("id", "created_at")
+    return pr.next_cursor(page, "created_at", "id", 100)
+
+
 @query("w11_latest_per_key", "SELECT agent_name, last_seen_at, id FROM (SELECT *, row_number() OVER (PARTITION BY agent_name ORDER BY last_seen_at DESC, id DESC) AS rn FROM authors) WHERE rn = 1")
 def latest_per_key(spark, sf):
     return rk.latest_per_key(authors(spark, sf), "agent_name", "last_seen_at").select("agent_name", "last_seen_at", "id")
@@ -289,13 +300,18 @@ def normalised(spark, sf):
     return knowledge(spark, sf).select("id", F.sha2(tx.normalised(F.col("text")), 256).alias("h"))
 
 
-@query("f2_content_hash", "SELECT id, sha256(text) AS content_hash, length(text) > 0 AND len(tags) <= 32 AS accepted FROM knowledge")
+@query("f2_content_hash", """SELECT id, sha256(text) AS content_hash, length(text) > 0 AND seq % 4 NOT IN (0, 1) AS accepted FROM knowledge""")
 def content_hash(spark, sf):
+    """Texts with other line ends and blank lines have the hash of the normalised text; some rows carry too many or too long tags."""
+    s = F.col("seq")
+    text = F.when(s % 3 == 0, F.concat("text", F.lit("  \r\n\n\n\n"))).when(s % 3 == 1, F.concat(F.lit("\n\n"), F.regexp_replace("text", "\n", " \t\r\n"))).otherwise(F.col("text"))
+    many, long = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: i.cast("string")), F.array_append("tags", F.lit("x" * 65))
+    k = knowledge(spark, sf).select("id", text.alias("text"), F.when(s % 4 == 0, many).when(s % 4 == 1, long).otherwise(F.col("tags")).alias("tags"))
     ok = (F.length("text") > 0) & (F.size("tags") <= 32) & F.forall("tags", lambda t: F.length(t).between(1, 64))
-    return knowledge(spark, sf).select("id", tx.content_hash(F.col("text")).alias("content_hash"), ok.alias("accepted"))
+    return k.select("id", tx.content_hash(F.col("text")).alias("content_hash"), ok.alias("accepted"))
 
 
-@query("f3_fact_hash")
+@query("f3_fact_hash", """SELECT id, sha256(type || chr(0) || CASE type WHEN 'TaskFact' THEN '{"status":' || json_extract(payload, '$.status') || ',"task_id":' || json_extract(payload, '$.task_id') || '}' ELSE payload END) AS fact_hash FROM facts""")
 def fact_hash(spark, sf):
     return facts(spark, sf).select("id", tx.fact_hash(F.col("type"), F.col("payload")).alias("fact_hash"))
 
@@ -310,10 +326,14 @@ def oversize_log(spark, sf):
     return knowledge(spark, sf).filter(tx.token_estimate(F.col("text")) > 512).select("id", F.length("text").cast("bigint").alias("chars"))
 
 
-@query("f7_language_label", "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'rust' WHEN page_id % 4 = 1 THEN 'python' WHEN page_id % 4 = 2 THEN 'markdown' ELSE 'text' END AS label FROM pages", model=False)
+_EXTENSIONS = ("md", "markdown", "mdx", "rs", "PY", "pyi", "sh", "bash", "zsh", "Toml", "txt", "xyz")
+_LABELS = ("markdown", "markdown", "markdown", "rust", "python", "python", "shell", "shell", "shell", "toml", None, None)
+
+
+@query("f7_language_label", f"SELECT page_id, [{', '.join('NULL' if x is None else repr(x) for x in _LABELS)}][page_id % 12 + 1] AS label FROM pages", model=False)
 def language_label(spark, sf):
-    ext = F.element_at(F.array(*map(F.lit, ("rs", "PY", "md", "xyz"))), (F.col("page_id") % 4 + 1).cast("int"))
-    return table(spark, sf, "pages").select("page_id", tx.language_of(F.concat(F.lit("a/b."), ext)).alias("label"))
+    ext = F.element_at(F.array(*map(F.lit, _EXTENSIONS)), (F.col("page_id") % 12 + 1).cast("int"))
+    return table(spark, sf, "pages").select("page_id", tx.language_of(F.concat(F.lit("a.rs/b."), ext)).alias("label"))
 
 
 @query("f10_token_cost", """SELECT id, CAST(ceil(length('{"id":"' || id || '","source":"' || source || '","repo":"' || repo || '"}') / 4.0) AS BIGINT) AS tokens FROM knowledge""")
@@ -321,23 +341,43 @@ def token_cost(spark, sf):
     return knowledge(spark, sf).select("id", tx.json_cost("id", "source", "repo").cast("bigint").alias("tokens"))
 
 
-def _typed(spark, sf):
-    e = events(spark, sf).select("id", F.lit("service").alias("type"), "payload")
-    f = facts(spark, sf).select("id", F.when(F.col("id").endswith("77"), "Odd").otherwise(F.col("type")).alias("type"), "payload")
-    return e.unionByName(f)
-
-
-_VIOLATIONS = ", broken AS (SELECT id, 'k:range' AS rule FROM ev WHERE k NOT BETWEEN 0 AND 89 UNION ALL SELECT id, 'type:unknown' FROM facts WHERE id LIKE '%77')\n"
-
-
-@query("f11_violations", _VIOLATIONS + "SELECT id, rule FROM broken")
+#: Payloads by type and the violations that each must be found to have, labelled by hand.
+_PAYLOADS = (
+    ("UserFact", '{"name":"n","email":"a@b.c","birthdate":"1990-02-03"}', ()),
+    ("UserFact", "{}", (("payload.name", "required"),)),
+    ("UserFact", '{"name":"","email":"bad"}', (("payload.name", "length"), ("payload.email", "email_shape"))),
+    ("UserFact", '{"name":7,"birthdate":"soon"}', (("payload.name", "type"), ("payload.birthdate", "rfc3339"))),
+    ("TaskFact", '{"task_id":"ansible-0123456789abcdef0123456789abcdef","status":"done"}', ()),
+    ("TaskFact", '{"status":"nope"}', (("payload.task_id", "required"), ("payload.status", "enum"))),
+    ("TaskFact", '{"task_id":"t1"}', (("payload.task_id", "shape"), ("payload.status", "required"))),
+    ("EnvFact", '{"key":"lower","value":1}', (("payload.key", "shape"),)),
+    ("EnvFact", '{"key":"OK_1","value":[1,2]}', ()),
+    ("EnvFact", '{"key":"OK_1"}', (("payload.value", "required"),)),
+    ("Service", '{"service":"s","host":"Bad_Host!","event":"up"}', (("payload.host", "hostname_shape"),)),
+    ("Service", '{"service":"s","host":"h1","event":"sideways","port":70000}', (("payload.event", "enum"), ("payload.port", "numeric_range"))),
+    ("Service", '{"service":"s","host":"h1.example","event":"up","port":80,"meta":{"created_at":"yesterday","deep":[{"ts":"1990-01-01T00:00:00Z","at":"2024-02-01T00:00:00Z"}]}}', (("payload.meta.created_at", "timestamp_range"), ("payload.meta.deep[0].ts", "timestamp_range"))),
+    ("Execution", '{"task_id":"0f0e0d0c-0b0a-0908-0706-050403020100","tool":"t","phase":"started"}', ()),
+    ("Execution", '{"tool":"","phase":5}', (("payload.task_id", "required"), ("payload.tool", "length"), ("payload.phase", "enum"))),
+    ("Service", "[1]", (("payload", "type"),)),
+    ("Odd", "{}", (("type", "unknown"),)),
+)
+_VIOLATIONS = f", labels AS (SELECT * FROM (VALUES {', '.join(f'({i}, {f!r}, {r!r})' for i, (_, _, bad) in enumerate(_PAYLOADS) for f, r in bad)}) t(i, field, rule)), broken AS (SELECT id, field, rule FROM ev JOIN labels ON i = seq % {len(_PAYLOADS)})\n"
+
+
+def submissions(spark, sf):
+    """One of the payloads for each event."""
+    made = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(p).alias("payload")) for t, p, _ in _PAYLOADS])
+    return events(spark, sf).select("id", F.get(made, (F.col("seq") % len(_PAYLOADS)).cast("int")).alias("p")).select("id", "p.type", "p.payload")
+
+
+@query("f11_violations", _VIOLATIONS + "SELECT id, field, rule FROM broken")
 def violations(spark, sf):
-    return va.violations(_typed(spark, sf))
+    return va.violations(submissions(spark, sf), AS_OF)
 
 
 @query("f12_rejections", _VIOLATIONS + "SELECT rule, count(*) AS n FROM broken GROUP BY 1")
 def rejections(spark, sf):
-    return va.rejections_by_rule(va.violations(_typed(spark, sf)))
+    return va.rejections_by_rule(va.violations(submissions(spark, sf), AS_OF))
 
 
 @query("q3_duplicate_census", "SELECT count(*) AS points, count(DISTINCT content_hash) AS uniques, (SELECT count(*) FROM (SELECT content_hash FROM knowledge GROUP BY 1 HAVING count(*) > 1)) AS groups FROM knowledge")

@@ -166,11 +166,6 @@ def miss_kind(spark, sf):
     return rt.miss_kind(search_sample(spark, sf))
 
 
-@query("r13_search_sample", _SAMPLE + "SELECT query_id, hits, top_raw, CASE WHEN hits > 0 THEN 'knowledge' END AS top_kind FROM sample")
-def sample(spark, sf):
-    return search_sample(spark, sf)
-
-
 @query("s8_search_logs", _SAMPLE + "SELECT CASE WHEN hits = 0 THEN 'zero_hit' WHEN top_raw < 0.45 THEN 'low_score' ELSE 'hit' END AS log, count(*) AS n FROM sample GROUP BY 1")
 def search_logs(spark, sf):
     """The sample and miss logs, written and read back, as counts."""
@@ -309,6 +304,15 @@ def hybrid(spark, sf):
     return hybrid_search(spark, sf)
 
 
+@query("r13_search_sample", _HYBRID + """, page AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, place, id) AS rank FROM fused) WHERE rank <= 10)
+SELECT asked.query_id, count(page.id) AS hits, arg_min(struct_pack(v := raw), rank).v AS top_raw, arg_min(page.kind, rank) AS top_kind, coalesce(array_to_string(list_sort(list(DISTINCT page.kind)), ','), '') AS kinds, CAST(coalesce(sum(copies), 0) AS BIGINT) AS collapsed FROM asked LEFT JOIN page ON page.query_id = asked.query_id GROUP BY 1""")
+def search_record(spark, sf):
+    """One record per query: hits, the first one's raw score and kind, kinds, and copies that were collapsed."""
+    per = hybrid_search(spark, sf).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.min_by("raw", "rank").alias("top_raw"), F.min_by("kind", "rank").alias("top_kind"), F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"), F.sum("copies").alias("collapsed"))
+    q = search_queries(spark, sf).select("query_id").join(per, "query_id", "left")
+    return q.select("query_id", F.coalesce("hits", F.lit(0)).alias("hits"), "top_raw", "top_kind", F.coalesce("kinds", F.lit("")).alias("kinds"), F.coalesce("collapsed", F.lit(0)).cast("bigint").alias("collapsed"))
+
+
 @query("w8_rerank", _HYBRID + "SELECT query_id, id, rank, new_rank FROM moved")
 def rerank(spark, sf):
     q, k = search_queries(spark, sf), memories(spark, sf)
@@ -382,9 +386,20 @@ def list_build(spark, sf):
     return near.join(one.select("id", rt.tier_weight().alias("weight")), "id").select("query_id", "id", F.round("norm", 4).alias("norm"), "weight")
 
 
+def page_markdown(html):
+    """A page's text with its headings as markdown ones."""
+    body = F.regexp_replace(html, "(?s)<(script|style)[^>]*>.*?</\\1>|<!--.*?-->", "")
+    for level in range(1, 7):
+        body = F.regexp_replace(body, f"<h{level}[^>]*>", "\n\n" + "#" * level + " ")
+    return F.regexp_replace(F.regexp_replace(body, "</?(p|div|li|ul|br|article|nav|h[1-6])[^>]*>", "\n\n"), "<[^>]*>", "")
+
+
 @query("f4_chunks")
 def chunks(spark, sf):
-    return chunking.chunk_documents(knowledge(spark, sf), "id", "text", "language")
+    """Documents as plain text or markdown by their file's label, and pages as markdown with headings."""
+    docs = knowledge(spark, sf).select("id", "text", F.when(F.col("seq") % 2 == 0, tx.language_of(F.col("file"))).alias("label"))
+    pages = table(spark, sf, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), page_markdown(F.col("html")).alias("text"), F.lit("markdown").alias("label"))
+    return chunking.chunk_documents(docs.unionByName(pages), "id", "text", "label")
 
 
 def own_content(name: str = "payload_hash"):
@@ -422,21 +437,34 @@ def fact_upsert(spark, sf):
     return lc.upsert_facts(facts(spark, sf).withColumn("payload_hash", own_content()), upserts(spark, sf))
 
 
-@query("l2_file_dissents", "SELECT fact_id, payload, sum(n) AS submission_count FROM (SELECT fact_id, payload, CAST(1 AS BIGINT) AS n FROM dissents WHERE status = 'pending' UNION ALL SELECT fact_id, payload, 1 FROM dissents WHERE CAST(substr(id, 2) AS BIGINT) % 20 = 0) GROUP BY 1, 2")
+@query("l2_file_dissents", "SELECT fact_id, payload, sum(n) AS submission_count FROM (SELECT fact_id, payload, CAST(1 AS BIGINT) AS n FROM dissents WHERE status = 'pending' UNION ALL SELECT fact_id, payload, 1 FROM dissents WHERE CAST(substr(id, 2) AS BIGINT) % 20 = 0 AND fact_id IN (SELECT id FROM facts WHERE deleted_at IS NULL)) GROUP BY 1, 2")
 def file_dissents(spark, sf):
     d = dissents(spark, sf)
-    return lc.file_dissents(d.filter("status = 'pending'"), d.filter(F.substring("id", 2, 20).cast("bigint") % 20 == 0))
+    return lc.file_dissents(d.filter("status = 'pending'"), d.filter(F.substring("id", 2, 20).cast("bigint") % 20 == 0), facts(spark, sf))
 
 
-@query("l3_resolve_dissents", """, req AS (SELECT id AS dissent_id, fact_id, status, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 2 = 0 THEN 'promote' ELSE 'discard' END AS action, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 8 = 0 THEN 5 ELSE 1 END AS expected FROM dissents)
-SELECT dissent_id, CASE WHEN status <> 'pending' THEN 'not_pending' WHEN action = 'discard' THEN 'discarded' WHEN f.id IS NULL THEN 'missing' WHEN expected <> 1 THEN 'conflict' ELSE 'promoted' END AS outcome,
-CASE WHEN status = 'pending' AND action = 'promote' AND f.id IS NOT NULL AND expected = 1 THEN 2 END AS version FROM req LEFT JOIN (SELECT id FROM facts WHERE deleted_at IS NULL) f ON f.id = req.fact_id""")
-def resolve_dissents(spark, sf):
+_RESOLVED = """, req AS (SELECT id AS dissent_id, fact_id, payload, status, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 2 = 0 THEN 'promote' ELSE 'discard' END AS action, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 8 = 0 THEN 5 ELSE 1 END AS expected FROM dissents),
+resolved AS (SELECT dissent_id, fact_id, req.payload, CASE WHEN status <> 'pending' THEN 'not_pending' WHEN action = 'discard' THEN 'discarded' WHEN f.id IS NULL THEN 'missing' WHEN expected <> 1 THEN 'conflict' ELSE 'promoted' END AS outcome,
+CASE WHEN status = 'pending' AND action = 'promote' AND f.id IS NOT NULL AND expected = 1 THEN 2 END AS version FROM req LEFT JOIN (SELECT id FROM facts WHERE deleted_at IS NULL) f ON f.id = req.fact_id)
+"""
+
+
+def _resolved(spark, sf):
     d, n = dissents(spark, sf), F.substring("id", 2, 20).cast("bigint")
     req = d.select(F.col("id").alias("dissent_id"), F.when(n % 2 == 0, "promote").otherwise("discard").alias("action"), F.when(n % 8 == 0, 5).otherwise(1).alias("expected"))
     return lc.resolve_dissents(d, facts(spark, sf), req)
 
 
+@query("l3_resolve_dissents", _RESOLVED + "SELECT dissent_id, outcome, version FROM resolved")
+def resolve_dissents(spark, sf):
+    return _resolved(spark, sf)
+
+
+@query("l3_next_state", _RESOLVED + "SELECT f.id, coalesce(r.payload, f.payload) AS payload, CASE WHEN r.dissent_id IS NOT NULL THEN 'User' ELSE f.source END AS source, coalesce(r.version, f.version) AS version, f.deleted_at FROM facts f LEFT JOIN (SELECT * FROM resolved WHERE outcome = 'promoted') r ON r.fact_id = f.id")
+def promoted_facts(spark, sf):
+    return lc.promoted_facts(facts(spark, sf), dissents(spark, sf), _resolved(spark, sf))
+
+
 @query("l4_orphans", "SELECT d.id, CASE WHEN d.status = 'pending' AND f.deleted_at IS NOT NULL THEN 'orphaned' ELSE d.status END AS status FROM dissents d LEFT JOIN facts f ON f.id = d.fact_id")
 def orphans(spark, sf):
     return lc.orphan_dissents(dissents(spark, sf), facts(spark, sf))
@@ -445,11 +473,22 @@ def orphans(spark, sf):
 @query("l5_delete_restore", """, req AS (SELECT 'o' || o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'delete' WHEN 1 THEN 'restore' ELSE 'hard' END AS action FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'e' || event_id, 'delete' FROM events WHERE event_id % 100 = 0 UNION ALL SELECT 'x' || o_orderkey, 'delete' FROM orders WHERE o_orderkey % 100 = 0)
 SELECT req.id, action, CASE WHEN req.id LIKE 'e%' THEN 'refused' WHEN f.id IS NULL THEN 'missing' WHEN action = 'hard' THEN 'removed' WHEN action = 'delete' AND deleted_at IS NULL THEN 'deleted' WHEN action = 'restore' AND deleted_at IS NOT NULL THEN 'restored' ELSE 'noop' END AS outcome FROM req LEFT JOIN facts f ON f.id = req.id""")
 def delete_restore(spark, sf):
+    return lc.delete_restore(facts(spark, sf), deletions(spark, sf))
+
+
+def deletions(spark, sf) -> DataFrame:
     o, e, n = table(spark, sf, "orders"), table(spark, sf, "events"), F.col("o_orderkey")
     req = o.filter(n % 2 == 0).select(F.concat(F.lit("o"), n).alias("id"), F.when(n % 3 == 0, "delete").when(n % 3 == 1, "restore").otherwise("hard").alias("action"))
     req = req.unionByName(e.filter("event_id % 100 = 0").select(F.concat(F.lit("e"), "event_id").alias("id"), F.lit("delete").alias("action")))
-    req = req.unionByName(o.filter(n % 100 == 0).select(F.concat(F.lit("x"), n).alias("id"), F.lit("delete").alias("action")))
-    return lc.delete_restore(facts(spark, sf), req)
+    return req.unionByName(o.filter(n % 100 == 0).select(F.concat(F.lit("x"), n).alias("id"), F.lit("delete").alias("action")))
+
+
+@query("l5_next_state", """, s AS (SELECT id, deleted_at, CASE WHEN deleted_at IS NOT NULL THEN 'z' || id END AS superseded_by, CAST(substr(id, 2) AS BIGINT) AS n, id LIKE 'o%' AND CAST(substr(id, 2) AS BIGINT) % 2 = 0 AS asked FROM facts)
+SELECT id, CASE WHEN asked AND n % 3 = 0 THEN coalesce(deleted_at, TIMESTAMP '2024-03-01') WHEN asked AND n % 3 = 1 THEN NULL ELSE deleted_at END AS deleted_at, CASE WHEN asked AND n % 3 = 1 THEN NULL ELSE superseded_by END AS superseded_by FROM s WHERE NOT (asked AND n % 3 = 2)""")
+def after_deletions(spark, sf):
+    f = facts(spark, sf).select("id", "deleted_at", F.when(F.col("deleted_at").isNotNull(), F.concat(F.lit("z"), "id")).alias("superseded_by"))
+    req = deletions(spark, sf)
+    return lc.after_deletions(f, req, lc.delete_restore(f, req), as_of())
 
 
 @query("l6_supersede", """, req AS (SELECT id AS old_id FROM knowledge WHERE seq % 4 = 0), s AS (SELECT k.*, req.old_id IS NOT NULL AND source = 'AgentProposal' AND deleted_at IS NULL AS hit FROM knowledge k LEFT JOIN req ON req.old_id = k.id)
@@ -489,10 +528,14 @@ fixed AS (SELECT seen.id, CASE WHEN n = 0 THEN 'left' WHEN n = 1 AND a.id IS NOT
 """
 
 
-def _repair(spark, sf):
+def _repair_rows(spark, sf):
     e, s = events(spark, sf), F.col("seq")
     a = F.when(s % 50 == 0, "system").when(F.col("task_id") == "t1", F.concat(F.lit("a"), s % 2)).when(F.col("task_id") == "t2", "zz").otherwise(F.col("author_id"))
-    rows = e.select("id", F.col("task_id").alias("link"), a.alias("author_id"))
+    return e.select("id", F.col("task_id").alias("link"), a.alias("author_id"))
+
+
+def _repair(spark, sf):
+    rows = _repair_rows(spark, sf)
     return lc.repair_attribution(rows, rows, authors(spark, sf))
 
 
@@ -501,11 +544,26 @@ def repair(spark, sf):
     return _repair(spark, sf)
 
 
+@query("j6_sibling_authors", _REPAIR + "SELECT DISTINCT own.id, o.author_id FROM own JOIN r o ON o.link = own.link WHERE o.author_id <> 'system'")
+def sibling_authors(spark, sf):
+    rows = _repair_rows(spark, sf)
+    return lc.sibling_authors(rows, rows)
+
+
 @query("j6_repair_report", _REPAIR + "SELECT bucket, count(*) AS n FROM fixed GROUP BY 1")
 def repair_report(spark, sf):
     return _repair(spark, sf).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("l10_remove_authors", """, owned AS (SELECT author_id FROM facts UNION ALL SELECT author_id FROM ev UNION ALL SELECT author_id FROM knowledge), req AS (SELECT id FROM authors UNION ALL SELECT 'nobody')
+SELECT req.id, CASE WHEN a.id IS NULL THEN 'missing' WHEN req.id IN (SELECT author_id FROM owned WHERE author_id NOT IN ('a3', 'a4')) OR req.id IN ('system', 'lost-author') THEN 'refused' ELSE 'removed' END AS outcome FROM req LEFT JOIN authors a ON a.id = req.id""")
+def remove_authors(spark, sf):
+    """All authors, of whom two have given everything away before."""
+    a = authors(spark, sf)
+    owned = facts(spark, sf).select("author_id").unionByName(events(spark, sf).select("author_id")).unionByName(knowledge(spark, sf).select("author_id")).filter("author_id not in ('a3', 'a4')")
+    return lc.remove_authors(a, owned, a.select("id").unionByName(spark.range(1).select(F.lit("nobody").alias("id"))))
+
+
 @query("l10_merge_authors", "SELECT id, CASE author_id WHEN 'a1' THEN 'a0' WHEN 'a3' THEN 'a2' ELSE author_id END AS author_id FROM knowledge")
 def merge_authors(spark, sf):
     from_to = authors(spark, sf).filter("id in ('a1', 'a3')").select(F.col("id").alias("from_id"), F.when(F.col("id") == "a1", "a0").otherwise("a2").alias("to_id"))
@@ -551,8 +609,12 @@ def decay(spark, sf):
     return lc.decay(facts(spark, sf), as_of())
 
 
-@query("l16_merge_summaries", """, old AS (SELECT host, category, CAST(created_at AS DATE) AS day, count(*) AS n FROM ev WHERE created_at < TIMESTAMP '2024-01-20' GROUP BY ALL), new AS (SELECT host, category, CAST(created_at AS DATE) AS day, count(*) AS n FROM ev WHERE created_at >= TIMESTAMP '2024-01-15' GROUP BY ALL)
-SELECT host, category, day, n AS summary, true AS invalidated FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.host = old.host AND new.category = old.category AND new.day = old.day) UNION ALL SELECT host, category, day, n, false FROM new""")
+_MERGED = """, old AS (SELECT host, category, CAST(created_at AS DATE) AS day, count(*) AS n FROM ev WHERE created_at < TIMESTAMP '2024-01-20' GROUP BY ALL), new AS (SELECT host, category, CAST(created_at AS DATE) AS day, count(*) AS n FROM ev WHERE created_at >= TIMESTAMP '2024-01-15' GROUP BY ALL),
+merged AS (SELECT host, category, day, n AS summary, true AS invalidated FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.host = old.host AND new.category = old.category AND new.day = old.day) UNION ALL SELECT host, category, day, n, false FROM new)
+"""
+
+
+@query("l16_merge_summaries", _MERGED + "SELECT * FROM merged")
 def merge_summaries(spark, sf):
     e, keys = events(spark, sf).withColumn("day", F.to_date("created_at")), ["host", "category", "day"]
     count = lambda df: df.groupBy(*keys).agg(F.count(F.lit(1)).alias("summary"))
@@ -560,6 +622,21 @@ def merge_summaries(spark, sf):
     return lc.merge_summaries(old, count(e.filter(F.col("created_at") >= "2024-01-15")), keys)
 
 
+@query("l16_list_summaries", _MERGED + "SELECT host, category, day, summary FROM merged WHERE NOT invalidated AND host <> 'h2' ORDER BY day DESC, host, category LIMIT 50")
+def list_summaries(spark, sf):
+    """What is left to list after one host's summaries were marked invalid."""
+    keys = spark.range(1).select(F.lit("h2").alias("host"))
+    return lc.list_summaries(lc.invalidate_summaries(merge_summaries(spark, sf), keys, ["host"])).select("host", "category", "day", "summary")
+
+
+@query("t4_rolling_counts", """SELECT CAST(created_at AS DATE) AS day, host, category, count(*) AS total FROM ev WHERE created_at <= TIMESTAMP '2024-01-20' AND (created_at >= TIMESTAMP '2024-01-13' OR seq % 3 <> 0) GROUP BY ALL""")
+def rolling_counts(spark, sf):
+    """Every third event came late: older days keep the counts made without them, the last week is counted anew."""
+    e = events(spark, sf)
+    early = e.filter("seq % 3 <> 0 and created_at <= timestamp'2024-01-18'").groupBy(F.to_date("created_at").alias("day"), "host", "category").agg(F.count(F.lit(1)).alias("total"))
+    return jobs.rolling_counts(early, e, F.lit("2024-01-20").cast("timestamp"))
+
+
 def observations(spark, sf) -> DataFrame:
     k = F.col("k")
     return events(spark, sf).select("host", "service", (F.col("category") != "error").alias("active"), F.when(k % 3 == 0, F.floor(k / 25).cast("string")).alias("version"), F.col("created_at").alias("at"), "seq")

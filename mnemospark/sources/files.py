@@ -6,17 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # What a corpus scan keeps and skips.
-SKIP_FOLDERS = (".git", "target", "node_modules", "dist", "build", "__pycache__", ".venv", "venv", ".cache")
-EXTENSIONS = ("md", "mdx", "markdown", "txt", "rst", "rs", "py", "js", "ts", "tsx", "go", "c", "h", "cpp", "hpp", "sh", "toml", "yaml", "yml", "json", "sql", "html", "css")
-NAMES = ("dockerfile", "makefile", "justfile", "readme", "license")
-LOCKFILES = ("cargo.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "uv.lock", "go.sum")
+SKIP_FOLDERS = (
+    "target", "node_modules", ".pnpm-store", ".git", "__pycache__", ".venv", "venv", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox",
+    ".gradle", ".idea", ".svelte-kit", ".next", ".nuxt", ".cache", ".terraform", ".obsidian", "dist", "build",
+)
+EXTENSIONS = (
+    "rs", "toml", "c", "h", "cc", "cpp", "cxx", "hpp", "go", "zig", "py", "pyi", "js", "jsx", "mjs", "cjs", "ts", "tsx", "svelte", "vue",
+    "html", "htm", "css", "scss", "sass", "sh", "bash", "zsh", "fish", "ps1", "rb", "lua", "pl",
+    "md", "mdx", "markdown", "txt", "rst", "adoc", "asciidoc", "org", "tex",
+    "yaml", "yml", "ini", "cfg", "conf", "env", "properties", "sql", "proto",
+)
+NAMES = ("dockerfile", "containerfile", "makefile", "gnumakefile", "justfile", "readme", "vagrantfile", "procfile")
+LOCKFILES = (
+    "cargo.lock", "pnpm-lock.yaml", "package-lock.json", "yarn.lock", "poetry.lock", "pipfile.lock", "uv.lock", "composer.lock",
+    "gemfile.lock", "flake.lock", "bun.lockb", "deno.lock",
+)
 
 
 def indexable(path):
-    """Whether a path is kept: no skipped folder, no lockfile, and a known extension or name."""
-    parts = F.split(F.lower(path), "/")
-    name = F.element_at(parts, -1)
-    known = F.regexp_extract(name, r"\.([a-z0-9]+)$", 1).isin(*EXTENSIONS) | name.isin(*NAMES)
+    """Whether a path is kept: no skipped folder, no lockfile, and a known extension or name, in any case of letters."""
+    parts = F.split(path, "/")
+    name = F.lower(F.element_at(parts, -1))
+    known = F.regexp_extract(name, r"[^.].*\.([^.]+)$", 1).isin(*EXTENSIONS) | name.isin(*NAMES)
     return known & ~name.isin(*LOCKFILES) & ~F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*map(F.lit, SKIP_FOLDERS)))
 
 
@@ -51,9 +62,9 @@ def split_by_dimension(rows: DataFrame, dim: int, vector: str = "embedding") ->
     return rows.filter(ok), rows.filter(~ok)
 
 
-def append(rows: DataFrame, path: str, partition: str | None = None) -> None:
-    writer = rows.write.mode("append")
-    (writer.partitionBy(partition) if partition else writer).parquet(path)
+def append(rows: DataFrame, path: str, batch: str | int) -> None:
+    """Add rows to a table as one batch; the same batch written again replaces itself, so a retry adds nothing twice."""
+    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
 
 
 def retained(log: DataFrame, ts: str, as_of, days: int) -> DataFrame:

@@ -24,14 +24,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/mnemospark-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage: what follows survives lost executors without recomputing ``df``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.staged_at = path
     return found

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.validation import violations
+from ..sources.files import append
 
 EDGES = "host string, service string, event string, version string, at timestamp"
 
@@ -55,13 +56,13 @@ def stream_edges(rows: DataFrame) -> DataFrame:
     return rows.groupBy("host", "service").transformWithStateInPandas(EdgeDetector(), EDGES, "Append", "None")
 
 
-def ingest_events(rows: DataFrame, good: str, bad: str, checkpoint: str):
-    """Validated events to one table, those that break a rule to another."""
+def ingest_events(rows: DataFrame, good: str, bad: str, checkpoint: str, kind: str = "Service"):
+    """Validated events to one table, those that break a rule to another; a micro-batch that runs again replaces what it wrote."""
 
-    def sink(batch: DataFrame, _: int) -> None:
-        broken = violations(batch.select("id", F.lit("service").alias("type"), "payload"))
-        batch.join(broken.select("id").distinct(), "id", "left_anti").write.mode("append").parquet(good)
-        broken.write.mode("append").parquet(bad)
+    def sink(batch: DataFrame, number: int) -> None:
+        broken = violations(batch.select("id", F.lit(kind).alias("type"), "payload"))
+        append(batch.join(broken.select("id").distinct(), "id", "left_anti"), good, number)
+        append(broken, bad, number)
 
     return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
@@ -71,6 +72,14 @@ def daily_counts(rows: DataFrame, late: str = "7 days") -> DataFrame:
     return rows.withWatermark("created_at", late).groupBy(F.window("created_at", "1 day").alias("w"), "host", "category").agg(F.count(F.lit(1)).alias("total")).select(F.to_date("w.start").alias("day"), "host", "category", "total")
 
 
+def rolling_counts(summaries: DataFrame, rows: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
+    """``summaries`` (day, host, category, total) with the last ``days`` days counted anew, so that late rows are in; older days stay."""
+    since = F.date_sub(F.to_date(as_of), days)
+    old = summaries.filter(F.col("day") < since)
+    new = rows.withColumn("day", F.to_date("created_at")).filter((F.col("day") >= since) & (F.col("created_at") <= as_of))
+    return old.unionByName(new.groupBy("day", "host", "category").agg(F.count(F.lit(1)).alias("total")))
+
+
 def flushes(reads: DataFrame, seconds: int) -> DataFrame:
     """(id, flush): the end of the interval in which an id was read."""
     return reads.select("id", F.window("at", f"{seconds} seconds")["end"].alias("flush"))

@@ -3,6 +3,9 @@
 import datetime
 import math
 import os
+import random
+import re
+from collections import Counter
 
 import duckdb
 import pandas as pd
@@ -78,16 +81,19 @@ def test_proposals_resolve_in_order(spark):
 
 
 def test_json_containment(spark):
-    df = spark.createDataFrame([('{"a":{"b":1,"c":[1,2,"x"]},"d":"e"}',)], "p string")
+    """Like Postgres' @>: types count, objects inside arrays are subsets."""
+    df = spark.createDataFrame([('{"a":{"b":1,"c":[1,2,"x",{"k":1,"m":[3]}],"n":null,"t":true},"d":"9"}',)], "p string")
     ask = lambda m: df.filter(predicates.contains_json("p", m)).count()
-    assert [ask(m) for m in ({"a": {"b": 1}}, {"a": {"c": ["x"]}}, {"d": "e", "a": {}}, {"a": {"b": 2}}, {"z": 1})] == [1, 1, 1, 0, 0]
+    yes = ({"a": {"b": 1}}, {"a": {"c": ["x"]}}, {"d": "9", "a": {}}, {"a": {"c": [{"k": 1}]}}, {"a": {"c": [{"m": [3]}, 2]}}, {"a": {"n": None}}, {"a": {"t": True}}, {"a": {"b": 1.0}}, {"a": {"c": []}})
+    no = ({"a": {"b": 2}}, {"z": 1}, {"d": 9}, {"a": {"b": "1"}}, {"a": {"c": [{"k": 2}]}}, {"z": None}, {"a": {"t": 1}}, {"a": {"c": {}}}, {"a": {"c": [{"q": []}]}})
+    assert [ask(m) for m in yes] == [1] * len(yes) and [ask(m) for m in no] == [0] * len(no)
 
 
 def test_corpus_scan(spark, tmp_path):
-    for path, text in (("a/x.md", "hello"), ("node_modules/y.md", "no"), ("b/Cargo.lock", "no"), ("b/Makefile", "yes"), ("c.bin", "no")):
+    for path, text in (("a/x.md", "hello"), ("node_modules/y.md", "no"), ("b/Cargo.lock", "no"), ("b/Makefile", "yes"), ("c.bin", "no"), ("d/x.json", "no"), (".tox/a.py", "no"), ("e/App.VUE", "vue")):
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_text(text)
-    assert sorted(r.text for r in files.scan_corpus(spark, str(tmp_path)).collect()) == ["hello", "yes"]
+    assert sorted(r.text for r in files.scan_corpus(spark, str(tmp_path)).collect()) == ["hello", "vue", "yes"]
 
 
 def test_chunks_keep_headings_and_fences():
@@ -137,10 +143,97 @@ def test_edge_stream_equals_batch(spark, tmp_path):
 
 
 def test_validated_ingest(spark, tmp_path):
-    good = '{"k":1,"host":"h1","service":"s1"}'
-    spark.createDataFrame([("1", good), ("2", '{"k":95,"host":"h1","service":"s1"}')], "id string, payload string").write.parquet(str(tmp_path / "in"))
+    good = '{"event":"up","host":"h1","service":"s1"}'
+    spark.createDataFrame([("1", good), ("2", '{"event":"up","host":"h1"}')], "id string, payload string").write.parquet(str(tmp_path / "in"))
     rows = spark.readStream.schema("id string, payload string").parquet(str(tmp_path / "in"))
     q = jobs.ingest_events(rows, str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "c")).start()
     q.awaitTermination(120)
     assert [r.id for r in spark.read.parquet(str(tmp_path / "good")).collect()] == ["1"]
-    assert [r.rule for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == ["k:range"]
+    assert [r.rule for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == ["required"]
+
+
+def test_batches_written_again_replace_themselves(spark, tmp_path):
+    rows = spark.createDataFrame([("1",), ("2",)], "id string")
+    for batch in (0, 1, 0):
+        files.append(rows, str(tmp_path / "log"), batch)
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 4
+
+
+def test_cover_density_and_snippets_match_loops(spark):
+    rng = random.Random(2)
+
+    def density(words, wanted):
+        spans, best = 0.0, -1
+        for end in range(len(words)):  # shortest span that ends here and starts after the last counted start
+            if words[end] in wanted:
+                start = next((s for s in range(end, -1, -1) if set(wanted) <= set(words[s : end + 1])), None)
+                if start is not None and start > best:
+                    spans, best = spans + len(set(wanted)) / (end - start + 1), start
+        return spans
+
+    rows = [([rng.choice("abcde") for _ in range(rng.randrange(1, 30))], rng.sample("abc", rng.randrange(1, 4))) for _ in range(60)]
+    got = spark.createDataFrame(rows, "w array<string>, q array<string>").select(retrieval.cover_density("w", "q").alias("d")).collect()
+    assert [r.d for r in got] == [pytest.approx(density(w, q)) for w, q in rows]
+    texts = [" ".join(rng.choice(("needle", "hay", "stack", "x" * 9, "straw")) for _ in range(rng.randrange(5, 300))) for _ in range(20)]
+
+    def window(t, anchors=("needle", "stack")):
+        if len(t) <= 320:
+            return t
+        spots = sorted({m.start() for a in anchors for m in re.finditer(a, t)})
+        starts = [min(max(0, h - 80), len(t) - 320) for h in spots]
+        return max(sum(s <= p < s + 320 for p in spots) for s in starts) if spots else 0
+
+    for r in spark.createDataFrame([(t, "needle stack") for t in texts], "t string, q string").select("t", retrieval.snippet("t", "q").alias("s")).collect():
+        want = window(r.t)
+        if len(r.t) <= 320:
+            assert r.s == r.t
+        else:
+            body = r.s.strip("…")
+            held = sum(len(re.findall(a, body)) for a in ("needle", "stack"))
+            assert body in r.t and len(body) <= 320 and want - 6 <= held <= want + 1
+
+
+def loop_budget(items, budget):
+    order = {s: i for i, s in enumerate(context.SECTIONS)}
+    kept, spent, own, floor = [], 0, Counter(), int(context.FLOOR * budget)
+    for _, s, i, _, cost in sorted(items, key=lambda x: (order[x[1]], -x[3], x[2])):
+        if own[s] < floor and spent + cost <= budget:
+            kept, spent = [*kept, i], spent + cost
+            own[s] += cost
+    for _, s, i, _, cost in sorted(items, key=lambda x: (-x[3], order[x[1]], x[2])):
+        if i not in kept and spent + cost <= budget:
+            kept, spent = [*kept, i], spent + cost
+    if not kept and budget:
+        kept = [min(items, key=lambda x: (-x[3], order[x[1]], x[2]))[2]]
+    return kept
+
+
+def test_budget_matches_a_loop(spark):
+    rng = random.Random(5)
+    rows = [(q, rng.choice(context.SECTIONS), f"i{n}", rng.randrange(20) / 20, rng.randrange(1, 90)) for q in range(12) for n in range(rng.randrange(1, 25))]
+    df = spark.createDataFrame(rows, "query_id int, section string, id string, score double, cost long")
+    for budget in (5, 60, 300):
+        got = {}
+        for r in context.allocate(df, budget).collect():
+            got.setdefault(r.query_id, set()).add(r.id)
+        assert got == {q: set(loop_budget([r for r in rows if r[0] == q], budget)) for q in range(12)}
+
+
+def test_summaries_stand_for_heavy_events(spark):
+    items = [(1, "event", f"e{i}", 0.5 + i / 10, None, None, "h", "c", datetime.date(2024, 1, 1 + i % 2), 40) for i in range(4)] + [(1, "fact", "f", 0.1, None, None, None, None, None, 10), (2, "event", "e9", 0.3, None, None, "h", "c", datetime.date(2024, 1, 1), 40)]
+    df = spark.createDataFrame(items, "query_id int, section string, id string, score double, repo string, file string, host string, category string, day date, cost long")
+    days = spark.createDataFrame([("h", "c", datetime.date(2024, 1, 1), "s1", 7)], "host string, category string, day date, id string, cost long")
+    got = {(r.query_id, r.id): (r.score, r.cost) for r in context.with_summaries(df, days, 200).collect()}
+    assert got == {(1, "s1"): (0.7, 7), (1, "e1"): (0.6, 40), (1, "e3"): (0.8, 40), (1, "f"): (0.1, 10), (2, "e9"): (0.3, 40)}
+
+
+def test_knn_without_itself_and_odd_vectors(spark):
+    items = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("c", [0.0, 1.0]), ("d", [1.0]), ("e", None)], "id string, embedding array<double>")
+    got = retrieval.knn(items.filter("id in ('a', 'e')").withColumnRenamed("id", "query_id"), items, 2, exclude_self=True).collect()
+    assert sorted((r.rank, r.id) for r in got) == [(1, "b"), (2, "c")]
+
+
+def test_chunks_fit_the_ceiling():
+    text = "word " * 900 + "x" * 4000 + "é" * 900
+    pieces = chunking.fitting(text, 100)
+    assert all(chunking.token_estimate(p) <= 100 for p in pieces) and "".join("".join(pieces).split()) == "".join(text.split())
