@@ -115,7 +115,7 @@ def _encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
 def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the documents' ids as blocks in ascending id order."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    encoded = stage(_encoded(docs, vocabulary, end_id), "encoded")
+    encoded = stage(_encoded(docs, vocabulary, end_id), "encoded", "zstd")
     total = encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
     parts = max(1, docs.sparkSession.sparkContext.defaultParallelism, -(-total // PART_BYTES))
 
@@ -144,7 +144,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_c
     arrow = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first_id", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("offsets", pa.binary()), ("words", pa.binary())])
     order = ["id", "hash", "salt"]
     ranged = encoded.withColumns({"hash": F.xxhash64("ids"), "salt": F.rand(5)}).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ranged.select("id", "n", "ids").mapInArrow(blocks, BLOCKS).write.parquet(path)
+    ranged.select("id", "n", "ids").mapInArrow(blocks, BLOCKS).write.option("compression", "zstd").parquet(path)
     unstage(encoded)
 
 
