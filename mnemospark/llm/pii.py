@@ -12,9 +12,10 @@ and ``_ - + /``, and hyphenated or lettered numbers. Labelers vote 1 (private),
 
 Expectation-maximisation over the counts of the vote patterns estimates each labeler's accuracy and
 the share of private tokens. The patterns' posteriors are the soft labels of a naive Bayes
-classifier on token features the labelers don't see (length, share of digits, case, distinct
-characters, neighbours), which decides about every candidate. The model is fitted on the candidates
-of all documents; only pattern and feature counts, at most a few thousand, reach the driver.
+classifier on token features (length and distinct characters, which no labeler sees, and share of digits, case
+and neighbours, of which labelers see coarser forms); it decides about every candidate, also about those on which
+all labelers abstain. The model is fitted on the candidates of all documents; only pattern and feature counts, at
+most a few thousand, reach the driver. Added spans have kind ``secret``.
 
 Defined results: null and empty texts have no spans. Offsets count code points, ends are exclusive.
 A candidate that overlaps a fixed span is dropped. Without candidates only the fixed patterns act.
