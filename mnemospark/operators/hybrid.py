@@ -38,9 +38,7 @@ def candidate_lists(queries: DataFrame, knowledge: DataFrame, facts: DataFrame,
     queries = stage(queries, "queries")
     dense = rt.knn(queries, reps, k)
     hand = rt.curated(rt.knn(queries, reps.filter("source = 'AgentProposal' and machine is null"), k), dense)
-    hits = rt.lexical(queries, chosen.filter("deleted_at is null")).join(reps.select("id", "embedding"), "id")
-    scored = hits.join(queries.select("query_id", F.col("embedding").alias("asked")), "query_id").select("query_id", "id", rt.cosine(F.col("asked"), F.col("embedding")).alias("score"))
-    lexical = rk.top_k(scored, k, [F.desc_nulls_last("score"), F.col("id")], ["query_id"]).withColumnRenamed("rn", "rank")
+    lexical = rt.lexical_by_cosine(queries, chosen.filter("deleted_at is null").select("id", "text"), reps, k)
     found = (dense, hand, lexical, rt.full_text(queries, facts, "payload", k, rt.fact_boost()), rt.full_text(queries, events, "payload", k))
     kinds = ("knowledge", "knowledge", "knowledge", "fact", "event")
     out = None

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import terms
-from ..sources.staging import broadcast_if_small
+from ..sources.staging import broadcast_if_small, stage
 from .ranking import top_k
 
 #: Query vectors scored at once; larger query tables are worked off in blocks of this many bytes.
@@ -126,6 +126,7 @@ def _holders(asked: DataFrame, rows: DataFrame, query: str) -> DataFrame:
     terms, the second meets each query through its rarest term, so a term that is in most texts
     pairs nothing unless it is all the query has; the others are looked up in the row's own terms.
     """
+    asked = stage(asked, "asked")
     words = broadcast_if_small(asked.select(F.explode("wanted").alias("term")).distinct(), 64)
     df = rows.select(F.explode(F.array_distinct("own")).alias("term")).join(words, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     each = asked.select(query, "wanted", F.explode("wanted").alias("term")).join(df, "term", "left")
@@ -141,10 +142,11 @@ def lexical(queries: DataFrame, items: DataFrame, text: str = "text", key: str =
     return _holders(asked, items.select(key, F.array_distinct(terms(F.col(text))).alias("own")), query).select(query, key)
 
 
-def lexical_by_cosine(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank) of each query's lexical hits by cosine, best first; without a vector last."""
-    hits = lexical(queries, items).join(items.select("id", "embedding"), "id")
-    scored = hits.join(queries.select("query_id", F.col("embedding").alias("asked")), "query_id").select("query_id", "id", cosine(F.col("asked"), F.col("embedding")).alias("score"))
+def lexical_by_cosine(queries: DataFrame, items: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank) of each query's lexical hits among ``vectors`` (id, embedding) by cosine, best first; those without a vector last."""
+    hits = broadcast_if_small(lexical(queries, items), 64)
+    near = vectors.select("id", "embedding").join(hits, "id").join(queries.select("query_id", F.col("embedding").alias("asked")), "query_id")
+    scored = near.select("query_id", "id", cosine(F.col("asked"), F.col("embedding")).alias("score"))
     return top_k(scored, k, [F.desc_nulls_last("score"), F.col("id")], ["query_id"]).withColumnRenamed("rn", "rank")
 
 

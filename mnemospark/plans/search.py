@@ -94,10 +94,7 @@ SELECT query_id, id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITI
 def lexical(spark, sf):
     """Whole texts of the query documents; their hits by cosine."""
     items = with_vectors(live_knowledge(spark, sf).select("seq", "id"), spark, sf)
-    hits = rt.lexical(search_queries(spark, sf), live_knowledge(spark, sf)).join(items, "id")
-    asked = search_queries(spark, sf).select("query_id", F.col("embedding").alias("asked"))
-    scored = hits.join(asked, "query_id").select("query_id", "id", rt.cosine(F.col("asked"), F.col("embedding")).alias("score"))
-    return rk.top_k(scored, TOP_K, [F.desc_nulls_last("score"), F.col("id")], ["query_id"]).withColumnRenamed("rn", "rank")
+    return rt.lexical_by_cosine(stage(search_queries(spark, sf), "queries"), live_knowledge(spark, sf).select("id", "text"), items, TOP_K)
 
 
 @query("r6_full_text_knowledge")
