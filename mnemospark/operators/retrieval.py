@@ -126,7 +126,6 @@ def _holders(asked: DataFrame, rows: DataFrame, query: str) -> DataFrame:
     terms, the second meets each query through its rarest term, so a term that is in most texts
     pairs nothing unless it is all the query has; the others are looked up in the row's own terms.
     """
-    asked = stage(asked, "asked")
     words = broadcast_if_small(asked.select(F.explode("wanted").alias("term")).distinct(), 64)
     df = rows.select(F.explode(F.array_distinct("own")).alias("term")).join(words, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     each = asked.select(query, "wanted", F.explode("wanted").alias("term")).join(df, "term", "left")
@@ -136,10 +135,18 @@ def _holders(asked: DataFrame, rows: DataFrame, query: str) -> DataFrame:
     return met.filter(F.size(F.array_except("wanted", "own")) == 0).drop("term")
 
 
+def _asked(queries: DataFrame, wanted: Column, query: str) -> tuple[DataFrame, DataFrame]:
+    """(query, one) of every query with terms, and (one, wanted): queries that want the same terms are searched as one."""
+    each = stage(queries.select(query, F.array_sort(F.array_distinct(wanted)).alias("wanted")).filter(F.size("wanted") > 0), "asked")
+    once = stage(each.groupBy("wanted").agg(F.min(query).alias("one")), "once")
+    return each.join(once, "wanted").select(query, "one"), once
+
+
 def lexical(queries: DataFrame, items: DataFrame, text: str = "text", key: str = "id", query: str = "query_id", query_text: str = "query") -> DataFrame:
     """(query, key) of the items that hold every term of the query."""
-    asked = queries.select(query, F.array_distinct(terms(F.col(query_text))).alias("wanted")).filter(F.size("wanted") > 0)
-    return _holders(asked, items.select(key, F.array_distinct(terms(F.col(text))).alias("own")), query).select(query, key)
+    each, once = _asked(queries, terms(F.col(query_text)), query)
+    hits = _holders(once, items.select(key, F.array_distinct(terms(F.col(text))).alias("own")), "one")
+    return each.join(hits.select("one", key), "one").select(query, key)
 
 
 def lexical_by_cosine(queries: DataFrame, items: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
@@ -176,11 +183,12 @@ def cover_density(words: pd.Series, wanted: pd.Series) -> pd.Series:
 
 def full_text(queries: DataFrame, rows: DataFrame, text: str, k: int, boost: Column | None = None, key: str = "id", query: str = "query_id", query_text: str = "query") -> DataFrame:
     """Rows that hold all index terms of a query, by cover density (times ``boost``), k per query."""
-    asked = queries.select(query, F.array_distinct(analysed(F.col(query_text))).alias("wanted")).filter(F.size("wanted") > 0)
+    each, once = _asked(queries, analysed(F.col(query_text)), query)
     own = rows.select(key, (boost if boost is not None else F.lit(1.0)).alias("boost"), analysed(F.col(text)).alias("own"))
-    hits = _holders(asked, own, query)
-    scored = hits.select(query, key, F.round(cover_density("own", "wanted") * F.col("boost"), 6).alias("score"))
-    return top_k(scored, k, [F.desc("score"), F.col(key)], [query]).withColumnRenamed("rn", "rank")
+    hits = _holders(once, own, "one")
+    scored = hits.select("one", key, F.round(cover_density("own", "wanted") * F.col("boost"), 6).alias("score"))
+    best = top_k(scored, k, [F.desc("score"), F.col(key)], ["one"]).withColumnRenamed("rn", "rank")
+    return each.join(best, "one").select(query, key, "score", "rank")
 
 
 def fact_boost() -> Column:
