@@ -374,7 +374,7 @@ def context_bundle(spark, sf):
 
 @query("r15_list_build", _REP + """, hits AS (SELECT q.vec_id AS query_id, rep.id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), rep.embedding), 6) AS score, rep.machine, rep.source FROM embeddings q, rep WHERE q.vec_id % 20 = 0 AND rep.embedding IS NOT NULL),
 near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM hits), norm AS (SELECT *, score / max(score) OVER (PARTITION BY query_id) AS n FROM near WHERE rank <= 30)
-SELECT query_id, id, round(greatest(0.0, least(1.0, n)), 4) AS norm, CASE WHEN machine IS NOT NULL THEN 1.0 WHEN source IN ('AgentProposal', 'User') THEN 2.0 ELSE 1.0 END AS weight FROM norm WHERE rank <= 10""")
+SELECT query_id, id, round(greatest(0.0, least(1.0, n)), 4) AS norm, CAST(CASE WHEN machine IS NOT NULL THEN 1 WHEN source IN ('AgentProposal', 'User') THEN 2 ELSE 1 END AS DOUBLE) AS weight FROM norm WHERE rank <= 10""")
 def list_build(spark, sf):
     """Three times the rows are fetched, one per content, and their scores normalised before the list is cut."""
     k = with_vectors(knowledge(spark, sf).select("seq", "id", "content_hash", "deleted_at", "machine", "source"), spark, sf)
