@@ -62,6 +62,26 @@ def payload_equals(key: str, value: str, column: str = "payload") -> Column:
     return F.get_json_object(column, f"$.{key}") == value
 
 
+def retrieval_filter(kind: str, type_: str | None = None, source: str | None = None, since=None, until=None, tags: list[str] | None = None, **keys: str) -> Column:
+    """Filters of a search on one kind of rows (fact, event or knowledge); a ``type_`` leaves facts alone.
+
+    ``keys`` (host, repo, file) and tags are columns of knowledge and members of the payload of facts and events.
+    """
+    if type_ is not None and kind != "fact":
+        return F.lit(False)
+    c = within("created_at", since, until)
+    if type_ is not None:
+        c &= F.col("type") == type_
+    if source is not None and kind != "event":
+        c &= F.col("source") == source
+    for key, value in keys.items():
+        c &= F.coalesce((F.col("machine" if key == "host" else key) == value) if kind == "knowledge" else payload_equals(key, value), F.lit(False))
+    if tags:
+        own = F.col("tags") if kind == "knowledge" else F.from_json(F.get_json_object("payload", "$.tags"), "array<string>")
+        c &= F.coalesce(F.size(F.array_except(F.array(*map(F.lit, tags)), own)) == 0, F.lit(False))
+    return c
+
+
 def window_status(since: str, until: str, max_days: int = 30) -> Column:
     """ok, inverted or too_wide for each request row."""
     return F.when(F.col(until) < F.col(since), "inverted").when(F.unix_timestamp(until) - F.unix_timestamp(since) > max_days * 86400, "too_wide").otherwise("ok")

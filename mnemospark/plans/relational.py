@@ -104,9 +104,24 @@ def knowledge_filters(spark, sf):
     return k.filter((F.col("machine") == "host1") & (F.col("repo") == "src3") & F.array_contains("tags", "en") & (F.col("source") == "Task") & pr.within("created_at", "2024-01-03", "2024-02-25") & pr.live()).select("id")
 
 
-@query("p3_payload_filters", "SELECT id FROM ev WHERE json_extract_string(payload, '$.host') = 'h3' AND json_extract_string(payload, '$.service') IN ('s1', 's2')")
+_LABELLED = """, labelled AS (SELECT 'event' AS kind, id, CAST(NULL AS VARCHAR) AS type, CAST(NULL AS VARCHAR) AS source, created_at, 'h' || k % 8 AS host, 'r' || k % 3 AS repo, ['x' || k % 2, 'y'] AS tags FROM ev
+UNION ALL SELECT 'fact', id, type, source, created_at, 'h' || CAST(substr(id, 2) AS BIGINT) % 8, 'r' || CAST(substr(id, 2) AS BIGINT) % 3, ['x' || CAST(substr(id, 2) AS BIGINT) % 2, 'y'] FROM facts)
+"""
+
+
+def labelled(df, n):
+    """Rows whose payload names a host, a repository and tags."""
+    return df.withColumn("payload", F.concat(F.lit('{"host":"h'), n % 8, F.lit('","repo":"r'), n % 3, F.lit('","tags":["x'), n % 2, F.lit('","y"]}')))
+
+
+@query("p3_payload_filters", _LABELLED + """SELECT 'no type' AS asked, kind, id FROM labelled WHERE host = 'h3' AND repo = 'r1' AND list_has_all(tags, ['y', 'x1']) AND created_at >= TIMESTAMP '1995-01-01' AND created_at <= TIMESTAMP '2024-01-20'
+UNION ALL SELECT 'type', kind, id FROM labelled WHERE kind = 'fact' AND type = 'TaskFact' AND source = 'Task' AND host = 'h2'""")
 def payload_filters(spark, sf):
-    return events(spark, sf).filter(pr.payload_equals("host", "h3") & F.get_json_object("payload", "$.service").isin("s1", "s2")).select("id")
+    """Two searches' filters over facts and events: one by payload, and one that asks for a type, which no event has."""
+    f, e = labelled(facts(spark, sf), F.substring("id", 2, 20).cast("bigint")), labelled(events(spark, sf), F.col("k"))
+    asked = {"no type": {"since": "1995-01-01", "until": "2024-01-20", "tags": ["y", "x1"], "host": "h3", "repo": "r1"}, "type": {"type_": "TaskFact", "source": "Task", "host": "h2"}}
+    parts = [df.filter(pr.retrieval_filter(kind, **how)).select(F.lit(name).alias("asked"), F.lit(kind).alias("kind"), "id") for name, how in asked.items() for kind, df in (("fact", f), ("event", e))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query("p4_time_window", "SELECT id FROM ev WHERE created_at <= TIMESTAMP '2024-01-02'")

@@ -252,9 +252,13 @@ def weighted_fusion(spark, sf):
     return rk.weighted_fusion(two_lists(spark, sf), {"vector": 0.7, "fts": 0.3}).withColumn("fused", F.round("fused", 5))
 
 
-@query("w6_per_kind_budget", "SELECT id, category, rn FROM (SELECT *, CAST(row_number() OVER (PARTITION BY category ORDER BY created_at DESC, id) AS INT) AS rn FROM ev) WHERE rn <= 10")
+@query("w6_per_kind_budget", """, both_kinds AS (SELECT 'fact' AS kind, id, created_at FROM facts WHERE deleted_at IS NULL AND type = 'TaskFact' UNION ALL SELECT 'event', id, created_at FROM ev WHERE category = 'error')
+SELECT kind, id, rn FROM (SELECT *, CAST(row_number() OVER (PARTITION BY kind ORDER BY created_at DESC, id) AS INT) AS rn FROM both_kinds) WHERE rn <= 10""")
 def per_kind_budget(spark, sf):
-    return rk.top_k(events(spark, sf), 10, [F.desc("created_at"), F.col("id")], ["category"]).select("id", "category", "rn")
+    """Facts and events each fill their own ten places after filtering."""
+    f = facts(spark, sf).filter(pr.live() & (F.col("type") == "TaskFact")).select(F.lit("fact").alias("kind"), "id", "created_at")
+    e = events(spark, sf).filter("category = 'error'").select(F.lit("event").alias("kind"), "id", "created_at")
+    return rk.top_k(f.unionByName(e), 10, [F.desc("created_at"), F.col("id")], ["kind"]).select("kind", "id", "rn")
 
 
 @query("w7_final_top_k", _LISTS + ", fused AS (SELECT query_id, id, round(sum(weight / (60 + rank)), 9) AS fused FROM lists GROUP BY 1, 2) SELECT query_id, id, rn FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, id) AS INT) AS rn FROM fused) WHERE rn <= 5")
