@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import shared_folder, stage, unstage
 
-__all__ = ["SPACE", "ascii_lower", "broadcast_if_small", "let", "prefix_sums", "released", "remembered", "shared_folder", "shingle_hashes", "slices", "stage", "unstage", "unused", "words_of"]
+__all__ = ["SPACE", "ascii_lower", "bounded_batches", "broadcast_if_small", "let", "prefix_sums", "released", "remembered", "shared_folder", "shingle_hashes", "slices", "stage", "unstage", "unused", "words_of"]
 
 #: Words are maximal runs of characters other than space and U+0009..U+000D.
 SPACE = "[\\x20\\x09-\\x0D]+"
 #: Texts are turned into Python strings in slices of about this many bytes.
 SLICE_BYTES = 1 << 20
+#: Arrow batches between JVM and workers hold about this many bytes.
+BATCH_BYTES = 8 << 20
 
 _held: dict[str, Any] = {}
 
@@ -45,6 +47,15 @@ def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     _give_back()
 
 
+def bounded_batches(df: DataFrame, most: int = BATCH_BYTES) -> DataFrame:
+    """``df``, after the session's Arrow batches have been limited to ``most`` bytes: JVM and worker each hold one."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    held = int(conf.get(name).rstrip("b"))
+    if held > most:
+        conf.set(name, most)
+    return df
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most`` bytes of a string or binary column; a longer value is a slice of its own."""
     texts = batch.column(column)

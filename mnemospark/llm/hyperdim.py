@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import released, remembered, slices, unused
+from .common import bounded_batches, released, remembered, slices, unused
 
 DIMENSIONS = 1024
 SEED = 20240
@@ -137,7 +137,7 @@ def prototypes(train: DataFrame, text: str, lang: str, dimensions: int = DIMENSI
                         sums[langs[i]] = sums.get(langs[i], 0) + (vector / n).astype(np.float64)
         yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "v": pa.array([s.tolist() for s in sums.values()], pa.list_(pa.float64()))})
 
-    parts = train.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).mapInArrow(bundle, "lang string, v array<double>")
+    parts = bounded_batches(train).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).mapInArrow(bundle, "lang string, v array<double>")
     # sums of rounded values don't depend on the order in which tasks end
     cells = parts.select("lang", F.posexplode("v").alias("d", "x")).groupBy("lang", "d").agg(F.sum(F.round(F.col("x") * 1e6).cast("long")).alias("x"))
     found: dict[str, np.ndarray] = {}
@@ -168,7 +168,7 @@ def identify(docs: DataFrame, protos: dict[str, np.ndarray], text: str = "text",
                         best[i], score[i] = names[top], float(min(1.0, max(0.0, cosines[top])))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(best, pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
-    return chosen.mapInArrow(predict, schema)
+    return bounded_batches(chosen).mapInArrow(predict, schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, released, remembered, stage, words_of
+from .common import bounded_batches, broadcast_if_small, released, remembered, stage, words_of
 
 SMOOTHING = 8.0
 SIZE = 1 << 24
@@ -204,7 +204,7 @@ def word_score(docs: DataFrame) -> DataFrame:
     without its own part, rated there, and only sums by document leave. The few grams with many holders (at most 5 HOT, by their
     share of all words) are counted beforehand and rated where the document is read.
     """
-    found = stage(vocabulary(docs), "vocabulary")
+    found = stage(vocabulary(bounded_batches(docs)), "vocabulary")
     total, size = found.filter("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     size = max(1, size)
     common = found.filter((F.col("kind") > 0) & (F.col("n") >= max(1, total / HOT / 2))).select("code")

@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, released, remembered, slices, stage, unstage
+from ..operators.graph import components
+from .common import bounded_batches, broadcast_if_small, released, remembered, slices, stage, unstage
 
 CHUNKS, CHUNK, ERRORS = 6, 4, 1
 #: Round two asks for this many equal places of the 24 (a pair at 0.8 fails with probability 2e-5).
@@ -214,32 +215,9 @@ def _confirmed_in_blocks(members: DataFrame, docs: DataFrame, k: int, threshold:
     return found
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, comp) for the ids of the undirected links (a, b); comp is the smallest id reachable.
-
-    Alternates the large-star and small-star steps, each a minimum per id and a join, until the
-    edges no longer change; the number of rounds grows with the logarithm of the diameter.
-    """
-    edges = stage(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("v <> u").distinct(), "edges")
-    seen = None
-    while True:
-        both = edges.union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.filter("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v")
-        small = small.select("v", F.col("m").alias("u")).union(small.filter("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))).distinct()
-        before, edges = edges, stage(small, "edges")
-        unstage(before)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return edges.groupBy("v").agg(F.min("u").alias("comp")).select(F.col("v").alias("id"), "comp").union(edges.select(F.col("u").alias("id"), F.col("u").alias("comp")).distinct())
-        seen = now
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """One row per input row: id_col, n_shingles, component_id, kept (first of its component)."""
-    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    docs = bounded_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     signed = stage(_signed(docs, k), "signed")
     named = docs.filter("id is not null")
     reps = stage(signed.filter("n > 0 and id is not null").groupBy("set_hi", "set_lo").agg(F.min("id").alias("rid"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies")), "reps")

@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import released, slices, stage, unused
+from .common import bounded_batches, released, slices, stage
 from .tokens import encoder
 
 CAPACITY = 2048
 #: Bytes of chunks a worker remembers: no shuffle runs beside the encoding.
-MEMO = 112 << 20
+MEMO = 96 << 20
 #: Pieces of one length and salt are numbered by one task.
 PER_SALT = 100_000
 LEAST_SALTS = 128
@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
                     at, size = at + size, capacity
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=[id_col, "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).alias("text")).mapInArrow(cut, f"`{id_col}` bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return bounded_batches(docs).select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).alias("text")).mapInArrow(cut, f"`{id_col}` bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def _with_item(reach: int, length: int, copies: int, mask: int) -> int:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, released, shared_folder, slices, stage, unstage
+from .common import bounded_batches, broadcast_if_small, released, shared_folder, slices, stage, unstage
 from .tokens import encoder
 
 # Fixed values: (ids a word, bits an id) by selector, as Simple-8b defines them.
@@ -109,7 +109,7 @@ def _encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
             ids = [np.append(own, np.uint32(end_id)).astype(kind) for own in coder.many(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(i) for i in ids], pa.int32()), pa.array([i.tobytes() for i in ids], pa.binary())], names=["id", "n", "ids"])
 
-    return docs.mapInArrow(code, "id bigint, n int, ids binary")
+    return bounded_batches(docs).mapInArrow(code, "id bigint, n int, ids binary")
 
 
 def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
