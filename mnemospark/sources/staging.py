@@ -52,4 +52,8 @@ def broadcast_if_small(df: DataFrame, row_bytes: int | Column, most_mb: int = 64
     """
     df = stage(df, "side")
     size = df.count() * row_bytes if isinstance(row_bytes, int) else df.agg(F.sum(row_bytes)).first()[0] or 0
-    return F.broadcast(df) if size <= most_mb << 20 else df
+    if size > most_mb << 20:
+        return df
+    small = F.broadcast(df)
+    small.staged_at = df.staged_at
+    return small
