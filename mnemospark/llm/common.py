@@ -7,12 +7,12 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.staging import shared_folder, stage, unstage
+from ..sources.staging import broadcast_if_small, shared_folder, stage, unstage
 
-__all__ = ["SPACE", "ascii_lower", "bounded_batches", "broadcast_if_small", "let", "prefix_sums", "released", "remembered", "shared_folder", "shingle_hashes", "slices", "stage", "unstage", "unused", "words_of"]
+__all__ = ["SPACE", "ascii_lower", "before", "bounded_batches", "broadcast_if_small", "let", "prefix_sums", "released", "remembered", "shared_folder", "shingle_hashes", "slices", "stage", "unstage", "unused", "words_of"]
 
 #: Words are maximal runs of characters other than space and U+0009..U+000D.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -131,11 +131,20 @@ def shingle_hashes(words: Column, k: int) -> Column:
     return F.when(F.size(words) == 0, none).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), combine))
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int | Column, most_mb: int = 64) -> DataFrame:
-    """``df`` marked for broadcast if its rows, counted first, take at most ``most_mb``; else unchanged.
+def before(df: DataFrame, key: str, order: list[str | Column], sums: dict[str, Column], xors: dict[str, Column] | None = None) -> DataFrame:
+    """``df`` with each named sum (or ``bit_xor``) of a number over the rows of its key that come before it; 0 for none.
 
-    ``row_bytes`` is a row's size where it is fixed, else a column that gives each row's.
+    Rows are dealt by ranges of key and order, so that a key with very many rows lies in many partitions; what lies in
+    earlier partitions is added from a table of one row per key and partition. ``key`` is never null. Rows that
+    ``order`` does not tell apart must be interchangeable.
     """
-    df = stage(df, "side")
-    size = df.count() * row_bytes if isinstance(row_bytes, int) else df.agg(F.sum(row_bytes)).first()[0] or 0
-    return F.broadcast(df) if size <= most_mb << 20 else df
+    xors = xors or {}
+    (part, *own) = unused(df, "part", *[f"earlier_{name}" for name in (*sums, *xors)])
+    whole = {name: F.sum(value) for name, value in sums.items()} | {name: F.bit_xor(value) for name, value in xors.items()}
+    dealt = stage(df.repartitionByRange(F.col(key), *order).withColumn(part, F.spark_partition_id()), "dealt")
+    rows = Window.partitionBy(part, key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    held = dealt.groupBy(part, key).agg(*[total.alias(o) for o, total in zip(own, whole.values(), strict=True)])
+    held = held.select(part, key, *[F.coalesce((F.sum if name in sums else F.bit_xor)(o).over(parts), F.lit(0)).alias(o) for o, name in zip(own, whole, strict=True)])
+    local = dealt.withColumns({name: F.coalesce(total.over(rows), F.lit(0)) for name, total in whole.items()}).join(held, [part, key])
+    return local.withColumns({name: F.col(name) + F.col(o) if name in sums else F.col(name).bitwiseXOR(F.col(o)) for o, name in zip(own, whole, strict=True)}).drop(part, *own)
