@@ -27,7 +27,7 @@ from .tokens import encoder
 
 CAPACITY = 2048
 #: Bytes of chunks a worker remembers: no shuffle runs beside the encoding.
-MEMO = 96 << 20
+MEMO = 56 << 20
 #: Pieces of one length and salt are numbered by one task.
 PER_SALT = 100_000
 LEAST_SALTS = 128

@@ -23,6 +23,8 @@ MEMO = 72 << 20
 ENTRY = 200
 #: Texts are worked off in groups of about this many characters.
 GROUP_CHARS = 1_000_000
+#: New chunks are encoded so many at a time; an encoding takes far more memory than its ids.
+LEARNT = 4096
 #: Letters before white space, ASCII punctuation (no apostrophe, which may begin a contraction) or the end:
 #: the tokenizers' patterns end a piece there too. Few of these are new, as they come without punctuation.
 _LETTERS = r"[A-Za-zß-öø-ÿ]++(?=[\s!-&(-/:-@\[-`{-~]|\Z)"
@@ -91,8 +93,10 @@ class ChunkEncoder:
                     continue
                 raw = ids.tobytes()
                 self.memo.update(zip(own, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=False))
-        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.memo[c] = array("I", e.ids).tobytes()
+        for i in range(0, len(rest), LEARNT):
+            some = rest[i : i + LEARNT]
+            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.memo[c] = array("I", e.ids).tobytes()
 
     def _group(self, texts: list[str]) -> Iterator[np.ndarray]:
         odd = [any(o in t for o in self.odd) for t in texts]
