@@ -3,97 +3,23 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import terms
 from ..sources.staging import broadcast_if_small, stage
+from .postings import Postings, cover_density
 from .ranking import top_k
+from .vectors import InvertedFile, knn, knn_strata
+
+__all__ = ["InvertedFile", "Postings", "cover_density", "knn", "knn_strata"]
 
-#: Query vectors scored at once; larger query tables are worked off in blocks of this many bytes.
-BLOCK_BYTES = 32 << 20
 CURATED_FLOOR, CURATED_FRACTION = 0.45, 0.82
 STOP = ("the", "a", "an", "and", "or", "of", "to", "in", "on", "is", "it", "for", "with", "that", "this")
 
 
-def knn(queries: DataFrame, items: DataFrame, k: int, query: str = "query_id", key: str = "id", vector: str = "embedding", exclude_self: bool = False) -> DataFrame:
-    """(query, key, score) of the k best cosines per query, ties by key.
-
-    Items are scored in matrix blocks inside each task, which keeps its own k best per query; only
-    those are shuffled. Filters on ``items`` belong below this operator, where the scan sees them.
-    """
-    found = None
-    queries = queries.filter(F.col(vector).isNotNull())
-    size = queries.select(F.size(vector)).first()
-    dim = size[0] if size and size[0] and size[0] > 0 else 1
-    per_block = max(1, BLOCK_BYTES // (8 * dim))
-    blocks = max(1, -(-queries.count() // per_block))
-    for b in range(blocks):
-        mine = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(query), F.lit(blocks)) == b)
-        part = _knn_block(mine.select(query, vector).toPandas(), items, k, query, key, vector, exclude_self)
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
-def _knn_block(block: pd.DataFrame, items: DataFrame, k: int, query: str, key: str, vector: str, exclude_self: bool) -> DataFrame:
-    names = block[query].tolist()
-    matrix = np.array([np.asarray(v, dtype=np.float64) for v in block[vector]]) if len(block) else np.zeros((0, 1))
-    if len(names):
-        matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-
-    most = k + bool(exclude_self)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[list[tuple[float, str]]] = [[] for _ in names]
-        for batch in batches:
-            keys = batch.column(0).to_pylist()
-            if not keys or not names:
-                continue
-            width = matrix.shape[1]
-            lengths = np.diff(batch.column(1).offsets.to_numpy())
-            if (lengths != width).any():  # vectors of another length match nothing
-                batch = batch.filter(pa.array(lengths == width))
-                keys = batch.column(0).to_pylist()
-            if not keys:
-                continue
-            v = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(len(keys), width)
-            sims = np.round(matrix @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).T, 6)
-            for q in range(len(names)):
-                row = sims[q]
-                near = np.flatnonzero(row >= np.partition(row, -most)[-most]) if len(row) > most else np.arange(len(row))
-                both = best[q] + [(-float(row[i]), keys[i]) for i in near if not (exclude_self and keys[i] == names[q])]
-                best[q] = sorted(both)[:k]
-        rows = [(names[q], i, -s) for q in range(len(names)) for s, i in best[q]]
-        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((query_type, pa.string(), pa.float64()))], names=[query, key, "score"])
-
-    query_type = pa.string() if names and isinstance(names[0], str) else pa.int64()
-    schema = f"`{query}` {'string' if query_type == pa.string() else 'bigint'}, `{key}` string, score double"
-    local = items.filter(F.col(vector).isNotNull()).select(F.col(key).cast("string").alias(key), F.col(vector).alias(vector)).mapInArrow(score, schema)
-    return top_k(local, k, [F.desc("score"), F.col(key)], [query]).withColumnRenamed("rn", "rank")
-
-
-def knn_lsh(queries: DataFrame, items: DataFrame, k: int, query: str = "query_id", key: str = "id", vector: str = "embedding", radius: float = 1.3, tables: int = 8, width: float = 1.0) -> DataFrame:
-    """Approximate kNN for query tables too large for blocks: random projections, then exact cosines."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def unit(df: DataFrame, name: str) -> DataFrame:
-        v = F.col(vector).cast("array<double>")
-        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-        return df.filter(F.col(vector).isNotNull()).select(F.col(name), array_to_vector(F.transform(v, lambda x: x / norm)).alias("v"))
-
-    left, right = unit(queries, query), unit(items, key)
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=11).fit(right)
-    pairs = model.approxSimilarityJoin(left, right, radius, distCol="d").select(F.col(f"datasetA.{query}").alias(query), F.col(f"datasetB.{key}").alias(key), F.round(1 - F.col("d") * F.col("d") / 2, 6).alias("score"))
-    return top_k(pairs, k, [F.desc("score"), F.col(key)], [query]).withColumnRenamed("rn", "rank")
-
-
 def curated(scored: DataFrame, best: DataFrame, floor: float = CURATED_FLOOR, fraction: float = CURATED_FRACTION) -> DataFrame:
     """Curated hits that compete: score at least the floor and a fraction of the query's best raw score."""
     own = scored.groupBy("query_id").agg(F.max("score").alias("own_top"))
@@ -119,22 +45,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.round(dot(a, b) / F.greatest(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(1e-24)), 6))
 
 
-def _holders(asked: DataFrame, rows: DataFrame, query: str) -> DataFrame:
-    """The pairs of ``asked`` (query, wanted) and ``rows`` (with their term array ``own``) that hold every wanted term.
-
-    Two passes over the rows and no shuffle of them: the first counts how many rows hold each of the queries'
-    terms, the second meets each query through its rarest term, so a term that is in most texts
-    pairs nothing unless it is all the query has; the others are looked up in the row's own terms.
-    """
-    words = broadcast_if_small(asked.select(F.explode("wanted").alias("term")).distinct(), 64)
-    df = rows.select(F.explode(F.array_distinct("own")).alias("term")).join(words, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    each = asked.select(query, "wanted", F.explode("wanted").alias("term")).join(df, "term", "left")
-    rare = each.groupBy(query).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("r"), F.first("wanted").alias("wanted"))
-    rare = rare.filter("r.n > 0").select(query, "wanted", F.col("r.term").alias("term"))
-    met = rows.withColumn("term", F.explode(F.array_distinct("own"))).join(broadcast_if_small(rare, 64 + F.octet_length(F.array_join("wanted", " "))), "term")
-    return met.filter(F.size(F.array_except("wanted", "own")) == 0).drop("term")
-
-
 def _asked(queries: DataFrame, wanted: Column, query: str) -> tuple[DataFrame, DataFrame]:
     """(query, one) of every query with terms, and (one, wanted): queries that want the same terms are searched as one."""
     each = stage(queries.select(query, F.array_sort(F.array_distinct(wanted)).alias("wanted")).filter(F.size("wanted") > 0), "asked")
@@ -142,14 +52,20 @@ def _asked(queries: DataFrame, wanted: Column, query: str) -> tuple[DataFrame, D
     return each.join(once, "wanted").select(query, "one"), once
 
 
-def lexical(queries: DataFrame, items: DataFrame, text: str = "text", key: str = "id", query: str = "query_id", query_text: str = "query") -> DataFrame:
-    """(query, key) of the items that hold every term of the query."""
+def lexical_index(items: DataFrame, text: str = "text", key: str = "id") -> Postings:
+    """The postings that ``lexical`` searches."""
+    return Postings.of(items, terms(F.col(text)), key)
+
+
+def lexical(queries: DataFrame, items: DataFrame | Postings, text: str = "text", key: str = "id", query: str = "query_id", query_text: str = "query") -> DataFrame:
+    """(query, key) of the items that hold every term of the query; ``items`` are rows or their ``lexical_index``."""
+    index = items if isinstance(items, Postings) else lexical_index(items, text, key)
     each, once = _asked(queries, terms(F.col(query_text)), query)
-    hits = _holders(once, items.select(key, F.array_distinct(terms(F.col(text))).alias("own")), "one")
-    return each.join(hits.select("one", key), "one").select(query, key)
+    hits = stage(index.holders(once).select("one", F.col("id").alias(key)), "hits")
+    return each.join(hits, "one").select(query, key)
 
 
-def lexical_by_cosine(queries: DataFrame, items: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def lexical_by_cosine(queries: DataFrame, items: DataFrame | Postings, vectors: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank) of each query's lexical hits among ``vectors`` (id, embedding) by cosine, best first; those without a vector last."""
     hits = broadcast_if_small(lexical(queries, items), 64)
     near = vectors.select("id", "embedding").join(hits, "id").join(queries.select("query_id", F.col("embedding").alias("asked")), "query_id")
@@ -163,31 +79,19 @@ def analysed(text: Column) -> Column:
     return F.transform(kept, lambda w: F.when(F.length(w) > 4, F.regexp_replace(w, "(ing|ed|es|s)$", "")).otherwise(w))
 
 
-@F.pandas_udf(T.DoubleType())
-def cover_density(words: pd.Series, wanted: pd.Series) -> pd.Series:
-    """Sum over the minimal spans of ``words`` that hold every wanted term of (number of terms) / length."""
-
-    def one(words_, terms_) -> float:
-        need, last, total, start = set(terms_), {}, 0.0, -1
-        for at, w in enumerate(words_):
-            if w in need:
-                last[w] = at
-                if len(last) == len(need):
-                    low = min(last.values())
-                    if low > start:
-                        total, start = total + len(need) / float(at - low + 1), low
-        return total
+def full_text_index(rows: DataFrame, text: str, key: str = "id") -> Postings:
+    """The postings that ``full_text`` searches."""
+    return Postings.of(rows, analysed(F.col(text)), key)
 
-    return pd.Series([one(*r) for r in zip(words, wanted, strict=True)], dtype="float64")
 
-
-def full_text(queries: DataFrame, rows: DataFrame, text: str, k: int, boost: Column | None = None, key: str = "id", query: str = "query_id", query_text: str = "query") -> DataFrame:
-    """Rows that hold all index terms of a query, by cover density (times ``boost``), k per query."""
+def full_text(queries: DataFrame, rows: DataFrame, text: str, k: int, boost: Column | None = None, key: str = "id", query: str = "query_id", query_text: str = "query", index: Postings | None = None) -> DataFrame:
+    """Rows that hold all index terms of a query, by cover density (times ``boost``), k per query; ``index`` is that of ``rows`` or of more rows."""
     each, once = _asked(queries, analysed(F.col(query_text)), query)
-    own = rows.select(key, (boost if boost is not None else F.lit(1.0)).alias("boost"), analysed(F.col(text)).alias("own"))
-    hits = _holders(once, own, "one")
-    scored = hits.select("one", key, F.round(cover_density("own", "wanted") * F.col("boost"), 6).alias("score"))
-    best = top_k(scored, k, [F.desc("score"), F.col(key)], ["one"]).withColumnRenamed("rn", "rank")
+    hits = (index or full_text_index(rows, text, key)).holders(once).select("one", F.col("id").alias(key), cover_density("places").alias("density"))
+    if boost is not None or index is not None:
+        hits = hits.join(rows.select(F.col(key).cast("string").alias(key), (boost if boost is not None else F.lit(1.0)).alias("boost")), key)
+    scored = hits.select("one", key, F.round(F.col("density") * (F.col("boost") if "boost" in hits.columns else F.lit(1.0)), 6).alias("score"))
+    best = stage(top_k(scored, k, [F.desc("score"), F.col(key)], ["one"]).withColumnRenamed("rn", "rank"), "best")
     return each.join(best, "one").select(query, key, "score", "rank")
 
 
@@ -233,32 +137,6 @@ def snippet(text: pd.Series, query: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) if a is not None else None for a, b in zip(text, query, strict=True)])
 
 
-def hash_embedding(dim: int = 64):
-    """Offline embedder: signed hashing of terms to a unit vector. A model's UDF of this shape can replace it."""
-
-    @F.pandas_udf("array<float>")
-    def embed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import zlib
-
-        memo: dict[str, tuple[int, float]] = {}
-        for s in texts:
-            out = []
-            for t in s:
-                v = np.zeros(dim, dtype=np.float32)
-                for w in re.findall(r"\w+", (t or "").lower()):
-                    if w not in memo:
-                        h = zlib.crc32(w.encode())
-                        memo[w] = (h % dim, 1.0 if h >> 31 else -1.0)
-                    i, sign = memo[w]
-                    v[i] += sign
-                out.append((v / max(float(np.linalg.norm(v)), 1e-9)).tolist())
-            if len(memo) > 500_000:
-                memo.clear()
-            yield pd.Series(out)
-
-    return embed
-
-
 def pair_score(query: Column | str, text: Column | str) -> Column:
     """Offline pair scorer: share of the query's distinct terms that the text holds; a model's UDF of this shape can replace it."""
     want = F.array_distinct(terms(F.col(query) if isinstance(query, str) else query))

@@ -60,7 +60,8 @@ def dense_knn(spark, sf):
 
 @query("r2_approximate_knn")
 def approximate_knn(spark, sf):
-    return rt.knn_lsh(vector_queries(spark, sf), live_vectors(spark, sf), TOP_K)
+    """Through the inverted file; tests measure its recall against ``r1_dense_knn``."""
+    return rt.InvertedFile(live_vectors(spark, sf)).search(vector_queries(spark, sf), TOP_K)
 
 
 @query("r3_tagged_knn", _TOP.format(source="(SELECT * FROM scored WHERE list_has_all(tags, ['en', 't3']))"))
@@ -305,6 +306,19 @@ def hybrid(spark, sf):
     return hybrid_search(spark, sf)
 
 
+_FILTERED = _HYBRID.replace("FROM knowledge WHERE deleted_at IS NULL", "FROM knowledge WHERE deleted_at IS NULL AND created_at >= TIMESTAMP '2024-01-03' AND created_at <= TIMESTAMP '2024-02-20' AND list_contains(tags, 'en')")
+_FILTERED = _FILTERED.replace("JOIN facts f ON", "JOIN (SELECT * FROM facts WHERE type = 'UserFact' AND source = 'User' AND created_at <= TIMESTAMP '2024-02-20') f ON").replace("JOIN ev ON", "JOIN (SELECT * FROM ev WHERE host = 'h3' AND created_at >= TIMESTAMP '2024-01-03' AND created_at <= TIMESTAMP '2024-01-20') ev ON")
+
+
+@query("r9_filtered_search", _FILTERED + "SELECT query_id, kind, id, rank, fused, raw, copies FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, place, id) AS INT) AS rank FROM fused) WHERE rank <= 10")
+def filtered_search(spark, sf):
+    """Hybrid search with filters on all three kinds, below every list."""
+    wanted = pr.retrieval_filter("knowledge", since="2024-01-03", until="2024-02-20", tags=["en"])
+    facts_wanted = pr.retrieval_filter("fact", type_="UserFact", source="User", until="2024-02-20")
+    events_wanted = pr.retrieval_filter("event", since="2024-01-03", until="2024-01-20", host="h3")
+    return hy.search(search_queries(spark, sf), memories(spark, sf), facts(spark, sf).filter(pr.live()), events(spark, sf), TOP_K, wanted, facts_wanted=facts_wanted, events_wanted=events_wanted)
+
+
 @query("r13_search_sample", _HYBRID + """, page AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, place, id) AS rank FROM fused) WHERE rank <= 10)
 SELECT asked.query_id, count(page.id) AS hits, arg_min(struct_pack(v := raw), rank).v AS top_raw, arg_min(page.kind, rank) AS top_kind, coalesce(array_to_string(list_sort(list(DISTINCT page.kind)), ','), '') AS kinds, CAST(coalesce(sum(copies), 0) AS BIGINT) AS collapsed FROM asked LEFT JOIN page ON page.query_id = asked.query_id GROUP BY 1""")
 def search_record(spark, sf):
