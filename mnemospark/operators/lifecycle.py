@@ -9,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import content_hash
 from ..sources.staging import stage, unstage
 from .graph import components
+from .transitions import apply_in_order, deletion, resolution, supersession, update
 
 #: Trust by source: a proposal below a fact's trust becomes a dissent.
 TRUST = {"User": 4, "Controller": 3, "Task": 2, "AgentProposal": 1}
@@ -27,12 +29,13 @@ class _Facts:
     """The facts that one group of requests can see, while the requests are worked off in order."""
 
     def __init__(self):
-        self.facts: dict[str, tuple[str, str, int, int]] = {}  # id: type, hash, trust, version
+        self.facts: dict[str, tuple[str, str, int, int, bool]] = {}  # id: type, hash, trust, version, live
         self.holders: dict[tuple[str, str], list[str]] = {}  # heaps of ids, of which some may have moved on
 
-    def put(self, key: str, kind: str, digest: str, rank: int, version: int) -> None:
-        self.facts[key] = (kind, digest, rank, version)
-        heapq.heappush(self.holders.setdefault((kind, digest), []), key)
+    def put(self, key: str, kind: str, digest: str, rank: int, version: int, live: bool = True) -> None:
+        self.facts[key] = (kind, digest, rank, version, live)
+        if live:
+            heapq.heappush(self.holders.setdefault((kind, digest), []), key)
 
     def holder(self, kind: str, digest: str) -> str | None:
         """Smallest id that holds this content now."""
@@ -41,44 +44,46 @@ class _Facts:
             heapq.heappop(heap)
         return heap[0] if heap else None
 
-    def submit(self, key: str, kind: str, digest: str, rank: int, expected: int | None) -> tuple[str, int | None]:
-        """(outcome, version written)."""
+    def submit(self, key: str, kind: str, digest: str, rank: int, expected: int | None) -> tuple[str, int | None, bool]:
+        """(outcome, version written, whether a deleted fact lives again)."""
         same = self.holder(kind, digest)
         if same is not None:
-            return ("touch", None) if expected is None or expected == self.facts[same][3] else ("conflict", None)
+            return "touch" if expected is None or expected == self.facts[same][3] else "conflict", None, False
         if key not in self.facts:
             self.put(key, kind, digest, rank, 1)
-            return "insert", 1
-        _, _, held, version = self.facts[key]
+            return "insert", 1, False
+        _, _, held, version, live = self.facts[key]
         if rank < held:
-            return "dissent", None
+            return "dissent", None, False
         if expected is not None and expected != version:
-            return "conflict", None
+            return "conflict", None, False
         self.put(key, kind, digest, rank, version + 1)
-        return "amend", version + 1
+        return "amend", version + 1, not live
 
 
 def upsert_facts(state: DataFrame, requests: DataFrame) -> DataFrame:
-    """(seq, fact_id, outcome, version) of each request (seq, fact_id, type, payload_hash, source, expected), in ``seq`` order.
+    """(seq, fact_id, outcome, version, revives_deleted) of each request (seq, fact_id, type, payload_hash, source, expected), in ``seq`` order.
 
     touch: the content (type and hash) is held by a live fact, in the snapshot or by an earlier request (conflict if
     ``expected`` is not that fact's version); else for a known id: dissent below its trust, conflict on
     another version, amend; else insert. Of several holders the smallest id counts. Version is set where a
-    row is written.
+    row is written. A deleted fact holds no content, but its id is known: trust and version count as for a live
+    one, and an amendment makes it live again.
 
     Requests that can see each other share an id or a content; such groups are found as connected components,
     and each is worked off as a sorted stream, of which only the facts it names are held.
     """
-    live = state.filter("deleted_at is null").select(F.col("id").alias("fact_id"), "type", "payload_hash", trust("source").alias("rank"), "version")
+    every = state.select(F.col("id").alias("fact_id"), "type", "payload_hash", trust("source").alias("rank"), "version", F.col("deleted_at").isNull().alias("live"))
+    live = every.filter("live").drop("live")
     content = ["type", "payload_hash"]
-    named = live.join(requests.select("fact_id").distinct(), "fact_id", "left_semi")
+    named = every.join(requests.select("fact_id").distinct(), "fact_id", "left_semi")
     others = live.join(requests.select(*content).distinct(), content, "left_semi").join(requests.select("fact_id").distinct(), "fact_id", "left_anti")
     held = others.groupBy(*content).agg(F.min(F.struct("fact_id", "rank", "version")).alias("f")).select("f.fact_id", *content, "f.rank", "f.version")
-    before = named.unionByName(held).withColumns({"seq": F.lit(None).cast("bigint"), "expected": F.lit(None).cast("int")})
-    asked = requests.select("fact_id", *content, trust("source").alias("rank"), F.lit(None).cast("int").alias("version"), F.col("seq").cast("bigint").alias("seq"), F.col("expected").cast("int").alias("expected"))
+    before = named.unionByName(held.withColumn("live", F.lit(True))).withColumns({"seq": F.lit(None).cast("bigint"), "expected": F.lit(None).cast("int")})
+    asked = requests.select("fact_id", *content, trust("source").alias("rank"), F.lit(None).cast("int").alias("version"), F.lit(True).alias("live"), F.col("seq").cast("bigint").alias("seq"), F.col("expected").cast("int").alias("expected"))
     rows = stage(before.unionByName(asked).withColumns({"a": F.xxhash64(F.lit("id"), "fact_id"), "b": F.xxhash64(F.lit("content"), *content)}), "upserts")
     groups = stage(components(rows.select("a", "b")).withColumnRenamed("id", "a"), "groups")
-    grouped = rows.join(groups, "a").select("comp", "seq", "fact_id", *content, "rank", "version", "expected")
+    grouped = rows.join(groups, "a").select("comp", "seq", "fact_id", *content, "rank", "version", "live", "expected")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         comp, facts = None, _Facts()
@@ -88,13 +93,13 @@ def upsert_facts(state: DataFrame, requests: DataFrame) -> DataFrame:
                 if r["comp"] != comp:
                     comp, facts = r["comp"], _Facts()
                 if r["seq"] is None:
-                    facts.put(r["fact_id"], r["type"], r["payload_hash"], r["rank"], r["version"])
+                    facts.put(r["fact_id"], r["type"], r["payload_hash"], r["rank"], r["version"], r["live"])
                 else:
                     out.append((r["seq"], r["fact_id"], *facts.submit(r["fact_id"], r["type"], r["payload_hash"], r["rank"], r["expected"])))
-            columns = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int32()), strict=True)], names=["seq", "fact_id", "outcome", "version"])
+            columns = zip(*out, strict=True) if out else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.bool_()), strict=True)], names=["seq", "fact_id", "outcome", "version", "revives_deleted"])
 
-    return grouped.repartition("comp").sortWithinPartitions("comp", F.col("seq").asc_nulls_first()).mapInArrow(fold, "seq bigint, fact_id string, outcome string, version int")
+    return grouped.repartition("comp").sortWithinPartitions("comp", F.col("seq").asc_nulls_first()).mapInArrow(fold, "seq bigint, fact_id string, outcome string, version int, revives_deleted boolean")
 
 
 def next_facts(state: DataFrame, requests: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -120,20 +125,19 @@ def file_dissents(pending: DataFrame, proposals: DataFrame, facts: DataFrame) ->
     return both.groupBy("fact_id", "payload").agg(F.sum("n").alias("submission_count"))
 
 
-def promoted_facts(facts: DataFrame, dissents: DataFrame, outcomes: DataFrame, source: str = "User") -> DataFrame:
-    """(id, payload, source, version, deleted_at): facts after the promotions, whose payload, source and version replace the row's."""
-    won = outcomes.filter("outcome = 'promoted'").select(F.col("dissent_id").alias("did"), F.col("version").alias("new_version"))
-    new = dissents.join(won, dissents["id"] == won["did"]).groupBy(F.col("fact_id").alias("id")).agg(F.min(F.struct("did", F.col("payload").alias("p"), "new_version")).alias("w"))
-    return facts.join(new, "id", "left").select("id", F.coalesce("w.p", "payload").alias("payload"), F.when(F.col("w").isNotNull(), source).otherwise(F.col("source")).alias("source"), F.coalesce("w.new_version", "version").alias("version"), "deleted_at")
+def resolve_dissents(dissents: DataFrame, facts: DataFrame, requests: DataFrame, source: str = "User") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(outcomes, next facts, next dissents) of the requests (seq, dissent_id, action, expected), in ``seq`` order per fact.
 
-
-def resolve_dissents(dissents: DataFrame, facts: DataFrame, requests: DataFrame) -> DataFrame:
-    """promoted, discarded, not_pending, missing or conflict for each request (dissent_id, action, expected)."""
-    d = dissents.select(F.col("id").alias("dissent_id"), "fact_id", "status")
-    f = facts.filter("deleted_at is null").select(F.col("id").alias("fact_id"), F.col("version").alias("old_version"))
-    r = requests.join(d, "dissent_id", "left").join(f, "fact_id", "left")
-    outcome = F.when(F.col("status").isNull(), "missing").when(F.col("status") != "pending", "not_pending").when(F.col("action") == "discard", "discarded").when(F.col("old_version").isNull(), "missing").when(F.col("expected") != F.col("old_version"), "conflict").otherwise("promoted")
-    return r.select("dissent_id", outcome.alias("outcome"), F.when(outcome == "promoted", F.col("old_version") + 1).alias("version"))
+    promoted, discarded, not_pending, missing or conflict; each sees the versions and dissents that those before it left. A promotion's
+    payload, ``source`` and version replace the fact's.
+    """
+    d = dissents.select(F.col("id").alias("dissent_id"), "fact_id", "status", "payload")
+    r = requests.select("seq", "dissent_id", "action", F.col("expected").cast("int").alias("expected")).join(d, "dissent_id", "left")
+    asked = stage(r.select("seq", F.col("fact_id").alias("id"), "dissent_id", "action", "expected", "status", "payload", F.sha2(F.concat_ws(":", "fact_id", "payload"), 256).alias("payload_hash"), F.lit(source).alias("source")), "resolutions")
+    after, done = apply_in_order(facts, asked, resolution)
+    outcomes = stage(asked.select("seq", "dissent_id").join(done.select("seq", "outcome", "version"), "seq"), "outcomes")
+    new = outcomes.filter("outcome in ('promoted', 'discarded')").select(F.col("dissent_id").alias("id"), F.col("outcome").alias("new"))
+    return outcomes.select("seq", "dissent_id", "outcome", "version"), after, dissents.join(new, "id", "left").withColumn("status", F.coalesce("new", "status")).select(*dissents.columns)
 
 
 def orphan_dissents(dissents: DataFrame, facts: DataFrame) -> DataFrame:
@@ -142,24 +146,13 @@ def orphan_dissents(dissents: DataFrame, facts: DataFrame) -> DataFrame:
     return dissents.join(gone, "fact_id", "left").select("id", F.when((F.col("status") == "pending") & F.col("gone"), "orphaned").otherwise(F.col("status")).alias("status"))
 
 
-def delete_restore(state: DataFrame, requests: DataFrame) -> DataFrame:
-    """Outcome per request (id, action): events are refused, repeats are no-ops, unknown ids are missing."""
-    s = state.select("id", (F.col("deleted_at").isNotNull()).alias("gone"))
-    r = requests.join(s, "id", "left")
-    outcome = F.when(F.col("id").startswith("e"), "refused").when(F.col("gone").isNull(), "missing")
-    outcome = outcome.when(F.col("action") == "hard", "removed").when((F.col("action") == "delete") & ~F.col("gone"), "deleted").when((F.col("action") == "restore") & F.col("gone"), "restored").otherwise("noop")
-    return r.select("id", "action", outcome.alias("outcome"))
-
+def delete_restore(state: DataFrame, requests: DataFrame, events: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """(next state, outcomes) of the requests (seq, id, action) in order: ids of ``events`` are refused, repeats are no-ops, unknown ids are missing.
 
-def after_deletions(state: DataFrame, requests: DataFrame, outcomes: DataFrame, as_of: Column) -> DataFrame:
-    """``state`` after one request an id: deleted rows get a time, restored ones lose it and ``superseded_by``, removed ones are gone."""
-    done = outcomes.filter("outcome in ('deleted', 'restored', 'removed')").groupBy("id").agg(F.min("outcome").alias("outcome"))
-    rows = state.join(done, "id", "left").filter("outcome is null or outcome <> 'removed'")
-    gone = F.when(F.col("outcome") == "deleted", as_of).when(F.col("outcome") == "restored", F.lit(None).cast("timestamp")).otherwise(F.col("deleted_at"))
-    out = rows.withColumn("deleted_at", gone)
-    if "superseded_by" in state.columns:
-        out = out.withColumn("superseded_by", F.when(F.col("outcome") == "restored", F.lit(None).cast("string")).otherwise(F.col("superseded_by")))
-    return out.select(*state.columns)
+    Deleted rows get the time ``as_of``, restored ones lose it and ``superseded_by``, hard-deleted ones are gone.
+    """
+    r = requests.join(events.select("id", F.lit(True).alias("event")), "id", "left")
+    return apply_in_order(state, r.select("seq", "id", "action", F.coalesce("event", F.lit(False)).alias("event"), as_of.alias("at")), deletion)
 
 
 def remove_authors(authors: DataFrame, owned: DataFrame, requests: DataFrame) -> DataFrame:
@@ -170,21 +163,39 @@ def remove_authors(authors: DataFrame, owned: DataFrame, requests: DataFrame) ->
     return r.select("id", F.when(F.col("known").isNull(), "missing").when(F.coalesce("n", F.lit(0)) > 0, "refused").when(F.col("id").isin("system", "lost-author"), "refused").otherwise("removed").alias("outcome"))
 
 
-def supersede(knowledge: DataFrame, requests: DataFrame) -> DataFrame:
-    """State after replacing agent-authored live rows: the old row points to the new one, which inherits its tags."""
-    old = knowledge.join(requests, knowledge["id"] == requests["old_id"], "left")
-    hit = F.col("old_id").isNotNull() & (F.col("source") == "AgentProposal") & F.col("deleted_at").isNull()
-    kept = old.select("id", "text", "tags", F.when(hit, F.concat("id", F.lit("-v2"))).alias("superseded_by"), F.lit(None).cast("string").alias("supersedes"), (hit | F.col("deleted_at").isNotNull()).alias("deleted"))
-    fresh = old.filter(hit).select(F.concat("id", F.lit("-v2")).alias("id"), F.col("new_text").alias("text"), "tags", F.lit(None).cast("string").alias("superseded_by"), F.col("old_id").alias("supersedes"), F.lit(False).alias("deleted"))
-    return kept.unionByName(fresh)
-
+def supersede(knowledge: DataFrame, requests: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """(next state, outcomes) of the requests (seq, id, new_id, text, author_id) in order; a request may name what one before it wrote.
 
-def update_in_place(knowledge: DataFrame, requests: DataFrame) -> DataFrame:
-    """Text (with its hash), tags or volatility replaced where a request gives them."""
-    r = requests.select("id", "new_text", "new_tags", "new_volatility")
-    u = knowledge.join(r, "id", "left")
-    text = F.coalesce("new_text", "text")
-    return u.select("id", F.sha2(text, 256).alias("content_hash"), F.coalesce("new_tags", "tags").alias("tags"), F.coalesce("new_volatility", "volatility").alias("volatility"))
+    superseded: the row is deleted and points to the new one, which inherits tags and volatility. missing: unknown, deleted, or superseded
+    by then. not_agent_authored, and invalid for an empty text. ``new_id`` is new and given once. Requests on a row and on what
+    replaces it form a chain, which pointer doubling gathers under its first row.
+    """
+    r = stage(requests.select("seq", "id", "new_id", "text", "author_id"), "supersessions")
+    links = stage(r.select(F.col("new_id").alias("at"), F.col("id").alias("root")), "links")
+    while True:
+        step = links.select(F.col("at").alias("root"), F.col("root").alias("next"))
+        if links.join(step, "root", "left_semi").isEmpty():
+            break
+        before, links = links, stage(links.join(step, "root", "left").select("at", F.coalesce("next", "root").alias("root")), "links")
+        unstage(before)
+    asked = r.join(links.select(F.col("at").alias("id"), "root"), "id", "left").select("seq", F.coalesce("root", "id").alias("id"), F.col("id").alias("old_id"), "new_id", "text", as_of.alias("at"))
+    state = knowledge if "supersedes" in knowledge.columns else knowledge.withColumn("supersedes", F.lit(None).cast("string"))
+    state = state if "superseded_by" in knowledge.columns else state.withColumn("superseded_by", F.lit(None).cast("string"))
+    after, done = apply_in_order(state, asked, supersession)
+    outcomes = stage(r.drop("text").join(done.select("seq", "outcome"), "seq"), "outcomes")
+    won = outcomes.filter("outcome = 'superseded'")
+    roots = asked.join(won.select("seq"), "seq", "left_semi").select("id", F.col("seq").alias("nth"))
+    inherited = state.select("id", "tags", "volatility").join(roots, "id").select(F.col("nth").alias("seq"), "tags", "volatility")
+    own = F.struct([F.lit(None).cast(f.dataType).alias(f.name) for f in state.schema.fields if f.name not in ("id", "text", "content_hash", "source", "tags", "volatility", "author_id", "created_at", "deleted_at", "supersedes", "superseded_by")])
+    fresh = won.join(r.select("seq", "text"), "seq").join(inherited, "seq").join(won.select(F.col("id").alias("new_id"), F.col("new_id").alias("later")), "new_id", "left")
+    made = fresh.withColumn("rest", own).select(F.col("new_id").alias("id"), "text", content_hash(F.col("text")).alias("content_hash"), F.lit("AgentProposal").alias("source"), "tags", "volatility", "author_id", as_of.alias("created_at"), F.when(F.col("later").isNotNull(), as_of).alias("deleted_at"), F.col("id").alias("supersedes"), F.col("later").alias("superseded_by"), "rest.*")
+    return after.unionByName(made.select(*state.columns)), outcomes.select("seq", "id", "new_id", "outcome")
+
+
+def update_in_place(knowledge: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(next state, outcomes) of the requests (seq, id, text, tags, volatility) in order; null leaves what is there, a text brings its hash."""
+    asked = requests.select("seq", "id", "text", content_hash(F.col("text")).alias("content_hash"), "tags", "volatility")
+    return apply_in_order(knowledge, asked, update)
 
 
 def file_proposals(requests: DataFrame) -> DataFrame:
@@ -194,7 +205,7 @@ def file_proposals(requests: DataFrame) -> DataFrame:
 
 
 def resolve_proposals(proposals: DataFrame, knowledge: DataFrame) -> DataFrame:
-    """accepted or stale for each proposal (seq, keeper_id, retire_ids), in ``seq`` order.
+    """accepted or stale for each proposal (seq, keeper_id, retire_ids, and maybe the text of a merged row, which retires the keeper too), in ``seq`` order.
 
     A proposal is stale if a row it names is dead or was retired by an accepted one before it. A proposal waits for
     the first undecided one before it that retires a row it names. Each round accepts those that wait for none,
@@ -203,8 +214,10 @@ def resolve_proposals(proposals: DataFrame, knowledge: DataFrame) -> DataFrame:
     their first two retirers. Rounds go on until all are decided; the smallest undecided one always is.
     """
     alive = knowledge.filter("deleted_at is null and source = 'AgentProposal'").select(F.col("id").alias("row"))
-    every = proposals.select("seq", F.explode(F.concat(F.array("keeper_id"), "retire_ids")).alias("row"), "keeper_id")
-    named = stage(every.select("seq", "row", (F.col("row") != F.col("keeper_id")).alias("retires")).distinct(), "named")
+    merged = F.col("text").isNotNull() if "text" in proposals.columns else F.lit(False)
+    every = proposals.select("seq", F.explode(F.concat(F.array("keeper_id"), "retire_ids")).alias("row"), "keeper_id", merged.alias("merged"))
+    retires = (F.col("row") != F.col("keeper_id")) | F.col("merged")
+    named = stage(every.select("seq", "row", retires.alias("retires")).distinct(), "named")
     dead = named.join(alive, "row", "left_anti").select("seq").distinct()
     decided = stage(dead.withColumn("outcome", F.lit("stale")), "decided")
     while True:
@@ -241,6 +254,24 @@ def resolve_proposals(proposals: DataFrame, knowledge: DataFrame) -> DataFrame:
             return decided
 
 
+def after_proposals(knowledge: DataFrame, proposals: DataFrame, outcomes: DataFrame, as_of: Column) -> DataFrame:
+    """Knowledge after the accepted proposals: retired rows are deleted and point to the keeper, or to the merged row where there is a text.
+
+    A merged row (``merged-<seq>``) has the proposal's text, its hash, and the keeper's tags and volatility. Each row is retired once,
+    since a proposal that names a retired one is stale.
+    """
+    won = proposals.join(outcomes.filter("outcome = 'accepted'").select("seq"), "seq", "left_semi").withColumn("survivor", F.when(F.col("text").isNotNull(), F.concat(F.lit("merged-"), "seq")).otherwise(F.col("keeper_id")))
+    rows = F.array_distinct(F.concat("retire_ids", F.when(F.col("text").isNotNull(), F.array("keeper_id")).otherwise(F.array().cast("array<string>"))))
+    gone = won.select(F.explode(rows).alias("row"), "survivor").filter("row <> survivor")
+    state = knowledge if "superseded_by" in knowledge.columns else knowledge.withColumn("superseded_by", F.lit(None).cast("string"))
+    kept = state.join(gone, state["id"] == gone["row"], "left").withColumns({"deleted_at": F.when(F.col("survivor").isNotNull(), as_of).otherwise(F.col("deleted_at")), "superseded_by": F.coalesce("survivor", "superseded_by")}).select(*state.columns)
+    keeper = state.select(F.col("id").alias("keeper_id"), "tags", "volatility", "author_id")
+    own = F.struct([F.lit(None).cast(f.dataType).alias(f.name) for f in state.schema.fields if f.name not in ("id", "text", "content_hash", "source", "tags", "volatility", "author_id", "created_at")])
+    made = won.filter("text is not null").join(keeper, "keeper_id").withColumn("rest", own)
+    made = made.select(F.col("survivor").alias("id"), "text", content_hash(F.col("text")).alias("content_hash"), F.lit("AgentProposal").alias("source"), "tags", "volatility", "author_id", as_of.alias("created_at"), "rest.*")
+    return kept.unionByName(made.select(*state.columns))
+
+
 def repair_attribution(rows: DataFrame, links: DataFrame, authors: DataFrame, system: str = "system", lost: str = "lost-author") -> DataFrame:
     """(id, new_author, bucket) of system-owned rows: one other author linked and known: recovered; several or unknown: lost."""
     own = rows.filter(F.col("author_id") == system).select("id", "link")
@@ -291,10 +322,11 @@ def canonical(places: DataFrame) -> DataFrame:
 
 
 def register_authors(requests: DataFrame) -> DataFrame:
-    """Name shape and slug; the last time an id was seen wins."""
+    """One row an id: name and ``extra`` of the request seen last (of equal times the largest name, then extra), with the name's shape and slug."""
+    last = requests.groupBy("id").agg(F.max(F.struct("seen_at", "agent_name", "extra")).alias("r")).select("id", "r.agent_name", F.col("r.seen_at").alias("last_seen_at"), "r.extra")
     ok = F.col("agent_name").rlike("^[a-z0-9_-]{2,64}$") & (F.octet_length(F.coalesce("extra", F.lit(""))) <= 16384)
     slug = F.regexp_replace(F.regexp_replace(F.lower("agent_name"), "[^a-z0-9_-]+", "-"), "^-+|-+$", "")
-    return requests.groupBy("id", "agent_name").agg(F.max("seen_at").alias("last_seen_at"), F.first("extra").alias("extra")).select("id", "agent_name", "last_seen_at", ok.alias("valid"), slug.alias("slug"))
+    return last.select("id", "agent_name", "last_seen_at", ok.alias("valid"), slug.alias("slug"))
 
 
 def decay_weight(as_of: Column) -> Column:

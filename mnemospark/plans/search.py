@@ -439,15 +439,15 @@ step AS (SELECT unnest([1, 2, 3, 4, 5]) AS k, unnest(['a', '', 'c', 'a', 'e']) A
 req AS (SELECT CASE WHEN n % 50 = 1 THEN 'x' || id ELSE id END AS fact_id, n * 10 + k AS seq, CASE WHEN n % 50 = 1 THEN k - 2 ELSE k END AS k, CASE WHEN word = '' THEN h ELSE sha256(id || ':' || word) END AS h,
   list_position(['AgentProposal', 'Task', 'Controller', 'User'], coalesce(['User', 'Controller', 'Task', 'AgentProposal'][(n + shift) % 4 + 1], 'User')) AS trust, expected FROM own, step WHERE n % 5 = 0 OR (n % 50 = 1 AND k > 2)),
 st AS (
-  SELECT DISTINCT req.fact_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS outcome, CASE WHEN deleted_at IS NULL THEN version END AS version, CASE WHEN deleted_at IS NULL THEN own.h END AS h, CASE WHEN deleted_at IS NULL THEN list_position(['AgentProposal', 'Task', 'Controller', 'User'], source) END AS trust
+  SELECT DISTINCT req.fact_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS outcome, version, CASE WHEN deleted_at IS NULL THEN own.h END AS h, list_position(['AgentProposal', 'Task', 'Controller', 'User'], source) AS trust, deleted_at IS NOT NULL AS gone, false AS revives
   FROM req LEFT JOIN own ON own.id = req.fact_id
   UNION ALL
-  SELECT fact_id, k, seq, outcome, CASE WHEN outcome = 'insert' THEN 1 WHEN outcome = 'amend' THEN version + 1 ELSE version END, CASE WHEN outcome IN ('insert', 'amend') THEN asked ELSE h END, CASE WHEN outcome IN ('insert', 'amend') THEN mine ELSE trust END
-  FROM (SELECT st.fact_id, CAST(req.k AS BIGINT) AS k, req.seq, st.version, st.h, st.trust, req.h AS asked, req.trust AS mine,
+  SELECT fact_id, k, seq, outcome, CASE WHEN outcome = 'insert' THEN 1 WHEN outcome = 'amend' THEN version + 1 ELSE version END, CASE WHEN outcome IN ('insert', 'amend') THEN asked ELSE h END, CASE WHEN outcome IN ('insert', 'amend') THEN mine ELSE trust END, gone AND outcome <> 'amend', gone AND outcome = 'amend'
+  FROM (SELECT st.fact_id, CAST(req.k AS BIGINT) AS k, req.seq, st.version, st.h, st.trust, st.gone, req.h AS asked, req.trust AS mine,
     CASE WHEN st.h = req.h THEN (CASE WHEN expected <> st.version THEN 'conflict' ELSE 'touch' END) WHEN st.version IS NULL THEN 'insert' WHEN req.trust < st.trust THEN 'dissent' WHEN expected <> st.version THEN 'conflict' ELSE 'amend' END AS outcome
     FROM st JOIN req ON req.fact_id = st.fact_id AND req.k = st.k + 1)
 )
-SELECT seq, fact_id, outcome, CAST(CASE WHEN outcome IN ('insert', 'amend') THEN version END AS INT) AS version FROM st WHERE k > 0""")
+SELECT seq, fact_id, outcome, CAST(CASE WHEN outcome IN ('insert', 'amend') THEN version END AS INT) AS version, revives AS revives_deleted FROM st WHERE k > 0""")
 def fact_upsert(spark, sf):
     return lc.upsert_facts(facts(spark, sf).withColumn("payload_hash", own_content()), upserts(spark, sf))
 
@@ -458,26 +458,46 @@ def file_dissents(spark, sf):
     return lc.file_dissents(d.filter("status = 'pending'"), d.filter(F.substring("id", 2, 20).cast("bigint") % 20 == 0), facts(spark, sf))
 
 
-_RESOLVED = """, req AS (SELECT id AS dissent_id, fact_id, payload, status, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 2 = 0 THEN 'promote' ELSE 'discard' END AS action, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 8 = 0 THEN 5 ELSE 1 END AS expected FROM dissents),
-resolved AS (SELECT dissent_id, fact_id, req.payload, CASE WHEN status <> 'pending' THEN 'not_pending' WHEN action = 'discard' THEN 'discarded' WHEN f.id IS NULL THEN 'missing' WHEN expected <> 1 THEN 'conflict' ELSE 'promoted' END AS outcome,
-CASE WHEN status = 'pending' AND action = 'promote' AND f.id IS NOT NULL AND expected = 1 THEN 2 END AS version FROM req LEFT JOIN (SELECT id FROM facts WHERE deleted_at IS NULL) f ON f.id = req.fact_id)
+_RESOLVED = """, step AS (SELECT unnest([1, 2, 3, 4]) AS k, unnest(['promote', 'promote', 'discard', 'promote']) AS action, unnest([1, 2, NULL, 2]) AS expected, unnest([0, 0, 1, 1]) AS other),
+both_d AS (SELECT id, fact_id, payload, status, 0 AS other FROM dissents UNION ALL SELECT id || 'b', fact_id, '{"other":' || substr(id, 2) || '}', 'pending', 1 FROM dissents WHERE CAST(substr(id, 2) AS BIGINT) % 2 = 0),
+req AS (SELECT d.id AS dissent_id, d.fact_id, d.payload, d.status, d.other, CAST(substr(d.fact_id, 2) AS BIGINT) * 10 + k AS seq, k,
+  CASE WHEN CAST(substr(d.fact_id, 2) AS BIGINT) % 3 = 0 AND k = 1 THEN 'discard' ELSE action END AS action, expected FROM both_d d JOIN step ON step.other = d.other),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY seq) AS nth FROM req),
+st AS (
+  SELECT DISTINCT r.fact_id, CAST(0 AS BIGINT) AS nth, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS dissent_id, CAST(NULL AS VARCHAR) AS outcome, f.version AS version, CAST(NULL AS VARCHAR) AS payload, f.deleted_at IS NULL AS live, CAST([] AS VARCHAR[]) AS done FROM req r LEFT JOIN facts f ON f.id = r.fact_id
+  UNION ALL
+  SELECT fact_id, nth, seq, dissent_id, outcome, CASE WHEN outcome = 'promoted' THEN version + 1 ELSE version END, CASE WHEN outcome = 'promoted' THEN new_payload ELSE payload END, live, CASE WHEN outcome IN ('promoted', 'discarded') THEN list_append(done, dissent_id) ELSE done END
+  FROM (SELECT st.fact_id, n.nth, n.seq, n.dissent_id, st.version, st.payload, st.live, st.done, n.payload AS new_payload,
+    CASE WHEN n.status <> 'pending' OR list_contains(st.done, n.dissent_id) THEN 'not_pending' WHEN n.action = 'discard' THEN 'discarded' WHEN NOT st.live OR st.version IS NULL THEN 'missing' WHEN n.expected <> st.version THEN 'conflict' ELSE 'promoted' END AS outcome
+    FROM st JOIN numbered n ON n.fact_id = st.fact_id AND n.nth = st.nth + 1)
+)
 """
 
 
 def _resolved(spark, sf):
-    d, n = dissents(spark, sf), F.substring("id", 2, 20).cast("bigint")
-    req = d.select(F.col("id").alias("dissent_id"), F.when(n % 2 == 0, "promote").otherwise("discard").alias("action"), F.when(n % 8 == 0, 5).otherwise(1).alias("expected"))
-    return lc.resolve_dissents(d, facts(spark, sf), req)
+    """Two requests on each dissent; every second fact has another pending dissent, and gets four in one order."""
+    d, n = dissents(spark, sf).select("id", "fact_id", "payload", "status"), F.substring("fact_id", 2, 20).cast("bigint")
+    other = d.filter(n % 2 == 0).select(F.concat("id", F.lit("b")).alias("id"), "fact_id", F.concat(F.lit('{"other":'), F.substring("id", 2, 20), F.lit("}")).alias("payload"), F.lit("pending").alias("status"))
+    step = lambda k, action, expected: F.struct((n * 10 + k).alias("seq"), action.alias("action"), F.lit(expected).cast("int").alias("expected"))
+    first = F.array(step(1, F.when(n % 3 == 0, "discard").otherwise("promote"), 1), step(2, F.lit("promote"), 2))
+    second = F.array(step(3, F.lit("discard"), None), step(4, F.lit("promote"), 2))
+    req = d.select(F.col("id").alias("dissent_id"), F.explode(first).alias("r")).unionByName(other.select(F.col("id").alias("dissent_id"), F.explode(second).alias("r")))
+    return lc.resolve_dissents(d.unionByName(other), facts(spark, sf).select("id", "payload", "source", "version", "deleted_at"), req.select("r.seq", "dissent_id", "r.action", "r.expected"))
 
 
-@query("l3_resolve_dissents", _RESOLVED + "SELECT dissent_id, outcome, version FROM resolved")
+@query("l3_resolve_dissents", _RESOLVED + "SELECT seq, dissent_id, outcome, CAST(CASE WHEN outcome = 'promoted' THEN version END AS INT) AS version FROM st WHERE nth > 0")
 def resolve_dissents(spark, sf):
-    return _resolved(spark, sf)
+    return _resolved(spark, sf)[0]
 
 
-@query("l3_next_state", _RESOLVED + "SELECT f.id, coalesce(r.payload, f.payload) AS payload, CASE WHEN r.dissent_id IS NOT NULL THEN 'User' ELSE f.source END AS source, coalesce(r.version, f.version) AS version, f.deleted_at FROM facts f LEFT JOIN (SELECT * FROM resolved WHERE outcome = 'promoted') r ON r.fact_id = f.id")
+@query("l3_next_state", _RESOLVED + ", last AS (SELECT fact_id, arg_max(struct_pack(v := version, p := payload), nth) AS w FROM st GROUP BY 1) SELECT f.id, coalesce(w.p, f.payload) AS payload, CASE WHEN w.p IS NOT NULL THEN 'User' ELSE f.source END AS source, coalesce(w.v, f.version) AS version, f.deleted_at FROM facts f LEFT JOIN last ON last.fact_id = f.id")
 def promoted_facts(spark, sf):
-    return lc.promoted_facts(facts(spark, sf), dissents(spark, sf), _resolved(spark, sf))
+    return _resolved(spark, sf)[1]
+
+
+@query("l3_next_dissents", _RESOLVED + ", done AS (SELECT dissent_id, min(outcome) AS outcome FROM st WHERE outcome IN ('promoted', 'discarded') GROUP BY 1) SELECT id, fact_id, payload, coalesce(outcome, status) AS status FROM both_d LEFT JOIN done ON dissent_id = id")
+def resolved_dissents(spark, sf):
+    return _resolved(spark, sf)[2]
 
 
 @query("l4_orphans", "SELECT d.id, CASE WHEN d.status = 'pending' AND f.deleted_at IS NOT NULL THEN 'orphaned' ELSE d.status END AS status FROM dissents d LEFT JOIN facts f ON f.id = d.fact_id")
@@ -485,40 +505,97 @@ def orphans(spark, sf):
     return lc.orphan_dissents(dissents(spark, sf), facts(spark, sf))
 
 
-@query("l5_delete_restore", """, req AS (SELECT 'o' || o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'delete' WHEN 1 THEN 'restore' ELSE 'hard' END AS action FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'e' || event_id, 'delete' FROM events WHERE event_id % 100 = 0 UNION ALL SELECT 'x' || o_orderkey, 'delete' FROM orders WHERE o_orderkey % 100 = 0)
-SELECT req.id, action, CASE WHEN req.id LIKE 'e%' THEN 'refused' WHEN f.id IS NULL THEN 'missing' WHEN action = 'hard' THEN 'removed' WHEN action = 'delete' AND deleted_at IS NULL THEN 'deleted' WHEN action = 'restore' AND deleted_at IS NOT NULL THEN 'restored' ELSE 'noop' END AS outcome FROM req LEFT JOIN facts f ON f.id = req.id""")
-def delete_restore(spark, sf):
-    return lc.delete_restore(facts(spark, sf), deletions(spark, sf))
+_DELETED = """, step AS (SELECT unnest([1, 2, 3, 4]) AS k, unnest([['delete', 'delete', 'restore', 'delete'], ['restore', 'restore', 'delete', 'restore'], ['hard', 'delete', 'restore', 'hard']]) AS actions, unnest([0, 1, 2]) AS m),
+req AS (SELECT 'o' || o_orderkey AS id, o_orderkey * 10 + k AS seq, ['delete', 'restore', 'hard'][(o_orderkey + k * (o_orderkey % 7 + 1)) % 3 + 1] AS action FROM orders, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE o_orderkey % 2 = 0
+  UNION ALL SELECT 'e' || event_id, -1 - event_id, 'delete' FROM events WHERE event_id % 100 = 0 UNION ALL SELECT 'x' || o_orderkey, o_orderkey * 10 + 9, 'delete' FROM orders WHERE o_orderkey % 100 = 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS nth FROM req),
+st AS (
+  SELECT DISTINCT r.id, CAST(0 AS BIGINT) AS nth, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS outcome, f.id IS NOT NULL AS there, f.deleted_at AS deleted_at, CASE WHEN f.deleted_at IS NOT NULL THEN 'z' || f.id END AS superseded_by FROM req r LEFT JOIN facts f ON f.id = r.id
+  UNION ALL
+  SELECT id, nth, seq, outcome, there AND outcome <> 'removed', CASE outcome WHEN 'deleted' THEN TIMESTAMP '2024-03-01' WHEN 'restored' THEN NULL ELSE deleted_at END, CASE WHEN outcome = 'restored' THEN NULL ELSE superseded_by END
+  FROM (SELECT st.id, n.nth, n.seq, st.there, st.deleted_at, st.superseded_by, CASE WHEN st.id LIKE 'e%' THEN 'refused' WHEN NOT st.there THEN 'missing' WHEN n.action = 'hard' THEN 'removed' WHEN n.action = 'delete' AND st.deleted_at IS NULL THEN 'deleted' WHEN n.action = 'restore' AND st.deleted_at IS NOT NULL THEN 'restored' ELSE 'noop' END AS outcome
+    FROM st JOIN numbered n ON n.id = st.id AND n.nth = st.nth + 1)
+)
+"""
 
 
 def deletions(spark, sf) -> DataFrame:
+    """Four requests on every second order's fact, and some on events and unknown ids."""
     o, e, n = table(spark, sf, "orders"), table(spark, sf, "events"), F.col("o_orderkey")
-    req = o.filter(n % 2 == 0).select(F.concat(F.lit("o"), n).alias("id"), F.when(n % 3 == 0, "delete").when(n % 3 == 1, "restore").otherwise("hard").alias("action"))
-    req = req.unionByName(e.filter("event_id % 100 = 0").select(F.concat(F.lit("e"), "event_id").alias("id"), F.lit("delete").alias("action")))
-    return req.unionByName(o.filter(n % 100 == 0).select(F.concat(F.lit("x"), n).alias("id"), F.lit("delete").alias("action")))
+    action = lambda k: F.element_at(F.array(*map(F.lit, ("delete", "restore", "hard"))), ((n + k * (n % 7 + 1)) % 3 + 1).cast("int"))
+    each = F.array(*[F.struct((n * 10 + k).alias("seq"), action(k).alias("action")) for k in (1, 2, 3, 4)])
+    req = o.filter(n % 2 == 0).select(F.concat(F.lit("o"), n).alias("id"), F.explode(each).alias("r")).select("r.seq", "id", "r.action")
+    req = req.unionByName(e.filter("event_id % 100 = 0").select((-1 - F.col("event_id")).alias("seq"), F.concat(F.lit("e"), "event_id").alias("id"), F.lit("delete").alias("action")))
+    return req.unionByName(o.filter(n % 100 == 0).select((n * 10 + 9).alias("seq"), F.concat(F.lit("x"), n).alias("id"), F.lit("delete").alias("action")))
 
 
-@query("l5_next_state", """, s AS (SELECT id, deleted_at, CASE WHEN deleted_at IS NOT NULL THEN 'z' || id END AS superseded_by, CAST(substr(id, 2) AS BIGINT) AS n, id LIKE 'o%' AND CAST(substr(id, 2) AS BIGINT) % 2 = 0 AS asked FROM facts)
-SELECT id, CASE WHEN asked AND n % 3 = 0 THEN coalesce(deleted_at, TIMESTAMP '2024-03-01') WHEN asked AND n % 3 = 1 THEN NULL ELSE deleted_at END AS deleted_at, CASE WHEN asked AND n % 3 = 1 THEN NULL ELSE superseded_by END AS superseded_by FROM s WHERE NOT (asked AND n % 3 = 2)""")
-def after_deletions(spark, sf):
+def _deleted(spark, sf):
     f = facts(spark, sf).select("id", "deleted_at", F.when(F.col("deleted_at").isNotNull(), F.concat(F.lit("z"), "id")).alias("superseded_by"))
-    req = deletions(spark, sf)
-    return lc.after_deletions(f, req, lc.delete_restore(f, req), as_of())
+    return lc.delete_restore(f, deletions(spark, sf), events(spark, sf), as_of())
+
+
+@query("l5_delete_restore", _DELETED + "SELECT seq, id, outcome FROM st WHERE nth > 0")
+def delete_restore(spark, sf):
+    return _deleted(spark, sf)[1].drop("version")
+
+
+@query("l5_next_state", _DELETED + ", last AS (SELECT id, arg_max(struct_pack(t := there, d := deleted_at, s := superseded_by), nth) AS w FROM st GROUP BY 1) SELECT f.id, CASE WHEN w IS NULL THEN f.deleted_at ELSE w.d END AS deleted_at, CASE WHEN w IS NOT NULL THEN w.s WHEN f.deleted_at IS NOT NULL THEN 'z' || f.id END AS superseded_by FROM facts f LEFT JOIN last ON last.id = f.id WHERE w IS NULL OR w.t")
+def after_deletions(spark, sf):
+    return _deleted(spark, sf)[0]
+
+
+_SUPERSEDED = """, four AS (SELECT id, seq, text, tags, volatility, source = 'AgentProposal' AND deleted_at IS NULL AS ok, source, deleted_at IS NULL AS live FROM knowledge WHERE seq % 4 = 0),
+reqs AS (
+  SELECT seq * 10 + 1 AS seq, id, id || '-v2' AS new_id, CASE WHEN ok THEN 'superseded' WHEN live THEN 'not_agent_authored' ELSE 'missing' END AS outcome, 'second ' || seq AS text, id AS root FROM four
+  UNION ALL SELECT seq * 10 + 2, id, id || '-v9', CASE WHEN live AND NOT ok THEN 'not_agent_authored' ELSE 'missing' END, 'late', id FROM four
+  UNION ALL SELECT seq * 10 + 3, id || '-v2', id || '-v3', CASE WHEN ok THEN 'superseded' ELSE 'missing' END, 'third ' || seq, id FROM four
+  UNION ALL SELECT seq * 10 + 4, id || '-v3', id || '-v4', 'invalid', ' ', id FROM four)
+"""
+
 
+def _superseded(spark, sf):
+    """Four requests on every fourth row: it is replaced, replaced again too late, what replaced it is replaced, and an empty text is refused."""
+    k, s = knowledge(spark, sf), F.col("seq")
+    at = lambda n, old, new, text: F.struct((s * 10 + n).alias("seq"), F.concat("id", F.lit(old)).alias("id"), F.concat("id", F.lit(new)).alias("new_id"), text.alias("text"))
+    each = F.array(at(1, "", "-v2", F.concat(F.lit("second "), s)), at(2, "", "-v9", F.lit("late")), at(3, "-v2", "-v3", F.concat(F.lit("third "), s)), at(4, "-v3", "-v4", F.lit(" ")))
+    req = k.filter(s % 4 == 0).select(F.explode(each).alias("r")).select("r.*", F.lit("a1").alias("author_id"))
+    return lc.supersede(k, req, as_of())
 
-@query("l6_supersede", """, req AS (SELECT id AS old_id FROM knowledge WHERE seq % 4 = 0), s AS (SELECT k.*, req.old_id IS NOT NULL AND source = 'AgentProposal' AND deleted_at IS NULL AS hit FROM knowledge k LEFT JOIN req ON req.old_id = k.id)
-SELECT id, CASE WHEN hit THEN id || '-v2' END AS superseded_by, CAST(NULL AS VARCHAR) AS supersedes, hit OR deleted_at IS NOT NULL AS deleted FROM s UNION ALL SELECT id || '-v2', NULL, id, false FROM s WHERE hit""")
+
+@query("l6_supersede", _SUPERSEDED + "SELECT seq, id, new_id, outcome FROM reqs")
 def supersede(spark, sf):
-    k = knowledge(spark, sf)
-    req = k.filter("seq % 4 = 0").select(F.col("id").alias("old_id"), F.concat(F.lit("new "), "text").alias("new_text"))
-    return lc.supersede(k, req).select("id", "superseded_by", "supersedes", "deleted")
+    return _superseded(spark, sf)[1]
 
 
-@query("l7_update", "SELECT id, CASE WHEN seq % 6 = 0 THEN sha256('new ' || seq) ELSE content_hash END AS content_hash, array_to_string(CASE WHEN seq % 9 = 0 THEN ['x'] ELSE tags END, ',') AS tags, CASE WHEN seq % 12 = 0 THEN 'stable' ELSE volatility END AS volatility FROM knowledge")
-def update(spark, sf):
+@query("l6_next_state", _SUPERSEDED + """, won AS (SELECT * FROM reqs WHERE outcome = 'superseded')
+SELECT k.id, content_hash, k.source, array_to_string(tags, ',') AS tags, volatility, author_id, CASE WHEN w.id IS NOT NULL THEN TIMESTAMP '2024-03-01' ELSE deleted_at END AS deleted_at, CAST(NULL AS VARCHAR) AS supersedes, w.new_id AS superseded_by FROM knowledge k LEFT JOIN won w ON w.id = k.id
+UNION ALL SELECT w.new_id, sha256(w.text), 'AgentProposal', array_to_string(f.tags, ','), f.volatility, 'a1', CASE WHEN later.id IS NOT NULL THEN TIMESTAMP '2024-03-01' END, w.id, later.new_id FROM won w JOIN four f ON f.id = w.root LEFT JOIN won later ON later.id = w.new_id""")
+def superseded_state(spark, sf):
+    return _superseded(spark, sf)[0].select("id", "content_hash", "source", F.array_join("tags", ",").alias("tags"), "volatility", "author_id", "deleted_at", "supersedes", "superseded_by")
+
+
+_UPDATED = """, asked AS (SELECT id, seq, source = 'AgentProposal' AND deleted_at IS NULL AS ok, deleted_at IS NULL AS live FROM knowledge WHERE seq % 6 = 0 OR seq % 10 = 0)
+"""
+
+
+def _updated(spark, sf):
+    """Three requests on many rows: a text and tags, then another text and a volatility, then nothing."""
     k, s = knowledge(spark, sf), F.col("seq")
-    req = k.filter((s % 6 == 0) | (s % 9 == 0)).select("id", F.when(s % 6 == 0, F.concat(F.lit("new "), s)).alias("new_text"), F.when(s % 9 == 0, F.array(F.lit("x"))).alias("new_tags"), F.when(s % 12 == 0, "stable").alias("new_volatility"))
-    return lc.update_in_place(k, req).withColumn("tags", F.array_join("tags", ","))
+    none = F.lit(None).cast("string")
+    at = lambda n, text, tags, volatility: F.struct((s * 10 + n).alias("seq"), text.alias("text"), tags.alias("tags"), volatility.alias("volatility"))
+    each = F.array(at(1, F.concat(F.lit("first "), s), F.array(F.lit("x")), none), at(2, F.concat(F.lit("new "), s, F.lit("  \n")), F.lit(None).cast("array<string>"), F.lit("stable")), at(3, none, F.lit(None).cast("array<string>"), none))
+    req = k.filter((s % 6 == 0) | (s % 10 == 0)).select("id", F.explode(each).alias("r")).select("r.seq", "id", "r.text", "r.tags", "r.volatility")
+    return lc.update_in_place(k, req)
+
+
+@query("l7_update", _UPDATED + "SELECT k.id, CASE WHEN ok THEN sha256('new ' || k.seq) ELSE content_hash END AS content_hash, array_to_string(CASE WHEN ok THEN ['x'] ELSE tags END, ',') AS tags, CASE WHEN ok THEN 'stable' ELSE volatility END AS volatility FROM knowledge k LEFT JOIN asked ON asked.id = k.id")
+def update(spark, sf):
+    return _updated(spark, sf)[0].select("id", "content_hash", F.array_join("tags", ",").alias("tags"), "volatility")
+
+
+@query("l7_outcomes", _UPDATED + "SELECT seq * 10 + n AS seq, id, CASE WHEN n = 3 THEN 'invalid' WHEN ok THEN 'updated' WHEN live THEN 'not_agent_authored' ELSE 'missing' END AS outcome FROM asked, (SELECT unnest([1, 2, 3]) AS n)")
+def update_outcomes(spark, sf):
+    return _updated(spark, sf)[1].drop("version")
 
 
 @query("l8_file_proposals", _PROPOSALS + "SELECT keeper_id, CAST(2 AS BIGINT) AS submission_count FROM proposals")
@@ -537,6 +614,23 @@ def resolve_proposals(spark, sf):
     return lc.resolve_proposals(p, knowledge(spark, sf))
 
 
+def merges(spark, sf) -> DataFrame:
+    """Every thirtieth row's proposal retires the next two agent-authored rows; every second one writes a merged text."""
+    return proposals(spark, sf).withColumn("text", F.when(F.col("seq") % 60 == 0, F.concat(F.lit("merged "), "seq")))
+
+
+@query("l8_next_state", _PROPOSALS + """, m AS (SELECT seq, keeper_id, retire_ids, CASE WHEN seq % 60 = 0 THEN 'merged ' || seq END AS text FROM proposals),
+alive AS (SELECT id FROM knowledge WHERE deleted_at IS NULL AND source = 'AgentProposal'),
+won AS (SELECT *, CASE WHEN text IS NULL THEN keeper_id ELSE 'merged-' || seq END AS survivor FROM m WHERE keeper_id IN (SELECT id FROM alive) AND retire_ids[1] IN (SELECT id FROM alive) AND retire_ids[2] IN (SELECT id FROM alive)),
+gone AS (SELECT unnest(CASE WHEN text IS NULL THEN retire_ids ELSE list_append(retire_ids, keeper_id) END) AS row, survivor FROM won)
+SELECT k.id, content_hash, array_to_string(tags, ',') AS tags, CASE WHEN g.row IS NOT NULL THEN TIMESTAMP '2024-03-01' ELSE deleted_at END AS deleted_at, g.survivor AS superseded_by FROM knowledge k LEFT JOIN gone g ON g.row = k.id
+UNION ALL SELECT survivor, sha256(won.text), array_to_string(k.tags, ','), NULL, NULL FROM won JOIN knowledge k ON k.id = keeper_id WHERE won.text IS NOT NULL""")
+def proposals_state(spark, sf):
+    k, p = knowledge(spark, sf), merges(spark, sf)
+    after = lc.after_proposals(k, p, lc.resolve_proposals(p, k), as_of())
+    return after.select("id", "content_hash", F.array_join("tags", ",").alias("tags"), "deleted_at", "superseded_by")
+
+
 _REPAIR = """, r AS (SELECT id, task_id AS link, CASE WHEN seq % 50 = 0 THEN 'system' WHEN task_id = 't1' THEN 'a' || seq % 2 WHEN task_id = 't2' THEN 'zz' ELSE author_id END AS author_id FROM ev), own AS (SELECT * FROM r WHERE author_id = 'system'),
 seen AS (SELECT own.id, count(DISTINCT o.author_id) AS n, min(o.author_id) AS one FROM own LEFT JOIN (SELECT DISTINCT link, author_id FROM r WHERE author_id <> 'system') o ON o.link = own.link GROUP BY 1),
 fixed AS (SELECT seen.id, CASE WHEN n = 0 THEN 'left' WHEN n = 1 AND a.id IS NOT NULL THEN 'recovered' ELSE 'lost' END AS bucket, one FROM seen LEFT JOIN authors a ON a.id = seen.one)
@@ -612,10 +706,12 @@ def canonical(spark, sf):
     return lc.canonical(lc.copies(knowledge(spark, sf)))
 
 
-@query("l14_register_authors", r"SELECT id, agent_name, max(seen) AS last_seen_at, regexp_matches(agent_name, '^[a-z0-9_-]{2,64}$') AS valid, regexp_replace(regexp_replace(lower(agent_name), '[^a-z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM (SELECT user_id % 40 AS id, CASE WHEN user_id % 2 = 0 THEN 'Agent ' || user_id % 40 || '!' ELSE 'agent-' || user_id % 40 END AS agent_name, ts AS seen FROM events) GROUP BY 1, 2", model=False)
+@query("l14_register_authors", r"""SELECT id, w.n AS agent_name, w.t AS last_seen_at, regexp_matches(w.n, '^[a-z0-9_-]{2,64}$') AS valid, regexp_replace(regexp_replace(lower(w.n), '[^a-z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug
+FROM (SELECT id, max(struct_pack(t := seen, n := agent_name)) AS w FROM (SELECT user_id % 40 AS id, CASE WHEN event_id % 3 = 0 THEN 'Agent ' || user_id % 40 || '!' ELSE 'agent-' || user_id % 40 END AS agent_name, ts AS seen FROM events) GROUP BY 1)""", model=False)
 def register_authors(spark, sf):
+    """Ids that call themselves by two names: the last one seen counts."""
     n = F.col("user_id") % 40
-    r = table(spark, sf, "events").select(n.alias("id"), F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("Agent "), n, F.lit("!"))).otherwise(F.concat(F.lit("agent-"), n)).alias("agent_name"), F.col("ts").alias("seen_at"), F.lit(None).cast("string").alias("extra"))
+    r = table(spark, sf, "events").select(n.alias("id"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Agent "), n, F.lit("!"))).otherwise(F.concat(F.lit("agent-"), n)).alias("agent_name"), F.col("ts").alias("seen_at"), F.lit(None).cast("string").alias("extra"))
     return lc.register_authors(r)
 
 
