@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,30 @@ def append(rows: DataFrame, path: str, batch: str | int) -> None:
     rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
 
 
+def append_by_day(rows: DataFrame, path: str, ts: str, batch: str | int) -> None:
+    """Add log rows as one batch, one folder a day; the same batch written again replaces its own files, day by day."""
+    marked = rows.withColumns({"day": F.to_date(ts), "batch": F.lit(str(batch))})
+    marked.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
+
+
+def drop_days(spark: SparkSession, path: str, before: date) -> list[str]:
+    """Delete the folders of days before ``before`` without reading a row; their names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    days = [f.getPath() for f in store.listStatus(at) if f.getPath().getName().startswith("day=")] if store.exists(at) else []
+    old = [d for d in days if d.getName()[4:14] < before.isoformat()]
+    for day in old:
+        store.delete(day, True)
+    return sorted(d.getName() for d in old)
+
+
+def write_search_logs(sample: DataFrame, oversize: DataFrame, folder: str, ts: str, batch: str | int) -> None:
+    """One search's logs: every query's sample row, a miss row for each with a ``miss``, and the refused writes, as three tables by day."""
+    append_by_day(sample, f"{folder}/search_sample", ts, batch)
+    append_by_day(sample.filter("miss is not null"), f"{folder}/search_miss", ts, batch)
+    append_by_day(oversize, f"{folder}/oversize_write", ts, batch)
+
+
 def retained(log: DataFrame, ts: str, as_of, days: int) -> DataFrame:
     """Log rows not older than ``days``."""
     return log.filter(F.col(ts) >= as_of - F.make_dt_interval(F.lit(days)))

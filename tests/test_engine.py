@@ -10,16 +10,12 @@ from collections import Counter
 import duckdb
 import pandas as pd
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from mnemospark.functions import chunking
 from mnemospark.functions import text as tx
 from mnemospark.operators import context, lifecycle, predicates, ranking, retrieval
 from mnemospark.plans import registry, search
 from mnemospark.sources import files
-from mnemospark.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
 SQL = registry.oracle_sql()
@@ -85,22 +81,6 @@ def test_corpus_scan(spark, tmp_path):
     assert sorted(r.text for r in files.scan_corpus(spark, str(tmp_path)).collect()) == ["hello", "vue", "yes"]
 
 
-def test_chunks_keep_headings_and_fences():
-    body = "word " * 20
-    text = f"# A\n\n{body}\n\n## B\n\n```\n# no heading\n\n{body}\n```\n\n# C\n\n{'x' * 2000}"
-    got = chunking.chunk_text(text)
-    assert [p for p, _ in got] == ["A", "A > B", "C", "C", "C"]
-    assert "# no heading" in got[1][1] and got[2][1][-200:] == got[3][1][:200]
-
-
-@settings(max_examples=100, deadline=None)
-@given(st.text(alphabet="ab \t\r\n", max_size=60))
-def test_chunks_lose_no_word(text):
-    words = text.split()
-    if len(text) <= 800 and words:
-        assert " ".join(b for _, b in chunking.chunk_text(text, markdown=False)).split() == words or len(text.strip()) < 64
-
-
 def test_normalised_is_idempotent(spark):
     df = spark.createDataFrame([("a \r\n\n\n\nb\t\n\n",), ("é x",), ("",)], "t string").select(tx.normalised(F.col("t")).alias("t"))
     once = [r.t for r in df.collect()]
@@ -119,28 +99,6 @@ def test_rrf_grows_with_weight(spark):
     assert got["b"] == 2 * got["a"] == pytest.approx(2 / 61)
 
 
-def test_edge_stream_equals_batch(spark, tmp_path):
-    rows = [(f"h{i % 2}", "s", i % 3 != 0, str(i // 7) if i % 4 else None, datetime.datetime(2024, 1, 1, 0, i), i) for i in range(40)]
-    df = spark.createDataFrame(rows, "host string, service string, active boolean, version string, at timestamp, seq long")
-    want = [tuple(r) for r in jobs.state_edges(df).drop("seq").collect()]
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = jobs.stream_edges(stream).writeStream.format("memory").queryName("edges").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert sorted((tuple(r) for r in spark.sql("select host, service, event, version, at from edges").collect()), key=repr) == sorted(want, key=repr)
-
-
-def test_validated_ingest(spark, tmp_path):
-    good = '{"event":"up","host":"h1","service":"s1"}'
-    spark.createDataFrame([("1", good), ("2", '{"event":"up","host":"h1"}')], "id string, payload string").write.parquet(str(tmp_path / "in"))
-    rows = spark.readStream.schema("id string, payload string").parquet(str(tmp_path / "in"))
-    q = jobs.ingest_events(rows, str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "c")).start()
-    q.awaitTermination(120)
-    assert [r.id for r in spark.read.parquet(str(tmp_path / "good")).collect()] == ["1"]
-    assert [r.rule for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == ["required"]
-
-
 def test_batches_written_again_replace_themselves(spark, tmp_path):
     rows = spark.createDataFrame([("1",), ("2",)], "id string")
     for batch in (0, 1, 0):
@@ -222,9 +180,3 @@ def test_knn_without_itself_and_odd_vectors(spark):
     items = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("c", [0.0, 1.0]), ("d", [1.0]), ("e", None)], "id string, embedding array<double>")
     got = retrieval.knn(items.filter("id in ('a', 'e')").withColumnRenamed("id", "query_id"), items, 2, exclude_self=True).collect()
     assert sorted((r.rank, r.id) for r in got) == [(1, "b"), (2, "c")]
-
-
-def test_chunks_fit_the_ceiling():
-    text = "word " * 900 + "x" * 4000 + "é" * 900
-    pieces = chunking.fitting(text, 100)
-    assert all(chunking.token_estimate(p) <= 100 for p in pieces) and "".join("".join(pieces).split()) == "".join(text.split())
