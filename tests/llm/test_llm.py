@@ -99,6 +99,34 @@ def test_sharding_law_slots_and_whole_records(spark):
     assert sharded(df.limit(0), 7)[0].count() == 0
 
 
+def test_slots_depend_on_the_records_alone(spark, tmp_path):
+    """One file, three files and shuffled files give the same slots; a hot key and a hot record are split."""
+    rng = random.Random(2)
+    rows = [(i, f"text {i} " * (i % 9)) for i in range(1500)] + [(77, f"hot key {i}") for i in range(900)] + [(5, "same row")] * 900 + [(i, "twice") for i in range(40)] * 2
+    found = []
+    for n in (1, 3, 5):
+        frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+        (frame.coalesce(1) if n == 1 else frame.repartition(n)).write.parquet(str(tmp_path / f"in{n}"))
+        rng.shuffle(rows)
+        out, path = sharded(spark.read.parquet(str(tmp_path / f"in{n}")), 6)
+        found.append(sorted((r.shard, r.slot, r.doc_id, r.text) for r in out.collect()))
+        sizes = [r["count"] for r in spark.read.parquet(path).groupBy("shard", "bucket").count().collect()]
+        assert max(sizes) <= 2 * sharding.BUCKET_ROWS
+    assert found[0] == found[1] == found[2]
+
+
+def test_shuffle_is_fisher_yates(spark):
+    sizes = [0, 1, 2, 3, 50, 300]
+    df = spark.createDataFrame([(n,) for n in sizes], "n int")
+    df = df.withColumn("v", F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array().cast("array<int>")))
+    draws = F.when(F.col("n") > 1, F.transform(F.sequence(F.col("n") - 1, F.lit(1), F.lit(-1)), lambda i: F.pmod(F.xxhash64(F.lit(3), F.col("n"), i), i + 1))).otherwise(F.array().cast("array<bigint>"))
+    for r in df.select("n", draws.alias("d"), sharding.shuffled(F.col("v"), F.lit(3), F.col("n")).alias("got")).collect():
+        want = list(range(r.n))
+        for i, j in zip(range(r.n - 1, 0, -1), r.d, strict=True):
+            want[i], want[j] = want[j], want[i]
+        assert r.got == want
+
+
 def test_sharding_query_digests(spark):
     sf = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
