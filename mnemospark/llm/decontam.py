@@ -89,6 +89,13 @@ def _window_starts(hits: Column, n_words: Column, least: Column, shingles: Colum
     return F.when(F.size(hits) >= least, let(hits, runs)).otherwise(F.array().cast("array<int>"))
 
 
+def _hits_before(hits: str, shingles: Column) -> Column:
+    """For each place from 0 to ``shingles``: the number of the sorted hits before it, so that a window's hits are a slice."""
+    place = lambda i: F.get(hits, i)["place"]
+    upto = F.transform(F.sequence(F.lit(0), F.size(hits) - 1), lambda i: F.array_repeat(i, F.when(i > 0, place(i) - place(i - 1)).otherwise(place(i) + 1)))
+    return F.flatten(F.concat(upto, F.array(F.array_repeat(F.size(hits), shingles - place(F.size(hits) - 1)))))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = K, threshold: float = THRESHOLD) -> DataFrame:
     """(id_col, item_id, similarity, start_word, n_words): the best window of each document and item that match."""
     entries, index, sizes = item_index(items, item_id, item_text, k, threshold)
@@ -106,13 +113,15 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         """Distinct shingles with their weights of each window."""
         span = F.greatest(F.col("n_words") - (k - 1), F.lit(1))
 
-        def one(start: Column) -> Column:
-            known = F.array_distinct(F.transform(F.filter("hits", lambda x: x["place"].between(start, start + span - 1)), lambda x: F.struct(x["h"].alias("h"), x["weight"].alias("weight"))))
+        def one(start: Column, earlier: Column) -> Column:
+            first = F.get(earlier, start)
+            inside = F.slice("hits", first + 1, F.get(earlier, F.least(start + span, F.size(hs))) - first)
+            known = F.array_distinct(F.transform(inside, lambda x: F.struct(x["h"].alias("h"), x["weight"].alias("weight"))))
             every = F.slice(hs, start + 1, F.least(span, F.size(hs) - start))
             other = let(known, lambda kn: F.concat(kn, F.transform(F.array_except(every, F.transform(kn, lambda x: x["h"])), lambda h: F.struct(h.alias("h"), F.lit(1.0).alias("weight")))))
             return let(other, lambda own: F.struct(start.alias("start"), own.alias("own"), simhash(own).alias("hash")))
 
-        return F.transform("starts", one)
+        return let(_hits_before("hits", F.size(hs)), lambda earlier: F.transform("starts", lambda start: one(start, earlier)))
 
     # only documents with such windows are moved to them
     chosen = docs.withColumn("dk", key).join(broadcast_if_small(sized.select("dk").distinct(), 8), "dk", "left_semi")
