@@ -6,8 +6,6 @@ its counts scaled to the target's total so that both are smoothed alike. No docu
 counted it: its own counts are taken out of both models first. A document's score is its mean loss per word under the
 target model minus that under the background model: the smaller, the closer to the target. Words and bigrams are told apart by 64-bit hashes (bigrams by 53 bits at least).
 
-``count`` and ``score`` are the same over trigrams of the text's bytes; their table is bounded by 256^3.
-
 Defined results: null and empty texts have no tokens and null losses and score. Without target
 documents the target model is uniform. A document repeated in the labels counts once; repeated rows
 get equal results. Other columns are ignored. An empty table gives no rows.
@@ -22,83 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, broadcast_if_small, released, remembered, stage, words_of
+from .common import bounded_batches, broadcast_if_small, released, stage, words_of
 
 SMOOTHING = 8.0
-SIZE = 1 << 24
-
-
-def trigram_codes(text: str) -> np.ndarray:
-    """For each byte of the lower-cased text its code with the two before it (zeros before the start)."""
-    raw = np.frombuffer(b"\0\0" + text.lower().encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.int32)
-    return (raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]
-
-
-def count(docs: DataFrame) -> DataFrame:
-    """(code, n_all, n_target) over ``docs`` with columns text and is_target."""
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, sums = np.empty(0, np.int64), np.empty((2, 0), np.int64)
-        for batch in batches:
-            texts, target = batch.column("text").to_pylist(), batch.column("is_target").to_pylist()
-            for at in range(0, len(texts), 2000):
-                parts = [(trigram_codes(t), g) for t, g in zip(texts[at : at + 2000], target[at : at + 2000], strict=True) if t]
-                if not parts:
-                    continue
-                every = np.bincount(np.concatenate([c for c, _ in parts]), minlength=1)
-                good = np.bincount(np.concatenate([np.empty(0, np.int32), *[c for c, g in parts if g]]), minlength=len(every))
-                new = np.flatnonzero(every)
-                merged = np.union1d(codes, new)
-                grown = np.zeros((2, len(merged)), np.int64)
-                grown[:, np.searchsorted(merged, codes)] = sums
-                grown[0, np.searchsorted(merged, new)] += every[new]
-                grown[1, np.searchsorted(merged, new)] += good[new]
-                codes, sums = merged, grown
-        yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int32()), pa.array(sums[0]), pa.array(sums[1])], names=["code", "n_all", "n_target"])
-
-    each = docs.mapInArrow(tally, "code int, n_all bigint, n_target bigint")
-    return each.groupBy("code").agg(F.sum("n_all").alias("n_all"), F.sum("n_target").alias("n_target"))
-
-
-def losses(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """-log p(byte | two bytes before) for every trigram code, from (possibly scaled) counts."""
-    n3 = np.zeros(SIZE, dtype=np.float32)
-    n3[codes] = counts
-    n2 = n3.reshape(256, 65536).sum(axis=0, dtype=np.float64).reshape(256, 256)
-    n1 = n2.sum(axis=0)
-    p1 = (n1 + 1) / (n1.sum() + 256)
-    p2 = (n2 + SMOOTHING * p1[None, :]) / (n2.sum(axis=1, keepdims=True) + SMOOTHING)
-    n3 = n3.reshape(256, 256, 256)
-    context = n3.sum(axis=2, dtype=np.float64)
-    for a in range(256):  # a slice at a time keeps the peak near one table
-        n3[a] = -np.log((n3[a] + SMOOTHING * p2) / (context[a][:, None] + SMOOTHING))
-    return n3.reshape(-1)
-
-
-def score(docs: DataFrame, counted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_tokens, target_loss, background_loss, score) for every row of ``docs``."""
-    import hashlib
-
-    found = counted.toPandas().sort_values("code")  # at most 256^3 rows
-    codes, n_all, n_target = (found[c].to_numpy() for c in ("code", "n_all", "n_target"))
-    scale = n_target.sum() / max(1, n_all.sum())
-    name = hashlib.blake2b(codes.tobytes() + n_all.tobytes() + n_target.tobytes()).hexdigest()
-
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, background = remembered(f"lmscore {name}", lambda: (losses(codes, n_target), losses(codes, n_all * scale)))
-        for batch in batches:
-            n, t, b = [], [], []
-            for text in batch.column(1).to_pylist():
-                own = trigram_codes(text) if text else []
-                n.append(len(own))
-                t.append(float(target[own].mean(dtype=np.float64)) if len(own) else None)
-                b.append(float(background[own].mean(dtype=np.float64)) if len(own) else None)
-            diff = [x - y if x is not None else None for x, y in zip(t, b, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(t, pa.float64()), pa.array(b, pa.float64()), pa.array(diff, pa.float64())], names=[id_col, "n_tokens", "target_loss", "background_loss", "score"])
-
-    return docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).alias("text")).mapInArrow(rate, f"`{id_col}` bigint, n_tokens bigint, target_loss double, background_loss double, score double")
-
-
 HOT = 1 << 16  # a gram with a share of 1 / HOT of all words is kept out of the buckets
 BUCKETS, BUCKET_BYTES = 256, 4 << 20  # buckets at least, and text a bucket; never more sums leave than grams came
 MIX, FIRST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5851F42D4C957F2D)

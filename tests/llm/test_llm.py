@@ -445,45 +445,6 @@ def test_language_held_out_accuracy(spark):
     assert {(r.lang_pred, r.score) for r in hyperdim.identify(odd, protos).collect()} == {("und", 0.0)}
 
 
-def test_lm_losses_match_brute_force(spark):
-    texts = ["abcab cab", "abcabc", "zzz zq", None]
-    df = spark.createDataFrame([(i, t, i < 2) for i, t in enumerate(texts)], "doc_id bigint, text string, is_target boolean")
-    got = {r.doc_id: r for r in lmscore.score(df, lmscore.count(df)).collect()}
-
-    def model(rows, scale):
-        n3 = Counter()
-        for t in rows:
-            b = b"\0\0" + t.encode()
-            n3.update(b[i : i + 3] for i in range(len(b) - 2))
-        n3 = {g: n * scale for g, n in n3.items()}
-        n2, n1, ctx = Counter(), Counter(), Counter()
-        for g, n in n3.items():
-            n2[g[1:]] += n
-            n1[g[2]] += n
-            ctx[g[:2]] += n
-        total, of = sum(n1.values()), Counter()
-        for g, n in n2.items():
-            of[g[0]] += n
-
-        def loss(t):
-            b, out, m = b"\0\0" + t.encode(), [], lmscore.SMOOTHING
-            for i in range(len(b) - 2):
-                g = b[i : i + 3]
-                p1 = (n1[g[2]] + 1) / (total + 256)
-                p2 = (n2[g[1:]] + m * p1) / (of[g[1]] + m)
-                out.append(-np.log((n3.get(g, 0) + m * p2) / (ctx[g[:2]] + m)))
-            return np.mean(out)
-
-        return loss
-
-    size = lambda ts: sum(len(t) for t in ts)
-    target, every = texts[:2], texts[:3]
-    t, b = model(target, 1), model(every, size(target) / size(every))
-    for i in range(3):
-        assert got[i].score == pytest.approx(t(texts[i]) - b(texts[i]), abs=1e-4)
-    assert got[3].score is None
-
-
 @pytest.mark.parametrize("hot", [4, 1 << 16])
 def test_lm_word_scores_match_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(lmscore, "HOT", hot)
