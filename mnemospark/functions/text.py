@@ -6,7 +6,7 @@ import json
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,12 +31,24 @@ def content_hash(text: Column) -> Column:
     return F.sha2(normalised(text), 256)
 
 
+def acceptable(text: Column, tags: Column, most: int = 32, longest: int = 64) -> Column:
+    """Whether a row may be written: some text, at most ``most`` tags, each of 1 to ``longest`` characters; null tags are none."""
+    own = F.coalesce(tags, F.array().cast("array<string>"))
+    return F.coalesce(F.length(normalised(text)) > 0, F.lit(False)) & (F.size(own) <= most) & F.forall(own, lambda t: F.coalesce(F.length(t).between(1, longest), F.lit(False)))
+
+
 def token_estimate(text: Column) -> Column:
     """2 + max(ceil(ascii / 3) + other characters, words)."""
     other = F.length(F.regexp_replace(text, "[\\x00-\\x7F]", ""))
     return F.lit(2) + F.greatest(F.ceil((F.length(text) - other) / 3) + other, F.regexp_count(text, F.lit("\\S+")))
 
 
+def oversize(rows: DataFrame, text: str = "text", ceiling: int = 512) -> DataFrame:
+    """The rows that an embedder of this ceiling would refuse, with chars, estimate, ceiling, max_chars (what ASCII would fit) and their whole text."""
+    sized = rows.withColumn("estimate", token_estimate(F.col(text)).cast("bigint")).filter(F.col("estimate") > ceiling)
+    return sized.withColumns({"chars": F.length(text).cast("bigint"), "ceiling": F.lit(ceiling), "max_chars": F.lit((ceiling - 2) * 3)})
+
+
 def json_cost(*columns: Column | str) -> Column:
     """ceil(characters / 4) of the row's JSON."""
     return F.ceil(F.length(F.to_json(F.struct(*columns))) / 4)
@@ -50,8 +62,15 @@ def language_of(path: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def canonical_json(payload: pd.Series) -> pd.Series:
-    """Compact JSON with sorted keys."""
-    return payload.map(lambda p: None if p is None else json.dumps(json.loads(p), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+    """Compact JSON with sorted keys; null for a payload that is no JSON."""
+
+    def one(p: str | None) -> str | None:
+        try:
+            return None if p is None else json.dumps(json.loads(p), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        except ValueError:
+            return None
+
+    return payload.map(one)
 
 
 def fact_hash(kind: Column, payload: Column) -> Column:

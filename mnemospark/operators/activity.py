@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,19 @@ def pending_dissents(facts: DataFrame, dissents: DataFrame) -> DataFrame:
     return facts.select("id").join(n.withColumnRenamed("fact_id", "id"), "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("bigint").alias("dissent_count"))
 
 
+def payload_text(payload: str, *keys: str) -> Column:
+    """The first of the JSON object's members of these names that is a string; null where none is, or where there is no object."""
+    parsed = F.try_parse_json(payload)
+    own = [F.try_variant_get(parsed, f"$['{k}']", "variant") for k in keys]
+    return F.coalesce(*[F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")) for v in own])
+
+
+def labelled(events: DataFrame, payload: str = "payload") -> DataFrame:
+    """``events`` with host and sub-category as the payload names them: host, else machine, else (unknown); sub_category, else service, else type, else nothing."""
+    host, sub = payload_text(payload, "host", "machine"), payload_text(payload, "sub_category", "service", "type")
+    return events.withColumns({"host": F.coalesce(host, F.lit("(unknown)")), "sub": F.coalesce(sub, F.lit(""))})
+
+
 def _cells(events: DataFrame) -> DataFrame:
     return events.withColumn("day", F.to_date("created_at")).withColumn("host", F.coalesce("host", F.lit("(unknown)")))
 

@@ -51,12 +51,12 @@ def candidate_lists(queries: DataFrame, knowledge: DataFrame, facts: DataFrame,
     return stage(out, "lists"), reps
 
 
-def reranked(lists: DataFrame, queries: DataFrame, knowledge: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The vector list's first ``window`` ranks in the order of the pair scorer; every list's order stays otherwise."""
+def reranked(lists: DataFrame, queries: DataFrame, knowledge: DataFrame, window: int = WINDOW, scorer=None) -> DataFrame:
+    """The vector list's first ``window`` ranks in the order of the pair scorer (``models.pair_scorer``, or the offline one); every list's order stays otherwise."""
     dense = lists.filter("list = 'vector'")
     wanted = broadcast_if_small(dense.select("id").distinct(), 64)
     texts = knowledge.select("id", "text").join(wanted, "id", "left_semi")
-    pairs = dense.join(texts, "id").join(queries.select("query_id", "query"), "query_id").withColumn("pair", F.round(rt.pair_score("query", "text"), 9))
+    pairs = dense.join(texts, "id").join(queries.select("query_id", "query"), "query_id").withColumn("pair", F.round((scorer or rt.pair_score)("query", "text"), 9))
     moved = rt.rerank(pairs, window).select("query_id", "list", "kind", "id", F.col("new_rank").alias("rank"), "raw")
     return lists.filter("list <> 'vector'").unionByName(moved)
 
@@ -76,9 +76,9 @@ def fused(lists: DataFrame, reps: DataFrame, extractor: Column | None = None) ->
     return each.groupBy("query_id", "kind", "id").agg(F.round(F.sum("part"), 9).alias("fused"), F.max("raw").alias("raw"), F.min("place").alias("first"))
 
 
-def search(queries: DataFrame, knowledge: DataFrame, facts: DataFrame, events: DataFrame, k: int = 10, wanted: Column | None = None, extractor: Column | None = None, facts_wanted: Column | None = None, events_wanted: Column | None = None) -> DataFrame:
+def search(queries: DataFrame, knowledge: DataFrame, facts: DataFrame, events: DataFrame, k: int = 10, wanted: Column | None = None, extractor: Column | None = None, facts_wanted: Column | None = None, events_wanted: Column | None = None, scorer=None) -> DataFrame:
     """(query_id, kind, id, rank, fused, raw, copies): the k best of each query over all lists, of the rows that the conditions want."""
     lists, reps = candidate_lists(queries, knowledge, facts, events, 2 * k, wanted, facts_wanted, events_wanted)
-    found = fused(reranked(lists, queries, knowledge), reps, extractor)
+    found = fused(reranked(lists, queries, knowledge, scorer=scorer), reps, extractor)
     best = rk.top_k(found, k, [F.desc("fused"), F.col("first"), F.col("id")], ["query_id"]).withColumnRenamed("rn", "rank")
     return best.join(reps.select("id", "copies"), "id", "left").select("query_id", "kind", "id", "rank", "fused", "raw", F.coalesce("copies", F.lit(0)).alias("copies"))

@@ -88,8 +88,9 @@ def window_status(since: str, until: str, max_days: int = 30) -> Column:
 
 
 def query_status(text: str, top_k: str, max_bytes: int = 1024, max_k: int = 50) -> Column:
-    """ok, empty, too_long or bad_top_k for each query row."""
-    return F.when(F.trim(text) == "", "empty").when(F.octet_length(text) > max_bytes, "too_long").when(~F.col(top_k).between(1, max_k), "bad_top_k").otherwise("ok")
+    """ok, empty, too_long or bad_top_k for each query row; a text of white space of any kind is empty, as is null."""
+    blank = ~F.col(text).rlike(r"[^\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+    return F.when(F.coalesce(blank, F.lit(True)), "empty").when(F.octet_length(text) > max_bytes, "too_long").when(~F.col(top_k).between(1, max_k), "bad_top_k").otherwise("ok")
 
 
 def may_curate(caller: str, owner: str, manages: str) -> Column:

@@ -145,7 +145,12 @@ def pair_score(query: Column | str, text: Column | str) -> Column:
 
 
 def rerank(hits: DataFrame, window: int = 50) -> DataFrame:
-    """The first ``window`` ranks of each query in order of ``pair`` (ties by rank); the rest keep theirs."""
-    first = F.when(F.col("rank") <= window, 0).otherwise(1)
-    order = [first, F.when(first == 0, -F.col("pair")), F.col("rank")]
-    return hits.withColumn("new_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    """The first ``window`` ranks of each query in order of ``pair`` (ties by rank); the rest keep theirs.
+
+    A query one of whose pairs in the window has no score keeps its order: a scorer that failed moves nothing.
+    """
+    inside = F.col("rank") <= window
+    whole = F.min(F.when(inside, F.col("pair").isNotNull())).over(Window.partitionBy("query_id"))
+    marked = hits.withColumn("moves", inside & whole)
+    order = [F.when(inside, 0).otherwise(1), F.when(F.col("moves"), -F.col("pair")), F.col("rank")]
+    return marked.withColumn("new_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).drop("moves")

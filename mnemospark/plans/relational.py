@@ -152,9 +152,11 @@ def window_status(spark, sf):
     return r.select("id", pr.window_status("a", "b").alias("status"))
 
 
-@query("p9_query_status", "SELECT doc_id, CASE WHEN trim(text) = '' THEN 'empty' WHEN strlen(text) > 1024 THEN 'too_long' WHEN doc_id % 60 NOT BETWEEN 1 AND 50 THEN 'bad_top_k' ELSE 'ok' END AS status FROM documents", model=False)
+@query("p9_query_status", "SELECT doc_id, CASE WHEN trim(text) = '' OR doc_id % 11 = 0 THEN 'empty' WHEN strlen(text) > 1024 THEN 'too_long' WHEN doc_id % 60 NOT BETWEEN 1 AND 50 THEN 'bad_top_k' ELSE 'ok' END AS status FROM documents", model=False)
 def query_status(spark, sf):
-    return table(spark, sf, "documents").withColumn("k", F.col("doc_id") % 60).select("doc_id", pr.query_status("text", "k").alias("status"))
+    """Texts and top-k values; every eleventh text is white space of several kinds."""
+    text = F.when(F.col("doc_id") % 11 == 0, "\n\t \u00a0\u3000").otherwise(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", text.alias("text"), (F.col("doc_id") % 60).alias("k")).select("doc_id", pr.query_status("text", "k").alias("status"))
 
 
 @query("p10_may_curate", "SELECT id, (seq % 9 = 0) OR coalesce(author_id = 'a' || seq % 4, false) AS allowed FROM knowledge")
@@ -252,6 +254,18 @@ def cluster_members(spark, sf):
     return act.cluster_members(events(spark, sf))
 
 
+@query("a4_payload_labels", """, p AS (SELECT category, created_at, k, seq FROM ev)
+SELECT CASE WHEN seq % 5 IN (0, 1) THEN 'h' || k % 8 ELSE '(unknown)' END AS host, category, CAST(created_at AS DATE) AS day, CASE WHEN seq % 5 = 0 THEN 's' || k % 5 WHEN seq % 5 = 1 THEN 'x' WHEN seq % 5 = 2 THEN 'y' ELSE '' END AS sub, count(*) AS total FROM p GROUP BY ALL""")
+def payload_labels(spark, sf):
+    """Events whose payloads name host and sub-category by different members, by ones that are no strings, or not at all."""
+    k, s = F.col("k"), F.col("seq")
+    host, service = F.concat(F.lit('"h'), k % 8, F.lit('"')), F.concat(F.lit('"s'), k % 5, F.lit('"'))
+    payload = F.when(s % 5 == 0, F.concat(F.lit('{"host":'), host, F.lit(',"machine":"m","service":'), service, F.lit(',"type":"z"}'))).when(s % 5 == 1, F.concat(F.lit('{"host":7,"machine":'), host, F.lit(',"sub_category":"x","service":'), service, F.lit("}")))
+    payload = payload.when(s % 5 == 2, '{"host":null,"type":"y","service":["s"]}').when(s % 5 == 3, "[1]").otherwise("no json")
+    e = act.labelled(events(spark, sf).withColumn("payload", payload))
+    return e.groupBy("host", "category", F.to_date("created_at").alias("day"), "sub").agg(F.count(F.lit(1)).alias("total"))
+
+
 @query("a5_headlines", _CLUSTERS + "SELECT host, category, day, host || '/' || category || ' ' || strftime(first_at, '%H:%M') || '–' || strftime(last_at, '%H:%M') || ' — ' || total || ' events: ' || top AS headline FROM clusters JOIN top USING (host, category, day) WHERE total >= 2")
 def headlines(spark, sf):
     return act.headlines(act.daily_clusters(events(spark, sf)), 2)
@@ -322,8 +336,7 @@ def content_hash(spark, sf):
     text = F.when(s % 3 == 0, F.concat("text", F.lit("  \r\n\n\n\n"))).when(s % 3 == 1, F.concat(F.lit("\n\n"), F.regexp_replace("text", "\n", " \t\r\n"))).otherwise(F.col("text"))
     many, long = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: i.cast("string")), F.array_append("tags", F.lit("x" * 65))
     k = knowledge(spark, sf).select("id", text.alias("text"), F.when(s % 4 == 0, many).when(s % 4 == 1, long).otherwise(F.col("tags")).alias("tags"))
-    ok = (F.length("text") > 0) & (F.size("tags") <= 32) & F.forall("tags", lambda t: F.length(t).between(1, 64))
-    return k.select("id", tx.content_hash(F.col("text")).alias("content_hash"), ok.alias("accepted"))
+    return k.select("id", tx.content_hash(F.col("text")).alias("content_hash"), tx.acceptable(F.col("text"), F.col("tags")).alias("accepted"))
 
 
 @query("f3_fact_hash", """SELECT id, sha256(type || chr(0) || CASE type WHEN 'TaskFact' THEN '{"status":' || json_extract(payload, '$.status') || ',"task_id":' || json_extract(payload, '$.task_id') || '}' ELSE payload END) AS fact_hash FROM facts""")
@@ -336,9 +349,9 @@ def token_estimate(spark, sf):
     return knowledge(spark, sf).select("id", tx.token_estimate(F.col("text")).cast("bigint").alias("tokens"))
 
 
-@query("f6_oversize_log", r"SELECT id, CAST(length(text) AS BIGINT) AS chars FROM knowledge WHERE 2 + greatest(ceil(length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) / 3.0) + length(regexp_replace(text, '[\x00-\x7F]', '', 'g')), len(regexp_extract_all(text, '\S+'))) > 512")
+@query("f6_oversize_log", r"SELECT id, author_id, chars, estimate, 512 AS ceiling, 1530 AS max_chars, text FROM (SELECT id, author_id, text, CAST(length(text) AS BIGINT) AS chars, CAST(2 + greatest(ceil(length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) / 3.0) + length(regexp_replace(text, '[\x00-\x7F]', '', 'g')), len(regexp_extract_all(text, '\S+'))) AS BIGINT) AS estimate FROM knowledge) WHERE estimate > 512")
 def oversize_log(spark, sf):
-    return knowledge(spark, sf).filter(tx.token_estimate(F.col("text")) > 512).select("id", F.length("text").cast("bigint").alias("chars"))
+    return tx.oversize(knowledge(spark, sf).select("id", "author_id", "text"))
 
 
 _EXTENSIONS = ("md", "markdown", "mdx", "rs", "PY", "pyi", "sh", "bash", "zsh", "Toml", "txt", "xyz")
