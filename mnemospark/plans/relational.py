@@ -9,9 +9,11 @@ from ..operators import activity as act
 from ..operators import context as cx
 from ..operators import predicates as pr
 from ..operators import ranking as rk
+from ..operators import sketches as sk
 from ..operators import timeline as tl
 from ..operators import validation as va
 from ..sources import files
+from ..sources.staging import stage
 from .adapters import AS_OF, MODEL, as_of, authors, dissents, events, facts, knowledge, table, with_vectors
 
 QUERIES: dict = {}
@@ -288,6 +290,19 @@ def latency_profile(spark, sf):
     return act.latency_profile(events(spark, sf), "value", ["category"])
 
 
+@query("a11_merged_profile", """, days AS (SELECT * FROM ev WHERE created_at >= TIMESTAMP '2024-01-05' AND created_at < TIMESTAMP '2024-01-19'), whole AS (SELECT category, count(*) AS n, min(value) AS lo, max(value) AS hi, round(avg(value), 6) AS mean FROM days GROUP BY 1)
+SELECT category, n, lo, hi, mean, true AS p50_close, true AS p95_close, true AS p99_close FROM whole""")
+def merged_profile(spark, sf):
+    """Two weeks' profile from the days' sketches; whether each quantile's exact rank is within two hundredths of the one asked for."""
+    e = events(spark, sf)
+    span = (F.col("day") >= F.lit("2024-01-05").cast("date")) & (F.col("day") < F.lit("2024-01-19").cast("date"))
+    days = stage(sk.daily(e, "created_at", "value", "task_id", ["category"]), "days")
+    p = sk.profile(sk.merged(days.filter(span), ["category"]), ["category"])
+    ranks = e.filter(pr.within("created_at", "2024-01-05") & (F.col("created_at") < "2024-01-19")).join(F.broadcast(p.select("category", "p50", "p95", "p99")), "category")
+    close = [((F.avg((F.col("value") < F.col(c)).cast("int")) <= q + 0.02) & (F.avg((F.col("value") <= F.col(c)).cast("int")) >= q - 0.02)).alias(f"{c}_close") for c, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
+    return p.select("category", "n", "lo", "hi", F.round("mean", 6).alias("mean")).join(ranks.groupBy("category").agg(*close), "category")
+
+
 @query("a12_activity_rates", "SELECT time_bucket(INTERVAL 5 MINUTE, created_at) AS window_start, author_id, category, round(count(*) / 5.0, 6) AS per_minute FROM ev GROUP BY ALL")
 def activity_rates(spark, sf):
     return act.activity_rates(events(spark, sf), 5, ["author_id", "category"])
@@ -408,6 +423,16 @@ def rejections(spark, sf):
     return va.rejections_by_rule(va.violations(submissions(spark, sf), AS_OF))
 
 
+@query("q3_approximate_census", "SELECT source, count(*) AS points, true AS close FROM knowledge GROUP BY 1")
+def approximate_census(spark, sf):
+    """Distinct contents by daily sketches, merged over all days; whether the estimate is within a tenth of the exact number."""
+    k = knowledge(spark, sf)
+    days = sk.daily(k.withColumn("size", F.length("text")), "created_at", "size", "content_hash", ["source"])
+    found = sk.profile(sk.merged(days, ["source"]), ["source"]).select("source", F.col("n").alias("points"), "uniques")
+    exact = k.groupBy("source", "content_hash").agg(F.lit(1).alias("one")).groupBy("source").agg(F.count("content_hash").alias("exact"))
+    return found.join(exact, "source").select("source", "points", (F.abs(F.col("uniques") - F.col("exact")) <= F.col("exact") * 0.1).alias("close"))
+
+
 @query("q3_duplicate_census", "SELECT count(*) AS points, count(DISTINCT content_hash) AS uniques, (SELECT count(*) FROM (SELECT content_hash FROM knowledge GROUP BY 1 HAVING count(*) > 1)) AS groups FROM knowledge")
 def duplicate_census(spark, sf):
     g = knowledge(spark, sf).groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"))
