@@ -74,4 +74,49 @@ SELECT conv_id, speaker, part, min(turn) AS first_turn, count(*) AS n_messages,
 FROM placed GROUP BY conv_id, part, speaker
 """
 
-ORACLES = {"op2_quality": QUALITY, "op4_near_duplicates": NEAR_DUPLICATES, "op10_chat": CHAT}
+#: Unsigned CRC32 of the UTF-8 bytes of a text, a byte and then a bit at a time.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, octet_length(encode({text}))), lambda b: CAST('0x' || substr(hex(encode({text})), 2 * b + 1, 2) AS BIGINT))),
+  lambda crc, b: list_reduce(list_prepend(xor(crc, b), [CAST(i AS BIGINT) for i in range(8)]), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+TRIE = rf"""
+WITH own AS (
+  SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i
+  FROM (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), convs AS (SELECT c, {_CRC32.format(text="CAST(c AS VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT c FROM own)),
+heads AS (SELECT convs.c, own.i, role, text FROM convs JOIN own ON own.c = convs.c - convs.c % 20 AND own.i <= convs.h),
+taken AS (SELECT convs.c, h, count(heads.i) AS m FROM convs LEFT JOIN heads ON heads.c = convs.c GROUP BY 1, 2),
+turns AS (SELECT c, i AS d, role, text FROM heads UNION ALL SELECT own.c, own.i - h + m, role, text FROM own JOIN taken ON taken.c = own.c WHERE own.i > h),
+paths AS (
+  SELECT c, d, sha256(string_agg(length(role) || ':' || length(text) || ':' || role || text, '') OVER (PARTITION BY c ORDER BY d)) AS node, len({_WORDS.format(text="text")}) AS words FROM turns
+  UNION ALL SELECT c, 0, '', 0 FROM convs
+), nodes AS (SELECT node, d, min(c) AS c, count(*) AS n, any_value(words) AS words FROM paths GROUP BY 1, 2),
+ups AS (SELECT v.node, v.d, above.c AS parent, above.node AS up FROM nodes v JOIN paths q ON q.c = v.c AND q.d = v.d - 1 JOIN nodes above ON above.node = q.node AND above.d = q.d),
+below AS (SELECT up AS node, d - 1 AS d, count(*) AS children FROM ups GROUP BY 1, 2),
+ends AS (SELECT node, d, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM (SELECT *, max(d) OVER (PARTITION BY c) AS last FROM paths) WHERE d = last GROUP BY 1, 2),
+sums AS (
+  SELECT q.node, q.d, count(*) FILTER (below.children IS NULL) AS leaves, sum((v.n - 1) * v.words) AS saved
+  FROM nodes v LEFT JOIN below ON below.node = v.node AND below.d = v.d JOIN paths q ON q.c = v.c AND q.d <= v.d GROUP BY 1, 2
+)
+SELECT v.c AS conv_id, CAST(v.d AS BIGINT) AS depth, ups.parent AS parent_conv_id, v.n AS n_convs, coalesce(children, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes v LEFT JOIN ups ON ups.node = v.node AND ups.d = v.d LEFT JOIN below ON below.node = v.node AND below.d = v.d LEFT JOIN ends ON ends.node = v.node AND ends.d = v.d JOIN sums ON sums.node = v.node AND sums.d = v.d
+"""
+
+SPELLING = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), each AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY 1, 2),
+drawn AS (SELECT run, n, {_CRC32.format(text="(doc_id || ':' || run)")} AS h FROM each),
+counted AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM drawn)
+  WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2
+), cut AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM counted)),
+pairs AS (
+  SELECT a.word, b.word AS near FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, cut.word FROM counted c JOIN cut ON cut.rest = c.word UNION SELECT cut.word, c.word FROM counted c JOIN cut ON cut.rest = c.word
+), best AS (SELECT p.word, count(*) AS n_near, arg_min(near, (-m.n, near)) AS near, max(m.n) AS most FROM pairs p JOIN counted m ON m.word = near GROUP BY 1),
+formed AS (SELECT c.word, c.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * c.n THEN near END AS form, CASE WHEN most >= 10 * c.n THEN most END AS form_n FROM counted c LEFT JOIN best ON best.word = c.word),
+chain AS (SELECT word, word AS spot, 0 AS step FROM formed UNION ALL SELECT chain.word, form, step + 1 FROM chain JOIN formed ON formed.word = spot WHERE form IS NOT NULL)
+SELECT formed.word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, arg_max(spot, step) AS root FROM chain GROUP BY 1) r ON r.word = formed.word
+"""
+
+ORACLES = {"op2_quality": QUALITY, "op4_near_duplicates": NEAR_DUPLICATES, "op10_chat": CHAT, "op11_trie": TRIE, "op12_spelling": SPELLING}

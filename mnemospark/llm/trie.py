@@ -345,7 +345,7 @@ def trie(turns: DataFrame, convs: DataFrame, shards: int | None = None, block: i
     reduced = parts.groupBy("node").agg(least, F.max("depth").alias("depth"), F.max("above").alias("above"), *[F.sum(c).alias(c) for c in ("n", "children", "leaves", "words", "owned")])
     saved = F.col("words") - F.col("n") * F.col("above") - (F.col("owned") - F.col("m.own_owned") + F.col("m.own_words") - F.col("above"))
     spine = reduced.join(F.broadcast(below), "node", "left").join(broadcast_if_small(_digest(parts), 96), "node").select("m.conv_id", "depth", F.col("m.parent").alias("parent_conv_id"), F.col("n").alias("n_convs"), (F.col("children") + F.coalesce("more", F.lit(0))).alias("n_children"), F.col("leaves").alias("n_leaves"), saved.alias("saved_tokens"), "ends_sha256")
-    return done.unionByName(spine)
+    return done.unionByName(spine).withColumn("depth", F.col("depth").cast("bigint"))
 
 
 def rebuilt(conversations: DataFrame, heads: int = 4, family: int = 20) -> tuple[DataFrame, DataFrame]:
