@@ -7,15 +7,14 @@ timestamps or hosts, and numbers at any depth, are checked for every type.
 
 from __future__ import annotations
 
-import json
-import math
 from collections.abc import Callable, Iterable
-from datetime import date, datetime
+from datetime import date
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import shared_folder, stage, unstage
+
 # Enumerations, shapes and bounds of the payload rules.
 STATUSES = ("planned", "in_progress", "blocked", "done", "cancelled")
 SERVICE_EVENTS = ("up", "down", "restart", "version_changed")
@@ -26,6 +25,8 @@ ENV_VALUE_BYTES = 16 * 1024
 YEARS = 10
 TIMESTAMP_NAMES, TIMESTAMP_ENDS = ("at", "time", "ts", "timestamp"), ("_at", "_time", "_ts")
 HOST_NAMES = ("hostname", "host")
+HOST = r"\A[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)*\z"
+RFC3339 = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?(?:[Zz]|[+-][0-9]{2}:[0-9]{2})\z"
 
 Rule = tuple[str, str, Column]
 
@@ -91,52 +92,56 @@ def register(kind: str, rules: Callable[[], Iterable[Rule]]) -> None:
     RULES[kind] = rules
 
 
-def _host_ok(value) -> bool:
-    ok = set("abcdefghijklmnopqrstuvwxyz0123456789")
-    labels = value.lower().split(".") if isinstance(value, str) else [""]
-    return all(0 < len(x) < 64 and x[0] in ok and x[-1] in ok and set(x) <= ok | {"-"} for x in labels)
-
-
-def _time_ok(value: str, now: float) -> bool:
-    try:
-        at = datetime.fromisoformat(value)
-    except ValueError:
-        return False
-    return at.tzinfo is not None and "T" in value.upper() and abs(at.timestamp() - now) <= YEARS * 365 * 86400
-
-
-def nested(as_of: str):
-    """Column function: (field, rule) of broken checks on fields at any depth of a JSON payload."""
-    now = datetime.fromisoformat(as_of + "+00:00").timestamp()
-
-    def walk(value, path: str, out: list) -> None:
-        members = value.items() if isinstance(value, dict) else ((None, x) for x in value)
-        for i, (name, x) in enumerate(members):
-            here = f"{path}.{name}" if name is not None else f"{path}[{i}]"
-            if name in HOST_NAMES and not _host_ok(x):
-                out.append((here, "hostname_shape"))
-            if name is not None and (name in TIMESTAMP_NAMES or name.endswith(TIMESTAMP_ENDS)) and isinstance(x, str) and not _time_ok(x, now):
-                out.append((here, "timestamp_range"))
-            if isinstance(x, float) and not math.isfinite(x):
-                out.append((here, "numeric_range"))
-            if isinstance(x, (dict, list)):
-                walk(x, here, out)
-
-    @F.pandas_udf("array<struct<field:string,rule:string>>")
-    def checked(payload: pd.Series) -> pd.Series:
-        found = []
-        for p in payload:
-            out: list[tuple[str, str]] = []
-            try:
-                top = json.loads(p) if p is not None else None
-            except ValueError:
-                top = None
-            if isinstance(top, (dict, list)):
-                walk(top, "payload", out)
-            found.append([{"field": a, "rule": b} for a, b in out])
-        return pd.Series(found)
-
-    return checked
+def _kind_of(value: str) -> Column:
+    return F.schema_of_variant(value)
+
+
+def _holds_more(value: str) -> Column:
+    return F.coalesce(_kind_of(value).startswith("OBJECT") | _kind_of(value).startswith("ARRAY"), F.lit(False))
+
+
+def _broken_checks(as_of: str) -> Column:
+    """Names of the checks that a field (key, value) at any depth breaks."""
+    text = F.when(_kind_of("value") == "STRING", F.try_variant_get("value", "$", "string"))
+    number = F.when(_kind_of("value").isin("DOUBLE", "FLOAT"), F.try_variant_get("value", "$", "double"))
+    host, time = F.col("key").isin(*HOST_NAMES), F.col("key").isin(*TIMESTAMP_NAMES)
+    for end in TIMESTAMP_ENDS:
+        time = time | F.endswith("key", F.lit(end))
+    at = F.when(text.rlike(RFC3339), F.try_to_timestamp(F.upper(text)))
+    near = F.abs(F.unix_seconds(at) - F.unix_seconds(F.lit(f"{as_of}+00:00").cast("timestamp"))) <= YEARS * 365 * 86400
+    checks = (
+        ("hostname_shape", host & ~F.coalesce(text.rlike(HOST), F.lit(False))),
+        ("timestamp_range", time & text.isNotNull() & ~F.coalesce(near, F.lit(False))),
+        ("numeric_range", F.isnan(number) | F.abs(number).isin(float("inf"))),
+    )
+    return F.array_compact(F.array(*[F.when(bad, F.lit(rule)) for rule, bad in checks]))
+
+
+def nested(rows: DataFrame, as_of: str) -> DataFrame:
+    """(id, field, rule) of the checks that fields at any depth of rows (id, v, a variant) break.
+
+    Payloads are opened level by level: objects and arrays inside others are staged and opened next, until none is left,
+    so there is one job for each level of the deepest payload and no row is parsed in Python. What the levels below the
+    first find is appended to one table, so that the plan does not grow with the depth.
+    """
+    spark = rows.sparkSession
+    level, found, deeper = rows.filter(_holds_more("v")).select("id", F.lit("payload").alias("path"), "v"), None, None
+    while True:
+        opened = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+        step = F.when(F.col("key").isNull(), F.concat(F.lit("["), "pos", F.lit("]"))).otherwise(F.concat(F.lit("."), "key"))
+        fields = opened.select("id", F.concat("path", step).alias("field"), "key", "value")
+        broken = fields.select("id", "field", F.explode(_broken_checks(as_of)).alias("rule"))
+        if found is None:
+            found = broken
+        else:
+            deeper = deeper or f"{shared_folder(spark)}/deeper"
+            broken.write.mode("append").parquet(deeper)
+        done, level = level, stage(fields.filter(_holds_more("value")).select("id", F.col("field").alias("path"), F.col("value").alias("v")), "level")
+        if deeper:  # the first level is no snapshot
+            unstage(done)
+        if level.isEmpty():
+            unstage(level)
+            return found.unionByName(spark.read.schema(found.schema).parquet(deeper)) if deeper else found
 
 
 def violations(rows: DataFrame, as_of: str | None = None) -> DataFrame:
@@ -154,8 +159,8 @@ def violations(rows: DataFrame, as_of: str | None = None) -> DataFrame:
     broken.append(F.when(~F.col("object"), F.struct(F.lit("payload").alias("field"), F.lit("type").alias("rule"))))
     broken.append(F.when(~F.col("type").isin(*RULES), F.struct(F.lit("type").alias("field"), F.lit("unknown").alias("rule"))))
     shaped = rows.withColumn("object", F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)))
-    every = F.concat(F.array_compact(F.array(*broken)), nested(as_of or f"{date.today()} 00:00:00")(F.col("payload")))
-    return shaped.select("id", F.explode(every).alias("b")).select("id", "b.field", "b.rule")
+    top = shaped.select("id", F.explode(F.array_compact(F.array(*broken))).alias("b")).select("id", "b.field", "b.rule")
+    return top.unionByName(nested(shaped.select("id", "v"), as_of or f"{date.today()} 00:00:00"))
 
 
 def rejections_by_rule(found: DataFrame) -> DataFrame:
