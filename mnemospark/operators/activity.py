@@ -5,9 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .predicates import keyset_after
 
-def author_rollup(authors: DataFrame, facts: DataFrame, events: DataFrame, knowledge: DataFrame) -> DataFrame:
-    """Live facts, events, live knowledge and authored soft deletes of each author, zero-filled."""
+
+def author_rollup(authors: DataFrame, facts: DataFrame, events: DataFrame, knowledge: DataFrame, since: str | None = None, named: str | None = None) -> DataFrame:
+    """Live facts, events, live knowledge and authored soft deletes of each author, zero-filled.
+
+    Only of authors last seen at ``since`` or later, and of those called ``named``, where these are given. Rows come in no order:
+    ``author_page`` gives them newest first.
+    """
+    if since is not None:
+        authors = authors.filter(F.col("last_seen_at") >= F.lit(since).cast("timestamp"))
+    if named is not None:
+        authors = authors.filter(F.col("agent_name") == named)
 
     def per(df: DataFrame, author: str, name: str) -> DataFrame:
         return df.groupBy(F.col(author).alias("id")).agg(F.count(F.lit(1)).alias(name))
@@ -23,6 +33,12 @@ def author_rollup(authors: DataFrame, facts: DataFrame, events: DataFrame, knowl
     return out.fillna(0, ["fact_count", "event_count", "knowledge_count", "soft_deletes"])
 
 
+def author_page(authors: DataFrame, facts: DataFrame, events: DataFrame, knowledge: DataFrame, limit: int = 100, cursor: tuple | None = None, since: str | None = None, named: str | None = None) -> DataFrame:
+    """``author_rollup`` of one page, last seen first (ties: largest id first), after ``cursor`` (last_seen_at, id of the page before)."""
+    rows = author_rollup(authors, facts, events, knowledge, since, named)
+    return keyset_after(rows, "last_seen_at", "id", cursor, limit)
+
+
 def author_inventory(authors: DataFrame, facts: DataFrame, events: DataFrame, knowledge: DataFrame, contains: str | None = None) -> DataFrame:
     """Rows owned in any state, whether the author may be removed, and whether its name is shared."""
     owned = facts.select("author_id").unionByName(events.select("author_id")).unionByName(knowledge.select("author_id")).groupBy("author_id").agg(F.count(F.lit(1)).alias("owned"))

@@ -21,7 +21,8 @@ def across_sections(items: DataFrame) -> DataFrame:
 def with_summaries(items: DataFrame, summaries: DataFrame, budget: int) -> DataFrame:
     """Queries whose events cost more than half the budget get their days' summaries (host, category, day, id, cost) in their place.
 
-    A summary takes the best score of the events that it stands for; events without a summary stay.
+    A summary takes the best score of the events that it stands for; events without a summary stay. ``kind`` tells
+    the two apart: raw or summary.
     """
     events = items.filter("section = 'event'")
     heavy = events.groupBy("query_id").agg(F.sum("cost").alias("c")).filter(F.col("c") > budget / 2).select("query_id")
@@ -33,7 +34,23 @@ def with_summaries(items: DataFrame, summaries: DataFrame, budget: int) -> DataF
     made = swapped.groupBy("query_id", *cell, "summary_id", "summary_cost").agg(F.max("score").alias("score"))
     none = F.lit(None).cast("string")
     new = made.select("query_id", F.lit("event").alias("section"), F.col("summary_id").alias("id"), "score", none.alias("repo"), none.alias("file"), *cell, F.col("summary_cost").alias("cost"))
-    return rest.unionByName(new)
+    return rest.withColumn("kind", F.lit("raw")).unionByName(new.withColumn("kind", F.lit("summary")))
+
+
+def section_stats(items: DataFrame, kept: DataFrame) -> DataFrame:
+    """(query_id, section, candidates, count, tokens_spent, source, status) of all three sections of each query that has an item.
+
+    ``items`` as ``with_summaries`` gives them, ``kept`` those of them that the budget left. ``source`` is summary where
+    summaries stand for events; ``status`` is empty for a section that no search found anything for, cut where nothing of it fits,
+    else ok.
+    """
+    keys = ["query_id", "section"]
+    had = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("candidates"), F.bool_or(F.col("kind") == "summary").alias("by_day"))
+    left = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.sum("cost").alias("tokens_spent"))
+    every = items.select("query_id").distinct().withColumn("section", F.explode(F.array(*map(F.lit, SECTIONS))))
+    both = every.join(had, keys, "left").join(left, keys, "left").fillna(0, ["candidates", "count", "tokens_spent"])
+    status = F.when(F.col("candidates") == 0, "empty").when(F.col("count") == 0, "cut").otherwise("ok")
+    return both.select(*keys, "candidates", "count", F.col("tokens_spent").cast("bigint").alias("tokens_spent"), F.when(F.col("by_day"), "summary").otherwise("raw").alias("source"), status.alias("status"))
 
 
 def allocate(items: DataFrame, budget: int) -> DataFrame:

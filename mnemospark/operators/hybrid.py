@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import broadcast_if_small, stage
@@ -82,3 +82,29 @@ def search(queries: DataFrame, knowledge: DataFrame, facts: DataFrame, events: D
     found = fused(reranked(lists, queries, knowledge, scorer=scorer), reps, extractor)
     best = rk.top_k(found, k, [F.desc("fused"), F.col("first"), F.col("id")], ["query_id"]).withColumnRenamed("rn", "rank")
     return best.join(reps.select("id", "copies"), "id", "left").select("query_id", "kind", "id", "rank", "fused", "raw", F.coalesce("copies", F.lit(0)).alias("copies"))
+
+
+def source_lists(queries: DataFrame, knowledge: DataFrame, facts: DataFrame, events: DataFrame, k: int = 10, wanted: Column | None = None, facts_wanted: Column | None = None, events_wanted: Column | None = None) -> DataFrame:
+    """(query_id, list, kind, id, rank, norm, weight): what each source offers a context bundle, k rows a source.
+
+    Three times k rows are fetched, one per content, and their scores divided by the query's best before the list is cut.
+    The list ``vector`` weighs provenance (without authors) where a score competes with the best, and age. The list ``text``
+    has one budget for facts and events: facts come first, events take what is left; each kind has its own best score.
+    Inputs and conditions are those of ``candidate_lists``.
+    """
+    chosen, facts, events = (df if when is None else df.filter(when) for df, when in ((knowledge, wanted), (facts, facts_wanted), (events, events_wanted)))
+    reps = stage(representatives(chosen, "machine", "source", "volatility", "age_days", "embedding").filter("embedding is not null"), "representatives")
+    queries = stage(queries, "queries")
+    near = rk.normalise(rt.knn(queries, reps, 3 * k), "max", ("query_id",))
+    best = F.max("score").over(Window.partitionBy("query_id"))
+    near = near.withColumn("boosted", F.col("score") >= F.greatest(F.lit(rt.CURATED_FLOOR), rt.CURATED_FRACTION * best)).filter(F.col("rank") <= k)
+    weight = F.when(F.col("boosted"), rt.tier_weight()).otherwise(1.0) * rt.volatility_demotion("volatility", F.col("age_days"))
+    vector = near.join(reps.drop("embedding"), "id").select("query_id", F.lit("vector").alias("list"), F.lit("knowledge").alias("kind"), "id", "rank", "norm", weight.alias("weight"))
+    found = (("fact", facts, rt.fact_boost()), ("event", events, None))
+    text = None
+    for kind, rows, boost in found:
+        hits = rk.normalise(rt.full_text(queries, rows, "payload", 3 * k, boost), "max", ("query_id",)).withColumn("kind", F.lit(kind))
+        text = hits if text is None else text.unionByName(hits)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("kind") != "fact", "rank"))
+    text = text.withColumn("place", place).filter(F.col("place") <= k).select("query_id", F.lit("text").alias("list"), "kind", "id", F.col("place").alias("rank"), "norm", F.lit(1.0).alias("weight"))
+    return vector.unionByName(text)

@@ -104,8 +104,10 @@ def next_cursor(page: DataFrame, ts: str, key: str, limit: int, newest_first: bo
     return page.agg(end.alias("c"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limit).select(F.col("c.t").alias(ts), F.col("c.k").alias(key))
 
 
-def keyset_after(df: DataFrame, ts: str, key: str, after: tuple, limit: int, newest_first: bool = True) -> DataFrame:
-    """The next page strictly after (ts, key)."""
+def keyset_after(df: DataFrame, ts: str, key: str, after: tuple | None, limit: int, newest_first: bool = True) -> DataFrame:
+    """The next page strictly after (ts, key), or the first page."""
+    if after is None:
+        return df.orderBy(F.desc(ts), F.desc(key)).limit(limit) if newest_first else df.orderBy(ts, key).limit(limit)
     here, mark = F.struct(F.col(ts).alias("t"), F.col(key).alias("k")), F.struct(F.lit(after[0]).cast("timestamp").alias("t"), F.lit(after[1]).alias("k"))
     if newest_first:
         return df.filter(here < mark).orderBy(F.desc(ts), F.desc(key)).limit(limit)

@@ -222,12 +222,20 @@ def reference_check(spark, sf):
     return each.join(ok, "row", "left").groupBy("seq").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("valid"))
 
 
-@query("a1_author_rollup", """SELECT a.id, a.agent_name, a.last_seen_at, (SELECT count(*) FROM facts f WHERE f.author_id = a.id AND f.deleted_at IS NULL) AS fact_count, (SELECT count(*) FROM ev e WHERE e.author_id = a.id) AS event_count,
-(SELECT count(*) FROM knowledge k WHERE k.author_id = a.id AND k.deleted_at IS NULL) AS knowledge_count, (SELECT count(*) FROM facts f WHERE f.deleted_by = a.id AND f.deleted_at IS NOT NULL) AS soft_deletes FROM authors a""")
+_AUTHORS = """SELECT a.id, a.agent_name, a.last_seen_at, (SELECT count(*) FROM facts f WHERE f.author_id = a.id AND f.deleted_at IS NULL) AS fact_count, (SELECT count(*) FROM ev e WHERE e.author_id = a.id) AS event_count,
+(SELECT count(*) FROM knowledge k WHERE k.author_id = a.id AND k.deleted_at IS NULL) AS knowledge_count, (SELECT count(*) FROM facts f WHERE f.deleted_by = a.id AND f.deleted_at IS NOT NULL) AS soft_deletes FROM authors a"""
+
+
+@query("a1_author_rollup", _AUTHORS)
 def author_rollup(spark, sf):
     return act.author_rollup(authors(spark, sf), facts(spark, sf), events(spark, sf), knowledge(spark, sf))
 
 
+@query("a1_author_page", _AUTHORS + " WHERE last_seen_at >= TIMESTAMP '2024-01-05' AND agent_name = 'agent-1' AND (last_seen_at, id) < (TIMESTAMP '2025-01-01', 'a9') ORDER BY last_seen_at DESC, id DESC LIMIT 2")
+def author_page(spark, sf):
+    return act.author_page(authors(spark, sf), facts(spark, sf), events(spark, sf), knowledge(spark, sf), 2, ("2025-01-01", "a9"), "2024-01-05", "agent-1")
+
+
 @query("a2_author_inventory", """, owned AS (SELECT author_id FROM facts UNION ALL SELECT author_id FROM ev UNION ALL SELECT author_id FROM knowledge)
 SELECT a.id, a.agent_name, count(o.author_id) AS owned, count(o.author_id) = 0 AND a.id NOT IN ('system', 'lost-author') AS removable, (SELECT count(*) FROM authors b WHERE b.agent_name = a.agent_name) > 1 AS duplicate_name
 FROM authors a LEFT JOIN owned o ON o.author_id = a.id GROUP BY 1, 2""")

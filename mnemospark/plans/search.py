@@ -13,6 +13,7 @@ from ..operators import hybrid as hy
 from ..operators import lifecycle as lc
 from ..operators import predicates as pr
 from ..operators import ranking as rk
+from ..operators import responses as rs
 from ..operators import retrieval as rt
 from ..sources.staging import broadcast_if_small, stage
 from ..streaming import jobs
@@ -336,13 +337,16 @@ def rerank(spark, sf):
     return dense.select("query_id", "id", "rank").join(moved, ["query_id", "id"])
 
 
-def hit_texts(spark, sf, hits: DataFrame) -> DataFrame:
-    """``hits`` with query, text and when each row was made, whatever its kind."""
-    k = live_knowledge(spark, sf).select(F.lit("knowledge").alias("kind"), "id", "text", "repo", "file", "machine", "created_at")
-    rest = [facts(spark, sf).select(F.lit("fact").alias("kind"), "id", F.col("payload").alias("text"), "created_at"), events(spark, sf).select(F.lit("event").alias("kind"), "id", F.col("payload").alias("text"), "created_at")]
-    every = k.unionByName(rest[0], allowMissingColumns=True).unionByName(rest[1], allowMissingColumns=True)
-    wanted = broadcast_if_small(hits, 128)
-    return every.join(wanted, ["kind", "id"]).join(search_queries(spark, sf).select("query_id", "query"), "query_id")
+def hit_texts(spark, sf, hits: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """``hits`` with query, text, author and the metadata of each row's kind; ``queries`` are those that were asked."""
+    k = live_knowledge(spark, sf).select(F.lit("knowledge").alias("kind"), "id", "text", "repo", "file", F.col("machine").alias("host"), "tags", "author_id", "created_at")
+    f = facts(spark, sf).select(F.lit("fact").alias("kind"), "id", F.col("payload").alias("text"), F.col("type").alias("fact_type"), "author_id", "created_at")
+    e = events(spark, sf).select(F.lit("event").alias("kind"), "id", F.col("payload").alias("text"), "category", "author_id", "created_at")
+    every = k.unionByName(f, allowMissingColumns=True).unionByName(e, allowMissingColumns=True)
+    rows = every.join(broadcast_if_small(hits, 128), ["kind", "id"])
+    asked = (search_queries(spark, sf) if queries is None else queries).select("query_id", "query")
+    named = authors(spark, sf).select(F.col("id").alias("author_id"), F.col("agent_name").alias("author"))
+    return rows.join(asked, "query_id").join(named, "author_id", "left").withColumnRenamed("fused", "score")
 
 
 @query("f8_snippets")
@@ -352,9 +356,18 @@ def snippets(spark, sf):
 
 @query("f9_compact_hits")
 def compact_hits(spark, sf):
-    hits = hit_texts(spark, sf, hybrid_search(spark, sf))
-    age = F.unix_timestamp(as_of()) - F.unix_timestamp("created_at")
-    return hits.select("query_id", "id", "rank", "kind", "repo", "file", "machine", "copies", age.alias("age_seconds"), rt.snippet("text", "query").alias("snippet"), F.substring("text", 1, 200).alias("preview"))
+    return rs.compact(rs.with_snippets(hit_texts(spark, sf, hybrid_search(spark, sf)), as_of()))
+
+
+@query("f9_metadata", _HYBRID + """, page AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, place, id) AS rank FROM fused) WHERE rank <= 10)
+SELECT p.query_id, p.id, p.kind, coalesce(a.agent_name, b.agent_name, c.agent_name) AS author, k.repo, k.file, k.machine AS host, array_to_string(k.tags, ',') AS tags, f.type AS fact_type, ev.category, CASE WHEN copies > 0 THEN copies END AS copies,
+  CAST(greatest(floor(epoch(TIMESTAMP '2024-03-01')) - floor(epoch(coalesce(k.created_at, f.created_at, ev.created_at))), 0) AS BIGINT) AS age_seconds, left(coalesce(k.text, f.payload, ev.payload), 200) AS preview
+FROM page p LEFT JOIN knowledge k ON kind = 'knowledge' AND k.id = p.id LEFT JOIN facts f ON kind = 'fact' AND f.id = p.id LEFT JOIN ev ON kind = 'event' AND ev.id = p.id
+LEFT JOIN authors a ON a.id = k.author_id LEFT JOIN authors b ON b.id = f.author_id LEFT JOIN authors c ON c.id = ev.author_id""")
+def whole_hits(spark, sf):
+    """The whole form's columns but for the texts and scores."""
+    page = rs.whole(rs.with_snippets(hit_texts(spark, sf, hybrid_search(spark, sf)), as_of()))
+    return page.select("query_id", "id", "kind", "author", "repo", "file", "host", F.array_join("tags", ",").alias("tags"), "fact_type", "category", "copies", "age_seconds", "preview")
 
 
 def bundle_items(spark, sf, k: int = TOP_K) -> DataFrame:
@@ -379,26 +392,43 @@ def budget(spark, sf):
     return cx.allocate(bundle_items(spark, sf), BUDGET)
 
 
-@query("r14_context_bundle")
-def context_bundle(spark, sf):
-    """Sections without what another section shows, events replaced by day summaries where they would take over half the budget, cut to the budget."""
+def bundle(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(items, kept): sections without what another section shows, events replaced by day summaries where they would take over half the budget, and what the budget leaves of them."""
     lines = act.headlines(act.daily_clusters(events(spark, sf)))
     summaries = lines.select("host", "category", "day", F.concat_ws("/", F.lit("summary"), "host", "category", "day").alias("id"), tx.json_cost("headline").alias("cost"))
     items = stage(cx.with_summaries(cx.across_sections(bundle_items(spark, sf)), summaries, BUDGET), "bundle")
-    kept = items.join(cx.allocate(items, BUDGET), ["query_id", "id"])
+    return items, items.join(cx.allocate(items, BUDGET), ["query_id", "id"])
+
+
+@query("r14_context_bundle")
+def context_bundle(spark, sf):
+    items, kept = bundle(spark, sf)
     counts = items.groupBy("query_id", "section").agg(F.count(F.lit(1)).alias("candidates"))
     return kept.join(counts, ["query_id", "section"]).select("query_id", "section", "id", "score", "cost", "truncated", "candidates")
 
 
-@query("r15_list_build", _REP + """, hits AS (SELECT q.vec_id AS query_id, rep.id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), rep.embedding), 6) AS score, rep.machine, rep.source FROM embeddings q, rep WHERE q.vec_id % 20 = 0 AND rep.embedding IS NOT NULL),
-near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM hits), norm AS (SELECT *, score / max(score) OVER (PARTITION BY query_id) AS n FROM near WHERE rank <= 30)
-SELECT query_id, id, round(greatest(0.0, least(1.0, n)), 4) AS norm, CAST(CASE WHEN machine IS NOT NULL THEN 1 WHEN source IN ('AgentProposal', 'User') THEN 2 ELSE 1 END AS DOUBLE) AS weight FROM norm WHERE rank <= 10""")
+@query("r14_section_stats")
+def section_stats(spark, sf):
+    return cx.section_stats(*bundle(spark, sf))
+
+
+_OFFERED = "SELECT query_id, 'text' AS list, '{kind}' AS kind, id, score, CASE WHEN best > 0 THEN greatest(0.0, least(1.0, score / best)) ELSE 0.0 END AS norm FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM ({hits}) WHERE rank <= 30)"
+
+
+@query("r15_list_build", _SEARCH + _REP[2:-1] + f""",
+cos AS (SELECT query_id, r.id, round(list_cosine_similarity(e, r.embedding), 6) AS score FROM asked, rep r WHERE e IS NOT NULL AND r.embedding IS NOT NULL),
+near AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM ({_TOP.format(source="cos").replace("<= 10", "<= 30")})),
+fact_hits AS ({_FACT_HITS}), event_hits AS ({_EVENT_HITS}),
+offered AS ({_OFFERED.format(kind="fact", hits=_TOP.format(source="fact_hits").replace("<= 10", "<= 30"))} UNION ALL {_OFFERED.format(kind="event", hits=_TOP.format(source="event_hits").replace("<= 10", "<= 30"))})
+SELECT query_id, 'vector' AS list, 'knowledge' AS kind, near.id, CAST(near.rank AS INT) AS rank, round(CASE WHEN best > 0 THEN greatest(0.0, least(1.0, score / best)) ELSE 0.0 END, 4) AS norm,
+  round(CASE WHEN score >= greatest(0.45, 0.82 * best) AND machine IS NULL AND source IN ('AgentProposal', 'User') THEN 2.0 ELSE 1.0 END
+  * CASE WHEN volatility = 'volatile' AND date_diff('day', created_at, TIMESTAMP '2024-03-01') > 7 THEN greatest(0.25, pow(0.5, (date_diff('day', created_at, TIMESTAMP '2024-03-01') - 7) / 30.0)) ELSE 1.0 END, 6) AS weight
+FROM near JOIN rep ON rep.id = near.id WHERE near.rank <= 10
+UNION ALL SELECT query_id, list, kind, id, CAST(place AS INT), round(norm, 4), 1.0 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kind <> 'fact', score DESC, id) AS place FROM offered) WHERE place <= 10""")
 def list_build(spark, sf):
-    """Three times the rows are fetched, one per content, and their scores normalised before the list is cut."""
-    k = with_vectors(knowledge(spark, sf).select("seq", "id", "content_hash", "deleted_at", "machine", "source"), spark, sf)
-    one = stage(hy.representatives(k, "machine", "source", "embedding").filter("embedding is not null"), "representatives")
-    near = rk.normalise(rt.knn(vector_queries(spark, sf), one, 3 * TOP_K).withColumn("list", F.lit("vector")), "max").filter(F.col("rank") <= TOP_K)
-    return near.join(one.select("id", rt.tier_weight().alias("weight")), "id").select("query_id", "id", F.round("norm", 4).alias("norm"), "weight")
+    """Of every source; facts and events share one budget."""
+    lists = hy.source_lists(search_queries(spark, sf), memories(spark, sf), facts(spark, sf).filter(pr.live()), events(spark, sf), TOP_K)
+    return lists.select("query_id", "list", "kind", "id", "rank", F.round("norm", 4).alias("norm"), F.round("weight", 6).alias("weight"))
 
 
 def page_markdown(html):
@@ -773,25 +803,38 @@ def daily_counts(spark, sf):
     return jobs.daily_counts(events(spark, sf))
 
 
+def answer_suite(spark, sf) -> DataFrame:
+    """(query_id, query, keys): every other word of an item is the query, the words between, as far as the query lacks them, are the keys of its answer."""
+    words = tx.terms(F.col("query"))
+    parted = text_queries(spark, sf).select("query_id", F.array_join(F.filter(words, lambda x, i: i % 2 == 0), " ").alias("query"), F.filter(words, lambda x, i: i % 2 == 1).alias("between"))
+    return parted.select("query_id", "query", F.array_except("between", F.split("query", " ")).alias("keys"))
+
+
 @query("q1_answer_keys", r""", w AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark),
 a AS (SELECT query_id, list_distinct(list_filter(w, lambda x, i: i % 2 = 1)) AS asked, list_distinct(list_filter(w, lambda x, i: i % 2 = 0)) AS keys FROM w),
 held AS (SELECT list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS own FROM knowledge WHERE deleted_at IS NULL)
 SELECT query_id, count(own) AS hits, coalesce(bool_or(list_has_all(own, list_filter(keys, lambda x: NOT list_contains(asked, x)))), false) AS answered FROM a LEFT JOIN held ON len(asked) > 0 AND list_has_all(own, asked) GROUP BY 1""")
 def answer_keys(spark, sf):
-    """Every other word of an item is the query; whether a hit holds the words between, as far as the query lacks them."""
-    words = tx.terms(F.col("query"))
-    parted = text_queries(spark, sf).select("query_id", F.array_join(F.filter(words, lambda x, i: i % 2 == 0), " ").alias("query"), F.filter(words, lambda x, i: i % 2 == 1).alias("between"))
-    keys = parted.select("query_id", F.array_except("between", F.split("query", " ")).alias("keys"))
+    """Whether a hit of each suite query holds the keys."""
+    suite = answer_suite(spark, sf)
     live = live_knowledge(spark, sf).select("id", "text")
-    hits = broadcast_if_small(rt.lexical(parted, live), 64)
-    holds = live.join(hits, "id").join(keys, "query_id").select("query_id", (F.size(F.array_except("keys", tx.terms(F.col("text")))) == 0).alias("holds"))
-    return keys.select("query_id").join(holds, "query_id", "left").groupBy("query_id").agg(F.count("holds").alias("hits"), F.coalesce(F.bool_or("holds"), F.lit(False)).alias("answered"))
+    hits = broadcast_if_small(rt.lexical(suite.select("query_id", "query"), live), 64)
+    holds = live.join(hits, "id").join(suite.select("query_id", "keys"), "query_id").select("query_id", (F.size(F.array_except("keys", tx.terms(F.col("text")))) == 0).alias("holds"))
+    return suite.select("query_id").join(holds, "query_id", "left").groupBy("query_id").agg(F.count("holds").alias("hits"), F.coalesce(F.bool_or("holds"), F.lit(False)).alias("answered"))
+
+
+def _response_costs(spark, sf):
+    suite = stage(answer_suite(spark, sf), "suite")
+    found = hy.search(suite.select("query_id", "query", F.lit(None).cast("array<float>").alias("embedding")), memories(spark, sf), facts(spark, sf).filter(pr.live()), events(spark, sf), TOP_K)
+    return rs.costs(rs.with_snippets(hit_texts(spark, sf, found, suite), as_of()), suite)
 
 
 @query("q2_response_cost")
 def response_cost(spark, sf):
-    """Full against compact tokens per query, one fetch charged where no snippet holds the query's words."""
-    hits = hit_texts(spark, sf, hybrid_search(spark, sf)).withColumn("snippet", rt.snippet("text", "query"))
-    holds = F.forall(tx.terms(F.col("query")), lambda w: F.contains(F.lower("snippet"), w))
-    per = hits.groupBy("query_id").agg(F.sum(tx.json_cost("id", "repo", "file", "text")).alias("full_tokens"), F.sum(tx.json_cost("id", "file", "snippet")).alias("compact"), F.max(F.ceil(F.length("text") / 4)).alias("fetch"), F.bool_or(holds).alias("carried"))
-    return per.select("query_id", "full_tokens", (F.col("compact") + F.when(F.col("carried"), 0).otherwise(F.col("fetch"))).alias("compact_tokens"))
+    """Tokens of whole and of compact pages per suite query."""
+    return _response_costs(spark, sf)
+
+
+@query("q2_cost_summary")
+def cost_summary(spark, sf):
+    return rs.cost_summary(_response_costs(spark, sf))
