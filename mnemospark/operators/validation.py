@@ -148,7 +148,8 @@ def violations(rows: DataFrame, as_of: str | None = None) -> DataFrame:
     """(id, field, rule) of every broken rule of rows (id, type, payload).
 
     A payload that is no JSON object breaks ``payload`` ``type``; an unknown type ``type`` ``unknown``. Times are
-    compared with ``as_of`` (UTC, by default today).
+    compared with ``as_of`` (UTC, by default today). ``rows`` are read three times, so stage them where they cost much or
+    where ids are drawn as they are read.
     """
     rows = rows.select("id", "type", "payload", F.try_parse_json("payload").alias("v"))
     broken = []
