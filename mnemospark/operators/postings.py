@@ -3,7 +3,11 @@
 Every part is a folder of Parquet files of (term, id, positions), sorted by term inside each file, so that a search for few
 terms reads few row groups. A file holds the postings of the rows that its task read, so building shuffles nothing, and a
 term that is in every text lies in all files. ``add`` writes one more part; an id that it holds replaces that id in all parts before it. A search never sees a text: it
-counts the wanted terms, meets each query's rarest one, and looks the others up by (term, id).
+counts the wanted terms, meets each query's rarest one, and looks the others up by (term, id): the next rarest ones one by one, which
+leaves few rows for all others.
+
+``holding`` answers a whole table of queries from rows that no index holds, in one scan and without Python: each row meets the queries whose rarest term
+it has and is tested there for their next rarest ones, so that only what holds all of these leaves the scan.
 
 Defined results: null ids and null texts are not indexed; an id added again without terms is gone; an empty corpus is an index without rows.
 """
@@ -23,11 +27,24 @@ from pyspark.sql import types as T
 from ..sources.staging import broadcast_if_small, shared_folder, stage
 
 POSTING = "term string, id string, positions array<int>"
+#: Rarest terms of a query that a row is tested for where it is read, and those that an index looks up one by one.
+TESTED, STEPS = 8, 4
+#: Terms that are turned into postings at once.
+TURNED = 1 << 20
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    ends = batch.column(1).offsets.to_numpy()
+    at = 0
+    while at < len(batch):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + TURNED, side="right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def _turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, own) as postings, sorted by numbers of terms in whole batches."""
-    for batch in batches:
+    """Rows (id, own) as postings, sorted by numbers of terms in slices of batches with about ``TURNED`` terms."""
+    for batch in (part for whole in batches for part in _slices(whole)):
         own = batch.column(1)
         words = own.flatten().dictionary_encode()
         sizes = np.diff(own.offsets.to_numpy())
@@ -88,12 +105,50 @@ class Postings:
         met = every.join(rare, "term").select(query, "id", "n_terms", F.col("positions").alias("first"))
         single = met.filter("n_terms = 1").select(query, "id", F.array("first").alias("places"))
         met = stage(met.filter("n_terms > 1"), "met")
+        alive = met.select(query, "id", "n_terms")
+        for nth in range(2, STEPS + 1):  # all terms of every row with a rare one would be quadratic in the rows
+            next_ = broadcast_if_small(alive.join(placed.filter(F.col("nth") == nth).select(query, "term"), query), F.octet_length("term") + 64)
+            alive = stage(every.select("term", "id").join(next_, ["term", "id"]).select(query, "id", "n_terms").unionByName(alive.filter(F.col("n_terms") < nth)), "alive")
+        met = met.join(alive.select(query, "id"), [query, "id"])
         others = met.select(query, "id").join(placed.filter("nth > 1").select(query, "term"), query)
         found = every.join(broadcast_if_small(others, F.octet_length("term") + 64), ["term", "id"]).groupBy(query, "id").agg(F.count(F.lit(1)).alias("n"), F.collect_list("positions").alias("rest"))
         held = met.join(found, [query, "id"]).filter("n = n_terms - 1")
         return single.unionByName(held.select(query, "id", F.concat(F.array("first"), "rest").alias("places")))
 
 
+def holding(rows: DataFrame, once: DataFrame, *shown: Column) -> DataFrame:
+    """(one, id, n_terms, own, *shown) of the rows (id, own: distinct terms) that hold the first ``TESTED`` of the terms of ``once`` (one, wanted: distinct terms), rarest first.
+
+    ``own`` is null where a query has no more terms; the others are to be compared by ``holds_all``. ``shown`` are columns
+    of the rows, of ``n_terms`` and of the tested terms ``t0``, ``t1``..., null where a query has fewer. Queries that
+    one broadcast can't hold are dealt to several scans.
+    """
+    words = broadcast_if_small(once.select(F.explode("wanted").alias("term")).distinct(), F.octet_length("term") + 16)
+    counts = rows.select(F.explode("own").alias("term")).join(words, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    each = once.select("one", F.size("wanted").alias("n_terms"), F.explode("wanted").alias("term"))
+    each = each.join(broadcast_if_small(counts, F.octet_length("term") + 24), "term")
+    # the terms of one query; one that nothing holds leaves fewer
+    ranked = each.groupBy("one", "n_terms").agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("r")).filter(F.size("r") == F.col("n_terms"))
+    tested = [f"t{n}" for n in range(TESTED)]
+    asked = stage(ranked.select("one", "n_terms", *[F.get("r", F.lit(n))["term"].alias(t) for n, t in enumerate(tested)]), "rarest")
+    size = asked.agg(F.sum(F.octet_length(F.concat_ws("", *tested)) + 96)).first()[0] or 0
+    scans = size // (64 << 20) + 1
+    out = None
+    for n in range(scans):
+        some = F.broadcast(asked.filter(F.pmod(F.xxhash64("one"), F.lit(scans)) == n) if scans > 1 else asked)
+        met = rows.select("*", F.explode("own").alias("term")).join(some, F.col("term") == F.col("t0"))
+        for t in tested[1:]:
+            met = met.filter(F.col(t).isNull() | F.array_contains("own", F.col(t)))
+        part = met.select("one", "id", "n_terms", F.when(F.col("n_terms") > TESTED, F.col("own")).alias("own"), *shown)
+        out = part if out is None else out.unionByName(part)
+    return stage(out, "met")
+
+
+def holds_all(wanted: str, own: str) -> Column:
+    """Whether the array ``own`` has all that ``wanted`` has."""
+    return F.size(F.array_except(wanted, own)) == 0
+
+
 def spans(places: list[np.ndarray]) -> float:
     """Sum over the minimal spans that hold a position of every term of (number of terms) / length."""
     n = len(places)

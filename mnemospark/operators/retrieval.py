@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import terms
 from ..sources.staging import broadcast_if_small, stage
-from .postings import Postings, cover_density
+from .postings import TESTED, Postings, cover_density, holding, holds_all
 from .ranking import top_k
 from .vectors import InvertedFile, knn, knn_strata
 
@@ -47,11 +50,17 @@ def cosine(a: Column, b: Column) -> Column:
 
 def _asked(queries: DataFrame, wanted: Column, query: str) -> tuple[DataFrame, DataFrame]:
     """(query, one) of every query with terms, and (one, wanted): queries that want the same terms are searched as one."""
-    each = stage(queries.select(query, F.array_sort(F.array_distinct(wanted)).alias("wanted")).filter(F.size("wanted") > 0), "asked")
+    each = stage(queries.select(query, F.array_sort(F.array_distinct(wanted)).alias("wanted")), "asked").filter(F.size("wanted") > 0)
     once = stage(each.groupBy("wanted").agg(F.min(query).alias("one")), "once")
     return each.join(once, "wanted").select(query, "one"), once
 
 
+def _rows(items: DataFrame, own: Column, key: str, **carried: Column) -> DataFrame:
+    """(id, own, ...) of the items that have a key and terms. Texts are split once: a condition on the terms before they are staged would split them again."""
+    rows = items.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("id"), own.alias("own"), *[c.alias(n) for n, c in carried.items()])
+    return stage(rows, "terms").filter(F.size("own") > 0)
+
+
 def lexical_index(items: DataFrame, text: str = "text", key: str = "id") -> Postings:
     """The postings that ``lexical`` searches."""
     return Postings.of(items, terms(F.col(text)), key)
@@ -59,9 +68,14 @@ def lexical_index(items: DataFrame, text: str = "text", key: str = "id") -> Post
 
 def lexical(queries: DataFrame, items: DataFrame | Postings, text: str = "text", key: str = "id", query: str = "query_id", query_text: str = "query") -> DataFrame:
     """(query, key) of the items that hold every term of the query; ``items`` are rows or their ``lexical_index``."""
-    index = items if isinstance(items, Postings) else lexical_index(items, text, key)
     each, once = _asked(queries, terms(F.col(query_text)), query)
-    hits = stage(index.holders(once).select("one", F.col("id").alias(key)), "hits")
+    if isinstance(items, Postings):
+        found = items.holders(once).select("one", "id")
+    else:
+        met = holding(_rows(items, F.array_distinct(terms(F.col(text))), key), once)
+        more = met.filter("own is not null").join(once, "one").filter(holds_all("wanted", "own"))
+        found = met.filter("own is null").select("one", "id").unionByName(more.select("one", "id"))
+    hits = stage(found.select("one", F.col("id").alias(key)), "hits")
     return each.join(hits, "one").select(query, key)
 
 
@@ -76,7 +90,10 @@ def lexical_by_cosine(queries: DataFrame, items: DataFrame | Postings, vectors:
 def analysed(text: Column) -> Column:
     """Index terms in order: lower-cased words without stop words, plural and -ing/-ed endings cut."""
     kept = F.filter(terms(text), lambda w: ~w.isin(*STOP))
-    return F.transform(kept, lambda w: F.when(F.length(w) > 4, F.regexp_replace(w, "(ing|ed|es|s)$", "")).otherwise(w))
+    ends = lambda w, *tails: reduce(or_, (F.endswith(w, F.lit(t)) for t in tails))
+    cut = lambda w, n: F.substring(w, F.lit(1), F.length(w) - n)
+    short = lambda w: F.when(F.length(w) <= 4, w).when(ends(w, "ing"), cut(w, 3)).when(ends(w, "ed", "es"), cut(w, 2)).when(ends(w, "s"), cut(w, 1)).otherwise(w)
+    return F.transform(kept, short)
 
 
 def full_text_index(rows: DataFrame, text: str, key: str = "id") -> Postings:
@@ -84,13 +101,33 @@ def full_text_index(rows: DataFrame, text: str, key: str = "id") -> Postings:
     return Postings.of(rows, analysed(F.col(text)), key)
 
 
+def _dense_hits(rows: DataFrame, words: Column, boost: Column, key: str, once: DataFrame) -> DataFrame:
+    """(one, id, density, boost) of the rows that hold all terms of a query.
+
+    Where no word of a row repeats, its only span runs from the first to the last term; only rows with repeats, and queries with more terms than
+    the scan tests, go through Python.
+    """
+    split = _rows(rows, words, key, boost=boost)
+    held = split.select("id", F.array_distinct("own").alias("own"), F.when(F.size(F.array_distinct("own")) < F.size("own"), F.col("own")).alias("words"), "boost")
+    at = [F.when(F.col(f"t{n}").isNotNull(), F.array_position("own", F.col(f"t{n}"))) for n in range(TESTED)]
+    plain = F.col("words").isNull() & (F.col("n_terms") <= TESTED)
+    met = holding(held, once, F.when(plain, F.col("n_terms") / (F.greatest(*at) - F.least(*at) + 1)).alias("density"), F.when(~plain, F.coalesce("words", "own")).alias("words"), F.col("boost"))
+    rest = met.filter("words is not null").join(once, "one").filter(holds_all("wanted", "words"))
+    places = F.transform("wanted", lambda t: F.filter(F.transform("words", lambda w, i: F.when(w == t, i)), lambda p: p.isNotNull()))
+    rest = stage(rest.select("one", "id", places.alias("places"), "boost"), "places")
+    rest = stage(rest.select("one", "id", cover_density("places").alias("density"), "boost"), "spans")
+    return met.filter("words is null").select("one", "id", "density", "boost").unionByName(rest)
+
+
 def full_text(queries: DataFrame, rows: DataFrame, text: str, k: int, boost: Column | None = None, key: str = "id", query: str = "query_id", query_text: str = "query", index: Postings | None = None) -> DataFrame:
     """Rows that hold all index terms of a query, by cover density (times ``boost``), k per query; ``index`` is that of ``rows`` or of more rows."""
     each, once = _asked(queries, analysed(F.col(query_text)), query)
-    hits = (index or full_text_index(rows, text, key)).holders(once).select("one", F.col("id").alias(key), cover_density("places").alias("density"))
-    if boost is not None or index is not None:
+    if index is None:
+        hits = _dense_hits(rows, analysed(F.col(text)), F.lit(1.0) if boost is None else boost, key, once).withColumnRenamed("id", key)
+    else:
+        hits = index.holders(once).select("one", F.col("id").alias(key), cover_density("places").alias("density"))
         hits = hits.join(rows.select(F.col(key).cast("string").alias(key), (boost if boost is not None else F.lit(1.0)).alias("boost")), key)
-    scored = hits.select("one", key, F.round(F.col("density") * (F.col("boost") if "boost" in hits.columns else F.lit(1.0)), 6).alias("score"))
+    scored = hits.select("one", key, F.round(F.col("density") * F.col("boost"), 6).alias("score"))
     best = stage(top_k(scored, k, [F.desc("score"), F.col(key)], ["one"]).withColumnRenamed("rn", "rank"), "best")
     return each.join(best, "one").select(query, key, "score", "rank")
 

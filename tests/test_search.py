@@ -4,13 +4,15 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as tx
-from mnemospark.operators import hybrid, retrieval, vectors
+from mnemospark.operators import hybrid, postings, retrieval, vectors
 from mnemospark.operators.postings import Postings
 from mnemospark.plans import search
+from mnemospark.sources import staging
 
 SF = "/root/testdata/sf0.001"
 
@@ -138,6 +140,50 @@ def test_postings_grow_by_parts(spark):
     assert {r.id for r in retrieval.lexical(q, third).collect()} == {"a", "b", "d"}
 
 
+def test_text_search_of_common_words_stays_linear(spark, monkeypatch):
+    """Texts of common words meet most others by their rarest term; what is staged stays in proportion to the texts, and hits are those of a loop."""
+    rng = random.Random(8)
+    vocabulary = [f"w{n}" for n in range(40)]
+    rows = [(f"d{n:03}", " ".join(rng.choices(vocabulary, k=rng.choice((2, 9, 14, 30))))) for n in range(400)] + [(f"e{n}", f"w1 w{n} w2 w1") for n in range(3, 9)]
+    rows += [(f"c{n:02}", rows[n][1]) for n in range(0, 40, 2)]
+    queries = [(n, text) for n, (_, text) in enumerate(rows) if n % 4 == 0]
+    wide = " ".join(vocabulary[:12])
+    rows += [("wide", wide), ("twice", wide + " " + wide)]
+    queries.append((999, wide))
+    staged = Counter()
+    for module in (postings, retrieval):
+        monkeypatch.setattr(module, "stage", lambda df, name, *a, f=staging.stage: (out := f(df, name, *a), staged.update({name: out.count()}))[0])
+    q, i = spark.createDataFrame(queries, "query_id long, query string"), spark.createDataFrame(rows, "id string, text string")
+    want = loop_hits(queries, rows, lambda t: t.lower().split())
+    assert Counter((r.query_id, r.id) for r in retrieval.lexical(q, i).collect()) == Counter(want)
+    assert staged["met"] <= len(set(want)) + len(rows)
+    best = {(r.query_id, r.id, r.score) for r in retrieval.full_text(q, i, "text", 1000).collect()}
+    texts = dict(rows)
+    ask = dict(queries)
+
+    def density(query, text):
+        words, terms = text.split(), sorted(set(query.split()))
+        return round(postings.spans([np.array([n for n, w in enumerate(words) if w == t]) for t in terms]), 6)
+
+    assert best == {(n, key, density(ask[n], texts[key])) for n, key in want}
+    index = retrieval.lexical_index(i)
+    staged.clear()
+    assert Counter((r.query_id, r.id) for r in retrieval.lexical(q, index).collect()) == Counter(want)
+    assert staged["alive"]
+
+
+def test_postings_are_turned_in_slices(monkeypatch):
+    """Batches of any size are turned a bounded number of terms at a time, and a longer text alone."""
+    monkeypatch.setattr(postings, "TURNED", 5)
+    rows = [("a", ["x", "y"]), ("b", list("xyzxyzxyz")), ("c", ["x"]), ("d", ["y", "x", "y"]), ("e", ["z"])]
+    batch = pa.RecordBatch.from_pylist([{"id": k, "own": w} for k, w in rows])
+    parts = list(postings._turned(iter([batch, batch.slice(1, 3)])))
+    assert max(len(set(p["id"].to_pylist())) for p in parts) < 5 and len(parts) > 4
+    got = Counter((r["term"], r["id"], tuple(r["positions"])) for p in parts for r in p.to_pylist())
+    one = lambda some: Counter((w, k, tuple(n for n, x in enumerate(words) if x == w)) for k, words in some for w in set(words))
+    assert got == one(rows) + one(rows[1:4])
+
+
 def test_full_text_ranks_by_density_and_boost(spark):
     rows = [("a", "red blue", 1.0), ("b", "red x x blue", 1.0), ("c", "red x x blue", 9.0), ("d", "red", 99.0), ("e", "blues reds", 1.0)]
     i = spark.createDataFrame(rows, "id string, text string, boost double")
