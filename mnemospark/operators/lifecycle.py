@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import content_hash
 from ..sources.staging import stage, unstage
 from .graph import components
-from .transitions import apply_in_order, deletion, resolution, supersession, update
+from .transitions import apply_in_order, deletion, resolution, supersession, update, shares
 
 #: Trust by source: a proposal below a fact's trust becomes a dissent.
 TRUST = {"User": 4, "Controller": 3, "Task": 2, "AgentProposal": 1}
@@ -151,8 +151,9 @@ def delete_restore(state: DataFrame, requests: DataFrame, events: DataFrame, as_
 
     Deleted rows get the time ``as_of``, restored ones lose it and ``superseded_by``, hard-deleted ones are gone.
     """
-    r = requests.join(events.select("id", F.lit(True).alias("event")), "id", "left")
-    return apply_in_order(state, r.select("seq", "id", "action", F.coalesce("event", F.lit(False)).alias("event"), as_of.alias("at")), deletion)
+    parts = shares(requests)
+    r = requests.repartition(parts, "id").join(events.select("id", F.lit(True).alias("event")).repartition(parts, "id"), "id", "left")
+    return apply_in_order(state, r.select("seq", "id", "action", F.coalesce("event", F.lit(False)).alias("event"), as_of.alias("at")), deletion, parts=parts)
 
 
 def remove_authors(authors: DataFrame, owned: DataFrame, requests: DataFrame) -> DataFrame:

@@ -28,10 +28,19 @@ Row = dict[str, Any]
 Transition = Callable[[Row | None, Row], tuple[Row | None, str, int | None]]
 
 
-def apply_in_order(state: DataFrame, requests: DataFrame, step: Transition, key: str = "id") -> tuple[DataFrame, DataFrame]:
+#: Rows of requests that a task is dealt.
+ROWS = 500_000
+
+
+def shares(requests: DataFrame) -> int:
+    """In how many parts requests are dealt, so that a task's share doesn't grow with them; a given number is not coalesced, as rows that compress well would be."""
+    return max(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")), requests.count() // ROWS + 1)
+
+
+def apply_in_order(state: DataFrame, requests: DataFrame, step: Transition, key: str = "id", parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(next state, outcomes): outcomes are (seq, key, outcome, version), one for each request (seq, key, ...).
 
-    ``state`` has one row a key. Rows that end as None are gone from the next state.
+    ``state`` has one row a key. Rows that end as None are gone from the next state. ``parts`` are the requests' ``shares``, if they are known.
     """
     kept, asked = T.StructType(state.schema.fields), T.StructType(requests.schema.fields)
     kept_names, asked_names = [f"s_{f.name}" for f in kept], [f"r_{f.name}" for f in asked]
@@ -41,7 +50,7 @@ def apply_in_order(state: DataFrame, requests: DataFrame, step: Transition, key:
     before = rows.select(F.col(key).alias("k"), F.lit(None).cast("bigint").alias("seq"), *[F.col(f.name).alias(n) for n, f in zip(kept_names, kept, strict=True)], *none(asked_names, asked))
     each = requests.select(F.col(key).alias("k"), F.col("seq").cast("bigint").alias("seq"), *none(kept_names, kept), *[F.col(f.name).alias(n) for n, f in zip(asked_names, asked, strict=True)])
     plain = [n for n, f in zip(asked_names, asked, strict=True) if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    dealt = before.unionByName(each).repartition("k").sortWithinPartitions("k", F.col("seq").asc_nulls_first(), *plain)
+    dealt = before.unionByName(each).repartition(parts or shares(requests), "k").sortWithinPartitions("k", F.col("seq").asc_nulls_first(), *plain)
     key_type = requests.schema[key].dataType
     out = T.StructType([T.StructField("seq", T.LongType()), T.StructField("k", key_type), T.StructField("outcome", T.StringType()), T.StructField("version", T.IntegerType()), *[T.StructField(n, f.dataType) for n, f in zip(kept_names, kept, strict=True)]])
 

@@ -207,3 +207,16 @@ def test_proposals_with_merged_texts(spark, seed):
     assert {r.seq: r.outcome for r in out.collect()} == {1: "accepted", 2: "stale", 3: "accepted", 4: "accepted"}
     after = {r.id: (r.superseded_by, r.deleted_at is None, r.tags) for r in lifecycle.after_proposals(k, p, out, F.lit(AT)).collect()}
     assert after == {"k0": ("merged-1", False, ["0"]), "k1": ("merged-1", False, ["1"]), "k2": (None, True, ["2"]), "k3": (None, True, ["3"]), "k4": ("k3", False, ["4"]), "k5": ("k3", False, ["5"]), "k6": (None, True, ["6"]), "k7": (None, True, ["7"]), "merged-1": (None, True, ["0"])}
+
+
+def test_a_tasks_share_of_requests_is_bounded(spark, monkeypatch):
+    """More requests are dealt in more parts, which are not coalesced however well they compress; outcomes stay."""
+    monkeypatch.setattr(transitions, "ROWS", 10)
+    kept = []
+    monkeypatch.setattr(transitions, "stage", lambda df, name, f=transitions.stage: kept.append(f(df, name)) or kept[-1])
+    state = spark.createDataFrame([(f"f{n}", None) for n in range(100)], "id string, deleted_at timestamp")
+    asked = spark.createDataFrame([(n * 2 + k, f"f{n}", ("delete", "restore")[k]) for n in range(100) for k in range(2)], "seq long, id string, action string")
+    _, outcomes = lifecycle.delete_restore(state, asked, spark.createDataFrame([], "id string"), F.lit("2024-03-01").cast("timestamp"))
+    assert {(r.seq, r.outcome) for r in outcomes.collect()} == {(n, ("deleted", "restored")[n % 2]) for n in range(200)}
+    shares = [r["count"] for r in kept[0].filter("outcome is not null").groupBy(F.input_file_name()).count().collect()]
+    assert len(shares) > 8 and max(shares) <= 60
