@@ -2,7 +2,8 @@
 
 Both are one product of blocks. Queries and items that may meet share a group: the length of their vectors for exact search, a
 cell of the inverted file for approximate search. A group with many rows is cut into blocks by hash, and every query
-block meets every item block of its group in one task, which multiplies them and keeps its own k best per query. Only queries x k
+block meets every item block of its group in one task, which multiplies them in single precision, again in double precision what may be
+among the best, and keeps its own k best per query. Only queries x k
 rows a block pair are shuffled on. Nothing passes through the driver but counts, the plan is the same for any number
 of queries, and a cell or vector that a third of all items share is only more blocks.
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,27 +27,53 @@ from .ranking import top_k
 QUERY_BYTES, ITEM_BYTES = 16 << 20, 64 << 20
 #: Queries and items multiplied at once inside a task.
 STEP_QUERIES, STEP_ITEMS = 256, 16_384
+#: Items multiplied first, which bound what of the others can be among the best, and pairs multiplied at once in double precision.
+FIRST_ITEMS, STEP_PAIRS = 1024, 32_768
+#: Pairs that are work enough for one task.
+PAIRS_TASK = 16_000_000
 #: The inverted file: most cells, items that train them, trial queries, and the recall at ten that they are to reach.
 MOST_CELLS, TRAINING, TRIALS, RECALL = 4096, 65_536, 256, 0.95
 
 
-def _best(names: list, keys: list, sims: np.ndarray, marks: np.ndarray, strata: int, k: int, exclude_self: bool, kept: list) -> None:
-    """Merge the k best of ``sims`` (queries x items) into ``kept``, lists of (-score, key) by stratum and query."""
-    for s in range(strata):
-        mine = np.flatnonzero(marks >> s & 1)
-        if not len(mine):
-            continue
-        part, most = sims[:, mine], k + exclude_self
-        bound = np.partition(part, -most, axis=1)[:, -most] if part.shape[1] > most else np.full(len(names), -np.inf)
-        for q, at in enumerate(part >= bound[:, None]):
-            found = kept[s][q]
-            near = np.flatnonzero(at)
-            if len(found) >= k:  # the best kept so far bound what can still enter
-                near = near[part[q, near] >= -found[-1][0]]
-            if len(near):
-                found += [(-float(part[q, i]), keys[mine[i]]) for i in near if not (exclude_self and keys[mine[i]] == str(names[q]))]
-                found.sort()
-                del found[k:]
+def _best(mine: np.ndarray, theirs: np.ndarray, rank: np.ndarray, own: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, item, score) of the k best items of each query, by places in ``mine`` and ``theirs`` (rows of length 1), ties by ``rank``; items of rank ``own`` of a query are left out.
+
+    Products in single precision only leave out what can't be among the best by more than their error; the rest is multiplied in double precision.
+    """
+    single, narrow, span = theirs.astype(np.float32), mine.astype(np.float32), int(rank.max(initial=0)) + 1
+    slack = 1.2e-7 * (mine.shape[1] + 8) + 2e-6
+    out = []
+    for q in range(0, len(mine), STEP_QUERIES):
+        asked = narrow[q : q + STEP_QUERIES]
+        # score and rank of what is kept, as one number that is smaller for better items
+        order, item = np.full((len(asked), k), np.iinfo(np.int64).max), np.full((len(asked), k), -1)
+        at, to, most = 0, min(FIRST_ITEMS, STEP_ITEMS), k + (own is not None)
+        while at < len(theirs):
+            sims = asked @ single[at:to].T
+            held = item[:, -1] >= 0
+            low = np.where(held, 1.0 - order[:, -1] // span / 1e6, -np.inf)
+            if not held.all() and sims.shape[1] > most:
+                low[~held] = np.partition(sims[~held], -most, axis=1)[:, -most]
+            flat = np.flatnonzero(sims >= (low - slack).astype(np.float32)[:, None])
+            row, col = flat // sims.shape[1], flat % sims.shape[1] + at
+            if own is not None:
+                other = rank[col] != own[q + row]
+                row, col = row[other], col[other]
+            exact = [np.einsum("ij,ij->i", mine[q + row[c : c + STEP_PAIRS]], theirs[col[c : c + STEP_PAIRS]]) for c in range(0, len(row), STEP_PAIRS)]
+            place = (1_000_000 - np.rint(np.concatenate([np.zeros(0), *exact]) * 1e6).astype(np.int64)) * span + rank[col]
+            ends = np.searchsorted(row, np.arange(len(asked) + 1))
+            for r in np.flatnonzero(np.diff(ends) > 0):
+                some, where = place[ends[r] : ends[r + 1]], col[ends[r] : ends[r + 1]]
+                if len(some) > k:  # many items may tie
+                    best = np.argpartition(some, k - 1)[:k]
+                    some, where = some[best], where[best]
+                some, where = np.concatenate([order[r], some]), np.concatenate([item[r], where])
+                best = np.argsort(some, kind="stable")[:k]
+                order[r], item[r] = some[best], where[best]
+            at, to = to, to + STEP_ITEMS
+        row, n = np.nonzero(item >= 0)
+        out.append((q + row, item[row, n], (1_000_000 - order[row, n] // span) / 1e6))
+    return tuple(np.concatenate(part) for part in zip(*out, strict=True))
 
 
 def _unit(column: pa.ChunkedArray, rows: int) -> np.ndarray:
@@ -64,9 +92,10 @@ def block_product(queries: DataFrame, items: DataFrame, k: int, strata: int = 1,
     asked = queries.groupBy("grp").agg(F.count(F.lit(1)).alias("nq"), width.alias("dq"))
     held = items.groupBy("grp").agg(F.count(F.lit(1)).alias("ni"), width.alias("di"))
     blocks = lambda n, d, most: F.ceil(F.col(n) * F.col(d) * 8 / most).cast("int")
-    # a task should have work for seconds, so few items are not cut for the sake of tasks alone
-    spread = F.least(F.lit(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))), F.ceil(F.col("nq") * F.col("ni") / 4_000_000)).cast("int")
-    sizes = asked.join(held, "grp").select("grp", blocks("nq", "dq", QUERY_BYTES).alias("qs"), F.greatest(blocks("ni", "di", ITEM_BYTES), spread).alias("ks"))
+    # a task should have work for seconds, so few items are not cut for the sake of tasks alone; blocks of queries make tasks too
+    spread = F.least(F.lit(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))), F.ceil(F.col("nq") * F.col("ni") / PAIRS_TASK))
+    sizes = asked.join(held, "grp").withColumn("qs", blocks("nq", "dq", QUERY_BYTES))
+    sizes = sizes.select("grp", "qs", F.greatest(blocks("ni", "di", ITEM_BYTES), F.ceil(spread / F.col("qs")).cast("int")).alias("ks"))
     sizes = broadcast_if_small(sizes, 16)  # a row for each length or cell
     part = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     left = queries.join(sizes, "grp").select("grp", F.pmod(F.xxhash64("q"), F.col("qs")).cast("int").alias("qb"), F.explode(part("ks")).alias("kb"), "q", "v")
@@ -75,19 +104,20 @@ def block_product(queries: DataFrame, items: DataFrame, k: int, strata: int = 1,
     arrow = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32()}.get(kind, pa.string())
 
     def multiply(asked: pa.Table, held: pa.Table) -> pa.Table:
-        names, keys, marks = asked["q"].to_pylist(), held["key"].to_pylist(), held["marks"].to_numpy()
-        rows = []
-        if names and keys:
+        names, keys, marks, found = asked["q"], held["key"], held["marks"].to_numpy(), []
+        if len(names) and len(keys):
             mine, theirs = _unit(asked["v"], len(names)), _unit(held["v"], len(keys))
-            for q in range(0, len(names), STEP_QUERIES):
-                some = names[q : q + STEP_QUERIES]
-                kept = [[[] for _ in some] for _ in range(strata)]
-                for i in range(0, len(keys), STEP_ITEMS):
-                    sims = np.round(mine[q : q + STEP_QUERIES] @ theirs[i : i + STEP_ITEMS].T, 6)
-                    _best(some, keys[i : i + STEP_ITEMS], sims, marks[i : i + STEP_ITEMS], strata, k, exclude_self, kept)
-                rows += [(name, key, s, -score) for s in range(strata) for name, found in zip(some, kept[s], strict=True) for score, key in found]
-        columns = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
-        return pa.table([pa.array(list(c), t) for c, t in zip(columns, (arrow, pa.string(), pa.int32(), pa.float64()), strict=True)], names=["q", "key", "stratum", "score"])
+            rank, own = pc.rank(keys, tiebreaker="dense").to_numpy().astype(np.int64), None
+            if exclude_self:
+                same = pc.index_in(names.cast(pa.string()), keys.combine_chunks().cast(pa.string())).to_numpy(zero_copy_only=False)
+                own = np.where(np.isnan(same), -1, rank[np.nan_to_num(same).astype(np.int64)])
+            for s in range(strata):
+                some = np.flatnonzero(marks >> s & 1)
+                if len(some):
+                    row, col, score = _best(mine, theirs[some] if len(some) < len(keys) else theirs, rank[some], own, k)
+                    found.append((row, some[col], np.full(len(row), s), score))
+        row, col, stratum, score = (np.concatenate(part) for part in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 4
+        return pa.table([names.take(pa.array(row)).cast(arrow), keys.take(pa.array(col)).cast(pa.string()), pa.array(stratum, pa.int32()), pa.array(score, pa.float64())], names=["q", "key", "stratum", "score"])
 
     schema = T.StructType([T.StructField("q", kind), T.StructField("key", T.StringType()), T.StructField("stratum", T.IntegerType()), T.StructField("score", T.DoubleType())])
     by = ("grp", "qb", "kb")

@@ -56,6 +56,31 @@ def test_block_product_matches_a_loop(spark, mixed, monkeypatch, tiny):
     assert {(r.query_id, r.id, r["rank"]) for r in got if r.stratum == "odd"} == loop_knn(*mixed, 5, lambda key: key[3:4] in ("1", "3"))
 
 
+def test_query_blocks_count_as_tasks(spark, monkeypatch):
+    """Items are cut no finer than the tasks that the blocks of queries leave to be made, so no side is moved more often than it must be."""
+    monkeypatch.setattr(vectors, "QUERY_BYTES", 16_000)
+    monkeypatch.setattr(vectors, "PAIRS_TASK", 4_000_000, raising=False)
+    v = lambda n: F.array(*[F.hash(F.lit(d), "id") % 97 / 97 for d in range(n)])
+    q = staging.stage(spark.range(2000).select(F.col("id").alias("q"), F.lit(2).alias("grp"), v(2).alias("v")), "q")
+    i = staging.stage(spark.range(4000).select(F.col("id").cast("string").alias("key"), F.lit(2).alias("grp"), v(2).alias("v"), F.lit(1).alias("marks")), "i")
+    assert vectors.block_product(q, i, 3).count() == 2000 * 3
+
+
+def test_best_of_many_equal_items():
+    """Equal vectors tie by rank, across steps and against a full sort."""
+    rng = np.random.default_rng(5)
+    unit = lambda n: (lambda m: m / np.linalg.norm(m, axis=1, keepdims=True))(rng.normal(size=(n, 8)))
+    mine, theirs, rank = unit(300), unit(20_000), rng.permutation(20_000)
+    theirs[::3] = mine[7]
+    row, item, score = vectors._best(mine, theirs, rank, None, 5)
+    for q in (0, 7, 299):
+        sims = np.round(theirs @ mine[q], 6)
+        want = np.lexsort((rank, -sims))[:5]
+        assert item[row == q].tolist() == want.tolist() and score[row == q].tolist() == sims[want].tolist()
+    row, item, _ = vectors._best(mine, theirs, rank, rank[:300], 5)
+    assert len(row) == 1500 and not (rank[item] == rank[row]).any()
+
+
 def test_knn_of_nothing_keeps_the_query_type(spark, mixed):
     _, i = frames(spark, mixed)
     for kind in ("long", "string"):
