@@ -51,6 +51,13 @@ def candidate_lists(queries: DataFrame, knowledge: DataFrame, facts: DataFrame,
     return stage(out, "lists"), reps
 
 
+def vector_list(queries: DataFrame, knowledge: DataFrame, k: int) -> DataFrame:
+    """The list ``vector`` of ``candidate_lists`` alone: no text is searched for it."""
+    reps = stage(representatives(knowledge, "embedding"), "representatives")
+    near = rt.knn(queries, reps, k)
+    return stage(near.select("query_id", F.lit("vector").alias("list"), F.lit("knowledge").alias("kind"), "id", "rank", F.col("score").alias("raw")), "lists")
+
+
 def reranked(lists: DataFrame, queries: DataFrame, knowledge: DataFrame, window: int = WINDOW, scorer=None) -> DataFrame:
     """The vector list's first ``window`` ranks in the order of the pair scorer (``models.pair_scorer``, or the offline one); every list's order stays otherwise."""
     dense = lists.filter("list = 'vector'")

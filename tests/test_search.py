@@ -232,3 +232,15 @@ def test_hybrid_search_without_vectors_and_with_mixed_ones(spark):
         lists, _ = hybrid.candidate_lists(q, rows, facts, events, 10)
         assert {r.id for r in lists.filter("list = 'vector'").collect()} == dense
         assert {r.id for r in hybrid.search(q, rows, facts, events, 10).collect()} == {"k1", "k2", "k3", "f1"}
+
+
+def test_rerank_searches_no_text(spark, monkeypatch):
+    """Only the vector list is re-ranked, so the other lists are not made."""
+
+    def not_asked(*args, **kwargs):
+        raise AssertionError("a text search")
+
+    for name in ("full_text", "lexical_by_cosine"):
+        monkeypatch.setattr(retrieval, name, not_asked)
+    rows = search.rerank(spark, SF).collect()
+    assert rows and len({(r.query_id, r.new_rank) for r in rows}) == len(rows)
