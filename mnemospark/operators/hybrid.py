@@ -26,13 +26,14 @@ def representatives(knowledge: DataFrame, *columns: str) -> DataFrame:
     return one.select("r.*", (F.col("n") - 1).alias("copies"))
 
 
-def candidate_lists(queries: DataFrame, knowledge: DataFrame, facts: DataFrame, events: DataFrame, k: int, wanted: Column | None = None, facts_wanted: Column | None = None, events_wanted: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def candidate_lists(queries: DataFrame, knowledge: DataFrame, facts: DataFrame, events: DataFrame, k: int, wanted: Column | None = None, facts_wanted: Column | None = None, events_wanted: Column | None = None, texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(lists, representatives): each query's five ranked lists as (query_id, list, kind, id, rank, raw).
 
     ``queries``: query_id, query and an optional embedding. ``knowledge``: id, text, content_hash, machine, source,
     volatility, age_days, embedding, deleted_at, and what ``wanted`` uses. ``facts`` are live, with payload and what
     ``fact_boost`` uses; ``events`` have id and payload. The three conditions (as ``predicates`` makes them) hold below
-    every list, so rows that a search doesn't want take no places, stand for no copies and are scored by nothing.
+    every list, so rows that a search doesn't want take no places, stand for no copies and are scored by nothing. ``texts``
+    are ``knowledge`` without its vectors: where these were joined to it, the texts are searched without being moved to them.
     """
     chosen, facts, events = (df if when is None else df.filter(when) for df, when in ((knowledge, wanted), (facts, facts_wanted), (events, events_wanted)))
     reps = stage(representatives(chosen, "machine", "source", "volatility", "age_days", "embedding"), "representatives")
@@ -40,7 +41,8 @@ def candidate_lists(queries: DataFrame, knowledge: DataFrame, facts: DataFrame,
     both = stage(rt.knn_strata(queries, reps, k, {"all": None, "hand": (F.col("source") == "AgentProposal") & F.col("machine").isNull()}), "dense")
     dense = both.filter("stratum = 'all'").drop("stratum")
     hand = rt.curated(both.filter("stratum = 'hand'").drop("stratum"), dense)
-    lexical = rt.lexical_by_cosine(queries, chosen.filter("deleted_at is null").select("id", "text"), reps, k)
+    searched = chosen if texts is None else texts if wanted is None else texts.filter(wanted)
+    lexical = rt.lexical_by_cosine(queries, searched.filter("deleted_at is null").select("id", "text"), reps, k)
     found = (dense, hand, lexical, rt.full_text(queries, facts, "payload", k, rt.fact_boost()), rt.full_text(queries, events, "payload", k))
     kinds = ("knowledge", "knowledge", "knowledge", "fact", "event")
     out = None
@@ -83,10 +85,10 @@ def fused(lists: DataFrame, reps: DataFrame, extractor: Column | None = None) ->
     return each.groupBy("query_id", "kind", "id").agg(F.round(F.sum("part"), 9).alias("fused"), F.max("raw").alias("raw"), F.min("place").alias("first"))
 
 
-def search(queries: DataFrame, knowledge: DataFrame, facts: DataFrame, events: DataFrame, k: int = 10, wanted: Column | None = None, extractor: Column | None = None, facts_wanted: Column | None = None, events_wanted: Column | None = None, scorer=None) -> DataFrame:
+def search(queries: DataFrame, knowledge: DataFrame, facts: DataFrame, events: DataFrame, k: int = 10, wanted: Column | None = None, extractor: Column | None = None, facts_wanted: Column | None = None, events_wanted: Column | None = None, scorer=None, texts: DataFrame | None = None) -> DataFrame:
     """(query_id, kind, id, rank, fused, raw, copies): the k best of each query over all lists, of the rows that the conditions want."""
-    lists, reps = candidate_lists(queries, knowledge, facts, events, 2 * k, wanted, facts_wanted, events_wanted)
-    found = fused(reranked(lists, queries, knowledge, scorer=scorer), reps, extractor)
+    lists, reps = candidate_lists(queries, knowledge, facts, events, 2 * k, wanted, facts_wanted, events_wanted, texts)
+    found = fused(reranked(lists, queries, knowledge if texts is None else texts, scorer=scorer), reps, extractor)
     best = rk.top_k(found, k, [F.desc("fused"), F.col("first"), F.col("id")], ["query_id"]).withColumnRenamed("rn", "rank")
     return best.join(reps.select("id", "copies"), "id", "left").select("query_id", "kind", "id", "rank", "fused", "raw", F.coalesce("copies", F.lit(0)).alias("copies"))
 

@@ -66,25 +66,42 @@ def lexical_index(items: DataFrame, text: str = "text", key: str = "id") -> Post
     return Postings.of(items, terms(F.col(text)), key)
 
 
-def lexical(queries: DataFrame, items: DataFrame | Postings, text: str = "text", key: str = "id", query: str = "query_id", query_text: str = "query") -> DataFrame:
-    """(query, key) of the items that hold every term of the query; ``items`` are rows or their ``lexical_index``."""
-    each, once = _asked(queries, terms(F.col(query_text)), query)
+def _lexical_hits(once: DataFrame, items: DataFrame | Postings, text: str = "text", key: str = "id") -> DataFrame:
+    """(one, id) of the items that hold every term of ``once``."""
     if isinstance(items, Postings):
         found = items.holders(once).select("one", "id")
     else:
         met = holding(_rows(items, F.array_distinct(terms(F.col(text))), key), once)
         more = met.filter("own is not null").join(once, "one").filter(holds_all("wanted", "own"))
         found = met.filter("own is null").select("one", "id").unionByName(more.select("one", "id"))
-    hits = stage(found.select("one", F.col("id").alias(key)), "hits")
-    return each.join(hits, "one").select(query, key)
+    return stage(found, "hits")
+
+
+def lexical(queries: DataFrame, items: DataFrame | Postings, text: str = "text", key: str = "id", query: str = "query_id", query_text: str = "query") -> DataFrame:
+    """(query, key) of the items that hold every term of the query; ``items`` are rows or their ``lexical_index``."""
+    each, once = _asked(queries, terms(F.col(query_text)), query)
+    return each.join(_lexical_hits(once, items, text, key).withColumnRenamed("id", key), "one").select(query, key)
 
 
 def lexical_by_cosine(queries: DataFrame, items: DataFrame | Postings, vectors: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank) of each query's lexical hits among ``vectors`` (id, embedding) by cosine, best first; those without a vector last."""
-    hits = broadcast_if_small(lexical(queries, items), 64)
-    near = vectors.select("id", "embedding").join(hits, "id").join(queries.select("query_id", F.col("embedding").alias("asked")), "query_id")
-    scored = near.select("query_id", "id", cosine(F.col("asked"), F.col("embedding")).alias("score"))
-    return top_k(scored, k, [F.desc_nulls_last("score"), F.col("id")], ["query_id"]).withColumnRenamed("rn", "rank")
+    """(query_id, id, score, rank) of each query's lexical hits among ``vectors`` (id, embedding) by cosine, best first; those without a vector last.
+
+    Hits are those of queries that want the same terms, not of each query. A query without a vector takes the first ids of these, so only pairs of two vectors
+    are multiplied, and no more than k hits of a query, or of the terms it shares, leave a task.
+    """
+    each, once = _asked(queries, terms(F.col("query")), "query_id")
+    each = stage(each.join(queries.select("query_id", F.col("embedding").alias("asked")), "query_id"), "asked")
+    kind = F.lit(None).cast(each.schema["query_id"].dataType)
+    plain = once.select("one", kind.alias("q"), F.lit(None).cast(each.schema["asked"].dataType).alias("asked"))
+    told = plain.unionByName(each.filter("asked is not null").select("one", F.col("query_id").alias("q"), "asked"))
+    told = broadcast_if_small(told, F.coalesce(F.size("asked"), F.lit(0)) * 8 + 64)
+    met = broadcast_if_small(_lexical_hits(once, items), 64).join(vectors.select("id", "embedding"), "id").withColumn("has", F.col("embedding").isNotNull())
+    scored = met.join(told, "one").filter("q is null or has").select("one", "q", "has", "id", cosine(F.col("asked"), F.col("embedding")).alias("score"))
+    order = [F.desc_nulls_last("score"), F.col("id")]
+    best = stage(top_k(scored, k, order, ["one", "q", "has"]), "best")
+    shared = each.select("query_id", "one", F.col("asked").isNotNull().alias("own")).join(best.filter("q is null"), "one").filter("not (own and has)")
+    found = best.filter("q is not null").select(F.col("q").alias("query_id"), "id", "score").unionByName(shared.select("query_id", "id", "score"))
+    return top_k(found, k, order, ["query_id"]).withColumnRenamed("rn", "rank")
 
 
 def analysed(text: Column) -> Column:

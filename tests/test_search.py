@@ -244,3 +244,39 @@ def test_rerank_searches_no_text(spark, monkeypatch):
         monkeypatch.setattr(retrieval, name, not_asked)
     rows = search.rerank(spark, SF).collect()
     assert rows and len({(r.query_id, r.new_rank) for r in rows}) == len(rows)
+
+
+def moved(spark) -> int:
+    """Bytes that the session has shuffled so far."""
+    each = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(each.apply(i).totalShuffleWrite() for i in range(each.size()))
+
+
+def test_lexical_by_cosine_moves_no_vectors_with_hits(spark, monkeypatch):
+    """Many queries of the same terms hit all rows: their pairs are quadratic, what is moved must not be."""
+    monkeypatch.setattr(retrieval, "broadcast_if_small", lambda df, *_: df)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rng = random.Random(8)
+    vec = lambda n=8: [float(rng.randrange(-9, 10)) for _ in range(n)]
+    some = lambda n: vec() if n % 3 else None
+    queries = [(f"q{n:03}", "red fox" if n % 10 else f"word{n}", some(n)) for n in range(120)] + [("other", "red", vec(5)), ("none", "", vec())]
+    items = [(f"i{n:03}", f"a red fox word{n}", some(n + 1)) for n in range(400)] + [("gone", "red fox", vec())]
+    want = set()
+    for query, text, a in queries:
+        best = []
+        for i, own, b in items[:-1]:
+            if text and set(text.split()) <= set(own.split()):
+                both = a and b and len(a) == len(b)
+                score = round(float(np.dot(a, b)) / max(np.linalg.norm(a) * np.linalg.norm(b), 1e-24), 6) if both else None
+                best.append((score is None, -(score or 0), i))
+        want |= {(query, i, rank + 1) for rank, (_, _, i) in enumerate(sorted(best)[:7])}
+    q = staging.stage(spark.createDataFrame(queries, "query_id string, query string, embedding array<double>"), "queries")
+    i = staging.stage(spark.createDataFrame(items, "id string, text string, embedding array<double>"), "items")
+    before = moved(spark)
+    try:
+        got = retrieval.lexical_by_cosine(q, i, i.filter("id <> 'gone'"), 7).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert {(r.query_id, r.id, r["rank"]) for r in got} == want and len(got) == len(want)
+    assert moved(spark) - before < 400_000
