@@ -18,7 +18,6 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -169,7 +168,10 @@ def spans(places: list[np.ndarray]) -> float:
     return total
 
 
-@F.pandas_udf(T.DoubleType())
-def cover_density(places: pd.Series) -> pd.Series:
-    """``spans`` of each row's array of the positions of each wanted term."""
-    return pd.Series([spans(p) for p in places], dtype="float64")
+@F.arrow_udf(T.DoubleType())
+def cover_density(places: pa.Array) -> pa.Array:
+    """``spans`` of each row's array of the positions of each wanted term; only one row's arrays are Python objects at a time."""
+    rows, at = places.offsets.to_numpy(), places.values.offsets.to_numpy()
+    flat = places.values.values.to_numpy(zero_copy_only=False)
+    each = ([flat[at[t] : at[t + 1]] for t in range(rows[n], rows[n + 1])] for n in range(len(places)))
+    return pa.array((spans(p) for p in each), pa.float64(), size=len(places))

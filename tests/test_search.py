@@ -1,6 +1,7 @@
 """Vectors, postings and filters against plain loops."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -280,3 +281,17 @@ def test_lexical_by_cosine_moves_no_vectors_with_hits(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     assert {(r.query_id, r.id, r["rank"]) for r in got} == want and len(got) == len(want)
     assert moved(spark) - before < 400_000
+
+
+def test_cover_density_holds_one_row_at_a_time():
+    """A batch of many rows and terms takes little memory besides its Arrow arrays."""
+    rng = random.Random(3)
+    rows = [[sorted(rng.sample(range(90), rng.randrange(1, 4))) for _ in range(20)] for _ in range(3000)]
+    batch = pa.array([[], *rows], pa.list_(pa.list_(pa.int32())))[1:]
+    tracemalloc.start()
+    try:
+        got = postings.cover_density.func(batch)
+        assert tracemalloc.get_traced_memory()[1] < 1 << 20
+    finally:
+        tracemalloc.stop()
+    assert got.to_pylist() == [postings.spans([np.array(t) for t in row]) for row in rows]
