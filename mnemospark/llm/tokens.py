@@ -25,12 +25,16 @@ ENTRY = 200
 GROUP_CHARS = 1_000_000
 #: New chunks are encoded so many at a time; an encoding takes far more memory than its ids.
 LEARNT = 4096
+#: Of these, so many make a line where chunks can be told apart by their ids.
+LINE = 256
 #: Letters before white space, ASCII punctuation (no apostrophe, which may begin a contraction) or the end:
 #: the tokenizers' patterns end a piece there too. Few of these are new, as they come without punctuation.
 _LETTERS = r"[A-Za-zß-öø-ÿ]++(?=[\s!-&(-/:-@\[-`{-~]|\Z)"
 #: Letters or a word with at most one space before it, or white space that no word takes.
 _BYTE_CHUNKS = re.compile(rf" ?{_LETTERS}| ?\S+|\s+(?!\S)|\s+")
 _WORD_CHUNKS = re.compile(rf"{_LETTERS}|\S+")
+#: Words that NFC and lower-casing leave as they are.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 #: Python counts these as white space and the tokenizers' patterns do not.
 _ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -41,13 +45,20 @@ class ChunkEncoder:
     def __init__(self, path: str, keep_space: bool, memo: int = MEMO):
         self.most = memo
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.chunks = (_BYTE_CHUNKS if keep_space else _WORD_CHUNKS).findall
         self.memo: dict[str, bytes] = {}
         self.held = 0
         self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("Aß À") == "aß à"
+        #: What a line of lower-case Latin-1 words needs in place of the tokenizer's own steps, where these make the same pieces.
+        self.simple = None
+        if self.lowers and self.tokenizer.pre_tokenizer is not None:
+            steps = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            probe = " ".join(f"{c} {c}a{c}" for c in filter(_PLAIN, map(chr, range(256))))
+            if self.tokenizer.normalizer.normalize_str(probe) == probe and self.tokenizer.pre_tokenizer.pre_tokenize_str(probe) == steps.pre_tokenize_str(probe):
+                self.simple = normalizers.Sequence([]), steps
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         #: Whether an id ends a word, where the vocabulary says so.
         self.last = None
@@ -55,6 +66,12 @@ class ChunkEncoder:
             vocabulary = self.tokenizer.get_vocab()
             self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
             self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        #: Bytes that an id stands for, where a character of a token is a byte of the text.
+        self.width = None
+        if keep_space and self.tokenizer.normalizer is None and "ByteLevel" in str(self.tokenizer.pre_tokenizer):
+            vocabulary = self.tokenizer.get_vocab()
+            self.width = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+            self.width[list(vocabulary.values())] = list(map(len, vocabulary))
         #: A text with one of these is encoded whole.
         self.odd = [*_ODD_SPACE, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
 
@@ -80,24 +97,52 @@ class ChunkEncoder:
             at = end
 
     def _learn(self, unknown: list[str]) -> None:
-        """Put the chunks' ids into the memo; words of letters are encoded many at a time and cut where a word ends."""
-        rest = unknown
+        """Put the chunks' ids into the memo; those that stay apart in one line are encoded many at a time and cut where one ends."""
         if self.last is not None:
             words, rest = [c for c in unknown if c.isalpha()], [c for c in unknown if not c.isalpha()]
-            lines = [" ".join(words[i : i + 256]) for i in range(0, len(words), 256)]
-            for i, e in enumerate(self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
-                own, ids = words[256 * i : 256 * (i + 1)], np.array(e.ids, dtype="<u4")
-                ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
-                if len(ends) != len(own):
-                    rest += own
-                    continue
-                raw = ids.tobytes()
-                self.memo.update(zip(own, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=False))
+            if self.simple:
+                plain, words = list(filter(_PLAIN, words)), [c for c in words if not _PLAIN(c)]
+                held = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+                self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.simple
+                rest += self._lines(plain, " ", self._word_ends)
+                self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = held
+            rest += self._lines(words, " ", self._word_ends)
+        elif self.width is not None:
+            # a piece takes at most the space before it, so a chunk that begins with one is a piece of its own after any other
+            spaced, rest = [c for c in unknown if c[0] == " " and not c.isspace()], [c for c in unknown if c[0] != " " or c.isspace()]
+            rest += self._lines(spaced, "", self._byte_ends)
+        else:
+            rest = unknown
         for i in range(0, len(rest), LEARNT):
             some = rest[i : i + LEARNT]
             for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.memo[c] = array("I", e.ids).tobytes()
 
+    def _word_ends(self, own: list[str], ids: np.ndarray) -> np.ndarray:
+        """How many ids end with each word."""
+        return np.flatnonzero(self.last[ids]) + 1
+
+    def _byte_ends(self, own: list[str], ids: np.ndarray) -> np.ndarray:
+        """How many ids end with each chunk, by the bytes that they stand for; none where an id goes beyond a chunk."""
+        have, want = np.cumsum(self.width[ids]), np.cumsum([len(c.encode()) for c in own])
+        at = np.searchsorted(have, want)
+        return at + 1 if at[-1] < len(have) and (have[at] == want).all() else at[:0]
+
+    def _lines(self, chunks: list[str], between: str, ends_of) -> list[str]:
+        """Encode chunks in lines; returns those whose lines were not cut into as many."""
+        failed = []
+        for at in range(0, len(chunks), LEARNT):
+            each = [chunks[i : i + LINE] for i in range(at, min(at + LEARNT, len(chunks)), LINE)]
+            for own, e in zip(each, self.tokenizer.encode_batch_fast([between.join(o) for o in each], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, dtype="<u4")
+                ends = (4 * ends_of(own, ids)).tolist()
+                if len(ends) != len(own):
+                    failed += own
+                    continue
+                raw = ids.tobytes()
+                self.memo.update(zip(own, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=False))
+        return failed
+
     def _group(self, texts: list[str]) -> Iterator[np.ndarray]:
         odd = [any(o in t for o in self.odd) for t in texts]
         cut = [[] if o else self.chunks(self.folded(t)) for t, o in zip(texts, odd, strict=True)]

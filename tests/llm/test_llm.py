@@ -285,6 +285,35 @@ def test_chunks_encode_as_whole_texts(path, keep):
         assert ids.tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize("path,keep", [(BYTE, True), (WORD, False)])
+def test_new_chunks_are_encoded_in_lines(path, keep):
+    """Few calls for many new chunks, with and without plain letters, and the ids of whole texts."""
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzßàéîõüÿ"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(1, 9)))
+    texts = [" ".join(rng.choice((w, w.capitalize(), w.upper(), w + "ª")) for w in (word() for _ in range(200))) for _ in range(30)] + ["ﬁne Ωmega naïve", " a'll b's.c, d", "\u00a0x y\u2003z"]
+    coder = tokens.ChunkEncoder(path, keep)
+    whole = [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    steps, calls, real = str(coder.tokenizer.pre_tokenizer) + str(coder.tokenizer.normalizer), [], coder.tokenizer
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+        def __setattr__(self, name, value):
+            calls.append(name)
+            setattr(real, name, value)
+
+        def encode_batch_fast(self, lines, **how):
+            calls.extend(lines)
+            return real.encode_batch_fast(lines, **how)
+
+    coder.tokenizer = Counted()
+    assert [ids.tolist() for ids in coder.many(texts)] == whole
+    assert len(calls) < 300 and (keep or "normalizer" in calls)
+    assert str(real.pre_tokenizer) + str(real.normalizer) == steps
+
+
 def brute_base(text):
     def luhn(d):
         return sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
