@@ -37,6 +37,8 @@ OFFSET_WORDS = 128
 BLOCK_IDS = 1 << 16
 #: A part holds about this many bytes of ids; reading decodes this many offsets' words at once.
 PART_BYTES, STRIP = 32 << 20, 64
+#: Texts are encoded in groups of about this many bytes; a group's different words are looked up once.
+GROUP_BYTES = 4 << 20
 BLOCKS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("first_id", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("lengths", T.ArrayType(T.IntegerType())), T.StructField("offsets", T.BinaryType()), T.StructField("words", T.BinaryType())])
 
 
@@ -105,9 +107,11 @@ def _encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary, False)
         kind = "<u2" if max(coder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
-        for batch in (part for batch in released(batches) for part in slices(batch, 1)):
-            ids = [np.append(own, np.uint32(end_id)).astype(kind) for own in coder.many(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(i) for i in ids], pa.int32()), pa.array([i.tobytes() for i in ids], pa.binary())], names=["id", "n", "ids"])
+        for batch in (part for batch in released(batches) for part in slices(batch, 1, GROUP_BYTES)):
+            ids, ends = coder.together(batch.column(1), end_id)
+            ids, ends = ids.astype(kind), np.insert(ends, 0, 0)
+            column = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.array(ends * ids.itemsize, pa.int32()).buffers()[1], pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends), pa.int32()), column], names=["id", "n", "ids"])
 
     return bounded_batches(docs).mapInArrow(code, "id bigint, n int, ids binary")
 

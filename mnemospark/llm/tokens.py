@@ -11,9 +11,11 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import remembered
 
@@ -50,7 +52,7 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.chunks = (_BYTE_CHUNKS if keep_space else _WORD_CHUNKS).findall
         self.memo: dict[str, bytes] = {}
-        self.held = 0
+        self.held, self.starts = 0, 1
         self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("Aß À") == "aß à"
         #: What a line of lower-case Latin-1 words needs in place of the tokenizer's own steps, where these make the same pieces.
         self.simple = None
@@ -143,21 +145,68 @@ class ChunkEncoder:
                 self.memo.update(zip(own, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=False))
         return failed
 
-    def _group(self, texts: list[str]) -> Iterator[np.ndarray]:
-        odd = [any(o in t for o in self.odd) for t in texts]
-        cut = [[] if o else self.chunks(self.folded(t)) for t, o in zip(texts, odd, strict=True)]
-        flat = list(chain.from_iterable(cut))
+    def _look_up(self, flat: list[str]) -> list[bytes]:
+        """Ids of each chunk; new ones are learnt."""
         found = list(map(self.memo.get, flat))
         missing = [i for i, f in enumerate(found) if f is None]
         unknown = list({flat[i] for i in missing})
         size = ENTRY * len(unknown) + 2 * sum(map(len, unknown))
         if self.held + size > self.most:
             self.memo.clear()
-            self.held = 0
+            self.held, self.starts = 0, self.starts + 1
         self.held += size
         self._learn(unknown)
         for i in missing:
             found[i] = self.memo[flat[i]]
+        return found
+
+    def together(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): ids of all texts one after the other, each text's followed by ``end_id``, and where each ends.
+
+        For vocabularies that drop white space. Words are told apart in Arrow, so only different ones become Python strings.
+        """
+        texts = texts.fill_null("")
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary), pa.scalar("\n", coded.dictionary.type))[0].as_py()
+        lower = self.folded(joined)
+        own = lower.split("\n") if lower is not joined else [self.folded(w) for w in joined.split("\n")]
+        if not len(coded.dictionary):
+            own = []
+        # words of letters alone are one chunk and come first in the table, then those of several; an end is its last row
+        alone = np.fromiter(map(str.isalpha, own), dtype=bool, count=len(own))
+        cut = list(map(self.chunks, compress(own, (~alone).tolist())))
+        flat, before = [*compress(own, alone.tolist()), *chain.from_iterable(cut)], self.starts
+        found = self._look_up(flat)
+        if self.starts > before:  # the memo has started over, and goes on with what these texts have
+            self.memo.update(zip(flat, found, strict=True))
+            self.held = sum(ENTRY + 2 * len(c) for c in set(flat))
+        raw = b"".join([*found, np.array([end_id], "<u4").tobytes()])
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        chunks = np.concatenate([np.ones(len(own) - len(cut), np.int64), np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))])
+        bounds = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(chunks)])]
+        table = pa.Array.from_buffers(pa.large_binary(), len(own) + 1, [None, pa.py_buffer(np.append(bounds, len(raw))), pa.py_buffer(raw)])
+        row = np.empty(len(own), dtype=np.int32)
+        row[np.concatenate([np.flatnonzero(alone), np.flatnonzero(~alone)])] = np.arange(len(own))
+        at = words.offsets.to_numpy()[1:].astype(np.int64)
+        taken = table.take(pa.array(np.insert(row[coded.indices.to_numpy()], at, len(own))))
+        ids = np.frombuffer(taken.buffers()[2], dtype="<u4")
+        ends = np.frombuffer(taken.buffers()[1], dtype=np.int64)[at + np.arange(1, len(at) + 1)] // 4
+        odd = np.zeros(len(texts), dtype=bool)
+        for o in self.odd:
+            if o in joined or o.split() not in ([], [o]):
+                odd |= pc.match_substring(texts, o).to_numpy(zero_copy_only=False)
+        if odd.any():
+            parts = np.split(ids, ends[:-1])
+            for i in np.flatnonzero(odd):
+                parts[i] = np.array([*self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, end_id], dtype="<u4")
+            ids, ends = np.concatenate(parts), np.cumsum(list(map(len, parts)))
+        return ids, ends
+
+    def _group(self, texts: list[str]) -> Iterator[np.ndarray]:
+        odd = [any(o in t for o in self.odd) for t in texts]
+        cut = [[] if o else self.chunks(self.folded(t)) for t, o in zip(texts, odd, strict=True)]
+        found = self._look_up(list(chain.from_iterable(cut)))
         at = 0
         for text, whole, parts in zip(texts, odd, cut, strict=True):
             if whole:

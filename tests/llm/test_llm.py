@@ -314,6 +314,27 @@ def test_new_chunks_are_encoded_in_lines(path, keep):
     assert str(real.pre_tokenizer) + str(real.normalizer) == steps
 
 
+def test_different_words_are_looked_up_once():
+    """Repeated words stay in Arrow; ids, ends and the end id are those of whole texts, also as the memo starts over."""
+    import pyarrow as pa
+
+    rng = random.Random(10)
+    alphabet = ["a", "The", "naïve", "NAÏVE", "İ", "'s", "don't", "word,", "word...", "(x)", " ", " ", "  ", "\n", "\t", "\r\x0b\x0c", "\u00a0", "\u2003", "\x85", "\x1c", "e\u0301", "H\u0331", "\u0301", "é", "42", "🙂", "<|endoftext|>", "Σ", "ς", "٣", "x_y", "ª"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(400)] + [None, "", " ", "\n", " a ", "É", "a" * 9]
+    latin = [" ".join(rng.choice(("Wörter", "wörter,", "MANY", "many", "q.e.d.")) for _ in range(500)) for _ in range(40)]
+    for memo in (tokens.MEMO, 3 * tokens.ENTRY):
+        coder = tokens.ChunkEncoder(WORD, False, memo)
+        asked, look_up = [], coder._look_up
+        coder._look_up = lambda flat: asked.append(len(flat)) or look_up(flat)
+        for some in (texts, latin, texts[:9], [None, " "], [], ["É"], [t for t in texts if t and t.isascii()]):
+            for kind in (pa.string(), pa.large_string()):
+                ids, ends = coder.together(pa.array(["cut off", *some, "too"], kind).slice(1, len(some)), 7)
+                got = [own.tolist() for own in np.split(ids, ends[:-1])] if some else []
+                assert got == [[*coder.tokenizer.encode(t or "", add_special_tokens=False).ids, 7] for t in some]
+                assert len(ends) == len(some) and len(ids) == (ends[-1] if some else 0)
+                assert some is not latin or asked[-1] < 20
+
+
 def brute_base(text):
     def luhn(d):
         return sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
