@@ -44,36 +44,34 @@ BLOCKS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("bl
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, offsets) of the ids; each word takes as many ids as fit."""
-    n = len(ids)
-    choice = np.full(n, len(SELECTORS) - 1, dtype=np.uint8)
-    fits = np.arange(n, dtype=np.int32)  # what fits a selector fits the next ones too, so the rest need not be asked again
-    for s in range(len(SELECTORS) - 2, -1, -1):
-        count, bits = SELECTORS[s]
-        wide = np.zeros(n + 1, dtype=np.int32)
-        np.cumsum(ids >> ids.dtype.type(bits) != 0 if bits < 8 * ids.itemsize else np.zeros(n, bool), out=wide[1:])
-        fits = fits[wide[np.minimum(fits + count, n)] == wide[fits]]
-        if not len(fits):
-            break
-        choice[fits] = s
-    ids = ids.astype(np.uint64)
-    steps = COUNTS.astype(np.uint8)[choice].tobytes()
-    starts, at = [], 0
+    n, last = len(ids), len(SELECTORS) - 1
+    # the narrowest of the selectors' widths that holds an id, and the widest of these over as many ids as a selector takes
+    widest = np.zeros(n + int(COUNTS[0]) - 1, dtype=np.uint8)
+    for _, bits in SELECTORS[1:last]:
+        if bits < 8 * ids.itemsize:
+            widest[:n] += ids >= ids.dtype.type(1 << bits)
+    choice, held = np.full(n, last, dtype=np.uint8), 1
+    for s in range(last - 1, -1, -1):
+        count = SELECTORS[s][0]
+        widest, held = np.maximum(widest[: held - count], widest[count - held :]), count
+        choice -= widest[:n] <= max(s - 1, 0)  # what fits a selector fits the next ones too
+    # where a word begins: one in eight is found by eight steps at once
+    step = [np.append(np.minimum(np.arange(n) + COUNTS[choice], n), n).astype(np.int32)]
+    for _ in range(3):
+        step.append(step[-1][step[-1]])
+    starts, at, eight = [], 0, memoryview(step[3])
     while at < n:
         starts.append(at)
-        at += steps[at]
-    starts = np.array(starts, dtype=np.int64)
+        at = eight[at]
+    starts = np.array(starts, dtype=np.int32)
+    for own in step[2::-1]:
+        starts = np.column_stack([starts, own[starts]]).ravel()
+    starts = starts[starts < n].astype(np.int64)
     chosen = choice[starts]
-    words = chosen.astype(np.uint64) << np.uint64(60)
-    padded = np.concatenate([ids, np.zeros(240, dtype=np.uint64)])
-    for s in np.unique(chosen):
-        count, bits = SELECTORS[s]
-        if bits:
-            mine = np.flatnonzero(chosen == s)
-            first, packed = starts[mine], np.zeros(len(mine), dtype=np.uint64)
-            # places past the end are padding; places past a word's own ids don't exist
-            for j in range(count):
-                packed |= padded[first + j] << np.uint64(j * bits)
-            words[mine] |= packed
+    takes = np.diff(starts, append=n)
+    place = np.arange(n) - np.repeat(starts, takes)
+    shift = (place * np.repeat(np.array([bits for _, bits in SELECTORS])[chosen], takes)).astype(np.uint64)
+    words = np.bitwise_or.reduceat(ids.astype(np.uint64) << shift, starts) | chosen.astype(np.uint64) << np.uint64(60)
     return words, starts[::OFFSET_WORDS].astype("<u4")
 
 

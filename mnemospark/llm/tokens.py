@@ -54,13 +54,14 @@ class ChunkEncoder:
         self.memo: dict[str, bytes] = {}
         self.held, self.starts = 0, 1
         self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("Aß À") == "aß à"
-        #: What a line of lower-case Latin-1 words needs in place of the tokenizer's own steps, where these make the same pieces.
+        #: What a line of lower-case Latin-1 words (and one of ASCII words) needs in place of the tokenizer's own steps, where these make the same pieces.
         self.simple = None
         if self.lowers and self.tokenizer.pre_tokenizer is not None:
             steps = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             probe = " ".join(f"{c} {c}a{c}" for c in filter(_PLAIN, map(chr, range(256))))
             if self.tokenizer.normalizer.normalize_str(probe) == probe and self.tokenizer.pre_tokenizer.pre_tokenize_str(probe) == steps.pre_tokenize_str(probe):
-                self.simple = normalizers.Sequence([]), steps
+                split = pre_tokenizers.CharDelimiterSplit(" ")  # a letter of ASCII stands for its own byte
+                self.simple = normalizers.Sequence([]), steps, split
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         #: Whether an id ends a word, where the vocabulary says so.
         self.last = None
@@ -103,10 +104,13 @@ class ChunkEncoder:
         if self.last is not None:
             words, rest = [c for c in unknown if c.isalpha()], [c for c in unknown if not c.isalpha()]
             if self.simple:
+                normalizer, steps, split = self.simple
+                ascii_only, words = [c for c in words if c.isascii() and c.islower()], [c for c in words if not (c.isascii() and c.islower())]
                 plain, words = list(filter(_PLAIN, words)), [c for c in words if not _PLAIN(c)]
                 held = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
-                self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.simple
-                rest += self._lines(plain, " ", self._word_ends)
+                for own, how in ((ascii_only, split), (plain, steps)):
+                    self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = normalizer, how
+                    rest += self._lines(own, " ", self._word_ends)
                 self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = held
             rest += self._lines(words, " ", self._word_ends)
         elif self.width is not None:

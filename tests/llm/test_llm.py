@@ -252,6 +252,23 @@ def test_simple8b_round_trip():
             assert (tokenfile.decode(words[at * tokenfile.OFFSET_WORDS :], n - int(offsets[at])) == ids[offsets[at] :]).all()
 
 
+@pytest.mark.parametrize("kind", [np.uint16, np.uint32, np.uint64])
+def test_each_word_takes_as_many_ids_as_fit(kind):
+    rng = np.random.default_rng(2)
+    for n in (1, 7, 8, 9, 239, 240, 241, 2000):
+        ids = (rng.integers(0, 1 << 16, n) >> rng.integers(0, 40, n)).astype(kind)
+        ids[::7] |= ids[::7] << kind(min(8 * ids.itemsize, 60) - 16)
+        words, offsets = tokenfile.encode(ids)
+        at, starts = 0, []
+        for w in words.tolist():
+            s = next(s for s, (count, bits) in enumerate(tokenfile.SELECTORS) if all(int(i) < 1 << bits for i in ids[at : at + count]))
+            assert w >> 60 == s
+            starts.append(at)
+            at += tokenfile.SELECTORS[s][0]
+        assert at >= n and offsets.tolist() == starts[:: tokenfile.OFFSET_WORDS]
+        assert kind == np.uint64 or (tokenfile.decode(words, n) == ids).all()
+
+
 def test_block_decodes_by_offsets():
     rng = np.random.default_rng(1)
     for n in (1, 240, 70_000):
